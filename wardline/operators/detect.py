@@ -11,8 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import checks, text
 from ..functions import severity as sev
-from ..functions import text
 from ..session import cut_lineage
 from . import knowledge, pyfacts, ranking, sets
 from .rules import BENCHMARK_RULES, KNOWLEDGE_RULES, REGEX_RULES, SCRIPT_RULES, Rule
@@ -189,6 +189,36 @@ def secret_lines(files: DataFrame) -> DataFrame:
     )
 
 
+def validate_fixes(fixes: DataFrame, findings: DataFrame) -> DataFrame:
+    """Warnings and verdict of every fix, beside the CWE of its finding.
+
+    Fixes for Python are parsed by the fact extractor; only its status row is
+    used, and it comes back keyed by the fix.
+    """
+    python = fixes.where(F.lower("language").isin(*PYTHON)).select(
+        F.col("fix_id").alias("file_id"), F.lit("fix").alias("file_path"), F.col("code_after").alias("content")
+    )
+    broken = pyfacts.unparsed_files(pyfacts.python_facts(python)).select(
+        F.col("file_id").alias("fix_id"), F.concat(F.lit("Python syntax error: "), "error").alias("_syntax")
+    )
+    checked = fixes.join(broken, "fix_id", "left").withColumn(
+        "warnings", checks.fix_warnings(F.col("code_before"), F.col("code_after"), F.col("_syntax"))
+    )
+    cwe = findings.select("finding_id", "cwe_id")
+    return (
+        checked.drop("_syntax").withColumn("valid", F.size("warnings") == 0).join(cwe, "finding_id", "left")
+    )
+
+
+def fix_quality(validated: DataFrame) -> DataFrame:
+    """Validated share per CWE and language."""
+    return validated.groupBy("cwe_id", "language").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if("valid").alias("n_valid"),
+        F.avg(F.col("valid").cast("double")).alias("valid_share"),
+    )
+
+
 PYTHON = ("python", "py")
 SCRIPT = ("javascript", "js", "typescript", "ts")
 

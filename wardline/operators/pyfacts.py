@@ -10,7 +10,7 @@ from __future__ import annotations
 import ast
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +20,10 @@ FACTS = (
     "kw_shell boolean, kw_loader string, targets array<string>, literal string, "
     "fragments string, has_dynamic boolean, error string, content string"
 )
-COLUMNS = [part.split()[0] for part in FACTS.split(", ")]
+_ARROW = {
+    "string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()),
+}
+ARROW_FACTS = pa.schema([(name, _ARROW[kind]) for name, kind in (f.split() for f in FACTS.split(", "))])
 
 # Fixed values.
 SQL_CALLS = ["execute", "executemany", "raw", "raw_query"]
@@ -114,15 +117,15 @@ def _facts(content: str) -> list[dict]:
     return out
 
 
-def _facts_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _facts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for file_id, path, content in zip(batch.file_id, batch.file_path, batch.content):
-            # One frame per file bounds the memory of a batch with large files.
+        for file_id, path, content in zip(*(column.to_pylist() for column in batch.columns)):
+            # One batch per file bounds the memory that large files take.
             rows = [
                 {"file_id": file_id, "file_path": path, "seq": i, **fact}
                 for i, fact in enumerate(_facts(content or ""))
             ]
-            yield pd.DataFrame(rows, columns=COLUMNS, dtype=object)
+            yield pa.RecordBatch.from_pylist(rows, schema=ARROW_FACTS)
 
 
 def python_facts(files: DataFrame) -> DataFrame:
@@ -132,7 +135,7 @@ def python_facts(files: DataFrame) -> DataFrame:
     fallback detector needs no join back to the corpus.
     """
     rows = files.select(F.col("file_id").cast("string").alias("file_id"), "file_path", "content")
-    return rows.mapInPandas(_facts_of, FACTS)
+    return rows.mapInArrow(_facts_of, FACTS)
 
 
 def unparsed_files(facts: DataFrame) -> DataFrame:

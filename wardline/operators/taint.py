@@ -78,8 +78,10 @@ def source_labels(matched: DataFrame) -> DataFrame:
 
 
 def _first_label(labels: DataFrame) -> DataFrame:
-    """One label per variable: the first source line, then the smallest path."""
-    order = F.struct("source_line", F.array_join("path", " "), "source_type")
+    """One label per variable: the first source line, then the smallest path,
+    then the one with fewer sanitizers."""
+    used = F.array_join(F.transform("sanitizers", lambda s: s["name"]), " ")
+    order = F.struct("source_line", F.array_join("path", " "), "source_type", used)
     return (
         labels.groupBy("file_id", "node")
         .agg(F.min_by(F.struct(*LABEL), order).alias("_label"))

@@ -1,4 +1,4 @@
 """Everything that is registered."""
 
-from . import aggregates, filters, joins, windows  # noqa: F401
+from . import aggregates, detection, filters, joins, maintenance, scalars, windows  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -11,6 +11,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..streaming import windows
+
 VIEWS: dict[str, tuple[str, dict[str, str]]] = {
     "v_users": (
         "customer",
@@ -410,6 +412,18 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.selectExpr(*[f"{expr} as {alias}" for alias, expr in columns.items()])
 
 
+def stream_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A view over one table as a stream of that table's files."""
+    source, columns = VIEWS[name]
+    base, _, test = source.partition(" where ")
+    df = windows.read_stream(spark, f"{sf_dir}/{base}.parquet", spark.read.parquet(f"{sf_dir}/{base}.parquet").schema)
+    zoneless = [f.name for f in df.schema if f.dataType.typeName() == "timestamp_ntz"]
+    df = df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless})
+    if test:
+        df = df.where(test)
+    return df.selectExpr(*[f"{expr} as {alias}" for alias, expr in columns.items()])
+
+
 def view_sql(name: str) -> str:
     source, columns = VIEWS[name]
     return "select " + ", ".join(f"{expr} as {alias}" for alias, expr in columns.items()) + f" from {source}"

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .fixtures import view, with_views
+from .fixtures import stream_view, view, with_views
 
 
 @dataclass(frozen=True)
@@ -22,6 +22,9 @@ class Tables:
             raise AttributeError(name)
         return view(self.spark, self.sf_dir, name)
 
+    def stream(self, name: str) -> DataFrame:
+        return stream_view(self.spark, self.sf_dir, name)
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

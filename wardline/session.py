@@ -47,9 +47,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/wardline/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialize ``df`` in the shared folder, so that a lost executor costs no recomputation."""
+def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    The rows are computed once, a lost executor costs no recomputation, and the
+    optimizer knows the size of what it reads.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(work_dir(spark))
-    return df.checkpoint(eager=True)
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
