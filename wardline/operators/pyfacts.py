@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.literal import literal_table
+
 FACTS = (
     "file_id string, file_path string, kind string, seq int, line int, snippet string, "
     "func string, owner string, is_name boolean, dynamic_args int, concat_args int, "
@@ -25,6 +27,8 @@ _ARROW = {
 }
 ARROW_FACTS = pa.schema([(name, _ARROW[kind]) for name, kind in (f.split() for f in FACTS.split(", "))])
 
+BATCH_ROWS = 5000
+
 # Fixed values.
 SQL_CALLS = ["execute", "executemany", "raw", "raw_query"]
 SQL_WORDS = ["SELECT", "INSERT", "UPDATE", "DELETE", "DROP", "CREATE", "ALTER"]
@@ -43,6 +47,20 @@ PLACEHOLDERS = [
     "", "none", "null", "todo", "changeme", "example", "your_key_here", "xxxxxx", "placeholder",
 ]
 MIN_SECRET = 6
+CHECK_FIELDS = ("rule", "vulnerability_type", "cwe_id", "severity", "confidence", "text")
+CHECKS = [
+    ("sql_call", "SQL Injection", "CWE-89", "high", 0.85, "String formatting detected in SQL query. Use parameterized queries instead."),
+    ("sql_function", "SQL Injection", "CWE-89", "high", 0.75, "String formatting detected in SQL query execution."),
+    ("sql_assign", "SQL Injection", "CWE-89", "high", 0.80, "Dynamic value interpolated/concatenated into SQL query. Use parameterized queries instead."),
+    ("shell", "Command Injection", "CWE-78", "critical", 0.9, "String formatting in shell command. Use subprocess with shell=False and list arguments."),
+    ("shell_true", "Command Injection", "CWE-78", "high", 0.9, "subprocess.call with shell=True is vulnerable to command injection."),
+    ("secret", "Hardcoded Secret", "CWE-798", "high", 0.8, "Hardcoded {} detected. Use environment variables or a secrets manager."),
+    ("eval", "Dangerous Function", "CWE-94", "critical", 0.95, "Use of {}() is dangerous and can lead to code injection."),
+    ("pickle", "Insecure Deserialization", "CWE-502", "high", 0.85, "pickle.loads() on untrusted data can lead to arbitrary code execution."),
+    ("yaml", "Insecure Deserialization", "CWE-502", "medium", 0.8, "yaml.load() without SafeLoader can lead to arbitrary code execution. Use yaml.safe_load()."),
+    ("hash", "Weak Cryptography", "CWE-327", "medium", 0.85, "Weak hash function {} detected. Use SHA-256 or stronger."),
+    ("path", "Path Traversal", "CWE-22", "high", 0.75, "String concatenation in file path with variable. Validate and sanitize path inputs."),
+]
 
 
 def _text_parts(node: ast.expr) -> tuple[list[str], bool]:
@@ -118,14 +136,18 @@ def _facts(content: str) -> list[dict]:
 
 
 def _facts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows: list[dict] = []
     for batch in batches:
         for file_id, path, content in zip(*(column.to_pylist() for column in batch.columns)):
-            # One batch per file bounds the memory that large files take.
-            rows = [
+            rows += [
                 {"file_id": file_id, "file_path": path, "seq": i, **fact}
                 for i, fact in enumerate(_facts(content or ""))
             ]
-            yield pa.RecordBatch.from_pylist(rows, schema=ARROW_FACTS)
+            # Whole files per batch, cut early so that large files do not pile up.
+            if len(rows) >= BATCH_ROWS:
+                yield pa.RecordBatch.from_pylist(rows, schema=ARROW_FACTS)
+                rows = []
+    yield pa.RecordBatch.from_pylist(rows, schema=ARROW_FACTS)
 
 
 def python_facts(files: DataFrame) -> DataFrame:
@@ -150,82 +172,52 @@ def _secret_kind(name: Column) -> Column:
     return out
 
 
+def _check(rule: str, test: Column, copies: Column | None = None, detail: Column | None = None) -> Column:
+    """A hit of one check: how often it counts, and the word that goes into its description."""
+    times = F.lit(1) if copies is None else copies
+    return F.struct(
+        F.lit(rule).alias("rule"),
+        F.when(test, times).otherwise(F.lit(0)).alias("copies"),
+        (F.lit("") if detail is None else detail).alias("detail"),
+    )
+
+
 def python_findings(facts: DataFrame) -> DataFrame:
-    """The eight checks. A call with several unsafe arguments counts once per argument."""
-    func, owner, is_call, is_assign = (
-        F.col("func"), F.col("owner"), F.col("kind") == "call", F.col("kind") == "assign",
+    """The checks. A call with several unsafe arguments counts once per argument."""
+    func, owner, dynamic = F.col("func"), F.col("owner"), F.col("dynamic_args")
+    is_call, is_assign = F.col("kind") == "call", F.col("kind") == "assign"
+    method, named = is_call & ~F.col("is_name"), is_call & F.col("is_name")
+    safe_loader = F.coalesce(F.lower("kw_loader").contains("safe"), F.lit(False))
+    sql_text = F.upper("fragments").rlike("|".join(SQL_WORDS))
+    hits = F.array(
+        _check("sql_call", method & func.isin(SQL_CALLS), dynamic),
+        _check("sql_function", named & func.isin(SQL_CALLS), dynamic),
+        _check("sql_assign", is_assign & F.col("has_dynamic") & sql_text),
+        _check("shell", is_call & func.isin(SHELL_CALLS), dynamic),
+        _check("shell_true", method & (func == "call") & F.col("kw_shell")),
+        _check("eval", named & func.isin(EVAL_CALLS), detail=func),
+        _check("pickle", method & (func == "loads") & (owner == "pickle")),
+        _check("yaml", method & (func == "load") & (owner == "yaml") & ~safe_loader),
+        _check("hash", method & func.isin(WEAK_HASHES), detail=func),
+        _check("path", named & (func == "open"), F.col("concat_args")),
     )
-    method = is_call & ~F.col("is_name")
-    named = is_call & F.col("is_name")
-    secrets = F.filter(
-        F.transform("targets", lambda t: _secret_kind(F.lower(t))), lambda k: k.isNotNull()
+    # A literal with several targets counts once per secret name.
+    real = is_assign & (F.length("literal") >= MIN_SECRET) & ~F.lower("literal").isin(PLACEHOLDERS)
+    secrets = F.transform(
+        F.filter(F.transform("targets", lambda t: _secret_kind(F.lower(t))), lambda k: k.isNotNull()),
+        lambda kind: _check("secret", F.lit(True), detail=kind),
     )
-    real = (F.length("literal") >= MIN_SECRET) & ~F.lower("literal").isin(PLACEHOLDERS)
-
-    def check(rule, test, kind, cwe, level, confidence, description, copies=F.lit(1)):
-        finding = F.struct(
-            F.lit(rule).alias("rule"),
-            F.lit(kind).alias("vulnerability_type"),
-            F.lit(cwe).alias("cwe_id"),
-            F.lit(level).alias("severity"),
-            F.lit(confidence).alias("confidence"),
-            description.alias("description"),
-        )
-        return F.when(test, F.array_repeat(finding, copies)).otherwise(F.array())
-
-    shell = func.isin(SHELL_CALLS)
-    none = F.array().cast(
-        "array<struct<rule:string,vulnerability_type:string,cwe_id:string,severity:string,"
-        "confidence:double,description:string>>"
+    all_hits = F.when(real, secrets).otherwise(F.filter(hits, lambda h: h["copies"] > 0))
+    # A literal assignment has no dynamic part, so the two kinds of hits exclude each other.
+    found = facts.where(is_call | is_assign).select("*", F.inline(all_hits)).select(
+        "file_id", "file_path", "line", "snippet", "rule", "detail", F.explode(F.array_repeat(F.lit(1), F.col("copies")))
     )
-    checks = [
-        check("sql_call", method & func.isin(SQL_CALLS), "SQL Injection", "CWE-89", "high", 0.85,
-              F.lit("String formatting detected in SQL query. Use parameterized queries instead."),
-              F.col("dynamic_args")),
-        check("sql_function", named & func.isin(SQL_CALLS), "SQL Injection", "CWE-89", "high", 0.75,
-              F.lit("String formatting detected in SQL query execution."), F.col("dynamic_args")),
-        check("sql_assign", is_assign & F.col("has_dynamic") & F.upper("fragments").rlike("|".join(SQL_WORDS)),
-              "SQL Injection", "CWE-89", "high", 0.80,
-              F.lit("Dynamic value interpolated/concatenated into SQL query. Use parameterized queries instead.")),
-        check("shell", is_call & shell, "Command Injection", "CWE-78", "critical", 0.9,
-              F.lit("String formatting in shell command. Use subprocess with shell=False and list arguments."),
-              F.col("dynamic_args")),
-        check("shell_true", method & (func == "call") & F.col("kw_shell"), "Command Injection", "CWE-78", "high", 0.9,
-              F.lit("subprocess.call with shell=True is vulnerable to command injection.")),
-        check("eval", named & func.isin(EVAL_CALLS), "Dangerous Function", "CWE-94", "critical", 0.95,
-              F.concat(F.lit("Use of "), func, F.lit("() is dangerous and can lead to code injection."))),
-        check("pickle", method & (func == "loads") & (owner == "pickle"), "Insecure Deserialization", "CWE-502",
-              "high", 0.85, F.lit("pickle.loads() on untrusted data can lead to arbitrary code execution.")),
-        check("yaml", method & (func == "load") & (owner == "yaml")
-              & ~F.coalesce(F.lower("kw_loader").contains("safe"), F.lit(False)),
-              "Insecure Deserialization", "CWE-502", "medium", 0.8,
-              F.lit("yaml.load() without SafeLoader can lead to arbitrary code execution. Use yaml.safe_load().")),
-        check("hash", method & func.isin(WEAK_HASHES), "Weak Cryptography", "CWE-327", "medium", 0.85,
-              F.concat(F.lit("Weak hash function "), func, F.lit(" detected. Use SHA-256 or stronger."))),
-        check("path", named & (func == "open"), "Path Traversal", "CWE-22", "high", 0.75,
-              F.lit("String concatenation in file path with variable. Validate and sanitize path inputs."),
-              F.col("concat_args")),
-    ]
-    secret_rows = F.when(
-        is_assign & real,
-        F.transform(
-            secrets,
-            lambda kind: F.struct(
-                F.lit("secret").alias("rule"),
-                F.lit("Hardcoded Secret").alias("vulnerability_type"),
-                F.lit("CWE-798").alias("cwe_id"),
-                F.lit("high").alias("severity"),
-                F.lit(0.8).alias("confidence"),
-                F.concat(F.lit("Hardcoded "), kind, F.lit(" detected. Use environment variables or a secrets manager.")).alias(
-                    "description"
-                ),
-            ),
-        ),
-    ).otherwise(none)
-    rows = facts.where("kind in ('call', 'assign')").select(
-        "file_id", "file_path", "line", "snippet", F.inline(F.concat(none, *checks, secret_rows))
+    checks = literal_table(
+        facts.sparkSession,
+        [dict(zip(CHECK_FIELDS, row)) for row in CHECKS],
+        "rule string, vulnerability_type string, cwe_id string, severity string, confidence double, text string",
     )
-    return rows.select(
+    return found.join(checks, "rule").select(
         "file_id",
         "file_path",
         "vulnerability_type",
@@ -235,7 +227,7 @@ def python_findings(facts: DataFrame) -> DataFrame:
         F.col("line").alias("line_end"),
         F.col("snippet").alias("code_snippet"),
         F.col("vulnerability_type").alias("title"),
-        "description",
+        F.replace("text", F.lit("{}"), F.col("detail")).alias("description"),
         "confidence",
         F.lit("python_ast").alias("analyzer_type"),
         "rule",

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import severity as sev
 from ..functions import text
-from ..functions.literal import lookup
+from ..functions.literal import literal_table, lookup
 from ..session import cut_lineage
 from . import knowledge
 from .taint_tables import (
@@ -36,27 +36,27 @@ LABEL = ["source_type", "source_line", "category", "path", "sanitizers"]
 def match_sources(accesses: DataFrame, aliases: DataFrame) -> DataFrame:
     """Expressions that read untrusted input.
 
-    All source names have two parts, so an exact or dotted-prefix match is a
-    lookup of the first two parts. A request alias counts when what follows it
+    All source names have two parts, so an exact or dotted-prefix match is an
+    equality on the first two parts. A request alias counts when what follows it
     names a source exactly.
     """
-    known = {**{k: k for k in SOURCES}, **{k: k for k in SOURCE_ALIASES}}
     base = {**{k: k for k in SOURCES}, **SOURCE_ALIASES}
-    direct = lookup(known, F.substring_index("expr", ".", 2))
+    table = literal_table(
+        accesses.sparkSession,
+        [{"source_type": k, "category": SOURCES[v][0], "severity_base": SOURCES[v][1]} for k, v in base.items()],
+        "source_type string, category string, severity_base string",
+    )
+    two_parts = F.substring_index("expr", ".", 2)
     renamed = F.concat(F.lit("req."), F.expr("substring(expr, length(_head) + 2)"))
-    via_alias = F.when(F.col("_aliased"), lookup({k: k for k in SOURCES if k.startswith("req.")}, renamed))
+    key = F.when(two_parts.isin(list(base)), two_parts).when(
+        F.col("_aliased") & renamed.isin([k for k in SOURCES if k.startswith("req.")]), renamed
+    )
     marks = aliases.select("file_id", F.col("alias").alias("_head")).distinct().withColumn("_aliased", F.lit(True))
     return (
         accesses.withColumn("_head", F.substring_index("expr", ".", 1))
         .join(marks, ["file_id", "_head"], "left")
-        .withColumn("source_type", F.coalesce(direct, via_alias))
-        .where(F.col("source_type").isNotNull())
-        .withColumns(
-            {
-                "category": lookup({k: SOURCES[v][0] for k, v in base.items()}, F.col("source_type")),
-                "severity_base": lookup({k: SOURCES[v][1] for k, v in base.items()}, F.col("source_type")),
-            }
-        )
+        .withColumn("source_type", key)
+        .join(table, "source_type")
         .drop("_head", "_aliased")
     )
 
@@ -134,22 +134,21 @@ def taint_reach(edges: DataFrame, labels: DataFrame, max_passes: int | None = No
 
 def sink_key(calls_object: Column, method: Column, arg0_kind: Column, arg0_text: Column) -> Column:
     """Full name, then an SQL-like method on an SQL-like argument, then the bare name."""
-    names = {k: k for k in SINKS}
-    full = lookup(names, F.concat(calls_object, F.lit("."), method))
-    sql = F.when(
-        calls_object.isNotNull() & method.isin(SQL_METHODS) & text.looks_like_sql(arg0_kind, arg0_text),
-        F.lit(".query"),
-    )
-    return F.coalesce(full, sql, lookup(names, method))
+    names = list(SINKS)
+    full = F.concat(calls_object, F.lit("."), method)
+    sql = calls_object.isNotNull() & method.isin(SQL_METHODS) & text.looks_like_sql(arg0_kind, arg0_text)
+    return F.when(full.isin(names), full).when(sql, F.lit(".query")).when(method.isin(names), method)
 
 
 def match_sinks(calls: DataFrame) -> DataFrame:
-    key = sink_key(F.col("object"), F.col("method"), F.col("arg0_kind"), F.col("arg0_text"))
-    found = calls.withColumn("sink", key).where(F.col("sink").isNotNull())
-    columns = ["sink_category", "vulnerability_type", "cwe_id", "severity", "taint_arg"]
-    return found.withColumns(
-        {c: lookup({k: v[i] for k, v in SINKS.items()}, F.col("sink")) for i, c in enumerate(columns)}
+    fields = ["sink", "sink_category", "vulnerability_type", "cwe_id", "severity", "taint_arg"]
+    table = literal_table(
+        calls.sparkSession,
+        [dict(zip(fields, (key, *values))) for key, values in SINKS.items()],
+        "sink string, sink_category string, vulnerability_type string, cwe_id string, severity string, taint_arg int",
     )
+    key = sink_key(F.col("object"), F.col("method"), F.col("arg0_kind"), F.col("arg0_text"))
+    return calls.withColumn("sink", key).join(table, "sink")
 
 
 def is_parameterized() -> Column:

@@ -1,4 +1,14 @@
 """Everything that is registered."""
 
-from . import aggregates, detection, filters, joins, maintenance, scalars, windows  # noqa: F401
+from . import (  # noqa: F401
+    aggregates,
+    detection,
+    filters,
+    joins,
+    maintenance,
+    scalars,
+    sources,
+    streams,
+    windows,
+)
 from .registry import ORACLES, QUERIES  # noqa: F401

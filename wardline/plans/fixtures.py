@@ -413,12 +413,18 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stream_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view over one table as a stream of that table's files."""
+    """A table, or a view over one table, as a stream of that table's files.
+
+    The pattern in the path lets a table be one file or a folder of files.
+    """
+    if name not in VIEWS:
+        schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+        df = windows.read_stream(spark, f"{sf_dir}/{name}.parque[t]", schema)
+        zoneless = [f.name for f in df.schema if f.dataType.typeName() == "timestamp_ntz"]
+        return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless}) if zoneless else df
     source, columns = VIEWS[name]
     base, _, test = source.partition(" where ")
-    df = windows.read_stream(spark, f"{sf_dir}/{base}.parquet", spark.read.parquet(f"{sf_dir}/{base}.parquet").schema)
-    zoneless = [f.name for f in df.schema if f.dataType.typeName() == "timestamp_ntz"]
-    df = df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless})
+    df = stream_view(spark, sf_dir, base)
     if test:
         df = df.where(test)
     return df.selectExpr(*[f"{expr} as {alias}" for alias, expr in columns.items()])

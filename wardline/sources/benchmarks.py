@@ -42,13 +42,13 @@ def benchmark_results(samples: DataFrame, findings: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("cwe_id", "vulnerability_type", "severity"))).alias("actual_findings")
     )
     expected = F.transform(
-        F.coalesce("expected_findings", F.array().cast(FINDING)),
+        "expected_findings",
         lambda e: F.struct(e["cwe_id"].alias("cwe_id"), e["vulnerability_type"].alias("vulnerability_type"), e["severity"].alias("severity")),
     )
     return samples.join(actual, "file", "left").select(
         F.col("file").alias("sample_name"),
         "category",
-        expected.alias("expected_findings"),
+        F.coalesce(expected, F.array().cast(FINDING)).alias("expected_findings"),
         F.coalesce("actual_findings", F.array().cast(FINDING)).alias("actual_findings"),
         "parser_success",
         "error",

@@ -6,7 +6,7 @@ import io
 import zipfile
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +16,19 @@ from ..functions import checks, text
 PYTHON_EXTENSIONS = (".py",)
 SCRIPT_EXTENSIONS = (".js", ".jsx", ".ts", ".tsx", ".mjs")
 MEMBERS = "archive string, name string, size bigint, compressed bigint, depth int, content binary, error string"
+ARROW_MEMBERS = pa.schema(
+    [
+        ("archive", pa.string()),
+        ("name", pa.string()),
+        ("size", pa.int64()),
+        ("compressed", pa.int64()),
+        ("depth", pa.int32()),
+        ("content", pa.binary()),
+        ("error", pa.string()),
+    ]
+)
+BATCH_BYTES = 8 << 20
+BATCH_ROWS = 5000
 
 
 def load_corpus(
@@ -63,27 +76,43 @@ def derive_code_files(raw: DataFrame, language: str | None = None) -> DataFrame:
     )
 
 
-def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = [c.split()[0] for c in MEMBERS.split(", ")]
+def _members_of(archive: str, blob: bytes) -> Iterator[dict]:
+    try:
+        with zipfile.ZipFile(io.BytesIO(blob)) as box:
+            for info in box.infolist():
+                body = None if info.is_dir() or info.file_size > checks.MAX_ARCHIVE_BYTES else box.read(info)
+                yield {
+                    "archive": archive,
+                    "name": info.filename,
+                    "size": info.file_size,
+                    "compressed": info.compress_size,
+                    "depth": info.filename.count("/"),
+                    "content": body,
+                }
+    except (zipfile.BadZipFile, RuntimeError, NotImplementedError, EOFError) as exc:
+        yield {"archive": archive, "error": str(exc)}
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows: list[dict] = []
+    held = 0
     for batch in batches:
-        for name, blob in zip(batch.archive, batch.content):
-            try:
-                with zipfile.ZipFile(io.BytesIO(blob)) as box:
-                    for info in box.infolist():
-                        keep = not info.is_dir() and info.file_size <= checks.MAX_ARCHIVE_BYTES
-                        body = box.read(info) if keep else None
-                        row = (name, info.filename, info.file_size, info.compress_size, info.filename.count("/"), body, None)
-                        yield pd.DataFrame([row], columns=columns)
-            except (zipfile.BadZipFile, RuntimeError, NotImplementedError, EOFError) as exc:
-                yield pd.DataFrame([(name, None, None, None, None, None, str(exc))], columns=columns)
+        for archive, blob in zip(*(column.to_pylist() for column in batch.columns)):
+            for row in _members_of(archive, blob):
+                rows.append(row)
+                held += row.get("size") or 0
+                if held >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
+                    yield pa.RecordBatch.from_pylist(rows, schema=ARROW_MEMBERS)
+                    rows, held = [], 0
+    yield pa.RecordBatch.from_pylist(rows, schema=ARROW_MEMBERS)
 
 
 def archive_members(archives: DataFrame) -> DataFrame:
     """One row per member of every zip in ``archive, content``; a broken zip gives an error row.
 
-    Members are yielded one at a time, so only one is held in memory.
+    A member beyond the size limit of a whole archive is listed without content.
     """
-    return archives.select("archive", "content").mapInPandas(_members, MEMBERS)
+    return archives.select("archive", "content").mapInArrow(_members, MEMBERS)
 
 
 def expand_archives(archives: DataFrame) -> DataFrame:

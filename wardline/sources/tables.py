@@ -16,7 +16,7 @@ BUCKETS = 64
 
 def load_table(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Scan of a table with its declared schema; nothing is inferred."""
-    declared = schemas.TABLES[schema] if isinstance(schema, str) and schema in schemas.TABLES else schema
+    declared = schemas.TABLES.get(schema, schema) if isinstance(schema, str) else schema
     return spark.read.schema(declared).parquet(path)
 
 
@@ -27,6 +27,7 @@ def findings_rows(detected: DataFrame) -> DataFrame:
     fields without a column of their own go to the metadata.
     """
     names = set(detected.columns)
+    target = schemas.struct(schemas.FINDINGS)
 
     def has(name: str, kind: str = "string") -> Column:
         return F.col(name) if name in names else F.lit(None).cast(kind)
@@ -54,12 +55,12 @@ def findings_rows(detected: DataFrame) -> DataFrame:
         "code_snippet": F.coalesce(has("code_snippet"), F.lit("")),
         "status": F.lit("new"),
         "confidence": sev.confidence_pct(has("confidence", "double")),
-        "finding_metadata": jsonx.leftover_metadata(extra, schemas.FINDINGS.fieldNames()),
+        "finding_metadata": jsonx.leftover_metadata(extra, target.fieldNames()),
         "explanation": F.lit(None).cast("string"),
         "explanation_provider": F.lit(None).cast("string"),
         "explanation_generated_at": F.lit(None).cast("timestamp"),
     }
-    return detected.select(*[values[f.name].cast(f.dataType).alias(f.name) for f in schemas.FINDINGS])
+    return detected.select(*[values[f.name].cast(f.dataType).alias(f.name) for f in target])
 
 
 def scan_bucket(column: str) -> Column:
@@ -90,6 +91,6 @@ def seed_if_missing(existing: DataFrame, new: DataFrame, key: str = "slug") -> D
 
 def append_events(events: DataFrame, path: str) -> None:
     """Append to the event log, partitioned by day."""
-    columns = [f.name for f in schemas.SYSTEM_EVENTS]
-    rows = events.select(*[F.col(c).cast(schemas.SYSTEM_EVENTS[c].dataType).alias(c) for c in columns])
+    target = schemas.struct(schemas.SYSTEM_EVENTS)
+    rows = events.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in target])
     rows.withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(path)

@@ -167,7 +167,7 @@ def alert_hold(breaches: DataFrame, chunk_seconds: int = 86400) -> DataFrame:
         logs, ["rule", "_gap"], order, chunk, _since=Running("min", F.when(F.col("breach"), F.col("_us")))
     )
     since = F.when(F.col("breach"), F.col("_since"))
-    firing = F.coalesce(F.col("_us") - since >= F.col("hold") * MICROS, F.lit(False))
+    firing = F.coalesce(F.col("_us") - since >= F.col("hold").cast("bigint") * MICROS, F.lit(False))
     return logs.select(*breaches.columns, since.alias("since_us"), firing.alias("firing"))
 
 
