@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checks, text
 from ..functions import severity as sev
+from ..functions.literal import any_contains, lookup
 from ..session import cut_lineage
 from . import knowledge, pyfacts, ranking, sets
 from .rules import BENCHMARK_RULES, KNOWLEDGE_RULES, REGEX_RULES, SCRIPT_RULES, Rule
@@ -42,13 +43,28 @@ def _pick(rules: Sequence[Rule], make: object) -> Column:
     return out
 
 
+# Letters whose case-insensitive match is an ASCII letter although they do not lower to it.
+FOLDED = ["\u017f", "\u0130", "\u0131"]
+
+
+def _may_match(rule: Rule, content: Column, lowered: Column) -> Column:
+    """Plain substring tests that every match passes; far cheaper than the pattern."""
+    text_ = lowered if rule.ignores_case else content
+    out = F.lit(True)
+    for group in rule.needs:
+        out = out & any_contains(text_, group)
+    return out | any_contains(content, FOLDED) if rule.ignores_case else out
+
+
 def _matching_rules(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """One row per file and rule that occurs in it; most files produce none."""
-    hits = F.array_compact(
-        F.array(*[F.when(F.col("content").rlike(r.pattern), _rule_struct(r)) for r in rules])
-    )
+    content, lowered = F.col("content"), F.col("_lowered")
+    tests = [_may_match(r, content, lowered) & content.rlike(r.pattern) for r in rules]
+    hits = F.array_compact(F.array(*[F.when(test, _rule_struct(r)) for r, test in zip(rules, tests)]))
     return (
-        files.withColumn("_hits", hits)
+        files.withColumn("_lowered", F.lower("content"))
+        .withColumn("_hits", hits)
+        .drop("_lowered")
         .where(F.size("_hits") > 0)
         .select(*files.columns, F.inline("_hits"))
     )
@@ -101,8 +117,6 @@ def knowledge_scan(files: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def _knowledge(table: dict[str, str]) -> Column:
-    from ..functions.literal import lookup
-
     return lookup(table, F.col("cwe_id"))
 
 
@@ -149,7 +163,7 @@ def script_scan(files: DataFrame, rules: Sequence[Rule] = SCRIPT_RULES) -> DataF
     def any_rule(line: Column) -> Column:
         out = F.lit(False)
         for rule in rules:
-            out = out | line.rlike(rule.pattern)
+            out = out | (_may_match(rule, line, F.lower(line)) & line.rlike(rule.pattern))
         return out
 
     lines = _matching_lines(files.where(any_rule(F.col("content"))), any_rule)

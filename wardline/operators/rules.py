@@ -17,7 +17,19 @@ class Rule:
     remediation: str = ""
     confidence: float = 0.85
     credential: bool = False
+    # Literals a match cannot do without, lower case: one of every group must occur.
+    needs: tuple[tuple[str, ...], ...] = ()
 
+    @property
+    def ignores_case(self) -> bool:
+        return "i" in self.pattern[: self.pattern.find(")")] if self.pattern.startswith("(?") else False
+
+
+SQL_PARTS = (("select", "insert", "update", "delete"), ("${", "+", ".format", "%("))
+CREDENTIAL_WORDS = ("password", "passwd", "secret", "api_key", "apikey", "token", "auth_key")
+QUOTES = ("\"", "'")
+PAGE_WRITES = ("innerhtml", "document.write")
+COMMANDS = ("exec", "spawn")
 
 # Flags: (?i) ignore case, (?U) Unicode classes and case, (?s) dot matches newline.
 REGEX_RULES = [
@@ -35,6 +47,7 @@ REGEX_RULES = [
         "critical",
         description="User input is concatenated directly into a SQL query string, allowing an attacker to modify the intended SQL command.",
         remediation="Use parameterized queries (prepared statements) instead of string concatenation or template literals.",
+        needs=SQL_PARTS,
     ),
     Rule(
         "credentials",
@@ -45,6 +58,7 @@ REGEX_RULES = [
         description="Hardcoded secrets embedded in source code are accessible to anyone with access to the code repository.",
         remediation="Store secrets in environment variables or a secrets manager. Never commit credentials to source control.",
         credential=True,
+        needs=(CREDENTIAL_WORDS, QUOTES),
     ),
     Rule(
         "xss",
@@ -55,6 +69,7 @@ REGEX_RULES = [
         "high",
         description="User-controlled data is inserted into HTML without proper escaping, allowing script injection.",
         remediation="Escape all user-supplied data before rendering in HTML. Use textContent instead of innerHTML.",
+        needs=(PAGE_WRITES,),
     ),
     Rule(
         "eval",
@@ -64,6 +79,7 @@ REGEX_RULES = [
         "critical",
         description="User input is passed to eval(), allowing arbitrary code execution.",
         remediation="Never use eval() with user-controlled input. Use JSON.parse() for data or Function() with strict allowlisting.",
+        needs=(("eval",),),
     ),
     Rule(
         "command",
@@ -73,6 +89,7 @@ REGEX_RULES = [
         "critical",
         description="User input is passed to a system command execution function, allowing arbitrary command injection.",
         remediation="Never pass user input directly to shell commands. Use allowlisted inputs or parameterized APIs.",
+        needs=(COMMANDS,),
     ),
 ]
 
@@ -91,6 +108,7 @@ KNOWLEDGE_RULES = [
         "SQL Injection",
         "CWE-89",
         "critical",
+        needs=(("select", "insert", "update", "delete", "drop"), ("${", "+", "f\"", "f'", ".format", "%(")),
     ),
     Rule(
         "credentials",
@@ -99,6 +117,7 @@ KNOWLEDGE_RULES = [
         "CWE-798",
         "high",
         credential=True,
+        needs=((*CREDENTIAL_WORDS, "db_pass"), QUOTES),
     ),
     Rule(
         "xss",
@@ -107,6 +126,7 @@ KNOWLEDGE_RULES = [
         "Cross-Site Scripting (XSS)",
         "CWE-79",
         "high",
+        needs=(PAGE_WRITES,),
     ),
     Rule(
         "eval",
@@ -114,6 +134,7 @@ KNOWLEDGE_RULES = [
         "Code Injection",
         "CWE-94",
         "critical",
+        needs=(("eval", "exec"),),
     ),
     Rule(
         "command",
@@ -121,28 +142,30 @@ KNOWLEDGE_RULES = [
         "OS Command Injection",
         "CWE-78",
         "critical",
+        needs=(COMMANDS,),
     ),
 ]
 
 # The measuring detector: first match outside comment lines, per pattern.
 BENCHMARK_RULES = [
-    Rule("sql_concat", r"(?U)execute\s*\(\s*[\"']SELECT.*\+\s*\w", "SQL Injection", "CWE-89", "high"),
-    Rule("sql_fstring", r"(?U)execute\s*\(\s*f[\"']SELECT", "SQL Injection", "CWE-89", "high"),
-    Rule("password", r"(?U)password\s*=\s*[\"'][^\"']+[\"']", "Hardcoded Credentials", "CWE-798", "high"),
-    Rule("api_key", r"(?U)api_key\s*=\s*[\"'][^\"']+[\"']", "Hardcoded Credentials", "CWE-798", "high"),
-    Rule("secret", r"(?U)secret\s*=\s*[\"'][^\"']+[\"']", "Hardcoded Credentials", "CWE-798", "high"),
-    Rule("eval", r"(?U)\beval\s*\(", "Eval Injection", "CWE-95", "high"),
-    Rule("exec", r"(?U)\bexec\s*\(", "Eval Injection", "CWE-95", "high"),
-    Rule("path_join", r"(?U)os\.path\.join\s*\([^)]*\+\s*\w", "Path Traversal", "CWE-22", "high"),
-    Rule("pickle", r"(?U)pickle\.loads?\s*\(", "Insecure Deserialization", "CWE-502", "high"),
+    Rule("sql_concat", r"(?U)execute\s*\(\s*[\"']SELECT.*\+\s*\w", "SQL Injection", "CWE-89", "high", needs=(("execute",), ("SELECT",))),
+    Rule("sql_fstring", r"(?U)execute\s*\(\s*f[\"']SELECT", "SQL Injection", "CWE-89", "high", needs=(("execute",), ("SELECT",))),
+    Rule("password", r"(?U)password\s*=\s*[\"'][^\"']+[\"']", "Hardcoded Credentials", "CWE-798", "high", needs=(("password",),)),
+    Rule("api_key", r"(?U)api_key\s*=\s*[\"'][^\"']+[\"']", "Hardcoded Credentials", "CWE-798", "high", needs=(("api_key",),)),
+    Rule("secret", r"(?U)secret\s*=\s*[\"'][^\"']+[\"']", "Hardcoded Credentials", "CWE-798", "high", needs=(("secret",),)),
+    Rule("eval", r"(?U)\beval\s*\(", "Eval Injection", "CWE-95", "high", needs=(("eval",),)),
+    Rule("exec", r"(?U)\bexec\s*\(", "Eval Injection", "CWE-95", "high", needs=(("exec",),)),
+    Rule("path_join", r"(?U)os\.path\.join\s*\([^)]*\+\s*\w", "Path Traversal", "CWE-22", "high", needs=(("os.path.join",),)),
+    Rule("pickle", r"(?U)pickle\.loads?\s*\(", "Insecure Deserialization", "CWE-502", "high", needs=(("pickle.load",),)),
     Rule(
         "yaml",
         r"(?U)yaml\.load\s*\([^)]*Loader\s*=\s*yaml\.Loader",
         "Insecure Deserialization",
         "CWE-502",
         "high",
+        needs=(("yaml.load",), ("yaml.Loader",)),
     ),
-    Rule("xss", r"(?U)return\s*f[\"'].*\{.*request\.", "Cross-Site Scripting", "CWE-79", "high"),
+    Rule("xss", r"(?U)return\s*f[\"'].*\{.*request\.", "Cross-Site Scripting", "CWE-79", "high", needs=(("request.",),)),
 ]
 
 SECRET_NAMES = (
@@ -161,6 +184,7 @@ SCRIPT_RULES = [
         "eval() executes arbitrary JavaScript code and is a security risk even without direct user input.",
         "Never use eval() with user-controlled input. Use JSON.parse() for data parsing or a safe expression evaluator.",
         0.95,
+        needs=(("eval",),),
     ),
     Rule(
         "docwrite",
@@ -172,6 +196,7 @@ SCRIPT_RULES = [
         "document.write() can lead to XSS if used with untrusted input.",
         "Use DOM manipulation methods (createElement, textContent) instead of document.write().",
         0.80,
+        needs=(("document.write",),),
     ),
     Rule(
         "innerHTML",
@@ -183,6 +208,7 @@ SCRIPT_RULES = [
         "Direct innerHTML assignment is vulnerable to XSS if the value contains user input.",
         "Use textContent or innerText instead of innerHTML. If HTML is required, sanitize with DOMPurify.",
         0.70,
+        needs=((".innerHTML",),),
     ),
     Rule(
         "timer",
@@ -194,6 +220,7 @@ SCRIPT_RULES = [
         "setTimeout/setInterval with string argument acts like eval() and can lead to code injection.",
         "Pass a function reference instead of a string to setTimeout/setInterval.",
         0.85,
+        needs=(("setTimeout", "setInterval"),),
     ),
     Rule(
         "secret",
@@ -205,6 +232,7 @@ SCRIPT_RULES = [
         "Hardcoded secret embedded in source code. Secrets should be stored in environment variables or a secrets manager.",
         "Store secrets in environment variables (process.env) or a secrets manager. Never commit credentials to source control.",
         0.90,
+        needs=(tuple(SECRET_NAMES.split("|")), QUOTES),
     ),
     Rule(
         "secret_member",
@@ -216,5 +244,6 @@ SCRIPT_RULES = [
         "Hardcoded secret embedded in source code.",
         "Store secrets in environment variables or a secrets manager.",
         0.90,
+        needs=(tuple(SECRET_NAMES.split("|")), QUOTES),
     ),
 ]

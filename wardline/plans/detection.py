@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import detect, pyfacts, repair, taint
 from ..operators.rules import BENCHMARK_RULES, KNOWLEDGE_RULES, REGEX_RULES
 from ..operators.taint_tables import SANITIZERS, SINKS, SQL_METHODS
+from ..sources.corpus import spread
 from .registry import Tables, query
 from .scalars import CREDENTIAL, SQL_WORDS, STRICT_WORDS
 
@@ -46,7 +47,7 @@ SNIPPET = (
     f"select file_id, rule, line_start, {SNIPPET} from ({_rule_sql(REGEX_RULES, 'v_code_files')})",
 )
 def _(t: Tables):
-    found = detect.regex_scan(t.v_code_files)
+    found = detect.regex_scan(spread(t.v_code_files))
     return found.select("file_id", "rule", "line_start", F.md5("code_snippet").alias("snippet"))
 
 
@@ -55,7 +56,7 @@ def _(t: Tables):
     f"select file_id, rule, line_start from ({_rule_sql(REGEX_RULES, 'v_code_files', STRICT_WORDS)})",
 )
 def _(t: Tables):
-    return detect.regex_scan(t.v_code_files, strict=True).select("file_id", "rule", "line_start")
+    return detect.regex_scan(spread(t.v_code_files), strict=True).select("file_id", "rule", "line_start")
 
 
 @query(
@@ -64,7 +65,7 @@ def _(t: Tables):
     f" from ({_rule_sql(REGEX_RULES, 'v_programs')})",
 )
 def _(t: Tables):
-    return detect.regex_scan(t.v_programs).select(
+    return detect.regex_scan(spread(t.v_programs)).select(
         "file_id", "rule", "vulnerability_type", "cwe_id", "severity", "line_start", "line_end",
         F.md5("code_snippet").alias("snippet"),
     )
@@ -76,7 +77,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     pages = t.pages.select(F.col("page_id").alias("file_id"), F.col("url").alias("file_path"), F.col("html").alias("content"))
-    return detect.regex_scan(pages).select("file_id", "rule", "line_start")
+    return detect.regex_scan(spread(pages)).select("file_id", "rule", "line_start")
 
 
 @query(
@@ -84,7 +85,7 @@ def _(t: Tables):
     f"select file_id, rule, vulnerability_type, cwe_id, line_start from ({_rule_sql(KNOWLEDGE_RULES, 'v_programs', wide=True)})",
 )
 def _(t: Tables):
-    return detect.knowledge_scan(t.v_programs).select("file_id", "rule", "vulnerability_type", "cwe_id", "line_start")
+    return detect.knowledge_scan(spread(t.v_programs)).select("file_id", "rule", "vulnerability_type", "cwe_id", "line_start")
 
 
 @query(
@@ -92,7 +93,7 @@ def _(t: Tables):
     f"select file_id, rule, line_start from ({_rule_sql(KNOWLEDGE_RULES, 'v_code_files', wide=True)})",
 )
 def _(t: Tables):
-    return detect.knowledge_scan(t.v_code_files).select("file_id", "rule", "line_start")
+    return detect.knowledge_scan(spread(t.v_code_files)).select("file_id", "rule", "line_start")
 
 
 def _benchmark_sql(source: str) -> str:
@@ -108,7 +109,7 @@ def _benchmark_sql(source: str) -> str:
 
 @query("d03_benchmark_scan", _benchmark_sql("v_programs"))
 def _(t: Tables):
-    return detect.benchmark_scan(t.v_programs).select("file_id", "rule", "cwe_id")
+    return detect.benchmark_scan(spread(t.v_programs)).select("file_id", "rule", "cwe_id")
 
 
 # What each fixture program holds: program, rule, cwe, severity, confidence, line.
@@ -152,7 +153,7 @@ FOUND = ("file_id", "rule", "cwe_id", "severity", "confidence", "line_start")
 
 @query("d04_python_ast_scan", _expected(PYTHON_EXPECTED))
 def _(t: Tables):
-    files = t.v_programs.where("language = 'python'")
+    files = spread(t.v_programs).where("language = 'python'")
     return pyfacts.python_findings(pyfacts.python_facts(files)).select(*FOUND)
 
 
@@ -161,13 +162,13 @@ def _(t: Tables):
     "select file_id, program <> 5 as parsed from v_programs where language = 'python'",
 )
 def _(t: Tables):
-    facts = pyfacts.python_facts(t.v_programs.where("language = 'python'")).where("kind in ('parsed', 'error')")
+    facts = pyfacts.python_facts(spread(t.v_programs).where("language = 'python'")).where("kind in ('parsed', 'error')")
     return facts.select("file_id", (F.col("kind") == "parsed").alias("parsed"))
 
 
 @query("d05_script_scan", _expected(SCRIPT_EXPECTED))
 def _(t: Tables):
-    return detect.script_scan(t.v_programs.where("language in ('javascript', 'typescript')")).select(*FOUND)
+    return detect.script_scan(spread(t.v_programs).where("language in ('javascript', 'typescript')")).select(*FOUND)
 
 
 @query(
@@ -180,7 +181,7 @@ def _(t: Tables):
     " regexp_matches(line, '=\\s*[''\"][^''\"]*\\$\\{|=\\s*[''\"][^'']*:\\w'))",
 )
 def _(t: Tables):
-    return detect.secret_lines(t.v_programs).select("file_id", "cwe_id", "line_start", "confidence")
+    return detect.secret_lines(spread(t.v_programs)).select("file_id", "cwe_id", "line_start", "confidence")
 
 
 SOURCE_SQL = (
@@ -265,7 +266,7 @@ def _reach_sql(layers: int = 8) -> str:
 )
 def _(t: Tables):
     labels = taint.source_labels(taint.match_sources(t.v_accesses, t.v_aliases))
-    reached = taint.taint_reach(t.v_edges, labels)
+    reached = taint.taint_reach(spread(t.v_edges), labels)
     return reached.select(
         "file_id",
         "node",
@@ -290,7 +291,7 @@ FINDINGS_SQL = (
 
 def _findings(t: Tables):
     labels = taint.source_labels(taint.match_sources(t.v_accesses, t.v_aliases))
-    return taint.taint_findings(t.v_calls, t.v_args.distinct(), taint.taint_reach(t.v_edges, labels))
+    return taint.taint_findings(spread(t.v_calls), spread(t.v_args).distinct(), taint.taint_reach(spread(t.v_edges), labels))
 
 
 @query("d06_taint_findings", f"select file_id, call_id, title, severity, line_start, round(confidence, 6) as confidence, path from ({FINDINGS_SQL})")
@@ -367,7 +368,7 @@ def _(t: Tables):
 
 @query("d09_route_by_language", _expected(ROUTED_EXPECTED))
 def _(t: Tables):
-    return detect.route_by_language(t.v_programs).select(*FOUND)
+    return detect.route_by_language(spread(t.v_programs)).select(*FOUND)
 
 
 FIXES_OK = (
@@ -396,4 +397,4 @@ CORPUS_SQL = (
 
 @query("d11_scan_corpus", CORPUS_SQL)
 def _(t: Tables):
-    return detect.scan_corpus(t.v_programs).select("file_id", "cwe_id", "line_start", "confidence")
+    return detect.scan_corpus(spread(t.v_programs)).select("file_id", "cwe_id", "line_start", "confidence")

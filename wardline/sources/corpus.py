@@ -57,6 +57,17 @@ def load_corpus(
     return marked.select(F.col("rel").alias("file_path"), decode(F.col("content")).alias("content"))
 
 
+def spread(files: DataFrame) -> DataFrame:
+    """At least one partition per core for a detector that is bound by computing.
+
+    Only a scan with fewer partitions than cores is redistributed, that is one
+    of a few files; a corpus of many files is never shuffled. Meant for plain
+    scans, whose partitions are known without running anything.
+    """
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    return files.repartition(cores) if files.rdd.getNumPartitions() < cores else files
+
+
 def decode(content: Column) -> Column:
     """UTF-8 text with invalid bytes replaced."""
     return F.make_valid_utf8(content.cast("string"))

@@ -45,8 +45,8 @@ def export_reports(records: DataFrame, path: str) -> None:
     """JSON lines by scan bucket, each bucket sorted by scan and part."""
     (
         records.withColumn("bucket", scan_bucket("analysis_id"))
-        .repartitionByRange("bucket", "analysis_id", "part", "record")
-        .sortWithinPartitions("bucket", "analysis_id", "part", "record")
+        .hint("rebalance", "bucket")
+        .sortWithinPartitions("bucket", "analysis_id", "part")
         .write.mode("overwrite")
         .partitionBy("bucket")
         .json(path)

@@ -70,13 +70,12 @@ def scan_bucket(column: str) -> Column:
 def append_findings(detected: DataFrame, path: str) -> None:
     """Append to the findings table, partitioned by scan bucket.
 
-    Rows are spread over (bucket, id) before the write: every bucket gets few
-    files, and a scan with very many findings still uses several tasks.
+    The rows are rebalanced by bucket: small buckets share a task, and the bucket
+    of a scan with very many findings is split over several.
     """
     rows = findings_rows(detected).withColumn("analysis_id_bucket", scan_bucket("analysis_id"))
-    spread = F.pmod(F.xxhash64("id"), F.lit(4))
     (
-        rows.repartition("analysis_id_bucket", spread)
+        rows.hint("rebalance", "analysis_id_bucket")
         .sortWithinPartitions("analysis_id_bucket", "analysis_id")
         .write.mode("append")
         .partitionBy("analysis_id_bucket")
