@@ -6,7 +6,7 @@ on the scan partitions; only findings, never contents, are shuffled later.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,9 +21,10 @@ from .rules import BENCHMARK_RULES, KNOWLEDGE_RULES, REGEX_RULES, SCRIPT_RULES,
 KEYS = ("file_id", "file_path")
 
 
-def _rule_struct(rule: Rule) -> Column:
+def _rule_struct(rule: Rule, **more: Column) -> Column:
     return F.struct(
         F.lit(rule.rule).alias("rule"),
+        F.lit(rule.credential).alias("credential"),
         F.lit(rule.vulnerability_type).alias("vulnerability_type"),
         F.lit(rule.cwe_id).alias("cwe_id"),
         F.lit(rule.severity).alias("severity"),
@@ -31,18 +32,10 @@ def _rule_struct(rule: Rule) -> Column:
         F.lit(rule.description).alias("description"),
         F.lit(rule.remediation).alias("remediation"),
         F.lit(rule.confidence).alias("confidence"),
+        *[column.alias(name) for name, column in more.items()],
     )
 
 
-def _pick(rules: Sequence[Rule], make: object) -> Column:
-    """A column per rule, chosen by the row's rule name; only that branch is evaluated."""
-    out = None
-    for rule in rules:
-        test = F.col("rule") == rule.rule
-        out = F.when(test, make(rule)) if out is None else out.when(test, make(rule))
-    return out
-
-
 # Letters whose case-insensitive match is an ASCII letter although they do not lower to it.
 FOLDED = ["\u017f", "\u0130", "\u0131"]
 
@@ -56,32 +49,36 @@ def _may_match(rule: Rule, content: Column, lowered: Column) -> Column:
     return out | any_contains(content, FOLDED) if rule.ignores_case else out
 
 
-def _matching_rules(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """One row per file and rule that occurs in it; most files produce none."""
+def _matching_rules(files: DataFrame, rules: Sequence[Rule], more: Callable[[Rule], dict[str, Column]]) -> DataFrame:
+    """One row per file and rule that occurs in it, with ``more`` columns per rule.
+
+    All tests sit in one generator, which reads a content once; a filter on the
+    hits would be pushed below it and run every pattern a second time.
+    """
     content, lowered = F.col("content"), F.col("_lowered")
-    tests = [_may_match(r, content, lowered) & content.rlike(r.pattern) for r in rules]
-    hits = F.array_compact(F.array(*[F.when(test, _rule_struct(r)) for r, test in zip(rules, tests)]))
+    hits = [
+        F.when(_may_match(r, content, lowered) & content.rlike(r.pattern), _rule_struct(r, **more(r))) for r in rules
+    ]
     return (
         files.withColumn("_lowered", F.lower("content"))
-        .withColumn("_hits", hits)
-        .drop("_lowered")
-        .where(F.size("_hits") > 0)
-        .select(*files.columns, F.inline("_hits"))
+        .select(*files.columns, F.inline(F.array(*hits)))
+        .where(F.col("rule").isNotNull())
     )
 
 
 def _first_match(files: DataFrame, rules: Sequence[Rule], strict: bool) -> DataFrame:
-    """Text before the first match, less the credential matches that are none."""
-    found = _matching_rules(files, rules).withColumn(
-        "_prefix", _pick(rules, lambda r: F.split("content", r.pattern, 2)[0])
+    """The line of the first match, less the credential matches that are none.
+
+    Splitting at the first match yields the text before and after it, hence the
+    match itself.
+    """
+    found = _matching_rules(files, rules, lambda r: {"_parts": F.split("content", r.pattern, 2)})
+    prefix, rest = F.col("_parts")[0], F.col("_parts")[1]
+    match = F.substring(
+        F.col("content"), F.length(prefix) + 1, F.length("content") - F.length(prefix) - F.length(rest)
     )
-    credential = [r for r in rules if r.credential]
-    if credential:
-        rest = F.substring(F.col("content"), F.length("_prefix") + 1, F.length("content"))
-        match = _pick(credential, lambda r: F.regexp_substr(rest, F.lit(r.pattern)))
-        false_hit = F.coalesce(text.is_false_credential(match, F.col("_prefix"), strict), F.lit(False))
-        found = found.where(~(F.col("rule").isin([r.rule for r in credential]) & false_hit))
-    return found.withColumn("line_start", text.line_after(F.col("_prefix")))
+    false_hit = F.col("credential") & text.is_false_credential(match, prefix, strict)
+    return found.where(~false_hit).withColumn("line_start", text.line_after(prefix))
 
 
 def regex_scan(
@@ -146,16 +143,16 @@ def _has_code_match(content: Column, pattern: str) -> Column:
 
 def benchmark_scan(files: DataFrame, rules: Sequence[Rule] = BENCHMARK_RULES) -> DataFrame:
     """A finding per file and pattern that matches outside comment lines."""
-    found = _matching_rules(files, rules)
-    return found.where(_pick(rules, lambda r: _has_code_match(F.col("content"), r.pattern))).select(
+    found = _matching_rules(files, rules, lambda r: {"_in_code": _has_code_match(F.col("content"), r.pattern)})
+    return found.where("_in_code").select(
         *KEYS, "rule", "vulnerability_type", "severity", "cwe_id", "confidence"
     )
 
 
-def _matching_lines(files: DataFrame, test: object) -> DataFrame:
-    """Lines that pass a test, with their number; the file's other lines never leave the row."""
-    lines = F.transform(F.split("content", "\n"), lambda line, i: F.struct((i + 1).alias("line_start"), line.alias("line")))
-    return files.select(*files.columns, F.inline(F.filter(lines, lambda x: test(x["line"]))))
+def _matching_lines(files: DataFrame, test: Callable[[Column], Column]) -> DataFrame:
+    """Lines that pass a test, with their number."""
+    lines = files.select(*files.columns, F.posexplode(F.split("content", "\n")).alias("_pos", "line"))
+    return lines.where(test(F.col("line"))).withColumn("line_start", F.col("_pos") + 1).drop("_pos")
 
 
 def script_scan(files: DataFrame, rules: Sequence[Rule] = SCRIPT_RULES) -> DataFrame:
@@ -166,11 +163,9 @@ def script_scan(files: DataFrame, rules: Sequence[Rule] = SCRIPT_RULES) -> DataF
             out = out | (_may_match(rule, line, F.lower(line)) & line.rlike(rule.pattern))
         return out
 
-    lines = _matching_lines(files.where(any_rule(F.col("content"))), any_rule)
-    hits = F.array_compact(
-        F.array(*[F.when(F.col("line").rlike(r.pattern), _rule_struct(r)) for r in rules])
-    )
-    return lines.select("*", F.inline(hits)).select(
+    lines = _matching_lines(files, any_rule)
+    hits = F.array(*[F.when(F.col("line").rlike(r.pattern), _rule_struct(r)) for r in rules])
+    return lines.select("*", F.inline(hits)).where(F.col("rule").isNotNull()).select(
         *KEYS,
         "vulnerability_type",
         "severity",
