@@ -46,15 +46,6 @@ def class_scans(analyses: DataFrame, enrollments: DataFrame, latest: int = 500)
     return top_per_group(scans, ["class_id"], [F.col("created_at").desc(), F.col("analysis_id")], latest)
 
 
-def class_type_counts(findings: DataFrame, scans: DataFrame, kind: str) -> DataFrame:
-    return (
-        findings.select("analysis_id", kind)
-        .join(scans.select("class_id", "analysis_id"), "analysis_id")
-        .groupBy("class_id", kind)
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-
-
 def class_metrics(
     classes: DataFrame,
     enrollments: DataFrame,
@@ -65,39 +56,35 @@ def class_metrics(
 ) -> DataFrame:
     """Every class at once: students, scans, findings by severity, average, top five types.
 
-    Findings are counted per (class, severity, type) in one pass; everything
-    after that works on a few rows per class.
+    Findings are read and joined once and counted per (class, type) with a column
+    per level; totals and the top list come from these counts.
     """
     scans = class_scans(analyses, enrollments, latest)
-    cells = (
-        findings.select("analysis_id", severity_level(F.col("severity")).alias("severity"), kind)
+    level = severity_level(F.col("severity"))
+    types = (
+        findings.select("analysis_id", level.alias("severity"), kind)
         .join(scans.select("class_id", "analysis_id"), "analysis_id")
-        .groupBy("class_id", "severity", kind)
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    by_level = cells.groupBy("class_id").agg(
-        F.sum("n").alias("total_findings"),
-        *[F.sum(F.when(F.col("severity") == s, F.col("n")).otherwise(0)).alias(s) for s in sev.LEVELS],
+        .groupBy("class_id", kind)
+        .agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("severity") == s).alias(s) for s in sev.LEVELS])
     )
-    by_type = cells.groupBy("class_id", kind).agg(F.sum("n").alias("n"))
-    top = (
-        top_per_group(by_type, ["class_id"], [F.col("n").desc(), F.col(kind)], 5, rank="rank")
+    rank = F.row_number().over(W.partitionBy("class_id").orderBy(F.col("n").desc(), kind))
+    top = F.sort_array(F.collect_list(F.when(F.col("_rank") <= 5, F.struct("_rank", F.col(kind).alias("type"), "n"))))
+    totals = (
+        types.withColumn("_rank", rank)
         .groupBy("class_id")
-        .agg(F.sort_array(F.collect_list(F.struct("rank", F.col(kind).alias("type"), "n"))).alias("_top"))
-        .select(
-            "class_id",
-            F.array_join(F.transform("_top", lambda t: F.concat(t["type"], F.lit(":"), t["n"].cast("string"))), ",").alias(
-                "top_types"
-            ),
+        .agg(F.sum("n").alias("total_findings"), *[F.sum(s).alias(s) for s in sev.LEVELS], top.alias("_top"))
+        .withColumn(
+            "top_types",
+            F.array_join(F.transform("_top", lambda t: F.concat(t["type"], F.lit(":"), t["n"].cast("string"))), ","),
         )
+        .drop("_top")
     )
     n_scans = scans.groupBy("class_id").agg(F.count(F.lit(1)).alias("total_scans"))
     out = (
         joins.with_student_count(classes, enrollments)
         .withColumnRenamed("student_count", "total_students")
         .join(n_scans, "class_id", "left")
-        .join(by_level, "class_id", "left")
-        .join(top, "class_id", "left")
+        .join(totals, "class_id", "left")
         .fillna(0, ["total_scans", "total_findings", *sev.LEVELS])
     )
     average = F.bround(F.col("total_findings") / F.greatest(F.col("total_students"), F.lit(1)), 1)

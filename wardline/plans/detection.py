@@ -2,16 +2,23 @@
 
 import re
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import detect, pyfacts, repair, taint
 from ..operators.rules import BENCHMARK_RULES, KNOWLEDGE_RULES, REGEX_RULES
 from ..operators.taint_tables import SANITIZERS, SINKS, SQL_METHODS
+from ..session import cut_lineage
 from ..sources.corpus import spread
 from .registry import Tables, query
 from .scalars import CREDENTIAL, SQL_WORDS, STRICT_WORDS
 
 
+def _at_rest(view: DataFrame) -> DataFrame:
+    """A fact view as the table that an extraction job would have written."""
+    return cut_lineage(spread(view), "facts")
+
+
 def _re2(pattern: str) -> str:
     """The pattern for the checking database, where ``U`` means something else."""
     return re.sub(r"^\(\?(\w+)\)", lambda m: f"(?{m.group(1).replace('U', '')})" if m.group(1) != "U" else "", pattern).replace("'", "''")
@@ -222,7 +229,7 @@ def _sinks_sql() -> str:
 
 @query("d06b_match_sinks", f"select file_id, call_id, sink, cwe_id, taint_arg from ({_sinks_sql()})")
 def _(t: Tables):
-    return taint.match_sinks(t.v_calls).select("file_id", "call_id", "sink", "cwe_id", "taint_arg")
+    return taint.match_sinks(_at_rest(t.v_calls)).select("file_id", "call_id", "sink", "cwe_id", "taint_arg")
 
 
 SAFE = (
@@ -235,7 +242,7 @@ SAFE = (
 
 @query("d06c_safe_calls", f"select file_id, call_id, {SAFE} as safe from ({_sinks_sql()})")
 def _(t: Tables):
-    return taint.match_sinks(t.v_calls).select("file_id", "call_id", taint.is_safe_call().alias("safe"))
+    return taint.match_sinks(_at_rest(t.v_calls)).select("file_id", "call_id", taint.is_safe_call().alias("safe"))
 
 
 def _reach_sql(layers: int = 8) -> str:
@@ -266,7 +273,7 @@ def _reach_sql(layers: int = 8) -> str:
 )
 def _(t: Tables):
     labels = taint.source_labels(taint.match_sources(t.v_accesses, t.v_aliases))
-    reached = taint.taint_reach(spread(t.v_edges), labels)
+    reached = taint.taint_reach(_at_rest(t.v_edges), labels)
     return reached.select(
         "file_id",
         "node",
@@ -291,7 +298,8 @@ FINDINGS_SQL = (
 
 def _findings(t: Tables):
     labels = taint.source_labels(taint.match_sources(t.v_accesses, t.v_aliases))
-    return taint.taint_findings(spread(t.v_calls), spread(t.v_args).distinct(), taint.taint_reach(spread(t.v_edges), labels))
+    reached = taint.taint_reach(_at_rest(t.v_edges), labels)
+    return taint.taint_findings(_at_rest(t.v_calls), _at_rest(t.v_args).distinct(), reached)
 
 
 @query("d06_taint_findings", f"select file_id, call_id, title, severity, line_start, round(confidence, 6) as confidence, path from ({FINDINGS_SQL})")

@@ -5,8 +5,10 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator, Sequence
+from fnmatch import fnmatchcase
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,24 +39,60 @@ def load_corpus(
     """Files below a folder by extension; bytes that are not UTF-8 are replaced.
 
     Script files below dot folders or ``node_modules`` are left out. Names are
-    filtered before the contents are read.
+    filtered before the contents are read. Spark's reader passes over names that
+    start with a dot or an underscore, which source trees are full of
+    (``__init__.py``); these few are listed and read apart. Name the scheme in
+    ``root`` unless it is a local path.
     """
+    patterns = [_glob(ext) for ext in extensions]
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*{" + ",".join(extensions) + "}" if len(extensions) > 1 else f"*{extensions[0]}")
+        .option("pathGlobFilter", "{" + ",".join(patterns) + "}" if len(patterns) > 1 else patterns[0])
         .load(root)
     )
-    relative = F.expr("substring(path, length(_root) + 1)")
+    seen = files.withColumn("_root", F.lit(root.rstrip("/"))).select(
+        F.regexp_replace(F.expr("substring(path, instr(path, _root) + length(_root))"), "^/+", "").alias("rel"),
+        "content",
+    )
+    rows = seen.unionByName(_passed_over(spark, root, patterns))
     folder = F.regexp_extract("rel", r"^(.*)/[^/]*$", 1)
     hidden = folder.rlike(r"(?:^|/)(?:\.[^/]*|node_modules)(?:/|$)")
-    script = F.col("path").rlike(r"(?i)\.(?:js|jsx|ts|tsx|mjs)$")
-    marked = (
-        files.withColumn("_root", F.concat(F.substring_index("path", root, 1), F.lit(root)))
-        .withColumn("rel", F.regexp_replace(relative, "^/+", ""))
-        .where(~(script & hidden))
-    )
-    return marked.select(F.col("rel").alias("file_path"), decode(F.col("content")).alias("content"))
+    script = F.col("rel").rlike(r"(?i)\.(?:js|jsx|ts|tsx|mjs)$")
+    return rows.where(~(script & hidden)).select(F.col("rel").alias("file_path"), decode(F.col("content")).alias("content"))
+
+
+def _glob(extension: str) -> str:
+    """Script extensions count in any case, others as written."""
+    if extension not in SCRIPT_EXTENSIONS:
+        return f"*{extension}"
+    return "*" + "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in extension)
+
+
+def _is_passed_over(name: str) -> bool:
+    """Spark's rule for names it does not list."""
+    kept = name.startswith(("_metadata", "_common_metadata"))
+    return not kept and (name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name))
+
+
+def _passed_over(spark: SparkSession, root: str, patterns: Sequence[str]) -> DataFrame:
+    system, base = fs.FileSystem.from_uri(root)
+    found = []
+    for info in system.get_file_info(fs.FileSelector(base, recursive=True)):
+        rel = info.path[len(base.rstrip("/")) + 1 :]
+        wanted = info.is_file and any(fnmatchcase(info.base_name, p) for p in patterns)
+        if wanted and any(map(_is_passed_over, rel.split("/"))):
+            found.append((rel,))
+    names = spark.createDataFrame(found, "rel string")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, folder = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for rel in batch.column(0).to_pylist():
+                with source.open_input_stream(f"{folder.rstrip('/')}/{rel}") as stream:
+                    yield pa.RecordBatch.from_pydict({"rel": [rel], "content": [stream.read()]})
+
+    return names.mapInArrow(read, "rel string, content binary")
 
 
 def spread(files: DataFrame) -> DataFrame:
