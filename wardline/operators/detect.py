@@ -7,6 +7,7 @@ on the scan partitions; only findings, never contents, are shuffled later.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,16 +50,26 @@ def _may_match(rule: Rule, content: Column, lowered: Column) -> Column:
     return out | any_contains(content, FOLDED) if rule.ignores_case else out
 
 
-def _matching_rules(files: DataFrame, rules: Sequence[Rule], more: Callable[[Rule], dict[str, Column]]) -> DataFrame:
+def _matching_rules(
+    files: DataFrame,
+    rules: Sequence[Rule],
+    more: Callable[[Rule], dict[str, Column]],
+    gate: Callable[[Rule], Column] | None = None,
+) -> DataFrame:
     """One row per file and rule that occurs in it, with ``more`` columns per rule.
 
+    ``gate`` says which files a rule looks at at all.
+
     All tests sit in one generator, which reads a content once; a filter on the
     hits would be pushed below it and run every pattern a second time.
     """
     content, lowered = F.col("content"), F.col("_lowered")
-    hits = [
-        F.when(_may_match(r, content, lowered) & content.rlike(r.pattern), _rule_struct(r, **more(r))) for r in rules
-    ]
+
+    def test(rule: Rule) -> Column:
+        found = _may_match(rule, content, lowered) & content.rlike(rule.pattern)
+        return gate(rule) & found if gate else found
+
+    hits = [F.when(test(r), _rule_struct(r, **more(r))) for r in rules]
     return (
         files.withColumn("_lowered", F.lower("content"))
         .select(*files.columns, F.inline(F.array(*hits)))
@@ -66,13 +77,15 @@ def _matching_rules(files: DataFrame, rules: Sequence[Rule], more: Callable[[Rul
     )
 
 
-def _first_match(files: DataFrame, rules: Sequence[Rule], strict: bool) -> DataFrame:
+def _first_match(
+    files: DataFrame, rules: Sequence[Rule], strict: bool, gate: Callable[[Rule], Column] | None = None
+) -> DataFrame:
     """The line of the first match, less the credential matches that are none.
 
     Splitting at the first match yields the text before and after it, hence the
     match itself.
     """
-    found = _matching_rules(files, rules, lambda r: {"_parts": F.split("content", r.pattern, 2)})
+    found = _matching_rules(files, rules, lambda r: {"_parts": F.split("content", r.pattern, 2)}, gate)
     prefix, rest = F.col("_parts")[0], F.col("_parts")[1]
     match = F.substring(
         F.col("content"), F.length(prefix) + 1, F.length("content") - F.length(prefix) - F.length(rest)
@@ -82,11 +95,16 @@ def _first_match(files: DataFrame, rules: Sequence[Rule], strict: bool) -> DataF
 
 
 def regex_scan(
-    files: DataFrame, rules: Sequence[Rule] = REGEX_RULES, strict: bool = False, analyzer: str = "regex"
+    files: DataFrame,
+    rules: Sequence[Rule] = REGEX_RULES,
+    strict: bool = False,
+    analyzer: str = "regex",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """First hit of every rule in every file."""
     return _first_match(files, rules, strict).select(
         *KEYS,
+        *keep,
         "vulnerability_type",
         "severity",
         "cwe_id",
@@ -232,23 +250,66 @@ PYTHON = ("python", "py")
 SCRIPT = ("javascript", "js", "typescript", "ts")
 
 
+def _is_other_language() -> Column:
+    return ~F.coalesce(F.lower("language").isin(*PYTHON, *SCRIPT), F.lit(False))
+
+
+def _parsed_languages(files: DataFrame) -> DataFrame:
+    """Python and script files; Python that does not parse falls back to the regex rules."""
+    language = F.lower("language")
+    # Two branches read the facts: materialize them, so that every file is parsed once.
+    facts = cut_lineage(pyfacts.python_facts(files.where(language.isin(*PYTHON))))
+    return sets.union_findings(
+        [
+            pyfacts.python_findings(facts),
+            regex_scan(pyfacts.unparsed_files(facts)),
+            script_scan(files.where(language.isin(*SCRIPT))),
+        ]
+    )
+
+
 def route_by_language(files: DataFrame, flows: DataFrame | None = None) -> DataFrame:
     """First stage: each file goes to the detector of its language.
 
-    Python files that do not parse fall back to the regex rules, as do files of
-    other languages. ``flows`` are data-flow findings computed from edge tables.
+    Files of other languages get the regex rules. ``flows`` are data-flow
+    findings computed from edge tables.
     """
-    language = F.lower("language")
-    python = files.where(language.isin(*PYTHON))
-    scripts = files.where(language.isin(*SCRIPT))
-    others = files.where(~F.coalesce(language.isin(*PYTHON, *SCRIPT), F.lit(False)))
-    # Two branches read the facts: materialize them, so that every file is parsed once.
-    facts = cut_lineage(pyfacts.python_facts(python))
-    unparsed = pyfacts.unparsed_files(facts)
-    parts = [pyfacts.python_findings(facts), script_scan(scripts), regex_scan(unparsed), regex_scan(others)]
-    if flows is not None:
-        parts.append(flows)
-    return sets.union_findings(parts)
+    parts = [_parsed_languages(files), regex_scan(files.where(_is_other_language()))]
+    return sets.union_findings(parts if flows is None else [*parts, flows])
+
+
+def _pattern_stages(files: DataFrame, second: str) -> DataFrame:
+    """Regex rules on other languages (stage 1) and the second detector on all files (stage 2).
+
+    Both run in one pass, so that a content is not read once per stage.
+    """
+    other = _is_other_language()
+    if second == "regex":
+        # The two stages agree on files of other languages; those rows count for the first.
+        found = regex_scan(files, keep=["language"])
+        return found.withColumn("stage", F.when(other, 1).otherwise(2)).drop("language")
+    mark = "first:"
+    first = [replace(r, rule=mark + r.rule) for r in REGEX_RULES]
+    found = _first_match(
+        files, [*first, *KNOWLEDGE_RULES], False, lambda r: other if r.rule.startswith(mark) else F.lit(True)
+    )
+    is_first = F.col("rule").startswith(mark)
+    return found.select(
+        *KEYS,
+        "vulnerability_type",
+        "severity",
+        "cwe_id",
+        "line_start",
+        F.when(is_first, F.col("line_start") + 1).otherwise(F.col("line_start")).alias("line_end"),
+        text.snippet_uneven(F.col("content"), F.col("line_start")).alias("code_snippet"),
+        "title",
+        F.when(is_first, F.col("description")).otherwise(_knowledge(knowledge.EXPLANATIONS)).alias("description"),
+        F.when(is_first, F.col("remediation")).otherwise(_knowledge(knowledge.FIXES)).alias("remediation"),
+        "confidence",
+        F.when(is_first, "regex").otherwise("ai").alias("analyzer_type"),
+        F.regexp_replace("rule", f"^{mark}", "").alias("rule"),
+        F.when(is_first, 1).otherwise(2).alias("stage"),
+    )
 
 
 def scan_corpus(files: DataFrame, flows: DataFrame | None = None, second: str = "knowledge") -> DataFrame:
@@ -257,9 +318,10 @@ def scan_corpus(files: DataFrame, flows: DataFrame | None = None, second: str =
     The second stage runs over every file with the chosen detector, ``knowledge``
     or ``regex``.
     """
-    first = route_by_language(files, flows).withColumn("stage", F.lit(1))
-    again = knowledge_scan(files) if second == "knowledge" else regex_scan(files)
-    rows = sets.union_findings([first, again.withColumn("stage", F.lit(2))])
+    parts = [_parsed_languages(files).withColumn("stage", F.lit(1)), _pattern_stages(files, second)]
+    if flows is not None:
+        parts.append(flows.withColumn("stage", F.lit(1)))
+    rows = sets.union_findings(parts)
     if "data_flow" not in rows.columns:
         rows = rows.withColumn("data_flow", F.lit(None).cast("string"))
     # The order of a duplicate pair: stage, then detector and rule name.

@@ -70,7 +70,7 @@ def _(t: Tables):
 
 @query(
     "f05_match_line",
-    "select doc_id, length(p) - length(replace(p, chr(10), '')) + 1 as line, cast(length(text) - length(replace(text, chr(10), '')) + 1 as integer) as line_count"
+    "select doc_id, cast(length(p) - length(replace(p, chr(10), '')) + 1 as integer) as line, cast(length(text) - length(replace(text, chr(10), '')) + 1 as integer) as line_count"
     " from (select doc_id, text, substr(text, 1, position(' the ' in text) - 1) as p from documents where contains(text, ' the '))",
 )
 def _(t: Tables):
@@ -327,7 +327,7 @@ def _(t: Tables):
 @query(
     "f22_taint_confidence",
     "select l_orderkey, l_linenumber, l_partkey, round(case when l_suppkey % 9 = 0 then 0 else greatest(0.1, least(1.0, 0.90 - case when l_suppkey % 3 = 0 then 0.15 else 0 end"
-    " - case when l_linenumber > 5 then 0.10 when l_linenumber > 3 then 0.05 else 0 end - case when l_partkey % 4 = 0 then 0.30 else 0 end)) end, 6) as confidence from lineitem",
+    " - case when l_linenumber > 5 then 0.10 when l_linenumber > 3 then 0.05 else 0 end - case when l_partkey % 4 = 0 then 0.30 else 0 end)) end, 6)::double as confidence from lineitem",
 )
 def _(t: Tables):
     category = F.when(F.col("l_partkey") % 4 == 0, "environment").otherwise("http_request")
@@ -339,7 +339,7 @@ def _(t: Tables):
 
 @query(
     "f23_confidence_scales",
-    "select event_id, coalesce(floor(c * 100 + 0.5) / 100.0, 0.7) as rounded, case event_type when 'error' then 0.95 when 'click' then 0.85 else 0.7 end as by_severity"
+    "select event_id, coalesce(floor(c * 100 + 0.5) / 100.0, 0.7) as rounded, case event_type when 'error' then 0.95 when 'click' then 0.85 else 0.7 end::double as by_severity"
     " from (select event_id, event_type, case when event_id % 5 = 0 then null else value / 7 end as c from events)",
 )
 def _(t: Tables):
