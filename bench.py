@@ -39,6 +39,7 @@ HEADLINE = [
     "d06_taint_findings",
     "d07_normalize_raw_findings",
     "d11_scan_corpus",
+    "d11_scan_job",
     "m01_enrollment_upsert",
     "s07_append_findings",
     "t01_request_rate",

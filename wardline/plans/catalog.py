@@ -4,6 +4,7 @@ from . import (  # noqa: F401
     aggregates,
     detection,
     filters,
+    jobs,
     joins,
     maintenance,
     scalars,

@@ -396,8 +396,9 @@ def _(t: Tables):
     return detect.fix_quality(validated).withColumn("valid_share", F.round("valid_share", 9))
 
 
+KNOWLEDGE_SQL = _rule_sql(KNOWLEDGE_RULES, "v_programs", wide=True)
 CORPUS_SQL = (
-    f"with first as ({_expected(ROUTED_EXPECTED)}), again as ({_rule_sql(KNOWLEDGE_RULES, 'v_programs', wide=True)}),"
+    f"with first as ({_expected(ROUTED_EXPECTED)}), again as ({KNOWLEDGE_SQL}),"
     " rows as (select file_id, cwe_id, line_start, confidence from first union all select file_id, cwe_id, line_start, 0.85::double from again)"
     " select file_id, cwe_id, line_start, max(confidence) as confidence from rows group by 1, 2, 3"
 )
