@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from wardline.operators import taint
+from wardline.operators import pyfacts, pyflows, taint
 from wardline.operators.taint_tables import SANITIZERS
 
 LABELS = (
@@ -68,3 +68,25 @@ def test_sanitizers_on_the_way(spark, sanitizer, confidence):
 def test_strong_sanitizer_stops(spark):
     edges, labels = chain(spark, 2, "escapeHtml")
     assert [r.node for r in taint.taint_reach(edges, labels).collect()] == ["a0"]
+
+
+FLOW_CASES = [
+    ("a = request.query.x\nb = 'x' + a.strip()\ndb.query(b)", [("SQL Injection via request.query", 3)]),
+    ("a = escape(request.query.x)\nres.send(a)", []),
+    ("a = request.query.x\nres.send('x' + escape(a))", []),
+    ("a = path.resolve(request.params.p)\nfs.readFile(a)", [("Path Traversal via request.params", 2)]),
+    ("eval(request.body.code)", [("Code Injection via request.body", 1)]),
+    ("a = request.body\nexecFile('ls', a)\nexecFile(a, 'x')", [("Command Injection via request.body", 2)]),
+    ("a = config.value\neval(a)", []),
+    ("x = 1\n" + "y = " + " + ".join(["'s'"] * 1500), []),
+]
+
+
+def test_flows_of_python_files(spark):
+    rows = [(str(i), f"f{i}", code) for i, (code, _) in enumerate(FLOW_CASES)]
+    facts = pyfacts.python_facts(spark.createDataFrame(rows, "file_id string, file_path string, content string")).cache()
+    got = {}
+    for r in pyflows.python_flows(facts).collect():
+        got.setdefault(int(r.file_id), []).append((r.title, r.line_start))
+    assert {k: sorted(v) for k, v in got.items()} == {i: want for i, (_, want) in enumerate(FLOW_CASES) if want}
+    assert facts.where("kind = 'error'").count() == 0

@@ -17,7 +17,7 @@ def literal_table(spark: SparkSession, rows: Iterable[Mapping], ddl: str) -> Dat
     """
     spec = f"array<struct<{', '.join(_nested(p) for p in _split(ddl))}>>"
     parsed = F.from_json(F.lit(json.dumps(list(rows))), spec)
-    return spark.range(1).select(F.inline(parsed))
+    return spark.range(0, 1, 1, 1).select(F.inline(parsed))
 
 
 def _split(ddl: str) -> list[str]:

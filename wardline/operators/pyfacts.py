@@ -20,10 +20,18 @@ FACTS = (
     "file_id string, file_path string, kind string, seq int, line int, snippet string, "
     "func string, owner string, is_name boolean, dynamic_args int, concat_args int, "
     "kw_shell boolean, kw_loader string, targets array<string>, literal string, "
-    "fragments string, has_dynamic boolean, error string, content string"
+    "fragments string, has_dynamic boolean, error string, content string, "
+    "uses array<struct<pos:int,name:string,callee:string,is_read:boolean>>, n_args int, "
+    "arg0_kind string, arg0_text string, arg1_kind string"
 )
 _ARROW = {
-    "string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()),
+    "string": pa.string(),
+    "int": pa.int32(),
+    "boolean": pa.bool_(),
+    "array<string>": pa.list_(pa.string()),
+    "array<struct<pos:int,name:string,callee:string,is_read:boolean>>": pa.list_(
+        pa.struct([("pos", pa.int32()), ("name", pa.string()), ("callee", pa.string()), ("is_read", pa.bool_())])
+    ),
 }
 ARROW_FACTS = pa.schema([(name, _ARROW[kind]) for name, kind in (f.split() for f in FACTS.split(", "))])
 
@@ -83,14 +91,64 @@ def _text_parts(node: ast.expr) -> tuple[list[str], bool]:
     return parts, dynamic
 
 
+def _dotted(node: ast.expr) -> str | None:
+    """``a.b.c`` for a chain of attributes on a name."""
+    parts = []
+    while isinstance(node, ast.Attribute):
+        parts.append(node.attr)
+        node = node.value
+    return ".".join([node.id, *reversed(parts)]) if isinstance(node, ast.Name) else None
+
+
+def _uses(expression: ast.AST, pos: int) -> Iterator[dict]:
+    """Names and attribute chains read in an expression, with the innermost call around them."""
+    stack: list[tuple[ast.AST, str | None]] = [(expression, None)]
+    while stack:
+        node, callee = stack.pop()
+        chain = _dotted(node) if isinstance(node, (ast.Name, ast.Attribute)) else None
+        if chain:
+            name, *members = chain.split(".")
+            yield {"pos": pos, "name": name, "callee": callee, "is_read": False}
+            if members:
+                yield {"pos": pos, "name": chain, "callee": callee, "is_read": True}
+        elif isinstance(node, ast.Call):
+            inner = _dotted(node.func) or callee
+            if isinstance(node.func, ast.Attribute):
+                stack.append((node.func.value, callee))
+            stack += [(child, inner) for child in (*node.args, *node.keywords)]
+        else:
+            stack += [(child, callee) for child in ast.iter_child_nodes(node)]
+
+
+def _arg_kind(node: ast.expr) -> tuple[str, str | None]:
+    """What an argument is, and the text that is known of it."""
+    if isinstance(node, ast.Constant):
+        kinds = {str: "literal", bool: "boolean", int: "number", float: "number"}
+        kind = kinds.get(type(node.value), "other")
+        return kind, node.value if kind == "literal" else None
+    if isinstance(node, ast.JoinedStr):
+        return ("template" if _text_parts(node)[1] else "static_template"), " ".join(_text_parts(node)[0])
+    if isinstance(node, ast.BinOp) and isinstance(node.op, ast.Add):
+        return "concat", " ".join(_text_parts(node)[0])
+    if isinstance(node, ast.Name):
+        return "identifier", node.id
+    return ("object" if isinstance(node, ast.Dict) else "other"), None
+
+
 def _call_fact(node: ast.Call) -> dict:
     func = node.func
     attribute = isinstance(func, ast.Attribute)
     keywords = {k.arg: k.value for k in node.keywords}
     shell, loader = keywords.get("shell"), keywords.get("Loader")
     concats = [a for a in node.args if isinstance(a, ast.BinOp) and isinstance(a.op, ast.Add)]
+    kinds = [_arg_kind(a) for a in node.args[:2]] + [(None, None)] * 2
     return {
         "kind": "call",
+        "uses": [use for pos, arg in enumerate(node.args) for use in _uses(arg, pos)],
+        "n_args": len(node.args),
+        "arg0_kind": kinds[0][0],
+        "arg0_text": kinds[0][1],
+        "arg1_kind": kinds[1][0],
         "func": func.attr if attribute else getattr(func, "id", None),
         "owner": getattr(func.value, "id", None) if attribute else None,
         "is_name": isinstance(func, ast.Name),
@@ -102,12 +160,13 @@ def _call_fact(node: ast.Call) -> dict:
 
 
 def _assign_fact(node: ast.Assign) -> dict:
-    parts, dynamic = _text_parts(node.value)
     value = node.value
+    parts, dynamic = _text_parts(value)
     constant = isinstance(value, ast.Constant) and isinstance(value.value, str)
     return {
         "kind": "assign",
         "targets": [t.id for t in node.targets if isinstance(t, ast.Name)],
+        "uses": list(_uses(value, 0)),
         "literal": value.value if constant else None,
         "fragments": " ".join(parts),
         "has_dynamic": dynamic,

@@ -71,7 +71,7 @@ def source_labels(matched: DataFrame) -> DataFrame:
             "source_type",
             F.col("line").alias("source_line"),
             "category",
-            F.array("expr", "node").alias("path"),
+            F.array_distinct(F.array("expr", "node")).alias("path"),
             empty.alias("sanitizers"),
         )
     )

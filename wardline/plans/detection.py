@@ -5,7 +5,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import detect, pyfacts, repair, taint
+from ..operators import detect, pyfacts, pyflows, repair, taint
 from ..operators.rules import BENCHMARK_RULES, KNOWLEDGE_RULES, REGEX_RULES
 from ..operators.taint_tables import SANITIZERS, SINKS, SQL_METHODS
 from ..session import cut_lineage
@@ -130,6 +130,9 @@ PYTHON_EXPECTED = [
     (4, "pickle", "CWE-502", "high", 0.85, 1),
     (4, "yaml", "CWE-502", "medium", 0.80, 2),
     (4, "path", "CWE-22", "high", 0.75, 3),
+    (12, "sql_assign", "CWE-89", "high", 0.80, 2),
+    (13, "eval", "CWE-94", "critical", 0.95, 3),
+    (13, "eval", "CWE-94", "critical", 0.95, 4),
 ]
 SCRIPT_EXPECTED = [
     (6, "eval", "CWE-94", "critical", 0.95, 2),
@@ -329,6 +332,19 @@ def _(t: Tables):
     )
 
 
+@query(
+    "d06_python_flows",
+    "select file_id, file_path, case program when 12 then 'SQL Injection via request.query' else 'Code Injection via request.params' end as title,"
+    " case program when 12 then 3 else 4 end as line_start, case program when 12 then 'request.query.name name q' else 'request.params.x' end as path,"
+    " 0.9::double as confidence from v_programs where program in (12, 13)",
+)
+def _(t: Tables):
+    facts = cut_lineage(pyfacts.python_facts(spread(t.v_programs).where("language = 'python'")))
+    return pyflows.python_flows(facts).select(
+        "file_id", "file_path", "title", "line_start", F.array_join("path", " ").alias("path"), "confidence"
+    )
+
+
 RAW_SQL = """
 select response_id, 'direct' as outcome, p_type as vulnerability_type, 'critical' as severity, cast(p_size as integer) as line_number, '' as explanation, '' as remediation, 0.5::double as confidence from x where shape = 0
 union all select response_id, 'repaired', p_type, 'low', p_size, '', 'use x', 0.7 from x where shape = 1

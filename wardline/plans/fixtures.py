@@ -276,6 +276,10 @@ PROGRAMS = [
     ("java", _program("class A { void f(Request request) {", "  Runtime.exec(request.get({k}));", "} }")),
     # 11 other language: credential after prose with AND
     ("go", _program("// salt and pepper {k}", "secret := {d}abcdefgh{d}", "secret = {d}abcdefgh{d}")),
+    # 12 python: input reaches a query through a variable
+    ("python", _program("name = request.query.name", "q = {d}SELECT * FROM t WHERE a = {d} + name", "db.query(q)  # {k}")),
+    # 13 python: one input is escaped, another one is evaluated directly
+    ("python", _program("a = request.body", "b = escape(a)", "eval(b)", "eval(request.params.x)  # {k}")),
 ]
 
 

@@ -40,7 +40,7 @@ GAUGE_RULES = [
 GAUGE_DDL = "rule string, gauge string, op string, bound double, hold int, level string"
 
 
-def read_stream(spark: SparkSession, path: str, schema: object, bytes_per_trigger: int = 1 << 30) -> DataFrame:
+def read_stream(spark: SparkSession, path: str, schema: object, bytes_per_trigger: int = 1 << 28) -> DataFrame:
     """A table folder as a stream; the trigger size bounds what one batch holds."""
     return spark.readStream.schema(schema).option("maxBytesPerTrigger", str(bytes_per_trigger)).parquet(path)
 
