@@ -13,7 +13,9 @@ import time
 
 from pyspark.sql import functions as F
 
+from wardline.functions import text
 from wardline.plans.catalog import QUERIES
+from wardline.plans.fixtures import view
 from wardline.session import build_session
 
 HEADLINE = [
@@ -73,6 +75,10 @@ def main() -> None:
     if "d01_regex_scan_documents" in times:
         size = spark.read.parquet(f"{sf_dir}/documents.parquet").agg(F.sum(F.length("text"))).first()[0]
         out["d01_chars_per_sec"] = round(size / times["d01_regex_scan_documents"])
+    if "d11_scan_job" in times:
+        programs = view(spark, sf_dir, "v_programs").select(text.line_count(F.col("content")).alias("n"))
+        lines = programs.agg(F.sum("n")).first()[0]
+        out["scan_job_lines_per_sec"] = round(lines / times["d11_scan_job"])
     print(json.dumps(out), flush=True)
     spark.stop()
 

@@ -132,6 +132,27 @@ def test_archive_members_and_audit(spark):
     assert (row.entries, row.unsafe_names, row.deep_names, row.bomb_members, row.is_valid) == (5, 1, 1, 1, False)
 
 
+def test_archives_from_files(spark, tmp_path):
+    for name, member in (("one.zip", "a.py"), ("deep/two.zip", "b.go")):
+        path = tmp_path / name
+        path.parent.mkdir(exist_ok=True)
+        with zipfile.ZipFile(path, "w") as box:
+            box.writestr(member, "x = 1\n")
+    files = corpus.expand_archives(corpus.load_archives(spark, str(tmp_path)))
+    rows = {r.file_path: (r.language, r.line_count) for r in corpus.derive_code_files(files).collect()}
+    assert rows == {"a.py": ("py", 2), "b.go": ("go", 2)}
+
+
+def test_usage_totals(spark):
+    rows = [("a", "2024-01-01", 10, 5, 0.5), ("a", "2024-01-02", 20, 7, 0.25), ("b", "2024-01-02", 1, 1, 0.0)]
+    calls = spark.createDataFrame(rows, "provider string, day string, input_tokens long, output_tokens long, cost double").withColumn(
+        "ts", F.col("day").cast("timestamp")
+    )
+    by_provider = {r.provider: (r.total_calls, r.total_input_tokens, r.total_cost) for r in aggregates.usage_by_provider(calls).collect()}
+    assert by_provider == {"a": (2, 30, 0.75), "b": (1, 1, 0.0)}
+    assert {str(r.day): r.calls for r in aggregates.usage_by_day(calls).collect()} == {"2024-01-01": 1, "2024-01-02": 2}
+
+
 def test_corpus_filters_folders_and_decodes(spark, tmp_path):
     for name in ("a.py", "node_modules/b.js", ".git/c.ts", "src/d.tsx", "e.txt", ".hidden/f.py", "pkg/__init__.py", "_g.js", "H.JS"):
         path = tmp_path / name

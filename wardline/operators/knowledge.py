@@ -7,13 +7,6 @@ NAMES = {
     "CWE-94": "Code Injection",
     "CWE-78": "OS Command Injection",
 }
-CATEGORIES = {
-    "CWE-89": "Injection",
-    "CWE-798": "Authentication",
-    "CWE-79": "Injection",
-    "CWE-94": "Injection",
-    "CWE-78": "Injection",
-}
 EXPLANATIONS = {
     "CWE-89": "SQL Injection occurs when untrusted user input is concatenated directly into a SQL query string. An attacker can manipulate the input to modify the intended SQL command, potentially reading, modifying, or deleting data from the database.",
     "CWE-798": "Hardcoded secrets (API keys, passwords, tokens) embedded in source code are accessible to anyone with access to the code repository. This includes developers, CI/CD systems, and potentially attackers if the repository is public or compromised.",

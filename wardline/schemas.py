@@ -80,11 +80,3 @@ TABLES = {
     "system_events": SYSTEM_EVENTS,
     "benchmark_results": BENCHMARK_RESULTS,
 }
-
-# What every detector emits; persisting turns these rows into FINDINGS rows.
-DETECTED = (
-    "file_id string, file_path string, vulnerability_type string, severity string, "
-    "cwe_id string, line_start int, line_end int, code_snippet string, title string, "
-    "description string, remediation string, confidence double, analyzer_type string, "
-    "rule string, data_flow string"
-)
