@@ -6,13 +6,15 @@ whose difference bounds the overlap from above, then the exact intersection of t
 sorted arrays.
 
 1. Stars: classes that share one of the six smallest shingle hashes are tested with
-   one of them. This finds nearly all links, and classes that link form families.
+   one of them, drawn for each hash. Classes that link form families.
 2. Tiles: two sets can only link if their prefixes share a shingle, for any one order
    of all shingles (here: rare ones first, by a sketch of counts over all texts).
    Prefix shingles that only one family has are dropped; aggregation before the shuffle
    makes a large family as cheap as a small one. The others' classes meet in tiles of
    shingle and size band, where all pairs of different families are tested by their
-   bits. A tile of more than ``BLOCK`` classes is dealt out in blocks.
+   bits. A tile of more than ``BLOCK`` classes is dealt out in blocks. In two passes
+   each class brings its most promising partner, so that families grow together;
+   the last pass brings every pair that is left.
 
 No link between different families is lost, and links inside a family don't change
 the components. A shingle is a 64-bit hash, a class 64 bits of a digest.
@@ -89,9 +91,13 @@ def folded(bits: np.ndarray, width: int) -> np.ndarray:
     return bits
 
 
-def may_link(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Whether the bits of signature rows allow enough overlap; ``sizes``: sum of both set sizes."""
-    differ = np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)).sum(axis=-1, dtype=np.int64)
+def difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Number of bits that differ, row by row: at most the size of the symmetric difference."""
+    return np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)).sum(axis=-1, dtype=np.int64)
+
+
+def may_link(differ: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether so many differing bits allow enough overlap; ``sizes``: sum of both set sizes."""
     return (sizes - differ) * (100 + PERCENT) >= 2 * PERCENT * sizes
 
 
@@ -144,19 +150,20 @@ def describe(documents: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
 
 def star_pairs(classes: DataFrame) -> DataFrame:
-    """(a, b): each class with one class of each of its smallest hashes, always the same one where possible."""
+    """(a, b): each class with one other, drawn anew for each hash, that shares one of its smallest hashes."""
     tokens = classes.select("node", F.explode("stars").alias("token"))
-    rank = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("node"))
-    pivots = tokens.groupBy("token").agg(F.min(rank)["node"].alias("pivot"), F.count("*").alias("m")).filter("m > 1").drop("m")
-    pairs = tokens.join(pivots, "token").filter("node <> pivot")
+    rank = F.struct(F.xxhash64("node", "token").alias("h"), F.col("node").alias("pivot"))
+    centres = tokens.groupBy("token").agg(F.min(rank)["pivot"].alias("pivot"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    pairs = tokens.join(centres, "token").filter("node <> pivot")
     return pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
 
 def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sizes and signature bits allow a link."""
-    left = classes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
-    right = classes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
-    rows = pairs.join(left, "a").join(right, "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)
+    of = lambda column, end, name: classes.select(F.col("node").alias(end), F.col(column).alias(name + end))
+    rows = pairs.join(of("n", "a", "n"), "a").join(of("n", "b", "n"), "b")
+    rows = rows.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)
+    rows = rows.join(of("bits", "a", "x"), "a").join(of("bits", "b", "x"), "b")
 
     def run(batches):
         for batch in batches:
@@ -164,7 +171,7 @@ def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             for na, xa, nb, xb in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
                 width = min(len(xa), len(xb))
                 x, y = (folded(np.frombuffer(z, np.uint8), width) for z in (xa, xb))
-                keep.append(bool(may_link(x, y, np.int64(na + nb))))
+                keep.append(bool(may_link(difference(x, y), np.int64(na + nb))))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return rows.select("a", "b", "na", "xa", "nb", "xb").mapInArrow(run, "a long, b long")
@@ -256,8 +263,11 @@ def open_tokens(prefix: DataFrame, bins: int) -> DataFrame:
     return rows.groupBy("bin").applyInArrow(find, "token long")
 
 
-def tile_pairs(prefix: DataFrame, classes: DataFrame, bins: int) -> DataFrame:
-    """(a, b): classes of different families in one tile whose sizes and bits allow a link."""
+def tile_pairs(prefix: DataFrame, classes: DataFrame, bins: int, best: bool) -> DataFrame:
+    """(a, b): classes of different families in one tile whose sizes and bits allow a link.
+
+    With ``best`` only the most promising partner of each class in each bin.
+    """
     spark = prefix.sparkSession
     opened = cut_lineage(open_tokens(prefix, bins), "open")
     known = shared(spark, Bitmap.of(opened, "token"))
@@ -292,18 +302,21 @@ def tile_pairs(prefix: DataFrame, classes: DataFrame, bins: int) -> DataFrame:
     )
 
     def meet(table):
-        out = [np.zeros((0, 2), np.int64)]
         tile = table["tile"].to_numpy()
-        for t in np.unique(tile):
-            out.append(_tile(table.filter(pa.array(tile == t))))
-        pairs = np.unique(np.concatenate(out), axis=0)
+        found = [_tile(table.filter(pa.array(tile == t))) for t in np.unique(tile)]
+        pairs, differ = (np.concatenate(x) for x in zip(*found))
+        if best:
+            either = np.concatenate([pairs[:, 0], pairs[:, 1]])
+            order = np.lexsort((np.concatenate([differ, differ]), either))
+            pairs = pairs[order[np.unique(either[order], return_index=True)[1]] % max(1, len(pairs))]
+        pairs = np.unique(pairs, axis=0)
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
     return rows.groupBy("bin").applyInArrow(meet, "a long, b long").distinct()
 
 
-def _tile(table: pa.Table) -> np.ndarray:
-    """Pairs of all tiles of one size band: place by place, each row with the next, the one after that, and so on.
+def _tile(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of all tiles of one size band, and the share of bits that differ: place by place, each row with the next, the one after that, and so on.
 
     ``side`` tells the two blocks of a tile apart (0 if there is only one); rows of
     one block meet in a tile of their own. Two rows of the band below meet there.
@@ -315,7 +328,7 @@ def _tile(table: pa.Table) -> np.ndarray:
     bits = table["bits"].to_pylist()
     width = min(map(len, bits))
     bits = np.stack([folded(np.frombuffer(bits[i], np.uint8), width) for i in order])
-    out = [np.zeros((0, 2), np.int64)]
+    out, differ = [np.zeros((0, 2), np.int64)], [np.zeros(0)]
     for lag in range(1, len(place)):
         i = np.flatnonzero(place[lag:] == place[:-lag])
         if not len(i):
@@ -326,16 +339,20 @@ def _tile(table: pa.Table) -> np.ndarray:
         i, j = i[keep], j[keep]
         for at in range(0, len(i), 1 << 16):
             x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-            ok = may_link(bits[x], bits[y], n[x] + n[y])
+            d = difference(bits[x], bits[y])
+            ok = may_link(d, n[x] + n[y])
+            differ.append(d[ok] / (n[x] + n[y])[ok])
             x, y = node[x[ok]], node[y[ok]]
             out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
-    return np.unique(np.concatenate(out), axis=0)
+    return np.concatenate(out), np.concatenate(differ)
 
 
-def with_roots(rows: DataFrame, links: DataFrame, column: str) -> DataFrame:
-    """``rows`` with ``column`` replaced by the root of its component, if it has one."""
-    roots = components(links).select(F.col("node").alias(column), "root")
-    return rows.join(roots, column, "left").withColumn(column, F.coalesce("root", column)).drop("root")
+def merged(families: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, family) after joining the families that the links (a, b) of classes connect."""
+    family = lambda end: families.select(F.col("node").alias(end), F.col("family").alias(f"f{end}"))
+    ends = links.join(family("a"), "a").join(family("b"), "b").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
+    roots = components(ends).withColumnRenamed("node", "family")
+    return cut_lineage(families.join(roots, "family", "left").select("node", F.coalesce("root", "family").alias("family")), "families")
 
 
 def similarity_components(documents: DataFrame) -> DataFrame:
@@ -345,13 +362,12 @@ def similarity_components(documents: DataFrame) -> DataFrame:
         rows.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("stars").alias("stars"), F.first("bits").alias("bits")), "classes"
     )
     bins = bins_of(documents.sparkSession)
-    near = linked(bounded(star_pairs(classes), classes), documents)
-    families = cut_lineage(with_roots(classes.select("node", F.col("node").alias("family")), near, "family"), "families")
-    prefix = cut_lineage(prefixes(documents, levels).join(families, "node"), "prefix")
-    more = linked(tile_pairs(prefix, classes, bins), documents)
-    family = lambda end: families.select(F.col("node").alias(end), F.col("family").alias(f"f{end}"))
-    more = more.join(family("a"), "a").join(family("b"), "b").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
-    families = cut_lineage(with_roots(families, more, "family"), "families")
+    families = classes.select("node", F.col("node").alias("family"))
+    families = merged(families, linked(bounded(star_pairs(classes), classes), documents))
+    found = cut_lineage(prefixes(documents, levels), "prefix")
+    for best in (True, True, False):
+        pairs = tile_pairs(found.join(families, "node"), classes, bins, best)
+        families = merged(families, linked(pairs, documents))
     rows = rows.join(families, "node", "left")
     names = rows.filter("family is not null").groupBy("family").agg(F.min("doc_id").alias("component_id"))
     rows = rows.join(names, "family", "left")

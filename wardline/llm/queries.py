@@ -1,4 +1,4 @@
 """Every query of this subpackage."""
 
-from . import queries_pairs, queries_text  # noqa: F401
+from . import queries_pairs, queries_records, queries_text  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

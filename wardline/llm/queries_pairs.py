@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard
+from . import ann, jaccard, quality, substring
 from .registry import query
 
 JACCARD_SQL = r"""
@@ -22,3 +23,46 @@ from d left join n using (doc_id) join (select x, min(y) as c from reach group b
 @query("op7_jaccard_join", JACCARD_SQL)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similarity_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+SUBSTRING_SQL = r"""
+with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+ win as (select doc_id, s, hash(list_slice(w, s, s + 34)) as h, list_slice(w, s, s + 34) as t from (select doc_id, w, unnest(range(1, len(w) - 33)) as s from d where len(w) >= 35)),
+ twice as (select t from win group by t having count(*) > 1),
+ gone as (select distinct doc_id, unnest(range(s, s + 35)) as p from win join twice using (t)),
+ words as (select doc_id, unnest(w) as x, unnest(range(1, len(w) + 1)) as p from d),
+ kept as (select words.doc_id, string_agg(x, ' ' order by words.p) filter (where gone.p is null) as k, count(gone.p) as n from words left join gone on gone.doc_id = words.doc_id and gone.p = words.p group by 1)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(k, '')) as kept_sha256
+from d left join kept using (doc_id)"""
+
+
+@query("op6_substring_dedup", SUBSTRING_SQL)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring.without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op4_nearest")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = ann.usable(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    forest = ann.fit(vectors)
+    if forest is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return ann.neighbours(vectors.filter("vec_id % 100 = 0"), vectors, forest)
+
+
+@query("op8_quality")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 toxic, 1 poor, 2 good. A document is kept that is more likely good than not and likely not toxic."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality is not null and toxic is not null")
+    grade = F.when(F.col("toxic") > 0, 0).when(F.col("quality") > 0, 2).otherwise(1)
+    learned = documents.join(labels, "doc_id").filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    model = quality.fit(learned.withColumn("grade", grade), 3)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    rows = quality.grade_texts(documents, model)
+    tail = lambda j: F.get("tails", F.lit(j))
+    return rows.select(
+        "doc_id", held_out.alias("held_out"), F.col("expected_grade"), (1 - tail(0)).alias("p_toxic"), tail(1).alias("p_good"),
+        (tail(0) < 0.5).alias("toxic"), (tail(1) >= 0.5).alias("keep"),
+    )
