@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.llm import bpe, decontam, jaccard, langid, pii
+from wardline.llm.common import small_batches
 from wardline.llm.queries_text import digest_tokens
 from wardline.session import cut_lineage
 
@@ -21,6 +22,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sets ``lang`` to the predicted language. Texts without a letter have none and go."""
+    small_batches(spark)
     model = langid.train(docs)
     found = langid.identify(docs, model).filter("lang_pred <> 'und'")
     return found.withColumn("lang", F.col("lang_pred")).select(COLUMNS)

@@ -28,7 +28,7 @@ from .common import shared, text_key
 CHUNK_CHARS = 16384
 OVERLAP_CHARS = 1024
 #: Rows per Arrow batch on the way back, so that ids of long texts don't add up.
-BATCH_IDS = 1 << 20
+BATCH_IDS = 1 << 17
 
 _built: dict[bytes, object] = {}
 
@@ -56,6 +56,12 @@ def encoder(ranks: bytes, pattern: str):
     return _built[key]
 
 
+def token_bytes(ranks: bytes) -> list[bytes]:
+    """The bytes of each id; ids without a token have none."""
+    table = {int(b): base64.b64decode(a) for a, b in map(bytes.split, ranks.splitlines())}
+    return [table.get(i, b"") for i in range(max(table) + 1)]
+
+
 def seam(text: str, body: int, pattern) -> int | None:
     """Offset behind ``body`` at which this chunk's reading and its successor's first resynchronise, or None."""
     own = {m.start() for m in pattern.finditer(text) if m.start() > body}
@@ -154,11 +160,11 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
     names = [f.name for f in keep]
 
     def run(batches):
-        enc = encoder(vocabulary(), r"[\s\S]")
+        known = token_bytes(vocabulary()).__getitem__
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                data = [enc.decode_bytes(x.as_py() or []) for x in part.column("ids")]
+                data = [b"".join(map(known, x.as_py() or [])) for x in part.column("ids")]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(data, pa.binary())], names=[*names, "data"])
 
     return tokens.mapInArrow(run, T.StructType([*keep, T.StructField("data", T.BinaryType())]))

@@ -9,6 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Workers stay alive between tasks; the system's allocator gives freed buffers back.
+pa.set_memory_pool(pa.system_memory_pool())
+
+#: Rows of text per Arrow batch.
+BATCH_ROWS = 1000
 #: Bytes of text that a task turns into arrays at once; a longer text is one slice of its own.
 SLICE_BYTES = 1 << 20
 
@@ -24,6 +29,11 @@ def text_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     )
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of this session hold few rows, as texts are long; results don't depend on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def bins_of(spark: SparkSession) -> int:
     """Number of bins for packed rows: four for each shuffle partition, so that a bin stays small."""
     return max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))

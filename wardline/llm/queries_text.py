@@ -17,14 +17,14 @@ def digest_tokens(tokens: DataFrame, path: str | None = None) -> DataFrame:
     ranks = bpe.shared(tokens.sparkSession, bpe.read_vocabulary(path or bpe.default_vocabulary()[0]))
 
     def run(batches):
-        enc = bpe.encoder(ranks(), r"[\s\S]")
+        known = bpe.token_bytes(ranks()).__getitem__
         for batch in batches:
             out = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = ids.values.to_numpy() if ids.values is not None else []
                 ids = list(ids.tolist()) if len(ids) else []
                 text = " ".join(map(str, ids)).encode()
-                out.append((doc_id, len(ids), hashlib.sha256(text).hexdigest(), hashlib.sha256(enc.decode_bytes(ids)).hexdigest()))
+                out.append((doc_id, len(ids), hashlib.sha256(text).hexdigest(), hashlib.sha256(b"".join(map(known, ids))).hexdigest()))
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
