@@ -115,17 +115,23 @@ def json_first(col: Column, names: Iterable[str]) -> Column:
 
 
 def leftover_metadata(fields: Mapping[str, Column], columns: Iterable[str]) -> Column:
-    """JSON of the set fields that have no column of their own."""
+    """JSON of the set fields that have no column of their own; every value keeps its type."""
     taken = set(columns)
-    pairs = [x for k, v in fields.items() if k not in taken for x in (F.lit(k), v.cast("string"))]
-    if not pairs:
-        return F.lit("{}")
-    return F.to_json(F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()))
+    kept = [v.alias(k) for k, v in fields.items() if k not in taken]
+    return F.to_json(F.struct(*kept)) if kept else F.lit("{}")
+
+
+def _as_variant(value: Column) -> Column:
+    return F.variant_get(F.parse_json(F.to_json(F.struct(value.alias("v")))), "$.v", "variant")
 
 
 def merge_json(col: Column, updates: Mapping[str, Column]) -> Column:
-    """JSON object with some keys replaced or added."""
-    base = F.coalesce(F.from_json(col, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    """JSON object with some keys replaced or added; all others keep their value and type.
+
+    Null counts as an empty object. A text that is not a JSON object stays as it is.
+    """
+    read = F.try_variant_get(F.try_parse_json(col), "$", "map<string,variant>")
+    base = F.when(col.isNull(), F.create_map().cast("map<string,variant>")).otherwise(read)
     kept = F.map_filter(base, lambda k, _: ~k.isin(list(updates)))
-    new = F.create_map(*[x for k, v in updates.items() for x in (F.lit(k), v.cast("string"))])
-    return F.to_json(F.map_concat(kept, new))
+    new = F.create_map(*[x for k, v in updates.items() for x in (F.lit(k), _as_variant(v))])
+    return F.coalesce(F.to_json(F.map_concat(kept, new)), col)

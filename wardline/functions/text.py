@@ -99,19 +99,23 @@ def script_language_of(path: Column) -> Column:
     )
 
 
-def in_sql_context(prefix: Column, strict: bool = False) -> Column:
+def in_sql_context(prefix: Column, strict: bool = False, chars: int | None = SQL_CONTEXT_CHARS) -> Column:
     """Does an SQL word occur in the characters before the match?
 
     The default word list holds AND and OR, so prose suppresses matches too;
-    ``strict`` leaves these two out.
+    ``strict`` leaves these two out. ``chars`` is how far back to look, None to
+    look at the whole prefix.
     """
-    return F.right(prefix, F.lit(SQL_CONTEXT_CHARS)).rlike(
+    near = prefix if chars is None else F.right(prefix, F.lit(chars))
+    return near.rlike(
         SQL_CONTEXT_STRICT if strict else SQL_CONTEXT
     )
 
 
-def is_false_credential(match: Column, prefix: Column, strict: bool = False) -> Column:
-    return match.contains("${") | match.contains("#{") | in_sql_context(prefix, strict)
+def is_false_credential(
+    match: Column, prefix: Column, strict: bool = False, chars: int | None = SQL_CONTEXT_CHARS
+) -> Column:
+    return match.contains("${") | match.contains("#{") | in_sql_context(prefix, strict, chars)
 
 
 def is_secret_line(line: Column) -> Column:

@@ -39,10 +39,12 @@ def counts_by(df: DataFrame, *keys: str, name: str = "n") -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
 
-def class_scans(analyses: DataFrame, enrollments: DataFrame, latest: int = 500) -> DataFrame:
-    """The newest scans of every class."""
+def class_scans(analyses: DataFrame, enrollments: DataFrame, latest: int | None = None) -> DataFrame:
+    """The scans of every class, all of them or the ``latest`` newest."""
     members = enrollments.where(F.col("status") == "active").select("class_id", F.col("student_id").alias("user_id"))
     scans = analyses.select("analysis_id", "user_id", "created_at").join(members, "user_id")
+    if latest is None:
+        return scans
     return top_per_group(scans, ["class_id"], [F.col("created_at").desc(), F.col("analysis_id")], latest)
 
 
@@ -52,7 +54,7 @@ def class_metrics(
     analyses: DataFrame,
     findings: DataFrame,
     kind: str = "vulnerability_type",
-    latest: int = 500,
+    latest: int | None = None,
 ) -> DataFrame:
     """Every class at once: students, scans, findings by severity, average, top five types.
 
@@ -109,14 +111,11 @@ def scan_summary(findings: DataFrame) -> DataFrame:
     )
 
 
-def dashboard(analyses: DataFrame, findings: DataFrame, owner: str = "user_id", last: int = 10) -> DataFrame:
-    """Totals and security score over the newest scans of every owner."""
-    recent = top_per_group(
-        analyses.select(owner, "analysis_id", "created_at", "file_count"),
-        [owner],
-        [F.col("created_at").desc(), F.col("analysis_id")],
-        last,
-    )
+def dashboard(analyses: DataFrame, findings: DataFrame, owner: str = "user_id", last: int | None = None) -> DataFrame:
+    """Totals and security score over the scans of every owner, all of them or the ``last`` newest."""
+    recent = analyses.select(owner, "analysis_id", "created_at", "file_count")
+    if last is not None:
+        recent = top_per_group(recent, [owner], [F.col("created_at").desc(), F.col("analysis_id")], last)
     files = recent.groupBy(owner).agg(F.sum("file_count").alias("total_code_files"))
     levels = ["critical", "high", "medium", "low"]
     counts = (

@@ -37,8 +37,8 @@ def running(
 ) -> DataFrame:
     """Add running measures per key along ``order`` (ascending, unique per key).
 
-    ``chunk`` must not decrease along the order, e.g. a time bucket. Keys must
-    not be null.
+    ``chunk`` must not decrease along the order, e.g. a time bucket. Null is a
+    key like any other.
     """
     source = df.withColumn(CHUNK, chunk)
     group = [*keys, CHUNK]
@@ -65,12 +65,21 @@ def running(
             for n, m in measures.items()
         ],
     )
-    return scanned.join(carries, group, "left").select(
+    carries = carries.select(*[F.col(c).alias(f"_k_{c}") for c in group], *[f"_c_{n}" for n in measures])
+    return scanned.join(carries, same_keys(group), "left").select(
         *[c for c in df.columns],
         *[_combine(m.kind, F.col(f"_c_{n}"), F.col(f"_w_{n}")).alias(n) for n, m in measures.items()],
     )
 
 
+def same_keys(keys: Sequence[str], prefix: str = "_k_") -> Column:
+    """Null-safe equality of ``keys`` with the columns of these names behind ``prefix``."""
+    out = F.lit(True)
+    for c in keys:
+        out = out & F.col(c).eqNullSafe(F.col(f"{prefix}{c}"))
+    return out
+
+
 def _scan(kind: str, value: Column) -> Column:
     return F.last(value, ignorenulls=True) if kind == "last" else getattr(F, kind)(value)
 
@@ -116,7 +125,8 @@ def exact_quantiles(
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("n"))
     # A value covers the ranks [_upto - _n, _upto); the neighbours of rank r are the
     # smallest values whose cover ends after floor(r) and after ceil(r).
-    joined = ranked.join(totals, list(keys)) if keys else ranked.withColumn("n", totals.scalar())
+    totals = totals.select(*[F.col(c).alias(f"_k_{c}") for c in keys], "n") if keys else totals
+    joined = ranked.join(totals, same_keys(keys)) if keys else ranked.withColumn("n", totals.scalar())
     sides = []
     for q, name in zip(quantiles, names):
         rank = F.lit(float(q)) * (F.col("n") - 1)

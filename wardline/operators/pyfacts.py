@@ -173,12 +173,32 @@ def _assign_fact(node: ast.Assign) -> dict:
     }
 
 
+def _error_fact(exc: Exception, content: str) -> dict:
+    message = f"Line {getattr(exc, 'lineno', 0)}: {getattr(exc, 'msg', exc)}"
+    return {"kind": "error", "error": message, "content": content}
+
+
+def _writable(value):
+    """The value with lone surrogates, which sources may spell but no column can hold, replaced."""
+    if isinstance(value, str):
+        return value.encode("utf-8", "replace").decode()
+    return [_writable(v) for v in value] if isinstance(value, list) else value
+
+
+def _file_facts(content: str) -> list[dict]:
+    """The facts of one file; whatever goes wrong in it becomes its error row."""
+    try:
+        found = _facts(content)
+    except Exception as exc:  # one file must not end the job
+        found = [_error_fact(exc, content)]
+    return [{k: _writable(v) for k, v in fact.items()} for fact in found]
+
+
 def _facts(content: str) -> list[dict]:
     try:
         tree = ast.parse(content)
     except (SyntaxError, ValueError, RecursionError, MemoryError) as exc:
-        message = f"Line {getattr(exc, 'lineno', 0)}: {getattr(exc, 'msg', exc)}"
-        return [{"kind": "error", "error": message, "content": content}]
+        return [_error_fact(exc, content)]
     lines = content.split("\n")
     out = [{"kind": "parsed"}]
     for node in ast.walk(tree):
@@ -200,7 +220,7 @@ def _facts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file_id, path, content in zip(*(column.to_pylist() for column in batch.columns)):
             rows += [
                 {"file_id": file_id, "file_path": path, "seq": i, **fact}
-                for i, fact in enumerate(_facts(content or ""))
+                for i, fact in enumerate(_file_facts(content or ""))
             ]
             # Whole files per batch, cut early so that large files do not pile up.
             if len(rows) >= BATCH_ROWS:

@@ -11,7 +11,6 @@ from ..functions import severity as sev
 TEXT_FIELDS = ["explanation", "remediation"]
 OPTIONAL_FIELDS = ["cwe_id", "file_path", "code_snippet"]
 FINDING_LISTS = ["findings", "vulnerabilities", "results"]
-FALLBACK_CHARS = 500
 
 
 def _kind(node: Column) -> Column:
@@ -121,7 +120,7 @@ def normalize_raw_findings(raw: DataFrame, column: str = "response") -> DataFram
             F.lit(None).cast("string").alias("file_path"),
             F.lit(None).cast("int").alias("line_number"),
             F.lit(None).cast("string").alias("code_snippet"),
-            F.left(text, F.lit(FALLBACK_CHARS)).alias("explanation"),
+            text.alias("explanation"),
             F.lit("").alias("remediation"),
             F.lit(0.3).alias("confidence"),
         )
@@ -177,7 +176,7 @@ def parse_fixes(raw: DataFrame, column: str = "response", original: str = "origi
         "outcome",
         F.when(from_json, _text_or(before, F.col(original))).when(from_block, F.col(original)).alias("code_before"),
         F.when(from_json, _text_or(after, F.lit(""))).when(from_block, jsonx.strip(F.col("_block"))).alias("code_after"),
-        F.when(from_json, _text_or(why, F.lit(""))).when(from_block, F.left(text, F.lit(FALLBACK_CHARS))).alias("explanation"),
+        F.when(from_json, _text_or(why, F.lit(""))).when(from_block, text).alias("explanation"),
         F.when(from_json, value).when(from_block, F.lit(0.5)).alias("confidence"),
     )
 

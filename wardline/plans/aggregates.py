@@ -56,8 +56,7 @@ def _(t: Tables):
 
 CLASS_METRICS = """
 with students as (select class_id, student_id from v_enrollments where status = 'active'),
-scans as (select s.class_id, a.analysis_id from v_analyses a join students s on a.user_id = s.student_id
-          qualify row_number() over (partition by s.class_id order by a.created_at desc, a.analysis_id) <= 500),
+scans as (select s.class_id, a.analysis_id from v_analyses a join students s on a.user_id = s.student_id),
 hits as (select s.class_id, f.severity, f.cwe_id from v_findings f join scans s on f.analysis_id = s.analysis_id),
 lv as (select class_id, count(*) as total_findings, {levels} from hits group by 1),
 ty as (select class_id, cwe_id, count(*) as n, row_number() over (partition by class_id order by count(*) desc, cwe_id) as r from hits group by 1, 2),
@@ -84,8 +83,7 @@ def _(t: Tables):
 @query(
     "a06_class_severity",
     "with students as (select class_id, student_id from v_enrollments where status = 'active'),"
-    " scans as (select s.class_id, a.analysis_id from v_analyses a join students s on a.user_id = s.student_id"
-    " qualify row_number() over (partition by s.class_id order by a.created_at desc, a.analysis_id) <= 500)"
+    " scans as (select s.class_id, a.analysis_id from v_analyses a join students s on a.user_id = s.student_id)"
     f" select c.class_id, c.name, {LEVELS} from v_findings f join scans s on f.analysis_id = s.analysis_id"
     " join v_classes c on c.class_id = s.class_id group by 1, 2",
 )
@@ -115,8 +113,7 @@ def _(t: Tables):
 
 @query(
     "a09_dashboard",
-    "with recent as (select user_id, analysis_id, file_count from v_analyses"
-    " qualify row_number() over (partition by user_id order by created_at desc, analysis_id) <= 10),"
+    "with recent as (select user_id, analysis_id, file_count from v_analyses),"
     f" c as (select r.user_id, {LEVELS} from recent r join v_findings f on r.analysis_id = f.analysis_id group by 1),"
     " f as (select user_id, cast(sum(file_count) as bigint) as total_code_files from recent group by 1)"
     " select f.user_id, total_code_files, coalesce(critical, 0) + coalesce(high, 0) + coalesce(medium, 0) + coalesce(low, 0) as total_vulnerabilities,"

@@ -349,7 +349,7 @@ RAW_SQL = """
 select response_id, 'direct' as outcome, p_type as vulnerability_type, 'critical' as severity, cast(p_size as integer) as line_number, '' as explanation, '' as remediation, 0.5::double as confidence from x where shape = 0
 union all select response_id, 'repaired', p_type, 'low', p_size, '', 'use x', 0.7 from x where shape = 1
 union all select response_id, 'direct', 'a } b', 'high', null, '', '', 0.7 from x where shape = 2
-union all select response_id, 'fallback', 'Unknown', 'medium', null, left(response, 500), '', 0.3 from x where shape in (3, 8)
+union all select response_id, 'fallback', 'Unknown', 'medium', null, response, '', 0.3 from x where shape in (3, 8)
 union all select response_id, 'rejected', null, null, null, null, null, null from x where shape in (4, 6)
 union all select response_id, 'single', p_type, 'medium', null, '', '', 0.25 from x where shape = 5
 union all select response_id, 'repaired', p_type, 'medium', null, '', '', 0.7 from x where shape = 7

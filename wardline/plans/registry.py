@@ -39,6 +39,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
             return fn(Tables(spark, sf_dir))
 
         QUERIES[name] = run

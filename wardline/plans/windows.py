@@ -152,19 +152,19 @@ RANK = "case severity when 'critical' then 0 when 'high' then 1 when 'medium' th
 
 @query(
     "l04_findings_order",
-    f"select finding_id, severity, {RANK} as severity_rank from v_findings order by {RANK}, finding_id limit 100",
+    f"select finding_id, severity, {RANK} as severity_rank from v_findings",
 )
 def _(t: Tables):
     rows = ranking.order_findings(t.v_findings, "severity", ascending=True)
-    return rows.select("finding_id", "severity", sev.severity_rank(F.col("severity")).alias("severity_rank")).limit(100)
+    return rows.select("finding_id", "severity", sev.severity_rank(F.col("severity")).alias("severity_rank"))
 
 
 @query(
     "l04_findings_order_default",
-    f"select finding_id, severity from v_findings order by {RANK} desc, finding_id limit 100",
+    f"select finding_id, severity from v_findings",
 )
 def _(t: Tables):
-    return ranking.order_findings(t.v_findings).select("finding_id", "severity").limit(100)
+    return ranking.order_findings(t.v_findings).select("finding_id", "severity")
 
 
 @query(

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def build_session(app: str = "wardline", cpus: int | str = "*", **conf: str) -> SparkSession:
@@ -20,6 +22,10 @@ def build_session(app: str = "wardline", cpus: int | str = "*", **conf: str) ->
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # a repeated key of an object: the last value counts
+        .config("spark.sql.variant.allowDuplicateKeys", "true")
+        # workers import this package wherever the driver was started
+        .config("spark.executorEnv.PYTHONPATH", os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "")]).rstrip(os.pathsep))
     )
     for key, value in conf.items():
         builder = builder.config(key, value)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator, Sequence
 from fnmatch import fnmatchcase
 
@@ -29,6 +30,8 @@ ARROW_MEMBERS = pa.schema(
         ("error", pa.string()),
     ]
 )
+#: What a damaged, encrypted or oversized archive or member raises.
+BROKEN = (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError, ValueError, OSError)
 BATCH_BYTES = 8 << 20
 BATCH_ROWS = 5000
 
@@ -129,16 +132,21 @@ def _members_of(archive: str, blob: bytes) -> Iterator[dict]:
     try:
         with zipfile.ZipFile(io.BytesIO(blob)) as box:
             for info in box.infolist():
-                body = None if info.is_dir() or info.file_size > checks.MAX_ARCHIVE_BYTES else box.read(info)
-                yield {
+                row = {
                     "archive": archive,
                     "name": info.filename,
                     "size": info.file_size,
                     "compressed": info.compress_size,
                     "depth": info.filename.count("/"),
-                    "content": body,
                 }
-    except (zipfile.BadZipFile, RuntimeError, NotImplementedError, EOFError) as exc:
+                try:
+                    if info.file_size > checks.MAX_ARCHIVE_BYTES:
+                        raise ValueError(f"member of {info.file_size} bytes is beyond the limit of an archive")
+                    row["content"] = None if info.is_dir() else box.read(info)
+                except BROKEN as exc:
+                    row["error"] = str(exc)
+                yield row
+    except BROKEN as exc:
         yield {"archive": archive, "error": str(exc)}
 
 
@@ -159,14 +167,18 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def archive_members(archives: DataFrame) -> DataFrame:
     """One row per member of every zip in ``archive, content``; a broken zip gives an error row.
 
-    A member beyond the size limit of a whole archive is listed without content.
+    A damaged, encrypted or oversized member has its error instead of content, and
+    the other members of its archive are read.
     """
     return archives.select("archive", "content").mapInArrow(_members, MEMBERS)
 
 
 def expand_archives(archives: DataFrame) -> DataFrame:
-    """Code files of the archives: unsafe and disallowed names are dropped."""
-    members = archive_members(archives).where(F.col("name").isNotNull() & ~F.col("name").endswith("/"))
+    """Code files of the archives: unsafe and disallowed names and unreadable members are dropped.
+
+    ``archive_members`` reports what could not be read.
+    """
+    members = archive_members(archives).where(F.col("name").isNotNull() & F.col("error").isNull() & ~F.col("name").endswith("/"))
     allowed = checks.suffix_of(F.col("name")).isin(checks.ALLOWED_EXTENSIONS)
     safe = ~(F.col("name").startswith("/") | F.col("name").contains(".."))
     return members.where(safe & allowed).select(

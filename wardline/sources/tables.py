@@ -24,7 +24,7 @@ def findings_rows(detected: DataFrame) -> DataFrame:
     """Detector rows as rows of the findings table.
 
     Severity keeps only the five names, confidence becomes a whole percent, and
-    fields without a column of their own go to the metadata.
+    all fields without a column of their own go to the metadata with their types.
     """
     names = set(detected.columns)
     target = schemas.struct(schemas.FINDINGS)
@@ -32,10 +32,12 @@ def findings_rows(detected: DataFrame) -> DataFrame:
     def has(name: str, kind: str = "string") -> Column:
         return F.col(name) if name in names else F.lit(None).cast(kind)
 
-    extra = {c: F.col(c) for c in detected.columns if c in ("rule", "data_flow", "remediation", "stage", "source_type", "sink_category")}
+    own = {*target.fieldNames(), "file_id", "analysis_id_bucket"}
+    extra = {c: F.col(c) for c in detected.columns if c not in own}
     kind = F.coalesce(has("vulnerability_type"), F.lit("Unknown"))
     line = F.coalesce(has("line_start", "int"), F.lit(0))
-    ident = F.sha2(F.concat_ws("|", *[has(c).cast("string") for c in ("analysis_id", "file_id", "file_path", "analyzer_type", "rule", "cwe_id", "line_start", "title")]), 256)
+    # a null field takes part as null; all detector fields do, so that two findings of a line differ
+    ident = F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(names)]), {"ignoreNullFields": "false"}), 256)
     values = {
         "id": F.left(ident, F.lit(36)),
         "code_file_id": has("code_file_id").cast("string") if "code_file_id" in names else has("file_id").cast("string"),
@@ -56,9 +58,9 @@ def findings_rows(detected: DataFrame) -> DataFrame:
         "status": F.lit("new"),
         "confidence": sev.confidence_pct(has("confidence", "double")),
         "finding_metadata": jsonx.leftover_metadata(extra, target.fieldNames()),
-        "explanation": F.lit(None).cast("string"),
-        "explanation_provider": F.lit(None).cast("string"),
-        "explanation_generated_at": F.lit(None).cast("timestamp"),
+        "explanation": has("explanation"),
+        "explanation_provider": has("explanation_provider"),
+        "explanation_generated_at": has("explanation_generated_at", "timestamp"),
     }
     return detected.select(*[values[f.name].cast(f.dataType).alias(f.name) for f in target])
 
