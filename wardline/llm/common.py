@@ -15,7 +15,7 @@ pa.set_memory_pool(pa.system_memory_pool())
 #: Rows of text per Arrow batch.
 BATCH_ROWS = 1000
 #: Bytes of text that a task turns into arrays at once; a longer text is one slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def text_key(doc_id: str = "doc_id", text: str = "text") -> Column:
