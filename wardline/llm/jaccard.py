@@ -9,9 +9,9 @@ sorted arrays.
    one of them, drawn for each hash. Classes that link form families.
 2. Tiles: two sets can only link if their prefixes share a shingle, for any one order
    of all shingles (here: rare ones first, by a sketch of counts over all texts).
-   Prefix shingles that only one family has are dropped; aggregation before the shuffle
-   makes a large family as cheap as a small one. The others' classes meet in tiles of
-   shingle and size band, where all pairs of different families are tested by their
+   Prefix shingles that only one class has are dropped, and in each pass those that
+   only one family has; both are aggregated before the shuffle. The others' classes
+   meet in tiles of shingle and size band, where all pairs of different families are tested by their
    bits. A tile of more than ``BLOCK`` classes is dealt out in blocks. In two passes
    each class brings its most promising partner, so that families grow together;
    the last pass brings every pair that is left.
@@ -237,58 +237,59 @@ def prefixes(documents: DataFrame, levels: np.ndarray) -> DataFrame:
     return documents.select(F.col("text").cast("string")).mapInArrow(run, "node long, n long, tokens binary").dropDuplicates(["node"])
 
 
-def open_tokens(prefix: DataFrame, bins: int) -> DataFrame:
-    """(token): those that several families have. Each task sends a token once for each family it has there."""
+def shared_tokens(prefix: DataFrame, bins: int) -> DataFrame:
+    """(token): those in the prefixes of several classes. Each batch sends a token once, with a mark if it repeats there."""
 
     def send(batches):
         for batch in batches:
-            data, offsets = text_buffer(batch.column(1))
-            token = data[offsets[0] : offsets[-1]].view(np.uint64)
-            family = np.repeat(batch.column(0).to_numpy().astype(np.int64).view(np.uint64), np.diff(offsets) // 8)
-            order = np.lexsort((family, token))
-            token, family = token[order], family[order]
-            new = np.ones(len(token), bool)
-            new[1:] = (token[1:] != token[:-1]) | (family[1:] != family[:-1])
-            for b, part in by_bin({"token": token[new], "family": family[new]}, "token", bins):
-                yield pa.RecordBatch.from_pydict({"bin": pa.array([b], pa.int32()), "token": [part["token"].tobytes()], "family": [part["family"].tobytes()]})
+            data, offsets = text_buffer(batch.column(0))
+            token, times = np.unique(data[offsets[0] : offsets[-1]].view(np.uint64), return_counts=True)
+            for b, part in by_bin({"token": token, "m": (times > 1).astype(np.uint8)}, "token", bins):
+                yield pa.RecordBatch.from_pydict({"bin": pa.array([b], pa.int32()), "token": [part["token"].tobytes()], "m": [part["m"].tobytes()]})
 
     def find(table):
-        token, family = (np.frombuffer(b"".join(table[c].to_pylist()), np.uint64) for c in ("token", "family"))
+        token = np.frombuffer(b"".join(table["token"].to_pylist()), np.uint64)
+        marked = np.frombuffer(b"".join(table["m"].to_pylist()), np.uint8) > 0
         order = np.argsort(token, kind="stable")
-        token, family = token[order], family[order]
-        edge = (token[1:] == token[:-1]) & (family[1:] != family[:-1])
-        return pa.table({"token": pa.array(np.unique(token[1:][edge]).view(np.int64), pa.int64())})
+        ordered = token[order]
+        again = np.concatenate([ordered[1:][ordered[1:] == ordered[:-1]], token[marked]])
+        return pa.table({"token": pa.array(np.unique(again).view(np.int64), pa.int64())})
 
-    rows = prefix.select("family", "tokens").mapInArrow(send, "bin int, token binary, family binary")
+    rows = prefix.select("tokens").mapInArrow(send, "bin int, token binary, m binary")
     return rows.groupBy("bin").applyInArrow(find, "token long")
 
 
-def tile_pairs(prefix: DataFrame, classes: DataFrame, bins: int, best: bool) -> DataFrame:
-    """(a, b): classes of different families in one tile whose sizes and bits allow a link.
-
-    With ``best`` only the most promising partner of each class in each bin.
-    """
-    spark = prefix.sparkSession
-    opened = cut_lineage(open_tokens(prefix, bins), "open")
-    known = shared(spark, Bitmap.of(opened, "token"))
+def postings(prefix: DataFrame, bins: int) -> DataFrame:
+    """(node, n, token, band) of every prefix shingle that several classes have; no other can ever bring two together."""
+    known = shared(prefix.sparkSession, Bitmap.of(shared_tokens(prefix, bins), "token"))
 
-    def postings(batches):
+    def run(batches):
         bitmap = known()
         for batch in batches:
-            data, offsets = text_buffer(batch.column(3))
+            data, offsets = text_buffer(batch.column(2))
             token = data[offsets[0] : offsets[-1]].view(np.uint64)
             row = np.repeat(np.arange(batch.num_rows), np.diff(offsets) // 8)
             keep = bitmap.holds(token)
             token, row = token[keep], row[keep]
-            band = band_of(batch.column(2).to_numpy())[row]
-            other = [batch.column(i).take(pa.array(row)) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([*other, pa.array(token.view(np.int64)), pa.array(band, pa.int32())], names=["family", "node", "n", "token", "band"])
+            band = band_of(batch.column(1).to_numpy())[row]
+            other = [batch.column(i).take(pa.array(row)) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([*other, pa.array(token.view(np.int64)), pa.array(band, pa.int32())], names=["node", "n", "token", "band"])
 
-    rows = prefix.select("family", "node", "n", "tokens").mapInArrow(postings, "family long, node long, n long, token long, band int")
-    rows = cut_lineage(rows.join(opened, "token", "left_semi"), "postings")
+    return prefix.select("node", "n", "tokens").mapInArrow(run, "node long, n long, token long, band int")
+
+
+def tile_pairs(posted: DataFrame, families: DataFrame, classes: DataFrame, bins: int, best: bool) -> DataFrame:
+    """(a, b): classes of different families in one tile whose sizes and bits allow a link.
+
+    With ``best`` only the most promising partner of each class in each bin.
+    """
+    rows = posted.join(families, "node")
+    opened = rows.groupBy("token").agg(F.min("family").alias("f0"), F.max("family").alias("f1")).filter("f0 <> f1").select("token")
+    rows = cut_lineage(rows.join(opened, "token", "left_semi"), "open")
     rows = rows.withColumn("tile", F.explode(F.array("band", F.col("band") + 1)))
-    sizes = rows.groupBy("token", "tile").agg(F.count("*").alias("m"), F.min("family").alias("f0"), F.max("family").alias("f1"))
-    sizes = sizes.filter("f0 <> f1").select("token", "tile", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    home = F.max(F.col("tile") == F.col("band"))
+    sizes = rows.groupBy("token", "tile").agg(F.count("*").alias("m"), F.min("family").alias("f0"), F.max("family").alias("f1"), home.alias("home"))
+    sizes = sizes.filter("home and f0 <> f1").select("token", "tile", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     rows = rows.join(sizes, ["token", "tile"])
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     rows = rows.withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -364,10 +365,9 @@ def similarity_components(documents: DataFrame) -> DataFrame:
     bins = bins_of(documents.sparkSession)
     families = classes.select("node", F.col("node").alias("family"))
     families = merged(families, linked(bounded(star_pairs(classes), classes), documents))
-    found = cut_lineage(prefixes(documents, levels), "prefix")
+    posted = cut_lineage(postings(cut_lineage(prefixes(documents, levels), "prefix"), bins), "postings")
     for best in (True, True, False):
-        pairs = tile_pairs(found.join(families, "node"), classes, bins, best)
-        families = merged(families, linked(pairs, documents))
+        families = merged(families, linked(tile_pairs(posted, families, classes, bins, best), documents))
     rows = rows.join(families, "node", "left")
     names = rows.filter("family is not null").groupBy("family").agg(F.min("doc_id").alias("component_id"))
     rows = rows.join(names, "family", "left")
