@@ -35,8 +35,8 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def bins_of(spark: SparkSession) -> int:
-    """Number of bins for packed rows: four for each shuffle partition, so that a bin stays small."""
-    return max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """Number of bins for packed rows: as many as shuffle partitions, which follow the input."""
+    return max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
