@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import severity as sev
 from ..functions import text
 from ..functions.literal import literal_table, lookup
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_scope
 from . import knowledge
 from .taint_tables import (
     LAST_ARGUMENT,
@@ -103,33 +103,38 @@ def taint_reach(edges: DataFrame, labels: DataFrame, max_passes: int | None = No
     live = edges.select("file_id", "src", "dst", "sanitizer", strength.alias("strength")).where(
         (F.col("strength") != "strong") | F.col("strength").isNull()
     )
-    # Cached with its partitioning: the passes shuffle the frontier, not the edges.
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    live = live.repartition(n, "file_id", "src").persist(StorageLevel.MEMORY_AND_DISK)
-    frontier = cut_lineage(labels.select("file_id", "node", *LABEL))
-    reached, passes = frontier, 0
-    try:
-        while not frontier.isEmpty() and (max_passes is None or passes < max_passes):
-            passes += 1
-            step = frontier.withColumnRenamed("node", "src").join(live, ["file_id", "src"])
-            used = F.array(F.struct(F.col("sanitizer").alias("name"), F.col("strength").alias("strength")))
-            moved = step.select(
-                "file_id",
-                F.col("dst").alias("node"),
-                "source_type",
-                "source_line",
-                "category",
-                F.array_append("path", F.col("dst")).alias("path"),
-                F.when(F.col("strength").isNotNull(), F.concat("sanitizers", used))
-                .otherwise(F.col("sanitizers"))
-                .alias("sanitizers"),
-            )
-            fresh = moved.join(reached.select("file_id", "node"), ["file_id", "node"], "left_anti")
-            frontier = cut_lineage(_first_label(fresh))
-            reached = reached.unionByName(frontier)
-    finally:
-        live.unpersist()
-    return reached
+    with scratch_scope(spark, "taint"):
+        frontier = cut_lineage(labels.select("file_id", "node", *LABEL))
+        # Edges of files without a source lead nowhere and are left out before the shuffle.
+        live = live.join(frontier.select("file_id").distinct(), "file_id", "left_semi")
+        # Cached with its partitioning: the passes shuffle the frontier, not the edges.
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        live = live.repartition(n, "file_id", "src").persist(StorageLevel.MEMORY_AND_DISK)
+        reached, passes = frontier, 0
+        try:
+            while not frontier.isEmpty() and (max_passes is None or passes < max_passes):
+                passes += 1
+                frontier = cut_lineage(_first_label(_moved(frontier, live, reached)))
+                reached = reached.unionByName(frontier)
+        finally:
+            live.unpersist()
+        return cut_lineage(reached, "reached", outlives=True)
+
+
+def _moved(frontier: DataFrame, live: DataFrame, reached: DataFrame) -> DataFrame:
+    """Labels one edge further, of variables that have none yet."""
+    step = frontier.withColumnRenamed("node", "src").join(live, ["file_id", "src"])
+    used = F.array(F.struct(F.col("sanitizer").alias("name"), F.col("strength").alias("strength")))
+    moved = step.select(
+        "file_id",
+        F.col("dst").alias("node"),
+        "source_type",
+        "source_line",
+        "category",
+        F.array_append("path", F.col("dst")).alias("path"),
+        F.when(F.col("strength").isNotNull(), F.concat("sanitizers", used)).otherwise(F.col("sanitizers")).alias("sanitizers"),
+    )
+    return moved.join(reached.select("file_id", "node"), ["file_id", "node"], "left_anti")
 
 
 def sink_key(calls_object: Column, method: Column, arg0_kind: Column, arg0_text: Column) -> Column:

@@ -5,10 +5,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+#: Folders of the open scratch scopes, the innermost last.
+_SCOPES: ContextVar[tuple[str, ...]] = ContextVar("scratch_scopes", default=())
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -53,13 +58,33 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/wardline/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate tables, in whatever store it lies."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession, name: str = "scope") -> Iterator[None]:
+    """Tables that ``cut_lineage`` writes inside are removed at the end, save those that outlive the scope."""
+    folder = scratch_path(spark, name)
+    token = _SCOPES.set((*_SCOPES.get(), folder))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(token)
+        remove(spark, folder)
+
+
+def cut_lineage(df: DataFrame, name: str = "cut", outlives: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The rows are computed once, a lost executor costs no recomputation, and the
-    optimizer knows the size of what it reads.
+    optimizer knows the size of what it reads. Inside a scratch scope the table goes
+    with the scope; one that ``outlives`` it belongs to the scope around it.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    scopes = _SCOPES.get()[:-1] if outlives else _SCOPES.get()
+    path = f"{scopes[-1]}/{name}-{uuid.uuid4().hex}" if scopes else scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
