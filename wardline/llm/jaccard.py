@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_scope
 from . import hashing
 from .common import Bitmap, bins_of, by_bin, packed, shared, slices, text_buffer
 from .graph import components
@@ -349,25 +349,35 @@ def _tile(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def merged(families: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, family) after joining the families that the links (a, b) of classes connect."""
+    """(node, family) after joining the families that the links (a, b) of classes connect; kept beyond the scratch scope."""
     family = lambda end: families.select(F.col("node").alias(end), F.col("family").alias(f"f{end}"))
     ends = links.join(family("a"), "a").join(family("b"), "b").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
     roots = components(ends).withColumnRenamed("node", "family")
-    return cut_lineage(families.join(roots, "family", "left").select("node", F.coalesce("root", "family").alias("family")), "families")
+    return cut_lineage(families.join(roots, "family", "left").select("node", F.coalesce("root", "family").alias("family")), "families", outlives=True)
 
 
 def similarity_components(documents: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row; the component is named by its smallest doc_id."""
+    with scratch_scope(documents.sparkSession, "jaccard"):
+        return cut_lineage(_components(documents), "components", outlives=True)
+
+
+def _components(documents: DataFrame) -> DataFrame:
+    spark = documents.sparkSession
     rows, levels = describe(documents)
     classes = cut_lineage(
         rows.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("stars").alias("stars"), F.first("bits").alias("bits")), "classes"
     )
-    bins = bins_of(documents.sparkSession)
+    bins = bins_of(spark)
     families = classes.select("node", F.col("node").alias("family"))
-    families = merged(families, linked(bounded(star_pairs(classes), classes), documents))
-    posted = cut_lineage(postings(cut_lineage(prefixes(documents, levels), "prefix"), bins), "postings")
+    # what only one pass reads goes when the families of that pass are written
+    with scratch_scope(spark, "stars"):
+        families = merged(families, linked(bounded(star_pairs(classes), classes), documents))
+    with scratch_scope(spark, "prefixes"):
+        posted = cut_lineage(postings(cut_lineage(prefixes(documents, levels), "prefix"), bins), "postings", outlives=True)
     for best in (True, True, False):
-        families = merged(families, linked(tile_pairs(posted, families, classes, bins, best), documents))
+        with scratch_scope(spark, "tiles"):
+            families = merged(families, linked(tile_pairs(posted, families, classes, bins, best), documents))
     rows = rows.join(families, "node", "left")
     names = rows.filter("family is not null").groupBy("family").agg(F.min("doc_id").alias("component_id"))
     rows = rows.join(names, "family", "left")
