@@ -122,9 +122,20 @@ def test_script_rules(spark):
         "a.innerHTML == b\na.innerHTML = b",
         "let userToken = 'abcdefg'\nconst t = 'abcdefg'",
         "window.setTimeout('x')\nsetInterval(\"x()\", 3)",
+        "const apiKey: string = \"sk-live-123456\"",
+        "let a = 1, password = \"hunter22\"",
+        "let a = 1; label = \"password\"",
         language="javascript",
     )
-    assert rules_of(detect.script_scan(df)) == {"0": ["eval"], "1": ["innerHTML"], "2": ["secret"], "3": ["timer"]}
+    found = detect.script_scan(df)
+    assert rules_of(found) == {
+        "0": ["eval"], "1": ["innerHTML"], "2": ["secret"], "3": ["timer"], "4": ["secret"], "5": ["secret"],
+    }
+    titles = {r.file_id: (r.title, r.description) for r in found.where("rule = 'secret'").collect()}
+    assert {k: t for k, (t, _) in titles.items()} == {
+        "2": "Hardcoded secret: userToken", "4": "Hardcoded secret: apiKey", "5": "Hardcoded secret: password",
+    }
+    assert titles["5"][1].startswith("Hardcoded secret 'password' embedded")
 
 
 @pytest.mark.parametrize("second", ["knowledge", "regex"])

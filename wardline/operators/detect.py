@@ -182,7 +182,13 @@ def script_scan(files: DataFrame, rules: Sequence[Rule] = SCRIPT_RULES) -> DataF
         return out
 
     lines = _matching_lines(files, any_rule)
-    hits = F.array(*[F.when(F.col("line").rlike(r.pattern), _rule_struct(r)) for r in rules])
+
+    def hit(rule: Rule) -> Column:
+        name = F.regexp_extract("line", rule.pattern, 1) if rule.names else F.lit("")
+        return F.when(F.col("line").rlike(rule.pattern), _rule_struct(rule, _name=name))
+
+    hits = F.array(*[hit(r) for r in rules])
+    named = {c: F.replace(c, F.lit("{}"), F.col("_name")).alias(c) for c in ("title", "description")}
     return lines.select("*", F.inline(hits)).where(F.col("rule").isNotNull()).select(
         *KEYS,
         "vulnerability_type",
@@ -191,8 +197,8 @@ def script_scan(files: DataFrame, rules: Sequence[Rule] = SCRIPT_RULES) -> DataF
         "line_start",
         F.col("line_start").alias("line_end"),
         text.snippet_centred(F.col("content"), F.col("line_start")).alias("code_snippet"),
-        "title",
-        "description",
+        named["title"],
+        named["description"],
         "remediation",
         "confidence",
         F.lit("sast-js").alias("analyzer_type"),
@@ -324,10 +330,6 @@ def scan_corpus(files: DataFrame, flows: DataFrame | None = None, second: str =
     rows = sets.union_findings(parts)
     if "data_flow" not in rows.columns:
         rows = rows.withColumn("data_flow", F.lit(None).cast("string"))
-    # The order of a duplicate pair: stage, then detector and rule name.
-    rows = rows.withColumn(
-        "seq",
-        F.col("stage").cast("bigint") * 1_000_000_000
-        + F.pmod(F.xxhash64("analyzer_type", "rule", "title"), F.lit(1_000_000_000)),
-    )
-    return ranking.dedup_findings(rows, ("file_id",))
+    # The order of a duplicate pair: stage, then detector, rule and title by name.
+    rows = rows.withColumn("seq", F.struct("stage", "analyzer_type", "rule", "title"))
+    return ranking.dedup_findings(rows, ("file_id",)).drop("seq")

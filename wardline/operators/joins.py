@@ -112,8 +112,8 @@ def attach_enrichment(
 
 
 def merge_enriched(findings: DataFrame, enriched: DataFrame) -> DataFrame:
-    """Replace explanation columns by (path, line, type); the last enrichment wins."""
-    key = ["file_path", "line_start", "vulnerability_type"]
+    """Replace explanation columns by (path, line, type) within a scan; the last enrichment wins."""
+    key = ["analysis_id", "file_path", "line_start", "vulnerability_type"]
     latest = enriched.groupBy(*key).agg(F.max_by("explanation", "enriched_seq").alias("_new"))
     return (
         findings.join(latest, key, "left")
@@ -137,7 +137,10 @@ def explain_from_kb(findings: DataFrame) -> DataFrame:
             "kb_explanation": F.coalesce(lookup(knowledge.EXPLANATIONS, cwe), generic),
             "kb_impact": F.coalesce(lookup(knowledge.IMPACTS, cwe), F.lit(knowledge.DEFAULT_IMPACT)),
             "kb_fix": F.coalesce(lookup(knowledge.FIXES, cwe), F.lit(knowledge.DEFAULT_FIX)),
-            "kb_references": F.coalesce(lookup(knowledge.REFERENCES, cwe), F.lit("")),
+            "kb_references": F.coalesce(
+                lookup({k: F.array(*map(F.lit, v)) for k, v in knowledge.REFERENCES.items()}, cwe),
+                F.array().cast("array<string>"),
+            ),
         }
     )
 
@@ -161,23 +164,24 @@ def missing_fixes(candidates: DataFrame, fixes: DataFrame) -> DataFrame:
 
 
 def annotate_lines(files: DataFrame, findings: DataFrame, content: str = "content") -> DataFrame:
-    """Every code line with each finding that covers it; lines without one are kept.
+    """Every code line with each finding of its scan that covers it; lines without one are kept.
 
     Ranges are clamped to the file before they are unrolled, so a wrong end line
     cannot blow up the join; the join itself is an equi-join.
     """
-    sizes = files.select("file_path", F.size(F.split(content, "\n")).alias("_lines"))
+    key = ["analysis_id", "file_path"]
+    sizes = files.select(*key, F.size(F.split(content, "\n")).alias("_lines"))
     last = F.greatest(F.col("line_start"), F.coalesce("line_end", "line_start"))
     covered = (
-        findings.join(sizes, "file_path")
+        findings.join(sizes, key)
         .where(F.col("line_start") <= F.col("_lines"))
         .withColumn("line_no", F.explode(F.sequence(F.col("line_start"), F.least(last, "_lines"))))
-        .select("file_path", "line_no", "finding_id", "severity")
+        .select(*key, "line_no", "finding_id", "severity")
+    )
+    lines = files.select(*key, F.posexplode(F.split(content, "\n")).alias("_pos", "line")).select(
+        *key, (F.col("_pos") + 1).alias("line_no"), "line"
     )
-    lines = files.select(
-        "file_path", F.posexplode(F.split(content, "\n")).alias("_pos", "line")
-    ).select("file_path", (F.col("_pos") + 1).alias("line_no"), "line")
-    return lines.join(covered, ["file_path", "line_no"], "left")
+    return lines.join(covered, [*key, "line_no"], "left")
 
 
 def file_findings(files: DataFrame, findings: DataFrame) -> DataFrame:

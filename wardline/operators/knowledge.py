@@ -29,11 +29,11 @@ FIXES = {
     "CWE-78": "Never pass user input directly to shell commands. Use parameterized APIs or allowlisted inputs. If shell execution is necessary, use subprocess with shell=False and pass arguments as a list.",
 }
 REFERENCES = {
-    "CWE-89": "https://owasp.org/www-community/attacks/SQL_Injection https://cwe.mitre.org/data/definitions/89.html",
-    "CWE-798": "https://owasp.org/www-community/vulnerabilities/Use_of_hard-coded_cryptographic_key https://cwe.mitre.org/data/definitions/798.html",
-    "CWE-79": "https://owasp.org/www-community/attacks/xss/ https://cwe.mitre.org/data/definitions/79.html",
-    "CWE-94": "https://owasp.org/www-community/attacks/Code_Injection https://cwe.mitre.org/data/definitions/94.html",
-    "CWE-78": "https://owasp.org/www-community/attacks/Command_Injection https://cwe.mitre.org/data/definitions/78.html",
+    "CWE-89": ["https://owasp.org/www-community/attacks/SQL_Injection", "https://cwe.mitre.org/data/definitions/89.html"],
+    "CWE-798": ["https://owasp.org/www-community/vulnerabilities/Use_of_hard-coded_cryptographic_key", "https://cwe.mitre.org/data/definitions/798.html"],
+    "CWE-79": ["https://owasp.org/www-community/attacks/xss/", "https://cwe.mitre.org/data/definitions/79.html"],
+    "CWE-94": ["https://owasp.org/www-community/attacks/Code_Injection", "https://cwe.mitre.org/data/definitions/94.html"],
+    "CWE-78": ["https://owasp.org/www-community/attacks/Command_Injection", "https://cwe.mitre.org/data/definitions/78.html"],
 }
 DEFAULT_IMPACT = "Impact analysis not available for this vulnerability type."
 DEFAULT_FIX = "Review the identified code and apply security best practices."

@@ -54,10 +54,13 @@ def calls(facts: DataFrame) -> DataFrame:
 
 
 def args(facts: DataFrame) -> DataFrame:
-    return _uses(facts, "call").select(
-        "file_id", F.col("seq").alias("call_id"), F.col("pos").alias("arg_index"), F.lit(0).alias("position"),
-        F.col("name").alias("node"),
-    ).distinct()
+    """Variables of each argument with the place of their first use in the call."""
+    used = facts.where("kind = 'call'").select("*", F.posexplode("uses").alias("position", "use")).select("*", "use.*")
+    return (
+        used.where(~_is_removed(F.col("callee")))
+        .groupBy("file_id", F.col("seq").alias("call_id"), F.col("pos").alias("arg_index"), F.col("name").alias("node"))
+        .agg(F.min("position").alias("position"))
+    )
 
 
 def python_flows(facts: DataFrame, aliases: DataFrame | None = None) -> DataFrame:

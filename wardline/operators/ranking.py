@@ -28,7 +28,7 @@ def top_per_group(
 def dedup_findings(findings: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """One row per (cwe, file, line): highest confidence, the earliest of ties.
 
-    The first data flow of the group is kept, also from a row that loses. Both
+    ``seq`` is anything that has an order. The first data flow of the group is kept, also from a row that loses. Both
     picks are aggregates, so copies of one finding shrink before the shuffle.
     """
     group = {
@@ -37,12 +37,12 @@ def dedup_findings(findings: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         "_file": F.coalesce("file_path", F.lit("unknown")),
         "_line": F.coalesce("line_start", F.lit(0)),
     }
-    ordered = F.struct(F.coalesce("confidence", F.lit(0.0)).alias("c"), (-F.col("seq")).alias("s"))
+    ordered = F.struct((-F.coalesce("confidence", F.lit(0.0))).alias("c"), F.col("seq").isNull().alias("n"), "seq")
     flow_seq = F.when(F.col("data_flow").isNotNull(), F.col("seq"))
     picked = (
         findings.groupBy(*[c.alias(f"_k{i}") for i, c in enumerate(group.values())])
         .agg(
-            F.max_by(F.struct(*findings.columns), ordered).alias("_best"),
+            F.min_by(F.struct(*findings.columns), ordered).alias("_best"),
             F.min_by("data_flow", flow_seq).alias("_flow"),
         )
         .select("_best.*", "_flow")

@@ -19,6 +19,8 @@ class Rule:
     credential: bool = False
     # Literals a match cannot do without, lower case: one of every group must occur.
     needs: tuple[tuple[str, ...], ...] = ()
+    # The first group of the pattern is the name that title and description speak of.
+    names: bool = False
 
     @property
     def ignores_case(self) -> bool:
@@ -169,8 +171,10 @@ BENCHMARK_RULES = [
 ]
 
 SECRET_NAMES = (
-    "password|passwd|secret|api_key|apikey|token|auth_key|db_pass|private_key|access_key|secret_key"
+    "password", "passwd", "secret", "api_key", "apikey", "token", "auth_key", "db_pass", "private_key", "access_key", "secret_key",
 )
+SECRET_NAME = r"([\w$]*(?:" + "|".join(SECRET_NAMES) + r")[\w$]*)"
+SECRET_VALUE = r"\s*=\s*(?:\"[^\"]{6,}\"|'[^']{6,}')"
 
 # Line rules for scripts. Without a parser, multi-line and nested cases are missed.
 SCRIPT_RULES = [
@@ -224,26 +228,29 @@ SCRIPT_RULES = [
     ),
     Rule(
         "secret",
-        r"(?i)\b(?:const|let|var)\s+[\w$]*(?:" + SECRET_NAMES + r")[\w$]*\s*=\s*(?:\"[^\"]{6,}\"|'[^']{6,}')",
+        # any declarator of the statement, with or without a type
+        r"(?i)\b(?:const|let|var)\s+(?:[^;]*?,\s*)?" + SECRET_NAME + r"(?:\s*:\s*[^=;,]+?)?" + SECRET_VALUE,
         "Hardcoded Credentials",
         "CWE-798",
         "high",
-        "Hardcoded secret variable",
-        "Hardcoded secret embedded in source code. Secrets should be stored in environment variables or a secrets manager.",
+        "Hardcoded secret: {}",
+        "Hardcoded secret '{}' embedded in source code. Secrets should be stored in environment variables or a secrets manager.",
         "Store secrets in environment variables (process.env) or a secrets manager. Never commit credentials to source control.",
         0.90,
-        needs=(tuple(SECRET_NAMES.split("|")), QUOTES),
+        needs=(SECRET_NAMES, QUOTES),
+        names=True,
     ),
     Rule(
         "secret_member",
-        r"(?i)\.[\w$]*(?:" + SECRET_NAMES + r")[\w$]*\s*=\s*(?:\"[^\"]{6,}\"|'[^']{6,}')",
+        r"(?i)\." + SECRET_NAME + SECRET_VALUE,
         "Hardcoded Credentials",
         "CWE-798",
         "high",
-        "Hardcoded secret member",
-        "Hardcoded secret embedded in source code.",
+        "Hardcoded secret: {}",
+        "Hardcoded secret '{}' embedded in source code.",
         "Store secrets in environment variables or a secrets manager.",
         0.90,
-        needs=(tuple(SECRET_NAMES.split("|")), QUOTES),
+        needs=(SECRET_NAMES, QUOTES),
+        names=True,
     ),
 ]

@@ -181,19 +181,27 @@ def _(t: Tables):
     return detect.script_scan(spread(t.v_programs).where("language in ('javascript', 'typescript')")).select(*FOUND)
 
 
-@query(
-    "d05_secret_lines",
-    "with l as (select file_id, unnest(range(1, len(string_split(content, chr(10))) + 1)) as n, unnest(string_split(content, chr(10))) as line from v_programs),"
-    " m as (select *, regexp_extract(line, '(?i)(?:password|passwd|secret|api_key|apikey|token|auth_key)\\s*[:=]\\s*[''\"][^''\"]{8,}[''\"]') as hit from l)"
-    " select file_id, 'CWE-798' as cwe_id, cast(n as integer) as line_start, 0.85::double as confidence from m"
-    " where hit <> '' and not regexp_matches(hit, '\\$\\{[^}]+\\}') and not"
-    " (regexp_matches(line, '(?i)\\b(?:select|insert|update|delete|where|from|and|or)\\b') and"
-    " regexp_matches(line, '=\\s*[''\"][^''\"]*\\$\\{|=\\s*[''\"][^'']*:\\w'))",
-)
+def _secret_lines_sql(source: str) -> str:
+    return (
+        f"with l as (select file_id, unnest(range(1, len(string_split(content, chr(10))) + 1)) as n, unnest(string_split(content, chr(10))) as line from {source}),"
+        " m as (select *, regexp_extract(line, '(?i)(?:password|passwd|secret|api_key|apikey|token|auth_key)\\s*[:=]\\s*[''\"][^''\"]{8,}[''\"]') as hit from l)"
+        " select file_id, 'CWE-798' as cwe_id, cast(n as integer) as line_start, 0.85::double as confidence from m"
+        " where hit <> '' and not regexp_matches(hit, '\\$\\{[^}]+\\}') and not"
+        " (regexp_matches(line, '(?i)\\b(?:select|insert|update|delete|where|from|and|or)\\b') and"
+        " regexp_matches(line, '=\\s*[''\"][^''\"]*\\$\\{|=\\s*[''\"][^'']*:\\w'))"
+    )
+
+
+@query("d05_secret_lines", _secret_lines_sql("v_programs"))
 def _(t: Tables):
     return detect.secret_lines(spread(t.v_programs)).select("file_id", "cwe_id", "line_start", "confidence")
 
 
+@query("d05_secret_lines_documents", _secret_lines_sql("v_code_files"))
+def _(t: Tables):
+    return detect.secret_lines(spread(t.v_code_files)).select("file_id", "cwe_id", "line_start", "confidence")
+
+
 SOURCE_SQL = (
     "select a.file_id, a.node, a.expr, a.line, case when expr = 'req.query.id' then 'req.query' when expr = 'req.body' then 'req.body'"
     " when expr = 'request.params.name' then 'request.params' when expr = 'process.argv' then 'process.argv'"

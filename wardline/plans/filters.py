@@ -38,11 +38,14 @@ def _(t: Tables):
 
 @query(
     "p03_search_literal_wildcards",
-    "select article_id, title from v_kb_articles where contains(lower(title), '_') or contains(lower(slug), '%')",
+    "with a as (select article_id, slug, case article_id % 7 when 0 then concat(title, ' 5%') when 1 then concat(title, ' a_b') else title end as title"
+    " from v_kb_articles) select article_id, title from a where contains(title, '_') or contains(title, '%')",
 )
 def _(t: Tables):
-    hits = filters.matches_term("_", ["title"]) | filters.matches_term("%", ["slug"])
-    return t.v_kb_articles.where(hits).select("article_id", "title")
+    kind = F.col("article_id") % 7
+    title = F.when(kind == 0, F.concat("title", F.lit(" 5%"))).when(kind == 1, F.concat("title", F.lit(" a_b"))).otherwise(F.col("title"))
+    hits = filters.matches_term("_", ["title"]) | filters.matches_term("%", ["title", "slug"])
+    return t.v_kb_articles.withColumn("title", title).where(hits).select("article_id", "title")
 
 
 @query(

@@ -115,10 +115,10 @@ def _(t: Tables):
 
 @query(
     "j08_merge_enriched",
-    "with " + ENRICHED + ", latest as (select file_path, line_start, vulnerability_type, arg_max(explanation, enriched_seq) as e"
-    " from enriched group by 1, 2, 3)"
+    "with " + ENRICHED + ", latest as (select analysis_id, file_path, line_start, vulnerability_type, arg_max(explanation, enriched_seq) as e"
+    " from enriched group by 1, 2, 3, 4)"
     " select f.finding_id, coalesce(l.e, f.explanation) as explanation from v_findings f left join latest l"
-    " on f.file_path = l.file_path and f.line_start = l.line_start and f.severity = l.vulnerability_type",
+    " on f.analysis_id = l.analysis_id and f.file_path = l.file_path and f.line_start = l.line_start and f.severity = l.vulnerability_type",
 )
 def _(t: Tables):
     findings = t.v_findings.withColumn("vulnerability_type", F.col("severity"))
@@ -137,12 +137,14 @@ def _sql_map(table: dict, default: str) -> str:
         knowledge.EXPLANATIONS, "concat('A ', severity, ' severity vulnerability was detected: ', 'T ', file_path)"
     ) + " as kb_explanation, "
     + _sql_map(knowledge.IMPACTS, f"'{knowledge.DEFAULT_IMPACT}'") + " as kb_impact, "
-    + _sql_map(knowledge.FIXES, f"'{knowledge.DEFAULT_FIX}'") + " as kb_fix from v_findings",
+    + _sql_map(knowledge.FIXES, f"'{knowledge.DEFAULT_FIX}'") + " as kb_fix, "
+    + _sql_map({cwe: " ".join(links) for cwe, links in knowledge.REFERENCES.items()}, "''") + " as kb_references from v_findings",
 )
 def _(t: Tables):
     findings = t.v_findings.withColumn("title", F.concat(F.lit("T "), "file_path"))
     return joins.explain_from_kb(findings).select(
-        "finding_id", "vulnerability_name", "kb_explanation", "kb_impact", "kb_fix"
+        "finding_id", "vulnerability_name", "kb_explanation", "kb_impact", "kb_fix",
+        F.array_join("kb_references", " ").alias("kb_references"),
     )
 
 
@@ -163,30 +165,40 @@ def _(t: Tables):
     return joins.missing_fixes(t.v_findings.select("finding_id", "severity"), t.v_fixes)
 
 
+# Two scans hold a file of the same path, with other lines and other findings.
 LINES = (
-    "with files as (select file_path, string_split(content, chr(10)) as ls from v_code_files),"
-    " lines as (select file_path, unnest(range(1, len(ls) + 1)) as line_no, unnest(ls) as line from files),"
-    " marks as (select doc_id as finding_id, concat(source, '/', cast(doc_id as varchar), '.', lang) as file_path,"
+    "with files as (select file_id % 2 as analysis_id, concat('src/', cast(file_id // 2 as varchar)) as file_path, string_split(content, chr(10)) as ls from v_code_files),"
+    " lines as (select analysis_id, file_path, unnest(range(1, len(ls) + 1)) as line_no, unnest(ls) as line from files),"
+    " marks as (select doc_id as finding_id, doc_id % 2 as analysis_id, concat('src/', cast(doc_id // 2 as varchar)) as file_path,"
     " case when doc_id % 4 = 0 then 'high' else 'low' end as severity,"
     " 1 + doc_id % 3 as line_start, case when doc_id % 5 = 0 then null else doc_id % 7 end as line_end from documents)"
 )
 
 
+def _shared_path(doc_id: str) -> dict:
+    return {
+        "analysis_id": F.col(doc_id) % 2,
+        "file_path": F.concat(F.lit("src/"), F.floor(F.col(doc_id) / 2).cast("string")),
+    }
+
+
 @query(
     "j12_annotate_lines",
-    LINES + " select l.file_path, cast(l.line_no as integer) as line_no, md5(l.line) as line_md5, m.finding_id, m.severity from lines l left join marks m"
-    " on l.file_path = m.file_path and (l.line_no = m.line_start or l.line_no between m.line_start and m.line_end)",
+    LINES + " select l.analysis_id, l.file_path, cast(l.line_no as integer) as line_no, md5(l.line) as line_md5, m.finding_id, m.severity from lines l left join marks m"
+    " on l.analysis_id = m.analysis_id and l.file_path = m.file_path and (l.line_no = m.line_start or l.line_no between m.line_start and m.line_end)",
 )
 def _(t: Tables):
-    findings = t.documents.select(
+    files = t.v_code_files.withColumns(_shared_path("file_id"))
+    findings = t.documents.withColumns(_shared_path("doc_id")).select(
+        "analysis_id",
+        "file_path",
         F.col("doc_id").alias("finding_id"),
-        F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), "lang").alias("file_path"),
         F.when(F.col("doc_id") % 4 == 0, "high").otherwise("low").alias("severity"),
         (F.col("doc_id") % 3 + 1).cast("int").alias("line_start"),
         F.when(F.col("doc_id") % 5 != 0, F.col("doc_id") % 7).cast("int").alias("line_end"),
     )
-    return joins.annotate_lines(t.v_code_files, findings).select(
-        "file_path", "line_no", F.md5("line").alias("line_md5"), "finding_id", "severity"
+    return joins.annotate_lines(files, findings).select(
+        "analysis_id", "file_path", "line_no", F.md5("line").alias("line_md5"), "finding_id", "severity"
     )
 
 
