@@ -261,7 +261,9 @@ def shared_tokens(prefix: DataFrame, bins: int) -> DataFrame:
 
 def postings(prefix: DataFrame, bins: int) -> DataFrame:
     """(node, n, token, band) of every prefix shingle that several classes have; no other can ever bring two together."""
-    known = shared(prefix.sparkSession, Bitmap.of(shared_tokens(prefix, bins), "token"))
+    # written first: two Arrow functions in one stage would take two workers per core
+    tokens = cut_lineage(shared_tokens(prefix, bins), "tokens")
+    known = shared(prefix.sparkSession, Bitmap.of(tokens, "token"))
 
     def run(batches):
         bitmap = known()
