@@ -85,6 +85,40 @@ def test_jaccard_cases(spark):
     assert jaccard.similarity_components(documents(spark).limit(0)).count() == 0
 
 
+def brute_links(rows):
+    """Linked pairs of classes by name, and doc_id -> (name of the class, number of linked rows)."""
+    sets = [frozenset(s) for s in brute_sets([t for _, t in rows])]
+    link = lambda x, y: bool(x and y) and 100 * len(x & y) >= 75 * len(x | y)
+    many, names = {}, {}
+    for (d, _), s in zip(rows, sets):
+        many[s] = many.get(s, 0) + 1
+        names[s] = min((x for x in (d, names.get(s)) if x is not None), default=None)
+    kinds = list(many)
+    near = {x: [y for y in kinds if y is not x and link(x, y)] for x in kinds}
+    pairs = sorted(tuple(sorted((names[x], names[y]))) for i, x in enumerate(kinds) for y in kinds[:i] if link(x, y))
+    members = [((d is None, d or 0), names[s] if s else d, many[s] - 1 + sum(many[y] for y in near[s]) if s else 0) for (d, _), s in zip(rows, sets)]
+    return pairs, sorted(members, key=str)
+
+
+@pytest.mark.parametrize("cell", [3, 256])
+def test_links_inside_components_as_brute_force(spark, monkeypatch, cell):
+    """Every link of two texts counts, also between members of one family."""
+    monkeypatch.setattr(jaccard, "CELL", cell)
+    rows = jaccard_rows(3)
+    pairs, members = jaccard.similarity_links(spark.createDataFrame(rows, "doc_id long, text string"))
+    want_pairs, want_members = brute_links(rows)
+    assert sorted(map(tuple, pairs.collect())) == want_pairs and len(want_pairs) > 100
+    members = members.collect()
+    assert sorted((((r.doc_id is None, r.doc_id or 0), r.class_id, r.n_links) for r in members), key=str) == want_members
+    got = sorted((((r.doc_id is None, r.doc_id or 0), r.n_shingles, r.component_id) for r in members), key=str)
+    assert got == sorted(brute_components(rows), key=str)
+
+
+def test_links_of_nothing(spark):
+    pairs, members = jaccard.similarity_links(documents(spark).limit(0))
+    assert pairs.count() == members.count() == 0
+
+
 def test_bits_bound_overlap():
     rng = np.random.default_rng(0)
     for n in (1, 3, 40, 700):

@@ -19,6 +19,12 @@ sorted arrays.
 No link between different families is lost, and links inside a family don't change
 the components. A shingle is a 64-bit hash, a class 64 bits of a digest.
 
+The links themselves (``similarity_links``) follow from the components, as a link
+never leaves one: the classes of a component are dealt into blocks, and two blocks
+that share a prefix shingle meet in a cell, where every pair with a common prefix
+shingle is tested by its exact sets. All of a pair's shingles lie in one cell, so it
+is tested once.
+
 Defined cases: a null text, or one without words, has an empty set and links with
 nothing; a text of fewer words than a shingle is one shingle; rows equal in text
 always link; rows without an id take part, but no component is named after them;
@@ -45,6 +51,8 @@ PERCENT = 75
 STARS = 6
 LOG2_SKETCH = 20
 BLOCK = 2048
+#: Classes of a component in each block of a cell.
+CELL = 256
 #: First size of each band; sizes that can link lie in the same band or in neighbouring ones.
 BANDS = np.unique(np.ceil((4 / 3) ** np.arange(1, 160)).astype(np.float64))
 
@@ -177,10 +185,9 @@ def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.select("a", "b", "na", "xa", "nb", "xb").mapInArrow(run, "a long, b long")
 
 
-def linked(pairs: DataFrame, documents: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that link, by exact intersection. Only the sets of classes in a pair move."""
-    pairs = cut_lineage(pairs, "pairs")
-    wanted = shared(documents.sparkSession, Bitmap.of(pairs.select(F.explode(F.array("a", "b")).alias("node")), "node", 24))
+def sets_of(documents: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, hashes): the packed set of each class in ``nodes`` (node), once; no other set moves."""
+    wanted = shared(documents.sparkSession, Bitmap.of(nodes, "node", 24))
 
     def sets(batches):
         known, sent = wanted(), set()
@@ -194,6 +201,14 @@ def linked(pairs: DataFrame, documents: DataFrame) -> DataFrame:
                     found.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(found, pa.binary())], names=["node", "hashes"])
 
+    found = documents.select(F.col("text").cast("string")).mapInArrow(sets, "node long, hashes binary").dropDuplicates(["node"])
+    return cut_lineage(found.join(nodes.distinct(), "node", "left_semi"), "found")
+
+
+def linked(pairs: DataFrame, documents: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that link, by exact intersection. Only the sets of classes in a pair move."""
+    pairs = cut_lineage(pairs, "pairs")
+
     def test(batches):
         for batch in batches:
             keep = []
@@ -205,9 +220,7 @@ def linked(pairs: DataFrame, documents: DataFrame) -> DataFrame:
                 keep.append(100 * common >= PERCENT * (len(both) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    found = documents.select(F.col("text").cast("string")).mapInArrow(sets, "node long, hashes binary").dropDuplicates(["node"])
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    found = cut_lineage(found.join(ends, "node", "left_semi"), "found")
+    found = sets_of(documents, pairs.select(F.explode(F.array("a", "b")).alias("node")))
     x = found.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
     y = found.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
@@ -358,13 +371,97 @@ def merged(families: DataFrame, links: DataFrame) -> DataFrame:
     return cut_lineage(families.join(roots, "family", "left").select("node", F.coalesce("root", "family").alias("family")), "families", outlives=True)
 
 
+def inner_links(posted: DataFrame, families: DataFrame, documents: DataFrame, bins: int) -> DataFrame:
+    """(a, b), a < b: every pair of classes that link, once. The families must be whole components."""
+    blocks = families.groupBy("family").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks"), F.count("*").alias("m")).filter("m > 1")
+    rows = posted.select("node", "token").join(families, "node").join(blocks.drop("m"), "family")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    with_ = rows.groupBy("token", "family").agg(F.collect_set("block").alias("present"), F.min("node").alias("n0"), F.max("node").alias("n1"))
+    with_ = with_.filter("n0 <> n1").drop("n0", "n1")
+    rows = rows.join(with_, ["token", "family"]).withColumn("with", F.explode("present"))
+    cell = F.xxhash64("family", F.least("block", "with"), F.greatest("block", "with"))
+    side = (F.col("block") != F.col("with")).cast("int") * (1 + (F.col("block") > F.col("with")).cast("int"))
+    rows = rows.select(F.pmod(cell, F.lit(bins)).cast("int").alias("bin"), cell.alias("cell"), side.alias("side"), "token", "node")
+    rows = cut_lineage(rows, "cells")
+    ends = rows.select(F.col("bin").alias("to"), "node").distinct()
+    sets = sets_of(documents, ends.select("node")).join(ends, "node").select("to", "node", "hashes")
+
+    def meet(cells, found):
+        known = {k.as_py(): np.frombuffer(v.as_buffer(), np.uint64) for k, v in zip(found["node"], found["hashes"])}
+        cell = cells["cell"].to_numpy()
+        order = np.argsort(cell, kind="stable")
+        cell, side, token, node = cell[order], *(cells[c].to_numpy()[order] for c in ("side", "token", "node"))
+        starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else []
+        out = [np.zeros((0, 2), np.int64)]
+        for low, high in zip(starts, [*starts[1:], len(cell)]):
+            out.append(_cell(side[low:high], token[low:high], node[low:high], known))
+        pairs = np.concatenate(out)
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+    return rows.groupBy("bin").cogroup(sets.groupBy("to")).applyInArrow(meet, "a long, b long")
+
+
+def _cell(side: np.ndarray, token: np.ndarray, node: np.ndarray, known: dict[int, np.ndarray]) -> np.ndarray:
+    """The linked pairs of a cell among those with a common token; two blocks only meet each other."""
+    names, node = np.unique(node, return_inverse=True)
+    sizes = np.array([len(known[x]) for x in names.tolist()])
+    order = np.argsort(token, kind="stable")
+    side, token, node = side[order], token[order], node[order]
+    met = np.zeros((len(names), len(names)), bool)
+    for lag in range(1, len(token)):
+        i = np.flatnonzero(token[lag:] == token[:-lag])
+        if not len(i):
+            break
+        i = i[(side[i] == 0) | (side[i] != side[i + lag])]
+        met[np.minimum(node[i], node[i + lag]), np.maximum(node[i], node[i + lag])] = True
+    met &= np.minimum.outer(sizes, sizes) * 100 >= np.maximum.outer(sizes, sizes) * PERCENT
+    np.fill_diagonal(met, False)
+    out = [np.zeros((0, 2), np.int64)]
+    for i in np.flatnonzero(met.any(axis=1)):
+        partners = np.flatnonzero(met[i])
+        own, others = known[int(names[i])], np.concatenate([known[x] for x in names[partners].tolist()])
+        hit = own[np.minimum(np.searchsorted(own, others), len(own) - 1)] == others
+        common = np.add.reduceat(hit.astype(np.int64), np.r_[0, np.cumsum(sizes[partners])[:-1]])
+        partners = partners[100 * common >= PERCENT * (sizes[i] + sizes[partners] - common)]
+        out.append(np.stack([np.full(len(partners), names[i]), names[partners]], axis=1))
+    return np.concatenate(out)
+
+
 def similarity_components(documents: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row; the component is named by its smallest doc_id."""
     with scratch_scope(documents.sparkSession, "jaccard"):
-        return cut_lineage(_components(documents), "components", outlives=True)
+        rows, _, families = _components(documents)
+        return cut_lineage(_named(rows, families).select("doc_id", "n_shingles", "component_id"), "components", outlives=True)
+
 
+def similarity_links(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The whole join: the linked pairs of classes, and each row with its class and number of links.
 
-def _components(documents: DataFrame) -> DataFrame:
+    The pairs are (class_a, class_b), each once, the smaller name first; a class is
+    named by its smallest doc_id, and has a null name if no row of it has an id. The
+    rows are (doc_id, n_shingles, component_id, class_id, n_links), where n_links counts
+    the other rows that the row links with, those of its own class among them.
+    """
+    with scratch_scope(documents.sparkSession, "jaccard"):
+        rows, posted, families = _components(documents)
+        with scratch_scope(documents.sparkSession, "cells"):
+            links = cut_lineage(inner_links(posted, families, documents, bins_of(documents.sparkSession)), "links", outlives=True)
+        classes = cut_lineage(rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("m")), "named")
+        of = lambda end: classes.select(F.col("node").alias(end), F.col("class_id").alias(f"c{end}"))
+        pairs = links.join(of("a"), "a").join(of("b"), "b")
+        class_b = F.when(F.col("ca").isNotNull() & F.col("cb").isNotNull(), F.greatest("ca", "cb"))
+        pairs = pairs.select(F.least("ca", "cb").alias("class_a"), class_b.alias("class_b"))
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = both.join(classes.select(F.col("node").alias("b"), "m"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("m").alias("near"))
+        members = _named(rows, families).join(classes, "node", "left").join(near, "node", "left")
+        n_links = F.coalesce(F.col("m") - 1, F.lit(0)) + F.coalesce("near", F.lit(0))
+        class_id = F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id"))
+        members = members.select("doc_id", "n_shingles", "component_id", class_id.alias("class_id"), n_links.alias("n_links"))
+        return cut_lineage(pairs, "class_pairs", outlives=True), cut_lineage(members, "members", outlives=True)
+
+
+def _components(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows as described, the postings, and the component of each class as its family."""
     spark = documents.sparkSession
     rows, levels = describe(documents)
     classes = cut_lineage(
@@ -380,7 +477,12 @@ def _components(documents: DataFrame) -> DataFrame:
     for best in (True, True, False):
         with scratch_scope(spark, "tiles"):
             families = merged(families, linked(tile_pairs(posted, families, classes, bins, best), documents))
+    return rows, posted, families
+
+
+def _named(rows: DataFrame, families: DataFrame) -> DataFrame:
+    """(node, doc_id, n_shingles, component_id) of each row."""
     rows = rows.join(families, "node", "left")
     names = rows.filter("family is not null").groupBy("family").agg(F.min("doc_id").alias("component_id"))
     rows = rows.join(names, "family", "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows.select("node", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

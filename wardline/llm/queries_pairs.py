@@ -25,6 +25,35 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similarity_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+SETS_SQL = r"""
+with recursive d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+ '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+ g as (select distinct doc_id, list_slice(w, s, s + 4) as t from (select doc_id, w, unnest(range(1, 1 + greatest(len(w) - 4, 1))) as s from d where len(w) > 0)),
+ n as (select doc_id, count(*) as n from g group by 1),
+ common as (select a.doc_id as x, b.doc_id as y, count(*) as c from g a join g b on a.t = b.t where a.doc_id <> b.doc_id group by 1, 2),
+ link as (select x, y, c = a.n and c = b.n as same from common join n a on x = a.doc_id join n b on y = b.doc_id where 100 * c >= 75 * (a.n + b.n - c)),
+ named as (select n.doc_id, least(n.doc_id, coalesce(min(y) filter (where same), n.doc_id)) as class_id from n left join link on x = n.doc_id group by n.doc_id),
+"""
+PAIRS_SQL = SETS_SQL + """
+ heads as (select doc_id from named where doc_id = class_id)
+select x as class_a, y as class_b from link where x < y and x in (select doc_id from heads) and y in (select doc_id from heads)"""
+MEMBERS_SQL = SETS_SQL + """
+ reach as (select doc_id as x, doc_id as y from documents union select r.x, link.y from reach r join link on r.y = link.x),
+ many as (select x, count(*) as m from link group by 1)
+select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, r.c as component_id, coalesce(class_id, d.doc_id) as class_id, cast(coalesce(m, 0) as bigint) as n_links
+from d left join n using (doc_id) left join named using (doc_id) left join many on many.x = d.doc_id join (select x, min(y) as c from reach group by 1) r on r.x = d.doc_id"""
+
+
+@query("op7_jaccard_pairs", PAIRS_SQL)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similarity_links(spark.read.parquet(f"{sf_dir}/documents.parquet"))[0]
+
+
+@query("op7_jaccard_members", MEMBERS_SQL)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similarity_links(spark.read.parquet(f"{sf_dir}/documents.parquet"))[1]
+
+
 SUBSTRING_SQL = r"""
 with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
  win as (select doc_id, s, hash(list_slice(w, s, s + 34)) as h, list_slice(w, s, s + 34) as t from (select doc_id, w, unnest(range(1, len(w) - 33)) as s from d where len(w) >= 35)),
