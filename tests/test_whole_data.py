@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 from wardline.functions import jsonx, text
 from wardline.operators import maintenance, prefix, pyfacts, repair
+from wardline.plans import catalog
 from wardline.sources import corpus, tables
 
+SF_DIR = "/root/testdata/sf0.01"
+
 
 def test_merge_keeps_types(spark):
     docs = ['{"a":1,"b":{"c":[1,2.5,null]},"d":true,"e":null,"k":"old"}', "not json", "[1]", None, "{}"]
@@ -94,3 +97,13 @@ def test_bad_members_are_rows(spark):
     assert {(r.archive, r.name) for r in rows if r.error} == {("hurt", "b.py"), ("none", None)}
     kept = {(r.archive, r.file_path) for r in corpus.expand_archives(archives).collect()}
     assert kept == {("ok", n) for n in ("a.py", "b.py", "c.py")} | {("hurt", "a.py"), ("hurt", "c.py")}
+
+
+def test_upsert_keeps_every_enrollment(spark):
+    given = spark.read.parquet(f"{SF_DIR}/customer.parquet").select(F.col("c_nationkey").alias("class_id"), F.col("c_custkey").alias("student_id"))
+    out = catalog.QUERIES["m01_enrollment_upsert_whole"](spark, SF_DIR)
+    assert given.join(out, ["class_id", "student_id"], "left_anti").isEmpty()
+    # both an insert and an update must occur
+    changes = spark.read.parquet(f"{SF_DIR}/events.parquet").select((F.col("user_id") % 5).alias("class_id"), F.col("user_id").alias("student_id"))
+    assert not out.join(given, ["class_id", "student_id"], "left_anti").isEmpty()
+    assert not given.join(changes, ["class_id", "student_id"], "left_semi").isEmpty()
