@@ -107,3 +107,13 @@ def test_upsert_keeps_every_enrollment(spark):
     changes = spark.read.parquet(f"{SF_DIR}/events.parquet").select((F.col("user_id") % 5).alias("class_id"), F.col("user_id").alias("student_id"))
     assert not out.join(given, ["class_id", "student_id"], "left_anti").isEmpty()
     assert not given.join(changes, ["class_id", "student_id"], "left_semi").isEmpty()
+
+
+def test_sources_of_every_line(spark):
+    """A file whose only request input is on its third line or later has a source."""
+    kind = F.col("l_suppkey") % 7
+    lines = spark.read.parquet(f"{SF_DIR}/lineitem.parquet").withColumn("input", kind <= 3)
+    late = lines.groupBy("l_orderkey").agg(F.min(F.when(F.col("input"), F.col("l_linenumber"))).alias("first")).filter("first > 2")
+    out = catalog.QUERIES["d06a_match_sources_whole"](spark, SF_DIR)
+    assert late.count() > 0
+    assert late.join(out, late.l_orderkey == out.file_id, "left_anti").isEmpty()

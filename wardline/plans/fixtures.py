@@ -317,6 +317,7 @@ VIEWS["v_accesses"] = (
         "line": "cast(l_quantity as int)",
     },
 )
+VIEWS["v_accesses_whole"] = ("lineitem", VIEWS["v_accesses"][1])
 VIEWS["v_aliases"] = (
     "orders where o_orderkey % 2 = 0",
     {"file_id": "o_orderkey", "alias": "'r'"},
