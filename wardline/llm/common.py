@@ -34,6 +34,18 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` doesn't have, however it spells them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def bins_of(spark: SparkSession) -> int:
     """Number of bins for packed rows: as many as shuffle partitions, which follow the input."""
     return max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))

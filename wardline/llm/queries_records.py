@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import chat, warc
+from . import chat, packing, warc
 from .registry import query
 
 EXTRA = (-7, ("user", "assistant"), "\\### Assistant: </turn> ok")
@@ -72,3 +72,9 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     rows = warc.read_archives(spark, path)
     return rows.select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), F.col("refers_page").alias("refers_to"), "intact")
+
+
+@query("op13_best_fit")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return packing.pack(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))

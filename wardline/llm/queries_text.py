@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, pii
+from . import bpe, decontam, langid, pii, runs
 from .registry import query
 
 
@@ -83,3 +83,28 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("found", lambda x: x["base"])
     count = lambda kind: F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return rows.select("doc_id", *map(count, pii.BASE), F.sha2(written(base), 256).alias("base_sha256"), written(F.col("found")).alias("spans"))
+
+
+def with_periods(documents: DataFrame) -> DataFrame:
+    """``documents`` with texts of a tenth of the ids made periodic: from word a on, word i is the word at a + (i - a) % p."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    rows = documents.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("w"))
+    n, g = F.size("w"), F.col("g")
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    made = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("w", F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")))
+    return rows.select("doc_id", F.when(F.coalesce(n, F.lit(0)) > 0, F.array_join(made, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = runs.periodic_runs(with_periods(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("l"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    written = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return rows.withColumn("top", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("top.s")).alias("start"), F.col("top.l").alias("length"), (-F.col("top.p")).alias("period"),
+        F.floor(1000 * F.col("top.l") / -F.col("top.p")).alias("exponent_milli"),
+        F.sha2(F.array_join(written, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
