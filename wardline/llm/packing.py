@@ -24,12 +24,12 @@ kept as they are (a column that has the name of a result is replaced).
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,44 +43,64 @@ CAPACITY = 1024
 PART_ROWS = 4096
 #: Characters that are encoded at once, up to the next place where a cut changes nothing.
 STRETCH = 1 << 16
-#: Pre-tokens that a worker remembers, and the longest of them in characters.
-CACHE_ENTRIES, CACHE_CHARS = 1 << 17, 64
+#: Pre-tokens that a worker remembers, and their characters in all.
+CACHE_ENTRIES, CACHE_CHARS = 1 << 19, 1 << 24
 #: Bytes of ids in an Arrow batch.
 BATCH_BYTES = 1 << 20
 
-#: The pre-token pattern of byte_bpe_50k.json (fixed value).
-PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Characters whose classes are the same in every Unicode version: Latin, Cyrillic, kana, Han, usual marks.
-STABLE = regex.compile("[\t\n\r\x20-\x7e\xa1-ɏЀ-џ‐-‧‰-⁞、-〃ぁ-ゖァ-ヺ一-龥]*")
-CUT = regex.compile("(?<=[!-~\xa1-ɏЀ-џ一-龥])(?=[ \n])")
+#: Letters and numbers whose classes are the same in every Unicode version (Latin, Cyrillic, kana, Han), and the texts
+#: made of them, ASCII and usual marks.
+LETTER, NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ɏЀ-ҁҊ-ԯぁ-ゖァ-ヺ一-龥", "0-9²³¹¼-¾"
+STABLE = re.compile(f"[\t\n\r -~¡-¬®-¿×÷‐-‧‰-⁞、-〃{LETTER}]*")
+#: The pre-token pattern of byte_bpe_50k.json over such texts.
+PRE_TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+")
+CUT = re.compile(f"(?<=[!-~{LETTER}])(?=[ \n])")
 
 _built: dict[bytes, PreTokens] = {}
 
 
-class PreTokens(dict):
-    """Ids of pre-tokens as little-endian 32-bit bytes, filled by the tokenizer on demand."""
+class PreTokens:
+    """Ids of pre-tokens as little-endian 32-bit bytes, filled by the tokenizer as texts need them."""
 
     def __init__(self, vocabulary: bytes):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary.decode())
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.known: dict[str, bytes] = {}
+        self.size = 0
 
     def library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.library(piece)
-        if len(piece) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[piece] = ids
-        return ids
+    def learn(self, pieces: set[str]) -> None:
+        """Encode pre-tokens in one call: a line feed between two of them is a pre-token of its own."""
+        visible = [p for p in pieces if not p.isspace()]
+        self.size += sum(map(len, pieces))
+        for p in pieces.difference(visible):
+            self.known[p] = self.library(p)
+        if visible:
+            encoded = self.tokenizer.encode("\n".join(visible), add_special_tokens=False)
+            word = np.array(encoded.word_ids)
+            bounds = np.searchsorted(word, np.arange(0, 2 * len(visible), 2)), np.searchsorted(word, np.arange(1, 2 * len(visible), 2))
+            ids = np.array(encoded.ids, "<u4").tobytes()
+            for p, a, b in zip(visible, *(4 * x for x in bounds)):
+                self.known[p] = ids[a:b]
 
     def encode(self, text: str) -> bytes:
         out = []
         for part in stretches(text):
-            out += map(self.__getitem__, PRE_TOKEN.findall(part)) if STABLE.fullmatch(part) else [self.library(part)]
+            if not STABLE.fullmatch(part):
+                out.append(self.library(part))
+                continue
+            found = PRE_TOKEN.findall(part)
+            fresh = set(found).difference(self.known)
+            if fresh:
+                if len(self.known) + len(fresh) > CACHE_ENTRIES or self.size > CACHE_CHARS:
+                    self.known.clear()
+                    self.size, fresh = 0, set(found)
+                self.learn(fresh)
+            out.append(b"".join(map(self.known.__getitem__, found)))
         return b"".join(out)
 
 
