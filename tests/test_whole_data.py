@@ -101,7 +101,7 @@ def test_bad_members_are_rows(spark):
 
 def test_upsert_keeps_every_enrollment(spark):
     given = spark.read.parquet(f"{SF_DIR}/customer.parquet").select(F.col("c_nationkey").alias("class_id"), F.col("c_custkey").alias("student_id"))
-    out = catalog.QUERIES["m01_enrollment_upsert_whole"](spark, SF_DIR)
+    out = catalog.QUERIES["m01_enrollment_upsert"](spark, SF_DIR)
     assert given.join(out, ["class_id", "student_id"], "left_anti").isEmpty()
     # both an insert and an update must occur
     changes = spark.read.parquet(f"{SF_DIR}/events.parquet").select((F.col("user_id") % 5).alias("class_id"), F.col("user_id").alias("student_id"))
@@ -114,6 +114,6 @@ def test_sources_of_every_line(spark):
     kind = F.col("l_suppkey") % 7
     lines = spark.read.parquet(f"{SF_DIR}/lineitem.parquet").withColumn("input", kind <= 3)
     late = lines.groupBy("l_orderkey").agg(F.min(F.when(F.col("input"), F.col("l_linenumber"))).alias("first")).filter("first > 2")
-    out = catalog.QUERIES["d06a_match_sources_whole"](spark, SF_DIR)
+    out = catalog.QUERIES["d06a_match_sources"](spark, SF_DIR)
     assert late.count() > 0
     assert late.join(out, late.l_orderkey == out.file_id, "left_anti").isEmpty()

@@ -166,34 +166,59 @@ def missing_fixes(candidates: DataFrame, fixes: DataFrame) -> DataFrame:
 def annotate_lines(files: DataFrame, findings: DataFrame, content: str = "content") -> DataFrame:
     """Every code line with each finding of its scan that covers it; lines without one are kept.
 
-    Ranges are clamped to the file before they are unrolled, so a wrong end line
-    cannot blow up the join; the join itself is an equi-join.
+    An interval join by dyadic blocks. Ranges are clamped to the file, and a range of n
+    lines becomes at most 2 * log2(n) aligned blocks of 2**k lines, not n rows. A line looks
+    for the block of each size that it lies in, of the sizes that its file's findings have.
     """
     key = ["analysis_id", "file_path"]
     sizes = files.select(*key, F.size(F.split(content, "\n")).alias("_lines"))
     last = F.greatest(F.col("line_start"), F.coalesce("line_end", "line_start"))
-    covered = (
-        findings.join(sizes, key)
-        .where(F.col("line_start") <= F.col("_lines"))
-        .withColumn("line_no", F.explode(F.sequence(F.col("line_start"), F.least(last, "_lines"))))
-        .select(*key, "line_no", "finding_id", "severity")
-    )
+    covered = findings.join(sizes, key).where("line_start <= _lines")
+    covered = covered.withColumns({"_first": F.greatest("line_start", F.lit(1)), "_last": F.least(last, "_lines")})
+    blocks = covered.select(*key, "finding_id", "severity", F.explode(dyadic_blocks("_first", "_last")).alias("_b"))
+    blocks = blocks.select(*key, "finding_id", "severity", F.col("_b.size").alias("_size"), F.col("_b.number").alias("_number"))
+    present = blocks.groupBy(*key).agg(F.collect_set("_size").alias("_sizes"))
     lines = files.select(*key, F.posexplode(F.split(content, "\n")).alias("_pos", "line")).select(
         *key, (F.col("_pos") + 1).alias("line_no"), "line"
     )
-    return lines.join(covered, [*key, "line_no"], "left")
+    sought = lines.join(present, key).select(*key, "line_no", F.explode("_sizes").alias("_size"))
+    sought = sought.withColumn("_number", F.expr("shiftright(line_no, _size)"))
+    found = sought.join(blocks, [*key, "_size", "_number"]).select(*key, "line_no", "finding_id", "severity")
+    return lines.join(found, [*key, "line_no"], "left")
+
+
+def dyadic_blocks(first: str, last: str) -> Column:
+    """The fewest aligned blocks (size, number) that make up the lines ``first`` to ``last``: lines number * 2**size and on.
+
+    Level by level the range is cut at its ends to whole blocks of the next level: a block
+    goes out on the left where the first one is odd, on the right where the last one is even.
+    """
+    def level(k: Column) -> Column:
+        # blocks of 2**k lines that lie in the range, without those that larger blocks take
+        low = F.call_function("shiftright", F.col(first) + F.call_function("shiftleft", F.lit(1), k) - 1, k)
+        high = F.call_function("shiftright", F.col(last) + 1, k) - 1
+        block = lambda test, n: F.when((low <= high) & test, F.struct(k.alias("size"), n.alias("number")))
+        left = block(low % 2 == 1, low)
+        right = block((high % 2 == 0) & ((low < high) | (low % 2 == 0)), high)
+        return F.array(left, right)
+
+    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(29)), level)), lambda b: b.isNotNull())
 
 
 def file_findings(files: DataFrame, findings: DataFrame) -> DataFrame:
-    """Findings whose path equals or ends with a file's name, within one scan."""
-    def base(path: str) -> Column:
-        return F.substring_index(path, "/", -1)
-
-    left = files.select("analysis_id", F.col("file_name").alias("current_file"), base("file_name").alias("_base"))
-    right = findings.withColumn("_base", base("file_path"))
-    return left.join(right, ["analysis_id", "_base"]).where(
-        F.col("file_path").endswith(F.col("current_file"))
-    ).drop("_base")
+    """Findings whose path equals or ends with a file's name, within one scan.
+
+    A suffix join by length: a path is cut to each length that a name of its scan has, so
+    the join is one of equal texts and makes no pair that doesn't match. Paths repeat over
+    findings, so each distinct path is cut once.
+    """
+    names = files.select("analysis_id", F.col("file_name").alias("current_file")).withColumn("_size", F.length("current_file"))
+    sizes = names.select("analysis_id", "_size").distinct()
+    paths = findings.select("analysis_id", "file_path").distinct().join(sizes, "analysis_id").where(F.length("file_path") >= F.col("_size"))
+    ends = paths.withColumn("current_file", F.right("file_path", F.col("_size")))
+    matched = ends.join(names, ["analysis_id", "current_file"]).select("analysis_id", "file_path", "current_file")
+    columns = ["analysis_id", "current_file", *(c for c in findings.columns if c != "analysis_id")]
+    return matched.join(findings, ["analysis_id", "file_path"]).select(columns)
 
 
 def rescan_lineage(analyses: DataFrame, metadata: str = "analysis_metadata") -> DataFrame:

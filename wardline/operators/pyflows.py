@@ -68,6 +68,6 @@ def python_flows(facts: DataFrame, aliases: DataFrame | None = None) -> DataFram
     if aliases is None:
         aliases = facts.sparkSession.createDataFrame([], "file_id string, alias string")
     labels = taint.source_labels(taint.match_sources(accesses(facts), aliases))
-    found = taint.taint_findings(calls(facts), args(facts), taint.taint_reach(edges(facts), labels))
+    found = taint.taint_findings(calls(facts), args(facts), taint.reach(edges(facts), labels))
     paths = facts.where("kind = 'parsed'").select("file_id", "file_path")
     return found.join(paths, "file_id")

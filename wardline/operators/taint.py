@@ -11,7 +11,8 @@ Tables, all keyed by ``file_id``:
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,52 +90,156 @@ def _first_label(labels: DataFrame) -> DataFrame:
     )
 
 
-def taint_reach(edges: DataFrame, labels: DataFrame, max_passes: int | None = None) -> DataFrame:
-    """Label every variable that untrusted data reaches.
+@dataclass(frozen=True)
+class Reach:
+    """What untrusted data reaches, without the paths.
 
-    Breadth first, so a variable keeps the label of a shortest path. A strong
-    sanitizer removes its edge, any other one is recorded. Only variables that
-    became tainted in the last pass are joined again, each pass is written to
-    the shared folder, and the loop ends when nothing new appears; a pass limit
-    is optional. Joins are on (file, variable), so one huge file still spreads.
+    ``labels`` has a row for each tainted variable: its source's label and path, and a
+    ``trace`` of steps (first, node, sanitizer, inner): from the variable before along an
+    unbranched chain that begins with ``first`` over ``inner`` variables to ``node``.
+    ``chains`` has the variables of those chains by ``first`` and ``hops``.
     """
-    spark = edges.sparkSession
+
+    labels: DataFrame
+    chains: DataFrame
+
+
+STEP = "struct<first:string,node:string,sanitizer:string,inner:int>"
+ROOT = ["source_type", "source_line", "category", "path", "sanitizers"]
+#: What a shortest path's label is chosen by among paths of equal length; ``key`` is the path as text.
+ORDER = ["hops", "source_line", "key", "source_type"]
+
+
+def _live(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(file_id, src, dst, sanitizer): one edge a pair, of files with a source; a strong sanitizer removes its edge."""
     strength = lookup(SANITIZERS, F.col("sanitizer"))
-    live = edges.select("file_id", "src", "dst", "sanitizer", strength.alias("strength")).where(
-        (F.col("strength") != "strong") | F.col("strength").isNull()
+    used = F.when(strength.isNotNull(), F.col("sanitizer")).otherwise("")
+    live = edges.where("src <> dst").where((strength != "strong") | strength.isNull())
+    live = live.join(sources.select("file_id").distinct(), "file_id", "left_semi")
+    return live.groupBy("file_id", "src", "dst").agg(F.min(used).alias("sanitizer"))
+
+
+def _chains(live: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The variables with one way in and one way out, and for each the start of its chain, by pointer doubling.
+
+    ``hops`` counts the edges from ``start``, which is no such variable, and ``first`` is the
+    first behind it. Each round doubles what a pointer jumps over, so a chain takes as many
+    rounds as its length has bits. Rings that nothing enters stay open and are left out.
+    """
+    into = live.groupBy("file_id", F.col("dst").alias("node")).agg(
+        F.count("*").alias("ways"), F.first("src").alias("start"), F.first("sanitizer").alias("sanitizer")
     )
+    out = live.groupBy("file_id", F.col("src").alias("node")).agg(F.count("*").alias("ways"))
+    inner = into.where("ways = 1").drop("ways").join(out.where("ways = 1").drop("ways"), ["file_id", "node"])
+    inner = inner.join(sources.select("file_id", "node"), ["file_id", "node"], "left_anti")
+    chains = cut_lineage(inner.select("file_id", "node", "sanitizer", "start", F.col("node").alias("first"), F.lit(1).alias("hops")), "chains")
+    inner, still = chains.select("file_id", "node"), None
+    while True:
+        above = chains.select("file_id", F.col("node").alias("start"), F.col("start").alias("_s"), F.col("first").alias("_f"), F.col("hops").alias("_h"))
+        jumped = chains.drop("moved").join(above, ["file_id", "start"], "left")
+        chains = cut_lineage(
+            jumped.select(
+                "file_id", "node", "sanitizer", F.coalesce("_s", "start").alias("start"), F.coalesce("_f", "first").alias("first"),
+                (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops"), F.col("_s").isNotNull().alias("moved"),
+            ),
+            "chains",
+        )
+        moved = chains.where("moved").count()
+        if moved in (0, still):
+            return chains.where("not moved").drop("moved"), inner
+        still = moved
+
+
+def _contracted(live: DataFrame, chains: DataFrame, inner: DataFrame) -> DataFrame:
+    """(file_id, src, dst, hops, step): edges between the other variables, a whole chain being one; the best of each pair."""
+    ends = live.join(inner.withColumnRenamed("node", "dst"), ["file_id", "dst"], "left_anti")
+    above = chains.select("file_id", F.col("node").alias("src"), "start", "first", F.col("hops").alias("inner"))
+    whole = ends.join(above, ["file_id", "src"], "left")
+    inner_hops = F.coalesce("inner", F.lit(0))
+    step = F.struct(F.coalesce("first", "dst").alias("first"), F.col("dst").alias("node"), "sanitizer", inner_hops.alias("inner"))
+    whole = whole.select("file_id", F.coalesce("start", "src").alias("src"), "dst", (inner_hops + 1).alias("hops"), step.alias("step")).where("src <> dst")
+    best = F.min(F.struct("hops", "step"))
+    return whole.groupBy("file_id", "src", "dst").agg(best.alias("b")).select("file_id", "src", "dst", "b.hops", "b.step")
+
+
+def _extended(rows: DataFrame) -> DataFrame:
+    """Labels one contracted edge or part of a chain further; ``rows`` also has ``dst``, ``more`` and ``step``."""
+    shown = F.when(F.col("step.first") == F.col("step.node"), F.col("step.node")).otherwise(F.concat_ws(" ", "step.first", "step.node"))
+    return rows.select(
+        "file_id", F.col("dst").alias("node"), (F.col("hops") + F.col("more")).alias("hops"), F.concat_ws(" ", "key", shown).alias("key"),
+        *ROOT, F.array_append("trace", F.col("step").cast(STEP)).alias("trace"),
+    )
+
+
+def reach(edges: DataFrame, labels: DataFrame, max_hops: int | None = None) -> Reach:
+    """Every variable that untrusted data reaches, with the label of a shortest path.
+
+    Unbranched chains of assignments are contracted first, so a pass goes from branch to
+    branch. A pass joins only variables whose label got better in the last one, on
+    (file, variable); it ends when none did. Labels carry a step for each branch, not
+    each variable; ``labelled`` rebuilds whole paths for the variables it is asked for.
+    """
+    spark = edges.sparkSession
     with scratch_scope(spark, "taint"):
-        frontier = cut_lineage(labels.select("file_id", "node", *LABEL))
-        # Edges of files without a source lead nowhere and are left out before the shuffle.
-        live = live.join(frontier.select("file_id").distinct(), "file_id", "left_semi")
-        # Cached with its partitioning: the passes shuffle the frontier, not the edges.
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        live = live.repartition(n, "file_id", "src").persist(StorageLevel.MEMORY_AND_DISK)
-        reached, passes = frontier, 0
-        try:
-            while not frontier.isEmpty() and (max_passes is None or passes < max_passes):
-                passes += 1
-                frontier = cut_lineage(_first_label(_moved(frontier, live, reached)))
-                reached = reached.unionByName(frontier)
-        finally:
-            live.unpersist()
-        return cut_lineage(reached, "reached", outlives=True)
-
-
-def _moved(frontier: DataFrame, live: DataFrame, reached: DataFrame) -> DataFrame:
-    """Labels one edge further, of variables that have none yet."""
-    step = frontier.withColumnRenamed("node", "src").join(live, ["file_id", "src"])
-    used = F.array(F.struct(F.col("sanitizer").alias("name"), F.col("strength").alias("strength")))
-    moved = step.select(
-        "file_id",
-        F.col("dst").alias("node"),
-        "source_type",
-        "source_line",
-        "category",
-        F.array_append("path", F.col("dst")).alias("path"),
-        F.when(F.col("strength").isNotNull(), F.concat("sanitizers", used)).otherwise(F.col("sanitizers")).alias("sanitizers"),
+        known = cut_lineage(
+            labels.select(
+                "file_id", "node", F.lit(0).alias("hops"), F.array_join("path", " ").alias("key"), *ROOT, F.array().cast(f"array<{STEP}>").alias("trace")
+            ),
+            "labels",
+        )
+        live = cut_lineage(_live(edges, known), "edges")
+        chains, inner = _chains(live, known)
+        chains = cut_lineage(chains, "chains", outlives=True)
+        contracted = cut_lineage(_contracted(live, chains, inner).repartition("file_id", "src"), "contracted")
+        frontier = known
+        order = F.struct(*ORDER)
+        while not frontier.isEmpty():
+            ahead = frontier.withColumnRenamed("node", "src").join(contracted.withColumnRenamed("hops", "more"), ["file_id", "src"])
+            found = _extended(ahead)
+            found = found.where(F.col("hops") <= max_hops) if max_hops is not None else found
+            rest = [c for c in found.columns if c not in ("file_id", "node")]
+            found = found.groupBy("file_id", "node").agg(F.min_by(F.struct(*rest), order).alias("_l")).select("file_id", "node", "_l.*")
+            so_far = known.groupBy("file_id", "node").agg(F.min(order).alias("_best"))
+            better = found.join(so_far, ["file_id", "node"], "left").where(F.col("_best").isNull() | (order < F.col("_best"))).drop("_best")
+            frontier = cut_lineage(better, "frontier")
+            known = known.unionByName(frontier)
+        rest = [c for c in known.columns if c not in ("file_id", "node")]
+        known = known.groupBy("file_id", "node").agg(F.min_by(F.struct(*rest), order).alias("_l")).select("file_id", "node", "_l.*")
+        known = cut_lineage(known, "known")
+        above = known.withColumnRenamed("node", "start").join(chains.withColumnsRenamed({"node": "dst", "hops": "more"}), ["file_id", "start"])
+        step = F.struct("first", F.col("dst").alias("node"), "sanitizer", (F.col("more") - 1).alias("inner"))
+        along = _extended(above.withColumn("step", step))
+        along = along.where(F.col("hops") <= max_hops) if max_hops is not None else along
+        return Reach(cut_lineage(known.unionByName(along).drop("key", "hops"), "reached", outlives=True), chains)
+
+
+def labelled(found: Reach, nodes: DataFrame | None = None) -> DataFrame:
+    """Labels with whole paths and sanitizers of all variables reached, or of those in ``nodes`` (file_id, node)."""
+    rows = found.labels
+    if nodes is not None:
+        rows = rows.join(nodes.select("file_id", "node").distinct(), ["file_id", "node"], "left_semi")
+    named = lambda steps: F.filter(
+        F.transform(steps, lambda s: F.struct(s["sanitizer"].alias("name"), lookup(SANITIZERS, s["sanitizer"]).alias("strength"))), lambda s: s["name"] != ""
     )
-    return moved.join(reached.select("file_id", "node"), ["file_id", "node"], "left_anti")
+    plain = ~F.exists("trace", lambda s: s["inner"] > 0)
+    steps = rows.where(~plain).select("file_id", F.col("node").alias("_target"), F.posexplode("trace").alias("_turn", "_step"))
+    steps = steps.select("file_id", "_target", "_turn", "_step.*")
+    inside = steps.where("inner > 0").select("file_id", "_target", "_turn", "first", "inner")
+    inside = inside.join(found.chains.select("file_id", "first", "hops", "node", "sanitizer"), ["file_id", "first"]).where("hops <= inner")
+    columns = ["file_id", "_target", "_turn", "hops", "node", "sanitizer"]
+    every = inside.select(columns).unionByName(steps.withColumn("hops", F.col("inner") + 1).select(columns))
+    way = F.sort_array(F.collect_list(F.struct("_turn", "hops", "node", "sanitizer"))).alias("_way")
+    long = rows.where(~plain).join(every.groupBy("file_id", F.col("_target").alias("node")).agg(way), ["file_id", "node"])
+    rebuilt = lambda rows, way: rows.select(
+        "file_id", "node", "source_type", "source_line", "category", F.concat("path", F.transform(way, lambda s: s["node"])).alias("path"),
+        F.concat("sanitizers", named(F.col(way) if isinstance(way, str) else way)).alias("sanitizers"),
+    )
+    return rebuilt(rows.where(plain), "trace").unionByName(rebuilt(long, "_way"))
+
+
+def taint_reach(edges: DataFrame, labels: DataFrame, max_passes: int | None = None) -> DataFrame:
+    """``reach`` with whole paths; ``max_passes`` limits the assignments from a source."""
+    return labelled(reach(edges, labels, max_passes))
 
 
 def sink_key(calls_object: Column, method: Column, arg0_kind: Column, arg0_text: Column) -> Column:
@@ -194,13 +299,18 @@ def flow_record() -> Column:
     return F.to_json(F.struct(source.alias("source"), steps.alias("propagation"), sink.alias("sink")))
 
 
-def taint_findings(calls: DataFrame, args: DataFrame, reached: DataFrame) -> DataFrame:
-    """Findings where a tainted variable sits in the dangerous argument of a sink."""
+def taint_findings(calls: DataFrame, args: DataFrame, reached: DataFrame | Reach) -> DataFrame:
+    """Findings where a tainted variable sits in the dangerous argument of a sink.
+
+    From a ``Reach`` only the paths of variables in such an argument are rebuilt.
+    """
     sinks = match_sinks(calls).where(~is_safe_call())
     dangerous = F.when(F.col("taint_arg") == LAST_ARGUMENT, F.col("n_args") - 1).when(
         F.col("taint_arg") == RIGHT_SIDE, F.lit(0)
     ).otherwise(F.col("taint_arg"))
     used = sinks.withColumn("arg_index", dangerous).join(args, ["file_id", "call_id", "arg_index"])
+    if isinstance(reached, Reach):
+        reached = labelled(reached, used)
     tainted = used.join(reached, ["file_id", "node"])
     # The first tainted variable of the argument speaks for the call.
     rest = [c for c in tainted.columns if c not in ("file_id", "call_id")]

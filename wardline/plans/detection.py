@@ -223,23 +223,6 @@ def _(t: Tables):
     )
 
 
-def _whole(sql: str) -> str:
-    """The statement over the accesses of all lines."""
-    return sql.replace("v_accesses", "v_accesses_whole")
-
-
-@query(
-    "d06a_match_sources_whole",
-    f"select file_id, node, expr, line, source_type, {CATEGORY} as category,"
-    " case when source_type in ('req.headers', 'process.argv') then 'medium' else 'high' end as severity_base"
-    f" from ({_whole(SOURCE_SQL)}) where source_type is not null",
-)
-def _(t: Tables):
-    return taint.match_sources(t.v_accesses_whole, t.v_aliases).select(
-        "file_id", "node", "expr", "line", "source_type", "category", "severity_base"
-    )
-
-
 def _sinks_sql() -> str:
     names = ", ".join(f"'{k}'" for k in SINKS)
     methods = ", ".join(f"'{m}'" for m in SQL_METHODS)
@@ -303,14 +286,6 @@ def _(t: Tables):
     return _reached(t, t.v_accesses)
 
 
-@query(
-    "d06_taint_reach_whole",
-    _whole(_reach_sql()) + " select file_id, node, source_type, source_line, category, path, sans as sanitizers from reached",
-)
-def _(t: Tables):
-    return _reached(t, t.v_accesses_whole)
-
-
 def _reached(t: Tables, accesses):
     labels = taint.source_labels(taint.match_sources(accesses, t.v_aliases))
     reached = taint.taint_reach(_at_rest(t.v_edges), labels)
@@ -338,7 +313,7 @@ FINDINGS_SQL = (
 
 def _findings(t: Tables, accesses):
     labels = taint.source_labels(taint.match_sources(accesses, t.v_aliases))
-    reached = taint.taint_reach(_at_rest(t.v_edges), labels)
+    reached = taint.reach(_at_rest(t.v_edges), labels)
     return taint.taint_findings(_at_rest(t.v_calls), _at_rest(t.v_args).distinct(), reached)
 
 
@@ -347,14 +322,6 @@ def _(t: Tables):
     return _finding_rows(_findings(t, t.v_accesses))
 
 
-@query(
-    "d06_taint_findings_whole",
-    f"select file_id, call_id, title, severity, line_start, round(confidence, 6) as confidence, path from ({_whole(FINDINGS_SQL)})",
-)
-def _(t: Tables):
-    return _finding_rows(_findings(t, t.v_accesses_whole))
-
-
 def _finding_rows(findings):
     return findings.select(
         "file_id", "call_id", "title", "severity", "line_start", F.round("confidence", 6).alias("confidence"),
@@ -371,15 +338,6 @@ def _(t: Tables):
     return _flow_records(_findings(t, t.v_accesses))
 
 
-@query(
-    "d06d_flow_records_whole",
-    "select file_id, call_id, source_line as first_line, line_start as sink_line, split_part(path, ' ', 1) as first_step, split_part(path, ' ', -1) as last_step,"
-    f" 'source_access' as first_operation from ({_whole(FINDINGS_SQL)})",
-)
-def _(t: Tables):
-    return _flow_records(_findings(t, t.v_accesses_whole))
-
-
 def _flow_records(findings):
     flow = F.col("data_flow")
     steps = F.from_json(F.get_json_object(flow, "$.propagation"), "array<struct<variable:string,line:int,operation:string>>")

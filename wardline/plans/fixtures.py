@@ -306,7 +306,7 @@ VIEWS["v_programs"] = (
 
 # Data-flow facts: small graphs per scan with cycles and sanitizers.
 VIEWS["v_accesses"] = (
-    "lineitem where l_linenumber <= 2",
+    "lineitem",
     {
         "file_id": "l_orderkey",
         "node": "concat('n', cast(l_partkey % 8 as varchar(20)))",
@@ -317,7 +317,6 @@ VIEWS["v_accesses"] = (
         "line": "cast(l_quantity as int)",
     },
 )
-VIEWS["v_accesses_whole"] = ("lineitem", VIEWS["v_accesses"][1])
 VIEWS["v_aliases"] = (
     "orders where o_orderkey % 2 = 0",
     {"file_id": "o_orderkey", "alias": "'r'"},

@@ -10,17 +10,11 @@ CHANGES = (
     "changes as (select user_id % 5 as class_id, user_id as student_id, case when event_type in ('click', 'view') then 'join' else 'leave' end as action, ts, event_id as seq"
     " from events where event_type in ('click', 'view', 'error'))"
 )
-BASE = "base as (select class_id, student_id, status from v_enrollments where student_id % 2 = 0 and class_id = student_id % 5)"
-
-WHOLE_BASE = "base as (select class_id, student_id, status from v_enrollments)"
-
-
-def _whole_base(t: Tables):
-    return t.v_enrollments.select("class_id", "student_id", "status")
+BASE = "base as (select class_id, student_id, status from v_enrollments)"
 
 
 def _base(t: Tables):
-    return t.v_enrollments.where("student_id % 2 = 0 and class_id = student_id % 5").select("class_id", "student_id", "status")
+    return t.v_enrollments.select("class_id", "student_id", "status")
 
 
 def _changes(t: Tables):
@@ -43,17 +37,6 @@ def _(t: Tables):
     return maintenance.apply_enrollments(_base(t), _changes(t)).select("class_id", "student_id", "status")
 
 
-@query(
-    "m01_enrollment_upsert_whole",
-    f"with {WHOLE_BASE}, {CHANGES}, l as (select class_id, student_id, arg_max(action, (ts, seq)) as a, bool_or(action = 'join') as j from changes group by 1, 2)"
-    " select class_id, student_id, case l.a when 'join' then 'active' when 'leave' then 'dropped' else b.status end as status"
-    " from base b full join l using (class_id, student_id) where b.status is not null or l.j",
-)
-def _(t: Tables):
-    """Every enrollment; changes of a class the student is not enrolled in insert."""
-    return maintenance.apply_enrollments(_whole_base(t), _changes(t)).select("class_id", "student_id", "status")
-
-
 REJECTS = f"""
 with recursive {BASE}, {CHANGES},
 o as (select c.*, b.status as base, row_number() over (partition by c.class_id, c.student_id order by ts, seq) as rn
@@ -73,11 +56,6 @@ def _(t: Tables):
     return maintenance.enrollment_rejects(_base(t), _changes(t)).select("seq", "reason")
 
 
-@query("m01_enrollment_rejects_whole", REJECTS.replace(BASE, WHOLE_BASE))
-def _(t: Tables):
-    return maintenance.enrollment_rejects(_whole_base(t), _changes(t)).select("seq", "reason")
-
-
 @query(
     "m02_soft_delete",
     "select user_id, is_active and user_id not in (select user_id from events where event_type = 'error') as is_active from v_users",
