@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, pii, runs
+from . import bpe, decontam, langid, pii, runs, search
 from .registry import query
 
 
@@ -108,3 +108,23 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(1000 * F.col("top.l") / -F.col("top.p")).alias("exponent_milli"),
         F.sha2(F.array_join(written, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+TERMS_SQL = WORDS_SQL.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
+
+SEARCH_SQL = f"""
+with d as (select doc_id, {TERMS_SQL} as w from documents),
+ s as (select count(*) filter (where len(w) > 0) as n, coalesce(cast(sum(len(w)) as bigint), 0) as l from d),
+ tf as (select doc_id, t, count(*) as tf from (select doc_id, unnest(w) as t from d) group by 1, 2),
+ q as (select distinct item_id, t from (select item_id, unnest({TERMS_SQL}) as t from benchmark)),
+ w as (select t, cast(floor(1000 * ln((2 * s.n + 2) / (2 * df + 1))) as bigint) as w from (select t, count(*) as df from tf group by 1), s),
+ m as (select doc_id, 10 + (90 * len(w) * s.n) // s.l as m from d, s where len(w) > 0),
+ score as (select item_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) as bigint) as score
+  from q join tf using (t) join w using (t) join m using (doc_id) group by 1, 2),
+ r as (select *, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) as rank from score where score > 0)
+select item_id, rank, doc_id, score from r where rank <= 10"""
+
+
+@query("op11_ranked_search", SEARCH_SQL)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
