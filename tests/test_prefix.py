@@ -49,7 +49,7 @@ def test_exact_quantiles_match_interpolation(spark):
     rng = random.Random(5)
     rows = [(rng.choice("xy"), round(rng.expovariate(0.1), 2)) for _ in range(500)] + [("z", 4.5)]
     df = spark.createDataFrame(rows, "k string, v double")
-    for r in exact_quantiles(df, ["k"], "v", [0.5, 0.95, 0.99], 2.0).collect():
+    for r in exact_quantiles(df, ["k"], "v", [0.5, 0.95, 0.99]).collect():
         values = [v for k, v in rows if k == r.k]
         want = np.quantile(values, [0.5, 0.95, 0.99])
         assert np.allclose([r.p50, r.p95, r.p99], want)
@@ -82,7 +82,7 @@ def test_lockouts_match_sequential_rules(spark, seed):
         for i, state in enumerate(login_states(events)):
             want[user * 1000 + i] = state
     df = spark.createDataFrame(rows, "user_id long, ts timestamp, seq long, ok boolean")
-    out = lockouts(df, chunk_seconds=1800).collect()
+    out = lockouts(df).collect()
     assert {r.seq: (r.failed_attempts, r.locked, r.locked_until) for r in out} == want
 
 
@@ -101,7 +101,7 @@ def test_circuit_steps():
 def test_alert_fires_after_unbroken_breach(spark):
     rows = [("r", at(60 * i), i, i not in (0, 4), 120) for i in range(9)]
     df = spark.createDataFrame(rows, "rule string, ts timestamp, seq long, breach boolean, hold int")
-    firing = {r.seq: r.firing for r in stateful.alert_hold(df, chunk_seconds=150).collect()}
+    firing = {r.seq: r.firing for r in stateful.alert_hold(df).collect()}
     assert [s for s in firing if firing[s]] and sorted(s for s in firing if firing[s]) == [3, 7, 8]
 
 

@@ -69,7 +69,7 @@ def test_context_of_any_length(spark):
 
 def test_null_key_has_quantiles(spark):
     rows = spark.createDataFrame([(k, float(v)) for k in ("a", None) for v in range(5)], "k string, v double")
-    found = {r.k: r.p50 for r in prefix.exact_quantiles(rows, ["k"], "v", [0.5], 2.0).collect()}
+    found = {r.k: r.p50 for r in prefix.exact_quantiles(rows, ["k"], "v", [0.5]).collect()}
     assert found == {"a": 2.0, None: 2.0}
     run = prefix.running(rows, ["k"], ["v"], F.floor(F.col("v") / 2), s=prefix.Running("sum", F.col("v")))
     assert sorted(r.s for r in run.filter("k is null").collect()) == [0.0, 1.0, 3.0, 6.0, 10.0]

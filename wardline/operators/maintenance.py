@@ -12,20 +12,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import jsonx
-from .prefix import Running, running, time_chunk
+from .prefix import RANGE, Running, in_ranges, running
 
 ENROLLMENT_KEY = ["class_id", "student_id"]
 
 
-def _with_previous(base: DataFrame, changes: DataFrame, chunk_seconds: int) -> DataFrame:
+def _with_previous(base: DataFrame, changes: DataFrame) -> DataFrame:
     """Every change with the status its key had just before it; null = no row yet."""
     after = F.when(F.col("action") == "join", F.lit("active")).when(F.col("action") == "leave", F.lit("dropped"))
     start = base.select(*ENROLLMENT_KEY, F.col("status").alias("_base"))
+    order = ["_us", "seq"]
     logs = running(
-        changes.withColumn("_us", F.unix_micros("ts")),
+        in_ranges(changes.withColumn("_us", F.unix_micros("ts")), ENROLLMENT_KEY, order),
         ENROLLMENT_KEY,
-        ["_us", "seq"],
-        time_chunk(F.col("ts"), chunk_seconds),
+        order,
+        RANGE,
         _prev=Running("last", after, exclusive=True),
         _joins=Running("sum", F.when(F.col("action") == "join", 1).otherwise(0), exclusive=True),
     ).join(start, ENROLLMENT_KEY, "left")
@@ -34,9 +35,9 @@ def _with_previous(base: DataFrame, changes: DataFrame, chunk_seconds: int) -> D
     return logs.withColumn("previous", F.when(known, F.coalesce("_prev", "_base")))
 
 
-def enrollment_rejects(base: DataFrame, changes: DataFrame, chunk_seconds: int = 86400) -> DataFrame:
+def enrollment_rejects(base: DataFrame, changes: DataFrame) -> DataFrame:
     """Joins while active, and leaves without an active enrollment."""
-    logs = _with_previous(base, changes, chunk_seconds)
+    logs = _with_previous(base, changes)
     is_active = F.coalesce(F.col("previous") == "active", F.lit(False))
     reason = F.when((F.col("action") == "join") & is_active, "already enrolled").when(
         (F.col("action") == "leave") & ~is_active, "not enrolled"

@@ -1,9 +1,11 @@
 """Running values and exact quantiles that survive hot keys.
 
-A plain window sorts all rows of a key in one task. Here a key is cut into
-chunks along its order: rows are scanned within (key, chunk), chunks are
-summarized with a partial aggregate, and the summaries (one row per chunk)
-carry the value from chunk to chunk. The result equals the plain window.
+A plain window sorts all rows of a key in one task. Here rows are dealt out in
+ranges of key and order, whose bounds are sampled so that they hold like
+numbers of rows, however many of them fall into one second of one key. Rows are
+scanned within (key, range), ranges are summarized with a partial aggregate,
+and the summaries (at most one row for each key and range) carry the value from
+range to range. The result equals the plain window.
 """
 
 from __future__ import annotations
@@ -15,7 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import cut_lineage
+
 CHUNK = "_chunk"
+RANGE = "_range"
 
 
 @dataclass(frozen=True)
@@ -28,20 +33,31 @@ class Running:
     exclusive: bool = False
 
 
+def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int | None = None, name: str = RANGE) -> DataFrame:
+    """``df`` in ranges of (keys, order) of like size, with the range's number as column ``name``.
+
+    Written to the shared folder: the bounds are sampled, so a lost task must not
+    draw them anew. There are as many ranges as shuffle partitions unless told.
+    """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(df.repartitionByRange(parts, *keys, *order).withColumn(name, F.spark_partition_id()), "ranges")
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    chunk: Column,
+    chunk: Column | str,
     **measures: Running,
 ) -> DataFrame:
     """Add running measures per key along ``order`` (ascending, unique per key).
 
-    ``chunk`` must not decrease along the order, e.g. a time bucket. Null is a
-    key like any other.
+    ``chunk`` must not decrease along the order: the column of ``in_ranges``, by name,
+    which several calls can share without moving the rows again, or an expression.
+    Null is a key like any other.
     """
-    source = df.withColumn(CHUNK, chunk)
-    group = [*keys, CHUNK]
+    source = df if isinstance(chunk, str) else df.withColumn(CHUNK, chunk)
+    group = [*keys, chunk if isinstance(chunk, str) else CHUNK]
 
     def summary(name: str, m: Running) -> Column:
         if m.kind == "last":
@@ -50,7 +66,7 @@ def running(
         return getattr(F, m.kind)(m.value).alias(name)
 
     totals = source.groupBy(*group).agg(*[summary(f"_t_{n}", m) for n, m in measures.items()])
-    earlier = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy(*keys).orderBy(group[-1]).rowsBetween(W.unboundedPreceding, -1)
     carries = totals.select(
         *group,
         *[_scan(m.kind, F.col(f"_t_{n}")).over(earlier).alias(f"_c_{n}") for n, m in measures.items()],
@@ -101,7 +117,6 @@ def exact_quantiles(
     keys: Sequence[str],
     value: str,
     quantiles: Sequence[float],
-    chunk_width: float,
     prefix: str = "p",
 ) -> DataFrame:
     """Interpolated quantiles per key without gathering a key's values.
@@ -115,13 +130,7 @@ def exact_quantiles(
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    ranked = running(
-        counts,
-        keys,
-        [value],
-        F.floor(F.col(value) / F.lit(chunk_width)),
-        _upto=Running("sum", F.col("_n")),
-    )
+    ranked = running(in_ranges(counts, keys, [value]), keys, [value], RANGE, _upto=Running("sum", F.col("_n")))
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("n"))
     # A value covers the ranks [_upto - _n, _upto); the neighbours of rank r are the
     # smallest values whose cover ends after floor(r) and after ceil(r).

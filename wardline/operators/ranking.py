@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.severity import severity_rank
-from .prefix import Running, running, time_chunk
+from .prefix import RANGE, Running, in_ranges, running
 
 
 def top_per_group(
@@ -71,7 +71,7 @@ def latest_per(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     )
 
 
-def lockouts(logins: DataFrame, limit: int = 5, minutes: int = 15, chunk_seconds: int = 3600) -> DataFrame:
+def lockouts(logins: DataFrame, limit: int = 5, minutes: int = 15) -> DataFrame:
     """Failed-login counter and lock per login, in event order.
 
     Input ``user_id, ts, seq, ok``. A success resets the counter, except while
@@ -82,16 +82,15 @@ def lockouts(logins: DataFrame, limit: int = 5, minutes: int = 15, chunk_seconds
     So a user's log falls into segments that begin at a success after a pause.
     Within a segment failures count from the last success until the limit is
     reached, and from there on every login adds one. All of these are running
-    values, cut into time chunks for hot users.
+    values, over ranges of rows for hot users; the three scans share one exchange.
     """
     order = ["_us", "seq"]
-    chunk = time_chunk(F.col("ts"), chunk_seconds)
-    logs = logins.withColumn("_us", F.unix_micros("ts"))
+    logs = in_ranges(logins.withColumn("_us", F.unix_micros("ts")), ["user_id"], order)
     logs = running(
         logs,
         ["user_id"],
         order,
-        chunk,
+        RANGE,
         _prev=Running("last", F.col("_us"), exclusive=True),
         _pos=Running("sum", F.lit(1)),
         _fails=Running("sum", F.when(~F.col("ok"), 1).otherwise(0)),
@@ -101,7 +100,7 @@ def lockouts(logins: DataFrame, limit: int = 5, minutes: int = 15, chunk_seconds
         logs,
         ["user_id"],
         order,
-        chunk,
+        RANGE,
         _segment=Running("sum", F.when(F.col("ok") & pause, 1).otherwise(0)),
         _base=Running("max", F.when(F.col("ok"), F.col("_fails"))),
     )
@@ -110,7 +109,7 @@ def lockouts(logins: DataFrame, limit: int = 5, minutes: int = 15, chunk_seconds
         logs,
         ["user_id", "_segment"],
         order,
-        chunk,
+        RANGE,
         _locked_at=Running("min", F.when(F.col("_run") >= limit, F.col("_pos"))),
     )
     count = F.when(

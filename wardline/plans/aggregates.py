@@ -342,7 +342,7 @@ def _(t: Tables):
     " round(quantile_cont(duration, 0.99), 6) as p99 from v_requests group by 1",
 )
 def _(t: Tables):
-    out = exact_quantiles(t.v_requests, ["path"], "duration", [0.5, 0.95, 0.99], chunk_width=1.0)
+    out = exact_quantiles(t.v_requests, ["path"], "duration", [0.5, 0.95, 0.99])
     return out.select("path", "n", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")])
 
 

@@ -91,6 +91,17 @@ def _(t: Tables):
     return run.to_table(stateful.stream_alert_hold(breaches), "alerts").select("rule", "seq", "since_us", "firing")
 
 
+# In event time a row is judged once the watermark has passed it.
+PASSED = "epoch_ms(ts) <= (select epoch_ms(max(ts) - interval 1 minute) from v_gauges)"
+
+
+@query("t04_alert_hold_event_time", f"select x.* from ({HOLD_SQL}) x join v_gauges g on x.seq = g.seq where {PASSED.replace('(ts)', '(g.ts)', 1)}")
+def _(t: Tables):
+    breaches = windows.gauge_breaches(t.stream("v_gauges"), HOLD_RULES)
+    out = run.to_table(stateful.stream_alert_hold(breaches, "1 minute"), "alerts")
+    return out.where("seq is not null").select("rule", "seq", "since_us", "firing")
+
+
 @query("t04_alert_hold_batch", HOLD_SQL)
 def _(t: Tables):
     breaches = windows.gauge_breaches(t.v_gauges, HOLD_RULES)
@@ -119,7 +130,7 @@ def _(t: Tables):
     " row_number() over (partition by client, date_trunc('day', ts) order by ts, seq) > 3 as rejected from v_requests",
 )
 def _(t: Tables):
-    out = stateful.limited_requests(t.v_requests, 86400, 3, chunk_seconds=3600)
+    out = stateful.limited_requests(t.v_requests, 86400, 3)
     return out.select("event_id", "position", "rejected")
 
 
@@ -251,6 +262,18 @@ def _(t: Tables):
     return run.to_table(windows.revoked_requests(requests, _revocations(t)).select("event_id"), "revoked")
 
 
+@query(
+    "t14_revoked_requests_state",
+    REVOKED + " and epoch_ms(e.ts) <= (select epoch_ms(max(ts) - interval 10 minute) from events)",
+)
+def _(t: Tables):
+    uses = _tokens(t.stream("v_system_events").withColumnRenamed("created_at", "ts"))
+    ttl = F.when(F.col("event_type") == "error", 3600 * (F.col("event_id") % 30 + 1))
+    uses = uses.select("token", "ts", F.col("event_id").alias("seq"), ttl.alias("ttl_seconds"))
+    out = run.to_table(stateful.stream_revocations(uses, "10 minutes"), "revoked")
+    return out.where("revoked").select(F.col("seq").alias("event_id"))
+
+
 @query("t14_revoked_requests_batch", REVOKED)
 def _(t: Tables):
     requests = _tokens(t.events).where("event_type <> 'error'")
