@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardline.operators.maintenance import apply_enrollments, enrollment_rejects
-from wardline.operators.prefix import Running, exact_quantiles, running
+from wardline.operators.joins import annotate_lines, file_findings
+from wardline.operators.prefix import RANGE, Running, exact_quantiles, in_ranges, running
 from wardline.operators.ranking import dedup_findings, lockouts
 from wardline.streaming import stateful
 
@@ -135,3 +136,53 @@ def test_enrollment_changes(spark):
     assert state == {1: "dropped", 2: "active", 4: "active"}
     rejected = {r.seq: r.reason for r in enrollment_rejects(base, changes).collect()}
     assert rejected == {1: "already enrolled", 4: "not enrolled", 5: "not enrolled", 7: "already enrolled"}
+
+
+def test_a_burst_of_one_key_and_second_spreads(spark):
+    rows = spark.range(8000).select(F.lit("hot").alias("k"), F.lit(at(0)).alias("ts"), F.col("id").alias("seq"))
+    dealt = in_ranges(rows, ["k"], ["ts", "seq"], 8)
+    sizes = [r["count"] for r in dealt.groupBy(RANGE).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2000
+    out = running(dealt, ["k"], ["ts", "seq"], RANGE, n=Running("sum", F.lit(1)))
+    assert out.where("n <> seq + 1").isEmpty()
+
+
+def test_line_marks_as_brute_force(spark):
+    rng = random.Random(2)
+    files = [(s, f"f{i}", "\n".join(f"l{n}" for n in range(rng.choice([1, 2, 7, 64, 100])))) for s in (1, 2) for i in range(4)]
+    findings = [
+        (i, rng.choice([1, 2]), f"f{rng.randrange(4)}", "high", rng.choice([0, 1, 2, 5, 33, 64, 200]), rng.choice([None, 0, 1, 6, 40, 64, 10**6]))
+        for i in range(60)
+    ]
+    out = annotate_lines(
+        spark.createDataFrame(files, "analysis_id long, file_path string, content string"),
+        spark.createDataFrame(findings, "finding_id long, analysis_id long, file_path string, severity string, line_start int, line_end int"),
+    )
+    want = []
+    for scan, path, content in files:
+        for n, line in enumerate(content.split("\n"), 1):
+            own = [i for i, s, p, _, a, b in findings if (s, p) == (scan, path) and a <= n <= max(a, b if b is not None else a)]
+            want += [(scan, path, n, line, i) for i in own] or [(scan, path, n, line, None)]
+    got = [(r.analysis_id, r.file_path, r.line_no, r.line, r.finding_id) for r in out.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_a_wide_finding_moves_few_rows(spark):
+    from wardline.operators.joins import dyadic_blocks
+
+    rows = spark.createDataFrame([(2, 999_999)], "a int, b int").select(F.explode(dyadic_blocks("a", "b")).alias("x")).select("x.*").collect()
+    assert len(rows) <= 40
+    lines = sorted((r.number << r.size, (r.number + 1) << r.size) for r in rows)
+    assert lines[0][0] == 2 and lines[-1][1] == 1_000_000 and all(x[1] == y[0] for x, y in zip(lines, lines[1:]))
+
+
+def test_file_names_match_plain_suffixes(spark):
+    files = [(1, "app.js"), (1, "src/app.js"), (2, "app.js"), (1, "index.js")]
+    paths = [(1, 1, "web/src/app.js"), (2, 1, "web/xapp.js"), (3, 2, "app.js"), (4, 1, "app.jsx"), (5, 1, "a/index.js"), (6, 3, "app.js")]
+    out = file_findings(
+        spark.createDataFrame(files, "analysis_id long, file_name string"),
+        spark.createDataFrame(paths, "finding_id long, analysis_id long, file_path string"),
+    )
+    assert sorted((r.finding_id, r.current_file) for r in out.collect()) == [
+        (1, "app.js"), (1, "src/app.js"), (2, "app.js"), (3, "app.js"), (5, "index.js"),
+    ]

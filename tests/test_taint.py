@@ -90,3 +90,60 @@ def test_flows_of_python_files(spark):
         got.setdefault(int(r.file_id), []).append((r.title, r.line_start))
     assert {k: sorted(v) for k, v in got.items()} == {i: want for i, (_, want) in enumerate(FLOW_CASES) if want}
     assert facts.where("kind = 'error'").count() == 0
+
+
+def plain_reach(edges, starts):
+    """Shortest labels level by level, whole paths carried along."""
+    live = {}
+    for f, s, d, san in edges:
+        if SANITIZERS.get(san) != "strong" and s != d:
+            live.setdefault((f, s), []).append((d, san if san in SANITIZERS else ""))
+    known = {(f, n): (line, " ".join(path), kind, path, ()) for f, n, kind, line, path in starts}
+    frontier = dict(known)
+    while frontier:
+        found = {}
+        for (f, s), (line, _, kind, path, used) in frontier.items():
+            for d, san in live.get((f, s), ()):
+                if (f, d) not in known:
+                    way = [*path, d]
+                    names = (*used, san) if san else used
+                    label = (line, " ".join(way), kind, way, names)
+                    old = found.get((f, d))
+                    if old is None or (label[:3], " ".join(names)) < (old[:3], " ".join(old[4])):
+                        found[f, d] = label
+        known |= found
+        frontier = found
+    return known
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_labels_equal_level_by_level_search(spark, seed):
+    rng = random.Random(seed)
+    edges, starts = [], []
+    for f in range(6):
+        names = [f"v{i}" for i in range(rng.choice([5, 12, 30]))]
+        for _ in range(len(names)):  # sparse, so that there are chains, rings and dead ends
+            edges.append((f, rng.choice(names), rng.choice(names), rng.choice([None, None, "mysql.escape", "path.resolve", "escapeHtml", "helper"])))
+        for i in range(0, len(names) - 4, 7):
+            edges += [(f, names[j], names[j + 1], rng.choice([None, "mysql.escape"])) for j in range(i, i + 4)]
+        for n in rng.sample(names, 2):
+            starts.append((f, n, "req.body", rng.randint(1, 2), ["req.body", n]))
+    df = spark.createDataFrame(edges, "file_id long, src string, dst string, sanitizer string")
+    labels = spark.createDataFrame([(f, n, k, line, "http_request", p, []) for f, n, k, line, p in starts], LABELS)
+    want = {key: (line, path, used) for key, (line, _, _, path, used) in plain_reach(edges, starts).items()}
+    got = {(r.file_id, r.node): (r.source_line, r.path, tuple(s.name for s in r.sanitizers)) for r in taint.taint_reach(df, labels).collect()}
+    assert got == want
+    some = taint.labelled(taint.reach(df, labels), spark.createDataFrame([(0, "v1"), (1, "v2")], "file_id long, node string"))
+    assert {(r.file_id, r.node) for r in some.collect()} == {k for k in want if k in ((0, "v1"), (1, "v2"))}
+
+
+def test_chain_of_ten_thousand_steps(spark, monkeypatch):
+    passes = []
+    plain = taint._extended
+    monkeypatch.setattr(taint, "_extended", lambda rows: passes.append(1) or plain(rows))
+    edges, labels = chain(spark, 10000)
+    edges = edges.union(spark.createDataFrame([(1, "a10000", "z", "mysql.escape"), (1, "a10000", "y", None), (1, "y", "z", None)], edges.schema))
+    found = taint.reach(edges, labels)
+    assert len(passes) < 20 and found.labels.count() == 10003
+    (end,) = taint.labelled(found, spark.createDataFrame([(1, "z")], "file_id long, node string")).collect()
+    assert end.path == ["req.query", *(f"a{i}" for i in range(10001)), "z"] and [s.name for s in end.sanitizers] == ["mysql.escape"]
