@@ -4,11 +4,12 @@ Grades are ordered; one weight per hashed feature is shared by all of them and o
 thresholds cut the score: P(grade <= j) = sigmoid(threshold_j - w.x). Features are
 the distinct words of a text, folded, their heads, and shares of repeated neighbours,
 of shouting and of junk; all are hashed on Arrow buffers. The model is fitted on at
-most ``LIMIT`` labelled rows, the smallest by a hash of text and id, by adaptive gradient
-steps; every row of the corpus is scored.
+most ``LIMIT`` labelled rows, the smallest by a hash of key and grade, by adaptive gradient
+steps on the log of P(grade) = sigmoid(t_grade - w.x) - sigmoid(t_grade-1 - w.x); every row
+of the corpus is scored.
 
 Defined cases: a null or empty text has only the feature of its size; rows without a
-label are not learned from; with fewer than two grades the first is predicted; other
+label or a key are not learned from, and of a repeated key one text is; with fewer than two grades the first is predicted; other
 columns are kept as they are.
 """
 
@@ -20,13 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
 from . import hashing
 from .common import shared, slices, text_buffer
 
 LOG2_FEATURES = 22
 LIMIT = 20000
-#: A feature of fewer fitted rows has no weight.
-LEAST_ROWS = 20
+#: A feature of a smaller share of the fitted rows has no weight.
+LEAST_SHARE = 0.001
 #: Bytes of a word that count as its head.
 HEAD = 4
 EPOCHS, RATE, DECAY, GROUP = 20, 0.2, 1e-6, 64
@@ -88,18 +90,35 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.cuts, -30, 30)))
 
 
-def train_model(slots: np.ndarray, bounds: np.ndarray, grade: np.ndarray, grades: int, seed: int = 3) -> Model:
-    """Adaptive gradient steps on the sum of the thresholds' log losses, rarer sides weighing more."""
+def likelihood(score: np.ndarray, grade: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row log P(grade), its slope in the score, and its slopes in the cuts.
+
+    P(grade) = sigmoid(cut above - score) - sigmoid(cut below - score); the lowest grade has no
+    cut below, the highest none above.
+    """
+    edges = np.concatenate([[-np.inf], cuts, [np.inf]])
+    x = np.clip(edges[np.stack([grade, grade + 1])] - score, -40, 40)
+    below, above = np.where(grade == 0, 0, 1 / (1 + np.exp(-x[0]))), np.where(grade == len(cuts), 1, 1 / (1 + np.exp(-x[1])))
+    share = np.maximum(above - below, 1e-12)
+    slopes = np.zeros((len(score), len(cuts) + 2))
+    rows = np.arange(len(score))
+    slopes[rows, grade] = -below * (1 - below) / share
+    slopes[rows, grade + 1] = above * (1 - above) / share
+    return np.log(share), above + below - 1, slopes[:, 1:-1]
+
+
+def train_model(slots: np.ndarray, bounds: np.ndarray, grade: np.ndarray, grades: int, seed: int = 3, least_share: float = LEAST_SHARE) -> Model:
+    """Adaptive gradient steps on the cumulative-link log-likelihood of the grades."""
     model = Model(grades)
     if grades < 2 or not len(grade):
         return model
     rng = np.random.default_rng(seed)
-    kept = (np.bincount(slots, minlength=len(model.weights)) >= LEAST_ROWS)[slots]
+    kept = (np.bincount(slots, minlength=len(model.weights)) >= max(1, least_share * len(grade)))[slots]
     bounds = np.concatenate([[0], np.cumsum(kept)])[bounds]
     slots = slots[kept]
-    above = grade[:, None] > np.arange(grades - 1)
-    share = np.clip(above.mean(axis=0), 0.02, 0.98)
-    weight = np.where(above, np.sqrt(0.5 / share), np.sqrt(0.5 / (1 - share)))
+    # where a text without features stands: the grades' shares
+    share = np.clip(np.cumsum(np.bincount(grade, minlength=grades))[:-1] / len(grade), 1e-3, 1 - 1e-3)
+    model.cuts = np.maximum.accumulate(np.log(share / (1 - share)))
     seen, seen_cuts = np.full(len(model.weights), 1e-3, np.float32), np.full(grades - 1, 1e-3)
     sizes = np.diff(bounds)
     for _ in range(EPOCHS):
@@ -110,33 +129,49 @@ def train_model(slots: np.ndarray, bounds: np.ndarray, grade: np.ndarray, grades
             sums = np.concatenate([[0.0], np.cumsum(model.weights[own], dtype=np.float64)])
             ends = np.cumsum(sizes[rows])
             score = sums[ends] - sums[ends - sizes[rows]]
-            gap = (model.tails(score) - above[rows]) * weight[rows]
+            _, in_score, in_cuts = likelihood(score, grade[rows], model.cuts)
             touched, place = np.unique(own, return_inverse=True)
-            slope = np.bincount(place, np.repeat(gap.sum(axis=1), sizes[rows])) / len(rows)
+            slope = -np.bincount(place, np.repeat(in_score, sizes[rows]), len(touched)) / len(rows)
             slope += DECAY * model.weights[touched]
             seen[touched] += slope**2
             model.weights[touched] -= RATE * slope / np.sqrt(seen[touched])
-            slope = -gap.sum(axis=0) / len(rows)
+            slope = -in_cuts.sum(axis=0) / len(rows)
             seen_cuts += slope**2
             model.cuts = np.sort(model.cuts - RATE * slope / np.sqrt(seen_cuts))
     return model
 
 
-def fit(labelled: DataFrame, grades: int, text: str = "text", grade: str = "grade", limit: int = LIMIT) -> Model:
-    """A model from at most ``limit`` rows; grades are 0 to ``grades`` - 1."""
+def chosen(labels: DataFrame, grades: int, key: str, grade: str, limit: int) -> DataFrame:
+    """At most ``limit`` rows (key, grade), the smallest by a hash of both; only narrow rows near that share are ordered."""
+    rows = labels.filter(F.col(key).isNotNull() & F.col(grade).between(0, grades - 1)).select(F.col(key).alias("key"), F.col(grade).cast("int").alias("grade")).distinct()
+    rows = rows.withColumn("h", F.xxhash64("key", "grade"))
+    count = rows.count()
+    if count > limit:  # hashes are even, so a quarter more than the share of the limit holds the limit
+        rows = rows.filter(F.shiftrightunsigned("h", 1) <= int(min(1.0, 1.25 * limit / count + 0.001) * (1 << 63)) - 1)
+    return rows.orderBy("h", "key", "grade").limit(limit).select("key", "grade")
+
+
+def fit(documents: DataFrame, labels: DataFrame, grades: int, key: str = "doc_id", text: str = "text", grade: str = "grade", limit: int = LIMIT) -> Model:
+    """A model from the documents of at most ``limit`` rows of ``labels`` (key, grade); grades are 0 to ``grades`` - 1.
+
+    The keys are chosen first; features are taken where the texts lie, and only they move.
+    """
 
     def run(batches):
         for batch in batches:
-            data, offsets = text_buffer(batch.column(0))
-            label = batch.column(1).to_pylist()
+            data, offsets = text_buffer(batch.column(2))
             for a, b in slices(offsets):
                 slots, bounds = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 rows = [slots[bounds[i] : bounds[i + 1]].astype(np.int32).tobytes() for i in range(b - a)]
-                yield pa.RecordBatch.from_pydict({"grade": pa.array(label[a:b], pa.int32()), "slots": pa.array(rows, pa.binary())})
-
-    rows = labelled.filter(F.col(grade).between(0, grades - 1)).select(F.col(text).cast("string").alias("text"), F.col(grade).cast("int").alias("grade"))
-    picked = rows.withColumn("h", F.xxhash64("text", "grade")).orderBy("h").limit(limit).select("text", "grade")
-    found = picked.mapInArrow(run, "grade int, slots binary").collect()
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, pa.binary())], names=["key", "grade", "slots"])
+
+    sample = cut_lineage(chosen(labels, grades, key, grade, limit), "sample")  # its size is bounded by the limit
+    rows = documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(F.broadcast(sample), "key")
+    kind = T.StructType([sample.schema["key"], T.StructField("grade", T.IntegerType()), T.StructField("slots", T.BinaryType())])
+    # of a repeated key one text stays, so that there are never more rows than the limit
+    found = rows.select("key", "grade", "text").mapInArrow(run, kind).groupBy("key", "grade").agg(F.min("slots").alias("slots"))
+    found = found.orderBy("key", "grade").select("grade", "slots").collect()
     parts = [np.frombuffer(r.slots, np.int32) for r in found]
     bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
     slots = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)

@@ -86,8 +86,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality is not null and toxic is not null")
     grade = F.when(F.col("toxic") > 0, 0).when(F.col("quality") > 0, 2).otherwise(1)
-    learned = documents.join(labels, "doc_id").filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    model = quality.fit(learned.withColumn("grade", grade), 3)
+    learned = labels.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).withColumn("grade", grade)
+    model = quality.fit(documents, learned, 3)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     rows = quality.grade_texts(documents, model)
     tail = lambda j: F.get("tails", F.lit(j))
