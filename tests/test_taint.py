@@ -1,10 +1,11 @@
 """Reachability on random graphs against a set-based closure, and golden flows."""
 
+import json
 import random
 
 import pytest
 
-from wardline.operators import pyfacts, pyflows, taint
+from wardline.operators import detect, pyfacts, pyflows, taint
 from wardline.operators.taint_tables import SANITIZERS
 
 LABELS = (
@@ -147,3 +148,28 @@ def test_chain_of_ten_thousand_steps(spark, monkeypatch):
     assert len(passes) < 20 and found.labels.count() == 10003
     (end,) = taint.labelled(found, spark.createDataFrame([(1, "z")], "file_id long, node string")).collect()
     assert end.path == ["req.query", *(f"a{i}" for i in range(10001)), "z"] and [s.name for s in end.sanitizers] == ["mysql.escape"]
+
+
+def test_findings_carry_code_and_description(spark):
+    edges, labels = chain(spark, 1)
+    calls = spark.createDataFrame(
+        [(1, "c", 5, "box", "outerHTML", 1, "identifier", "x", None), (1, "d", 6, "db", "query", 1, "identifier", "x", None)],
+        "file_id long, call_id string, line int, object string, method string, n_args int, arg0_kind string, arg0_text string, arg1_kind string",
+    )
+    args = spark.createDataFrame([(1, "c", 0, 0, "a1"), (1, "d", 0, 0, "a1")], "file_id long, call_id string, arg_index int, position int, node string")
+    files = spark.createDataFrame([(1, "\n".join(f"line {i}" for i in range(1, 9)))], "file_id long, content string")
+    rows = {r.rule: r for r in taint.taint_findings(calls, args, taint.reach(edges, labels), files).collect()}
+    assert set(rows) == {"flow:innerHTML", "flow:db.query"}
+    assert rows["flow:innerHTML"].description == "innerHTML assignment with user-controlled content"
+    assert rows["flow:db.query"].code_snippet == "line 4\nline 5\nline 6\nline 7\nline 8"
+    flow = json.loads(rows["flow:db.query"].data_flow)
+    assert flow["source"]["code"] == "line 1\nline 2\nline 3\nline 4\nline 5" and flow["sink"]["code"].startswith("line 4")
+    assert [s["code"].split("\n")[0] for s in flow["propagation"]] == ["line 1", "line 2", "line 3"]
+
+
+def test_a_scan_follows_data(spark):
+    code = "def f(request, db):\n    name = request.query['id']\n    db.query(name)\n"
+    files = spark.createDataFrame([("p1", "a.py", "python", code)], "file_id string, file_path string, language string, content string")
+    (row,) = detect.scan_corpus(files).where("rule = 'flow:db.query'").collect()
+    assert (row.line_start, row.title, row.stage) == (3, "SQL Injection via request.query", 1)
+    assert row.description and "db.query(name)" in row.code_snippet and json.loads(row.data_flow)["propagation"]

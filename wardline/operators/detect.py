@@ -16,7 +16,7 @@ from ..functions import checks, text
 from ..functions import severity as sev
 from ..functions.literal import any_contains, lookup
 from ..session import cut_lineage
-from . import knowledge, pyfacts, ranking, sets
+from . import knowledge, pyfacts, pyflows, ranking, sets
 from .rules import BENCHMARK_RULES, KNOWLEDGE_RULES, REGEX_RULES, SCRIPT_RULES, Rule
 
 KEYS = ("file_id", "file_path")
@@ -256,18 +256,31 @@ PYTHON = ("python", "py")
 SCRIPT = ("javascript", "js", "typescript", "ts")
 
 
+#: What a data-flow finding shares with the others.
+FLOW_COLUMNS = [
+    "file_id", "file_path", "vulnerability_type", "severity", "cwe_id", "line_start", "line_end", "code_snippet", "title", "description",
+    "remediation", "confidence", "analyzer_type", "rule", "data_flow",
+]
+
+
 def _is_other_language() -> Column:
     return ~F.coalesce(F.lower("language").isin(*PYTHON, *SCRIPT), F.lit(False))
 
 
 def _parsed_languages(files: DataFrame) -> DataFrame:
-    """Python and script files; Python that does not parse falls back to the regex rules."""
+    """Python and script files; Python that does not parse falls back to the regex rules.
+
+    Data flow of Python files is followed over the same facts as the checks.
+    """
     language = F.lower("language")
     # Two branches read the facts: materialize them, so that every file is parsed once.
-    facts = cut_lineage(pyfacts.python_facts(files.where(language.isin(*PYTHON))))
+    python = files.where(language.isin(*PYTHON))
+    facts = cut_lineage(pyfacts.python_facts(python))
+    content = python.select(F.col("file_id").cast("string").alias("file_id"), "content")
     return sets.union_findings(
         [
             pyfacts.python_findings(facts),
+            pyflows.python_flows(facts, files=content).select(*FLOW_COLUMNS),
             regex_scan(pyfacts.unparsed_files(facts)),
             script_scan(files.where(language.isin(*SCRIPT))),
         ]
@@ -277,8 +290,8 @@ def _parsed_languages(files: DataFrame) -> DataFrame:
 def route_by_language(files: DataFrame, flows: DataFrame | None = None) -> DataFrame:
     """First stage: each file goes to the detector of its language.
 
-    Files of other languages get the regex rules. ``flows`` are data-flow
-    findings computed from edge tables.
+    Files of other languages get the regex rules. ``flows`` are further data-flow
+    findings, computed from edge tables of other front ends.
     """
     parts = [_parsed_languages(files), regex_scan(files.where(_is_other_language()))]
     return sets.union_findings(parts if flows is None else [*parts, flows])

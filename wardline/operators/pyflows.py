@@ -63,11 +63,14 @@ def args(facts: DataFrame) -> DataFrame:
     )
 
 
-def python_flows(facts: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """Data-flow findings of Python files; ``facts`` should be a table at rest, it is read four times."""
+def python_flows(facts: DataFrame, aliases: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
+    """Data-flow findings of Python files; ``facts`` should be a table at rest, it is read four times.
+
+    With ``files`` (file_id, content) findings have their code.
+    """
     if aliases is None:
         aliases = facts.sparkSession.createDataFrame([], "file_id string, alias string")
     labels = taint.source_labels(taint.match_sources(accesses(facts), aliases))
-    found = taint.taint_findings(calls(facts), args(facts), taint.reach(edges(facts), labels))
+    found = taint.taint_findings(calls(facts), args(facts), taint.reach(edges(facts), labels), files)
     paths = facts.where("kind = 'parsed'").select("file_id", "file_path")
     return found.join(paths, "file_id")

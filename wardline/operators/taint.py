@@ -24,7 +24,9 @@ from . import knowledge
 from .taint_tables import (
     LAST_ARGUMENT,
     RIGHT_SIDE,
+    SAME_SINKS,
     SANITIZERS,
+    SINK_DESCRIPTIONS,
     SINKS,
     SOURCE_ALIASES,
     SOURCES,
@@ -245,6 +247,7 @@ def taint_reach(edges: DataFrame, labels: DataFrame, max_passes: int | None = No
 def sink_key(calls_object: Column, method: Column, arg0_kind: Column, arg0_text: Column) -> Column:
     """Full name, then an SQL-like method on an SQL-like argument, then the bare name."""
     names = list(SINKS)
+    method = F.coalesce(lookup(SAME_SINKS, method), method)
     full = F.concat(calls_object, F.lit("."), method)
     sql = calls_object.isNotNull() & method.isin(SQL_METHODS) & text.looks_like_sql(arg0_kind, arg0_text)
     return F.when(full.isin(names), full).when(sql, F.lit(".query")).when(method.isin(names), method)
@@ -283,26 +286,32 @@ def is_safe_call() -> Column:
     return F.coalesce(test, F.lit(False))
 
 
-def flow_record() -> Column:
-    """Source, steps and sink as JSON; step lines are counted on from the source."""
+def flow_record(content: Column | None = None) -> Column:
+    """Source, steps and sink as JSON; step lines are counted on from the source. With the file's text each has its code."""
+    def code(line: Column) -> list[Column]:
+        return [] if content is None else [text.snippet_centred(content, line).alias("code")]
+
     steps = F.transform(
         "path",
         lambda step, i: F.struct(
             step.alias("variable"),
             (F.col("source_line") + i).alias("line"),
+            *code(F.col("source_line") + i),
             F.when(i == 0, "source_access").otherwise("assignment").alias("operation"),
         ),
     )
-    source = F.struct(F.col("source_type").alias("type"), F.col("source_line").alias("line"))
+    source = F.struct(F.col("source_type").alias("type"), F.col("source_line").alias("line"), *code(F.col("source_line")))
     callee = F.concat_ws(".", "object", "method")
-    sink = F.struct(callee.alias("type"), F.col("line").alias("line"))
+    sink = F.struct(callee.alias("type"), F.col("line").alias("line"), *code(F.col("line")))
     return F.to_json(F.struct(source.alias("source"), steps.alias("propagation"), sink.alias("sink")))
 
 
-def taint_findings(calls: DataFrame, args: DataFrame, reached: DataFrame | Reach) -> DataFrame:
+def taint_findings(calls: DataFrame, args: DataFrame, reached: DataFrame | Reach, files: DataFrame | None = None) -> DataFrame:
     """Findings where a tainted variable sits in the dangerous argument of a sink.
 
-    From a ``Reach`` only the paths of variables in such an argument are rebuilt.
+    From a ``Reach`` only the paths of variables in such an argument are rebuilt. With
+    ``files`` (file_id, content) findings have a snippet, and the code of source, steps and
+    sink; a file without content gives none.
     """
     sinks = match_sinks(calls).where(~is_safe_call())
     dangerous = F.when(F.col("taint_arg") == LAST_ARGUMENT, F.col("n_args") - 1).when(
@@ -319,6 +328,10 @@ def taint_findings(calls: DataFrame, args: DataFrame, reached: DataFrame | Reach
         .agg(F.min_by(F.struct(*rest), F.struct("position", "node")).alias("_row"))
         .select("file_id", "call_id", "_row.*")
     )
+    content = None
+    if files is not None:
+        one = one.join(files.select("file_id", F.col("content").alias("_content")), "file_id", "left")
+        content = F.col("_content")
     has = lambda level: F.exists("sanitizers", lambda s: s["strength"] == level)
     confidence = sev.taint_confidence(F.size("path"), has("weak"), has("strong"), F.col("category"))
     return one.select(
@@ -330,10 +343,12 @@ def taint_findings(calls: DataFrame, args: DataFrame, reached: DataFrame | Reach
         F.col("line").alias("line_start"),
         F.col("line").alias("line_end"),
         F.concat("vulnerability_type", F.lit(" via "), "source_type").alias("title"),
+        lookup(SINK_DESCRIPTIONS, F.col("sink")).alias("description"),
+        (F.lit(None).cast("string") if content is None else text.snippet_centred(content, F.col("line"))).alias("code_snippet"),
         sev.confidence_2dp(confidence).alias("confidence"),
         F.lit("sast-js").alias("analyzer_type"),
         F.concat(F.lit("flow:"), "sink").alias("rule"),
-        flow_record().alias("data_flow"),
+        flow_record(content).alias("data_flow"),
         F.coalesce(
             lookup(knowledge.FLOW_REMEDIATIONS, F.col("cwe_id")), F.lit(knowledge.DEFAULT_FIX)
         ).alias("remediation"),

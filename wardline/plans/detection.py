@@ -147,6 +147,8 @@ ROUTED_EXPECTED = [
     (5, "credentials", "CWE-798", "high", 0.85, 2),
     *SCRIPT_EXPECTED,
     (10, "command", "CWE-78", "critical", 0.85, 2),
+    (12, "flow:db.query", "CWE-89", "critical", 0.90, 3),
+    (13, "flow:eval", "CWE-94", "critical", 0.90, 4),
 ]
 
 

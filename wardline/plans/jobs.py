@@ -30,9 +30,9 @@ def scan_and_store(files: DataFrame, path: str, second: str = "knowledge") -> Da
 @query(
     "d11_scan_job",
     f"with first as ({_expected(ROUTED_EXPECTED)}), again as ({KNOWLEDGE_SQL}),"
-    " rows as (select file_id, cwe_id, line_start, confidence, 1 as stage from first union all select file_id, cwe_id, line_start, 0.85, 2 from again),"
+    " rows as (select file_id, cwe_id, line_start, confidence, 1 as stage, starts_with(rule, 'flow:') as flow from first union all select file_id, cwe_id, line_start, 0.85, 2, false from again),"
     " won as (select *, row_number() over (partition by file_id, cwe_id, line_start order by confidence desc, stage) as r from rows),"
-    " f as (select p.analysis_id, w.stage, w.stage = 1 and p.language in ('javascript', 'typescript') as flow from won w join v_programs p on w.file_id = p.file_id where r = 1)"
+    " f as (select p.analysis_id, w.stage, w.stage = 1 and (w.flow or p.language in ('javascript', 'typescript')) as flow from won w join v_programs p on w.file_id = p.file_id where r = 1)"
     " select cast(analysis_id as varchar) as analysis_id, count(*) as total_findings, count(*) filter (where flow) as sast_findings,"
     " count(*) filter (where stage = 1 and not flow) as ast_findings, count(*) filter (where stage = 2) as ai_findings,"
     " case when count(*) filter (where flow) > 0 then 'sast+taint' else 'direct_ast' end as scan_method from f group by 1",
