@@ -249,3 +249,23 @@ def test_nearest_cases(spark):
 def test_grouped_rows_are_padded():
     assert jaccard.node_of(np.zeros(0, np.uint64)) == 0
     assert [len(s) for _, s in jaccard.shingle_sets(pa.array([None, "", "a", "a b c d e", "a b c d e f"]))] == [0, 0, 1, 1, 2]
+
+
+@pytest.mark.parametrize("count", [1, 2, 7, 11])
+def test_nearest_of_few_vectors(spark, count):
+    rng = np.random.default_rng(count)
+    rows = [(100 * i, rng.normal(size=4).round(3).tolist()) for i in range(count)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vectors = ann.usable(df)
+    got = ann.neighbours(vectors, vectors, ann.fit(vectors)).collect()
+    assert sorted((q, n, i) for q, n, i, _ in got) == [(q, n, i) for q, n, i, _ in brute_nearest(rows, 10)]
+
+
+def test_nearest_among_many_copies(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(400)] + [(1000 + i, rng.normal(size=3).tolist()) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vectors = ann.usable(df)
+    got = {(q, i) for q, _, i, _ in ann.neighbours(vectors.filter("vec_id % 100 = 0"), vectors, ann.fit(vectors)).collect()}
+    want = {(q, i) for q, _, i, _ in brute_nearest(rows, 10)}
+    assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)

@@ -23,7 +23,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared, text_key
+from .common import shared, text_key, unused
 
 CHUNK_CHARS = 16384
 OVERLAP_CHARS = 1024
@@ -143,14 +143,16 @@ def encode(
         path, pattern = path or known[0], pattern or known[1]
     vocabulary = shared(documents.sparkSession, read_vocabulary(path))
     others = [c for c in documents.columns if c not in (column, "ids")]
-    rows = documents.select(*others, F.coalesce(column, F.lit("")).alias("_text"))
-    short = _encoded(rows.filter(F.length("_text") <= chunk), "_text", vocabulary, pattern)
-    doc_id = others[0] if others else "_text"
-    long = rows.filter(F.length("_text") > chunk).withColumn("_key", text_key(doc_id, "_text"))
-    pieces = _encoded(_pieces(_chunked(long, chunk, overlap), pattern), "text", vocabulary, pattern)
-    whole = pieces.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("piece", "ids"))).alias("p"))
-    whole = whole.select("_key", F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"))
-    return short.unionByName(long.drop("_text").join(whole, "_key").drop("_key"))
+    own, key = unused(documents, "own_text", "key")
+    rows = documents.select(*others, F.coalesce(column, F.lit("")).alias(own))
+    short = _encoded(rows.filter(F.length(own) <= chunk), own, vocabulary, pattern)
+    doc_id = others[0] if others else own
+    long = rows.filter(F.length(own) > chunk).withColumn(key, text_key(doc_id, own))
+    chunks = _chunked(long.select(F.col(key).alias("_key"), F.col(own).alias("_text")), chunk, overlap)
+    pieces = _encoded(_pieces(chunks, pattern), "text", vocabulary, pattern)
+    whole = pieces.groupBy(F.col("_key").alias(key)).agg(F.sort_array(F.collect_list(F.struct("piece", "ids"))).alias("p"))
+    whole = whole.select(key, F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"))
+    return short.unionByName(long.drop(own).join(whole, key).drop(key))
 
 
 def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:

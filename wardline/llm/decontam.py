@@ -3,8 +3,9 @@
 Only DataFrame functions run here. Steps:
 
 1. Benchmark items become windows of ``size`` words (a shorter item is one window).
-2. The corpus is counted for the benchmark's vocabulary; each window picks its two
-   rarest terms. A window with a term the corpus lacks is dropped.
+2. The corpus is counted for the benchmark's vocabulary; each window picks the two
+   rarest of its terms that the corpus has. Only a window of which it has all terms
+   can occur as a phrase; the others may still stand near.
 3. Postings of the picked terms (document, position, surrounding words) are stored.
    A table of 2**20 bits, the only thing that every task gets, drops other words before
    the join with the terms.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..session import cut_lineage
-from .common import text_key
+from .common import text_key, unused
 
 WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -71,7 +72,7 @@ def benchmark_windows(items: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def pick_rarest(documents: DataFrame, windows: DataFrame) -> DataFrame:
-    """Windows whose terms all occur in the corpus, with the places ``q1`` and ``q2`` of their two rarest terms."""
+    """Windows with the places ``q1`` and ``q2`` of the two rarest terms that the corpus has, and whether it has all (``whole``)."""
     places = windows.select("item", "version", "start", F.posexplode("terms").alias("offset", "word"))
     vocabulary = places.select("word").distinct()
     seen = documents.select(F.explode(words_of()).alias("word")).filter(in_table(bit_table(vocabulary), F.col("word")))
@@ -79,8 +80,10 @@ def pick_rarest(documents: DataFrame, windows: DataFrame) -> DataFrame:
     ranked = places.join(counts, "word", "left").groupBy("item", "version", "start").agg(
         F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "offset"))).alias("r")
     )
-    place = lambda i: F.col("start") + F.get("r", F.lit(i))["offset"]
-    picked = ranked.filter(F.col("r")[0]["n"] > 0).select("item", "version", "start", place(0).alias("q1"), place(1).alias("q2"))
+    ranked = ranked.withColumn("present", F.filter("r", lambda x: x["n"] > 0)).filter(F.size("present") > 0)
+    place = lambda i: F.col("start") + F.get("present", F.lit(i))["offset"]
+    whole = (F.size("present") == F.size("r")).alias("whole")
+    picked = ranked.select("item", "version", "start", place(0).alias("q1"), place(1).alias("q2"), whole)
     return picked.join(windows, ["item", "version", "start"])
 
 
@@ -116,6 +119,7 @@ def _places(windows: DataFrame) -> DataFrame:
 
 def phrase_matches(windows: DataFrame, index: DataFrame) -> DataFrame:
     """(key, item, position, length): every place of a document at which a window occurs word by word."""
+    windows = windows.filter("whole")
     hits = index.join(_places(windows), "word")
     around = F.split("context", " ")
     here = F.col("position") - F.col("first")
@@ -143,9 +147,9 @@ def phrase_matches(windows: DataFrame, index: DataFrame) -> DataFrame:
 def proximity_matches(windows: DataFrame, index: DataFrame, slop: int = 3) -> DataFrame:
     """(key, item, start, position): windows whose two rarest terms stand at most ``slop`` words from their distance in the item.
 
-    Positions meet in blocks of ``slop + size`` words, each tried with its neighbours.
+    Positions meet in blocks as wide as the longest window and ``slop``, each tried with its neighbours.
     """
-    width = F.lit(slop + SIZE)
+    width = F.lit(slop + (windows.agg(F.max(F.size("terms"))).first()[0] or 1))
     pairs = windows.filter("q2 is not null").select(
         "item", "start", (F.col("q2") - F.col("q1")).alias("gap"),
         F.get("terms", F.col("q1") - F.col("start")).alias("word"), F.get("terms", F.col("q2") - F.col("start")).alias("other"),
@@ -170,8 +174,9 @@ def covered(matches: DataFrame) -> DataFrame:
 def contamination(documents: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
     """The documents' rows with ``n_words``, ``n_hit`` and ``items``, the ids of matching items sorted as strings."""
     found = covered(phrase_matches(*index_for(documents, items, size)))
-    rows = documents.withColumns({"_key": text_key(), "n_words": F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")})
-    found = found.select(F.col("key").alias("_key"), "n_hit", "items")
-    return rows.drop("n_hit", "items").join(found, "_key", "left").drop("_key").withColumns(
+    (key,) = unused(documents, "key")
+    rows = documents.withColumns({key: text_key(), "n_words": F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")})
+    found = found.select(F.col("key").alias(key), "n_hit", "items")
+    return rows.drop("n_hit", "items").join(found, key, "left").drop(key).withColumns(
         {"n_hit": F.coalesce("n_hit", F.lit(0)), "items": F.coalesce("items", F.array().cast("array<string>"))}
     )

@@ -20,7 +20,7 @@ from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -153,6 +153,11 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float = SWITCH) -> n
     return labels
 
 
+def has_letter(text: str) -> Column:
+    """Whether a text holds a letter of any script; a null one doesn't."""
+    return F.coalesce(F.col(text).cast("string").rlike(r"\p{L}"), F.lit(False))
+
+
 def train(documents: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """Counts of every labelled row; a word counts for its row's language as often as it stands there."""
     rows = documents.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())

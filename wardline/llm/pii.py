@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import text_key
+from .common import text_key, unused
 
 KINDS = ("email", "ip", "card", "phone", "number", "credential")
 BASE = KINDS[:4]
@@ -260,8 +260,9 @@ def attach_spans(documents: DataFrame, spans: DataFrame) -> DataFrame:
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     found = spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", order.alias("order"), "kind", "stop", "base"))).alias("found"))
     empty = F.array().cast(found.schema["found"].dataType)
-    rows = documents.drop("found").withColumn("_key", text_key())
-    return rows.join(found.withColumnRenamed("key", "_key"), "_key", "left").drop("_key").withColumn("found", F.coalesce("found", empty))
+    (key,) = unused(documents, "key")
+    rows = documents.drop("found").withColumn(key, text_key())
+    return rows.join(found.withColumnRenamed("key", key), key, "left").drop(key).withColumn("found", F.coalesce("found", empty))
 
 
 def redacted(documents: DataFrame, spans: DataFrame) -> DataFrame:
@@ -270,12 +271,13 @@ def redacted(documents: DataFrame, spans: DataFrame) -> DataFrame:
     edge = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = spans.withColumn("run", F.sum((F.coalesce(edge, F.lit(-1)) < F.col("start")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     runs = runs.groupBy("key", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min_by("kind", F.struct("start", "stop", "kind")).alias("kind"))
-    found = runs.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "kind"))).alias("_runs"))
-    rows = documents.withColumn("_key", text_key()).join(found.withColumnRenamed("key", "_key"), "_key", "left")
-    text, runs = F.col("text"), F.col("_runs")
+    key, own = unused(documents, "key", "runs")
+    found = runs.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "kind"))).alias(own))
+    rows = documents.withColumn(key, text_key()).join(found.withColumnRenamed("key", key), key, "left")
+    text, runs = F.col("text"), F.col(own)
     begins = F.concat(F.array(F.lit(0)), F.transform(runs, lambda r: r["stop"].cast("int")))
     parts = F.transform(
         runs, lambda r, i: F.concat(F.substr(text, F.get(begins, i) + 1, r["start"].cast("int") - F.get(begins, i)), F.lit("["), F.upper(r["kind"]), F.lit("]"))
     )
     tail = F.substr(text, F.get(begins, F.size(runs)) + 1)
-    return rows.withColumn("text", F.when(runs.isNull(), text).otherwise(F.concat(F.array_join(parts, ""), tail))).drop("_key", "_runs")
+    return rows.withColumn("text", F.when(runs.isNull(), text).otherwise(F.concat(F.array_join(parts, ""), tail))).drop(key, own)

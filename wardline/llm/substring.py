@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import hashing
-from .common import Bitmap, bins_of, by_bin, shared, slices, text_buffer
+from .common import Bitmap, bins_of, by_bin, shared, slices, text_buffer, unused
 
 WINDOW = 35
 PERIOD = 21
@@ -180,12 +180,13 @@ def without_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     if window < 2 * PERIOD - 1 - (PERIOD - 1):
         raise ValueError(f"a window has at least {PERIOD} words")
     bins = bins_of(documents.sparkSession)
-    others = documents.drop("kept", "n_words", "n_removed", "_key", "_bin")
-    keyed = others.withColumn("_key", F.xxhash64("doc_id", "text"))
+    others = documents.drop("kept", "n_words", "n_removed")
+    key_name, bin_name = unused(others, "key", "bin")
+    keyed = others.withColumn(key_name, F.xxhash64("doc_id", "text"))
     anchors = Bitmap.of(repeated_anchors(documents, window, bins), "hash")
-    places = repeated_windows(keyed, anchors, window, bins)
+    places = repeated_windows(keyed.select(F.col(key_name).alias("_key"), "text"), anchors, window, bins)
     # the same bin as by_bin chooses
-    keyed = keyed.withColumn("_bin", F.expr(f"cast(pmod(shiftrightunsigned(_key, 20), {bins}) as int)"))
+    keyed = keyed.withColumn(bin_name, F.expr(f"cast(pmod(shiftrightunsigned({key_name}, 20), {bins}) as int)"))
     names = others.columns
     schema = T.StructType(
         [*others.schema.fields, T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
@@ -197,7 +198,7 @@ def without_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
         order = np.argsort(key, kind="stable")
         key, place = key[order], place[order]
         kept, total, removed = [], [], []
-        for own, text in zip(left["_key"].to_pylist(), left["text"]):
+        for own, text in zip(left[key_name].to_pylist(), left["text"]):
             words = (text.as_py() or "").encode().split()
             a, b = np.searchsorted(key, own, "left"), np.searchsorted(key, own, "right")
             gone = 0
@@ -218,4 +219,4 @@ def without_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
             [*columns, pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())], names=[*names, "kept", "n_words", "n_removed"]
         )
 
-    return keyed.groupBy("_bin").cogroup(places.groupBy("bin")).applyInArrow(cut, schema)
+    return keyed.groupBy(bin_name).cogroup(places.groupBy("bin")).applyInArrow(cut, schema)
