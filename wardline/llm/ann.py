@@ -6,7 +6,8 @@ vector is then indexed in one leaf of each tree. A query walks all trees with on
 priority queue, ordered by the squared margins on the way, until the leaves it has opened hold
 a certain share of the sample. That share is calibrated: the least at which walks for
 sample vectors find ``TARGET`` of their true neighbours in the sample. Vectors with
-structure need a small one, vectors without any a large one. Queries and vectors meet
+structure need a small one, vectors without any a large one. A query that has met fewer
+than k rows goes on to all leaves of one tree, so it gets k rows wherever there are k. Queries and vectors meet
 by (tree, leaf), in blocks of bounded size, and are ranked by exact distance.
 
 Of equal vectors only the k + 1 smallest ids enter the index: at equal distance ties go
@@ -15,7 +16,7 @@ excluded. That is exact for copies of any number.
 
 Defined cases: vectors that are null, all zero, or hold null or non-finite components
 take no part, nor do rows without an id; an id with several vectors is several
-candidates and, if a query, is searched with its smallest vector; vectors of another
+candidates and, if a query, is searched with all of them, the best score counting; vectors of another
 length than the most frequent one take no part; an empty table gives no rows.
 """
 
@@ -115,6 +116,10 @@ class Forest:
             held += self.trees[t][3][leaf]
         return opened
 
+    def everywhere(self, query: np.ndarray) -> list[tuple[int, int]]:
+        """All leaves of one tree, which together hold every vector once."""
+        return [(0, leaf) for leaf in range(len(self.trees[0][3]))]
+
     def _calibrated(self, sample: np.ndarray, k: int) -> float:
         """Share of the sample that walks must open to find ``TARGET`` of the k nearest of sample vectors."""
         leaves, needed = self.leaves(sample), []
@@ -148,7 +153,8 @@ def usable(vectors: DataFrame) -> DataFrame:
 def fit(vectors: DataFrame, sample: int = SAMPLE, **shape) -> Forest | None:
     total = vectors.count()
     rows = vectors.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(sample).select(F.col("v").cast("array<float>").alias("v")).toArrow()["v"]
-    return Forest(np.stack(rows.to_numpy()).astype(np.float64), total, **shape) if total else None
+    # copies would count as found neighbours when the share is calibrated
+    return Forest(np.unique(np.stack(rows.to_numpy()).astype(np.float64), axis=0), total, **shape) if total else None
 
 
 def neighbours(queries: DataFrame, vectors: DataFrame, forest: Forest, k: int = 10) -> DataFrame:
@@ -177,22 +183,23 @@ def neighbours(queries: DataFrame, vectors: DataFrame, forest: Forest, k: int =
                 n, trees = leaves.shape
                 yield rows_of(part, np.repeat(np.arange(n), trees), np.tile(np.arange(trees), n), leaves.ravel())
 
-    def probe(batches):
-        forest = model()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                opened = [(i, t, leaf) for i, q in enumerate(matrix(part.column(1))) for t, leaf in forest.search(q)]
-                yield rows_of(part, *(np.array(x, np.int64) for x in zip(*opened)))
+    def probes_by(search):
+        def probe(batches):
+            forest = model()
+            for batch in batches:
+                for at in range(0, batch.num_rows, 128):
+                    part = batch.slice(at, 128)
+                    opened = [(i, t, leaf) for i, q in enumerate(matrix(part.column(1))) for t, leaf in search(forest, q)]
+                    yield rows_of(part, *(np.array(x, np.int64) for x in zip(*opened)))
+
+        return probe
 
     copies = Window.partitionBy("v").orderBy("vec_id")
     kept = vectors.withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= k + 1).select("vec_id", "v")
     indexed = cut_lineage(kept.mapInArrow(index, schema), "index")
-    probes = cut_lineage(queries.select("vec_id", "v").mapInArrow(probe, schema), "probes")
     sizes = lambda df, name: df.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-    blocks = sizes(indexed, "vb").join(sizes(probes, "qb"), ["tree", "leaf"])
 
-    def dealt(df, own, other, kind):
+    def dealt(df, blocks, own, other, kind):
         rows = df.join(blocks, ["tree", "leaf"])
         block = F.pmod(F.xxhash64("id"), F.col(own)).cast("int")
         rows = rows.withColumns({own: block, other: F.explode(F.sequence(F.lit(0), F.col(other) - 1))})
@@ -213,8 +220,21 @@ def neighbours(queries: DataFrame, vectors: DataFrame, forest: Forest, k: int =
         query, found, score = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"query_id": pa.array(query, pa.int64()), "vec_id": pa.array(found, pa.int64()), "score": pa.array(score, pa.float64())})
 
-    met = dealt(indexed, "vb", "qb", False).unionByName(dealt(probes, "qb", "vb", True))
-    found = met.groupBy("tree", "leaf", "vb", "qb").applyInArrow(rank, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def best(queries, search):
+        probes = cut_lineage(queries.select("vec_id", "v").mapInArrow(probes_by(search), schema), "probes")
+        blocks = sizes(indexed, "vb").join(sizes(probes, "qb"), ["tree", "leaf"])
+        met = dealt(indexed, blocks, "vb", "qb", False).unionByName(dealt(probes, blocks, "qb", "vb", True))
+        found = met.groupBy("tree", "leaf", "vb", "qb").applyInArrow(rank, "query_id long, vec_id long, score double")
+        found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+        order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    found = cut_lineage(best(queries, Forest.search), "near")
+    # queries that met too few rows, as in tiny or lopsided tables, go on to all leaves of one tree, which hold every row
+    wanted = min(k, indexed.filter("tree = 0").count())
+    enough = found.groupBy(F.col("query_id").alias("vec_id")).count().filter(F.col("count") >= wanted).select("vec_id")
+    short = cut_lineage(queries.select("vec_id", "v").join(enough, "vec_id", "left_anti"), "short")
+    if short.isEmpty():
+        return found
+    rest = found.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti")
+    return rest.unionByName(best(short, Forest.everywhere)).select("query_id", "rank", "vec_id", "score")
