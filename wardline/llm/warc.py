@@ -24,44 +24,58 @@ import hashlib
 import io
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
 CHUNK_CHARS = 1 << 16
 RECORDS_PER_FILE = 4000
+#: Copies of one row that are numbered at once.
+COPIES = 4096
 DATE = "2020-01-01T00:00:00Z"
 END = b"\r\n"
 
 
-def _record_id(page_id: Column, digest: Column, copy: Column) -> Column:
-    h = F.md5(F.concat_ws("|", F.coalesce(page_id.cast("string"), F.lit("~")), digest, copy.cast("string")))
+def _record_id(page_id: Column, digest: Column, url: Column, copy: Column) -> Column:
+    h = F.md5(F.concat_ws("|", F.coalesce(page_id.cast("string"), F.lit("~")), digest, copy.cast("string"), F.coalesce(F.concat(F.lit("="), url), F.lit("~"))))
     parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("urn:uuid:"), F.concat_ws("-", *parts))
 
 
 def planned(pages: DataFrame, least: int = 0) -> DataFrame:
-    """(record, page_id, url, html, digest, refers): every page with its type decided; ``refers`` is null for responses."""
-    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    """(record, page_id, url, html, digest, refers): every page with its type decided; ``refers`` is null for responses.
+
+    The decision moves no html: rows equal in id, url and payload are counted, and a payload's
+    response is its largest id's first url. Each distinct payload then moves once, to its responses.
+    """
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    payload = F.encode(html, "UTF-8")
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
-        F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("size"),
+        html.alias("html"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("size"),
     )
-    each = rows.groupBy("digest", "size", "page_id").agg(F.count("*").alias("c"))
-    groups = each.groupBy("digest", "size").agg(F.max("page_id").alias("largest"), F.max("c").alias("most"))
-    rows = rows.join(groups, ["digest", "size"])
-    # rows equal in page_id and payload are numbered; where no id is repeated, each is the first
-    unique = rows.filter("most = 1").withColumn("copy", F.lit(1))
-    again = Window.partitionBy("digest", "page_id").orderBy("url")
-    repeated = rows.filter("most > 1").withColumn("copy", F.row_number().over(again))
-    rows = unique.unionByName(repeated)
-    first = F.col("page_id").eqNullSafe(F.col("largest")) & (F.col("copy") == 1)
-    target = _record_id(F.col("largest"), F.col("digest"), F.lit(1))
-    return rows.select(
-        _record_id(F.col("page_id"), F.col("digest"), F.col("copy")).alias("record"), "page_id", "url", "html", "digest",
+    each = rows.groupBy("digest", "size", "page_id", "url").agg(F.count("*").alias("c"))
+    # the largest id, or none; then the first url
+    best = F.struct(F.col("page_id").isNull().alias("none"), F.bitwise_not("page_id").alias("down"), F.col("url").alias("first"))
+    firsts = each.groupBy("digest", "size").agg(F.min(best).alias("best"))
+    start = F.explode(F.sequence(F.lit(1).cast("long"), F.col("c"), F.lit(COPIES).cast("long")))
+    each = each.withColumn("start", start)
+    each = each.withColumn("copy", F.explode(F.sequence("start", F.least(F.col("c"), F.col("start") + COPIES - 1))))
+    decided = each.join(firsts, ["digest", "size"])
+    largest = F.when(~F.col("best.none"), F.bitwise_not("best.down"))
+    first = F.col("page_id").eqNullSafe(largest) & F.col("url").eqNullSafe(F.col("best.first")) & (F.col("copy") == 1)
+    target = _record_id(largest, F.col("digest"), F.col("best.first"), F.lit(1))
+    decided = decided.select(
+        _record_id(F.col("page_id"), F.col("digest"), F.col("url"), F.col("copy")).alias("record"), "page_id", "url", "digest", "size",
         F.when(~first & (F.col("size") >= least), target).alias("refers"),
     )
+    decided = cut_lineage(decided, "decided")
+    payloads = rows.groupBy("digest", "size").agg(F.first("html").alias("html"))
+    responses = decided.filter("refers is null").join(payloads, ["digest", "size"])
+    revisits = decided.filter("refers is not null").withColumn("html", F.lit(None).cast("string"))
+    columns = ["record", "page_id", "url", "html", "digest", "refers"]
+    return responses.select(columns).unionByName(revisits.select(columns))
 
 
 def chunk_rows(plan: DataFrame, chunk: int = CHUNK_CHARS) -> DataFrame:
