@@ -58,6 +58,16 @@ def _(t: Tables):
     return _span(run.to_table(ratios, "errors")).withColumn("ratio", F.round("ratio", 9))
 
 
+def _open(sql: str) -> str:
+    """The statement with the windows that are still open at the end."""
+    return sql[: sql.index("where start_s")] + sql[sql.index("group by") :]
+
+
+@query("t02_error_ratio_batch", _open(_sliding_sql(ERROR_COLUMNS, "", 300, 60)))
+def _(t: Tables):
+    return _span(windows.error_ratio(t.v_requests, slide="1 minute")).withColumn("ratio", F.round("ratio", 9))
+
+
 QUANTILES = (
     "count(*) as n, quantile_disc(duration, 0.5) as p50, quantile_disc(duration, 0.95) as p95, quantile_disc(duration, 0.99) as p99,"
     " quantile_disc(duration, 0.95) > 2.0 as breach"
@@ -70,6 +80,11 @@ def _(t: Tables):
     return _span(run.to_table(windows.latency_quantiles(requests, window="6 hours", slide="3 hours"), "latency"))
 
 
+@query("t03_latency_quantiles_batch", _open(_sliding_sql(QUANTILES, "", 21600, 10800)))
+def _(t: Tables):
+    return _span(windows.latency_quantiles(t.v_requests, window="6 hours", slide="3 hours"))
+
+
 HOLD_RULES = [dict(r, hold=r["hold"] * 60) for r in windows.GAUGE_RULES]
 RULES_SQL = (
     "rules as (select * from (values "
@@ -124,6 +139,29 @@ def _(t: Tables):
     return _span(run.to_table(windows.limited_clients(requests, "1 day", 3), "limits"))
 
 
+@query(
+    "t06_limited_clients_batch",
+    "select client, cast(epoch(date_trunc('day', ts)) as bigint) as start_s, cast(epoch(date_trunc('day', ts)) as bigint) + 86400 as end_s, count(*) as n, 3 as \"limit\""
+    " from v_requests group by 1, 2, 3 having count(*) > 3",
+)
+def _(t: Tables):
+    return _span(windows.limited_clients(t.v_requests.select("ts", "client"), "1 day", 3))
+
+
+@query(
+    "t06_limited_routes_batch",
+    "with r as (select user_id % 3 as client, ts, case event_type when 'click' then '/auth/login' when 'error' then '/auth/reset-password' else '/x' end as route from events)"
+    " select client, route, cast(floor(epoch(ts) / 3600) as bigint) * 3600 as start_s, cast(floor(epoch(ts) / 3600) as bigint) * 3600 + 3600 as end_s, count(*) as n,"
+    " case route when '/auth/login' then 5 when '/auth/reset-password' then 3 else 100 end as \"limit\" from r group by all"
+    " having count(*) > case route when '/auth/login' then 5 when '/auth/reset-password' then 3 else 100 end",
+)
+def _(t: Tables):
+    kind = F.col("event_type")
+    route = F.when(kind == "click", "/auth/login").when(kind == "error", "/auth/reset-password").otherwise("/x")
+    requests = t.events.select((F.col("user_id") % 3).alias("client"), "ts", route.alias("route"))
+    return _span(windows.limited_clients(requests, "1 hour", windows.route_limit(F.col("route"))))
+
+
 @query(
     "t06_limited_requests_batch",
     "select event_id, row_number() over (partition by client, date_trunc('day', ts) order by ts, seq) as position,"
@@ -227,6 +265,15 @@ def _(t: Tables):
     return stateful.memo_lookup(calls, memo).select("seq", "hit")
 
 
+@query(
+    "t13_usage_by_day_batch",
+    "select provider, cast(epoch(date_trunc('day', ts)) as bigint) as start_s, cast(epoch(date_trunc('day', ts)) as bigint) + 86400 as end_s, count(*) as calls,"
+    " sum(input_tokens)::bigint as input_tokens, sum(output_tokens)::bigint as output_tokens from v_outcomes group by 1, 2, 3",
+)
+def _(t: Tables):
+    return _span(windows.usage_by_day(t.v_outcomes))
+
+
 @query(
     "t13_usage_by_day",
     "select provider, cast(epoch(date_trunc('day', ts)) as bigint) as start_s, cast(epoch(date_trunc('day', ts)) as bigint) + 86400 as end_s, count(*) as calls,"
