@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,8 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Workers stay alive between tasks; the system's allocator gives freed buffers back.
+# Workers stay alive between tasks; the system's allocator gives freed buffers back, those of
+# a megabyte and more at once (option -3 is the GNU library's M_MMAP_THRESHOLD).
 pa.set_memory_pool(pa.system_memory_pool())
+if hasattr(LIBC := ctypes.CDLL(None), "mallopt"):
+    LIBC.mallopt(-3, 1 << 20)
 
 #: Rows of text per Arrow batch.
 BATCH_ROWS = 1000
@@ -51,6 +55,11 @@ def bins_of(spark: SparkSession) -> int:
     return max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def bins_for(stored: DataFrame, rows: int) -> int:
+    """Number of bins for the rows of a stored table, about ``rows`` in each, whatever the session's settings."""
+    return max(64, -(-stored.count() // rows))
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and row offsets of a string or binary column; a null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -139,7 +148,7 @@ class Bitmap:
         found = df.select(column).mapInArrow(build, schema).groupBy("part").applyInArrow(merge, schema)
         bits = np.zeros(1 << (log2 - 3), np.uint8)
         step = min(len(bits), 1 << 16)
-        for row in found.toLocalIterator():
+        for row in found.collect():  # at most the bits themselves, whatever the rows
             bits[row.part * step : (row.part + 1) * step] = np.frombuffer(row.bits, np.uint8)
         return cls(bits)
 

@@ -13,8 +13,9 @@ sorted arrays.
    only one family has; both are aggregated before the shuffle. The others' classes
    meet in tiles of shingle and size band, where all pairs of different families are tested by their
    bits. A tile of more than ``BLOCK`` classes is dealt out in blocks. In two passes
-   each class brings its most promising partner, so that families grow together;
-   the last pass brings every pair that is left.
+   each class looks in a few tiles, the same ones for similar classes, and brings its
+   most promising partner, so that families grow together; the last pass takes all
+   tiles and brings every pair that is left.
 
 No link between different families is lost, and links inside a family don't change
 the components. A shingle is a 64-bit hash, a class 64 bits of a digest.
@@ -37,12 +38,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, scratch_scope
 from . import hashing
-from .common import Bitmap, bins_of, by_bin, packed, shared, slices, text_buffer
+from .common import Bitmap, bins_for, by_bin, packed, shared, slices, text_buffer
 from .graph import components
 
 SHINGLE = 5
@@ -53,6 +55,10 @@ LOG2_SKETCH = 20
 BLOCK = 2048
 #: Classes of a component in each block of a cell.
 CELL = 256
+#: Shingles by which a class looks for its best partner in the passes before the last, which takes all of them.
+GROWING = (6, 12)
+#: Classes, and postings, whose rows go to one bin on average.
+CLASSES_A_BIN, POSTINGS_A_BIN = 2000, 50000
 #: First size of each band; sizes that can link lie in the same band or in neighbouring ones.
 BANDS = np.unique(np.ceil((4 / 3) ** np.arange(1, 160)).astype(np.float64))
 
@@ -110,7 +116,7 @@ def may_link(differ: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def describe(documents: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, node, n, stars, bits) of each row, and the level of each sketch cell, log2 of its count."""
+    """(doc_id, text_hash, none, node, n, stars, bits) of each row, and the level of each sketch cell, log2 of its count."""
     cells, step = 1 << LOG2_SKETCH, 1 << 14
 
     def run(batches):
@@ -128,23 +134,24 @@ def describe(documents: DataFrame) -> tuple[DataFrame, np.ndarray]:
             node, n, stars, bits = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(list(stars), pa.list_(pa.int64())),
+                    batch.column(0), batch.column(2), pa.compute.is_null(batch.column(1)), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(list(stars), pa.list_(pa.int64())),
                     pa.array(bits, pa.binary()), pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary()),
                 ],
-                names=["doc_id", "node", "n", "stars", "bits", "at", "counts"],
+                names=["doc_id", "text_hash", "none", "node", "n", "stars", "bits", "at", "counts"],
             )
         at = [k for k in range(0, cells, step) if counts[k : k + step].any()]
         none = len(at)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.list_(pa.int64())),
+                pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.bool_()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.list_(pa.int64())),
                 pa.nulls(none, pa.binary()), pa.array(at, pa.int32()), pa.array([packed(np.uint32, counts[k : k + step]) for k in at], pa.binary()),
             ],
-            names=["doc_id", "node", "n", "stars", "bits", "at", "counts"],
+            names=["doc_id", "text_hash", "none", "node", "n", "stars", "bits", "at", "counts"],
         )
 
-    schema = "doc_id long, node long, n long, stars array<long>, bits binary, at int, counts binary"
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    schema = "doc_id long, text_hash long, none boolean, node long, n long, stars array<long>, bits binary, at int, counts binary"
+    text = F.col("text").cast("string")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(run, schema)
     rows = cut_lineage(rows, "sets")
 
     def merge(table):
@@ -152,7 +159,7 @@ def describe(documents: DataFrame) -> tuple[DataFrame, np.ndarray]:
         return pa.table({"at": table["at"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
     counts = np.zeros(cells, np.int64)
-    for r in rows.filter("at is not null").select("at", "counts").groupBy("at").applyInArrow(merge, "at int, counts binary").toLocalIterator():
+    for r in rows.filter("at is not null").select("at", "counts").groupBy("at").applyInArrow(merge, "at int, counts binary").collect():
         counts[r.at : r.at + step] = np.frombuffer(r.counts, np.int64)
     return rows.filter("at is null").drop("at", "counts"), np.log2(counts + 1).astype(np.uint8)
 
@@ -185,27 +192,33 @@ def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.select("a", "b", "na", "xa", "nb", "xb").mapInArrow(run, "a long, b long")
 
 
-def sets_of(documents: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, hashes): the packed set of each class in ``nodes`` (node), once; no other set moves."""
-    wanted = shared(documents.sparkSession, Bitmap.of(nodes, "node", 24))
+def sets_of(documents: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, hashes): the packed set of each class in ``nodes`` (node), once; no other set moves.
+
+    Of a class only texts with the hash of the one that stands for it are taken apart again.
+    """
+    wanted = cut_lineage(classes.select("node", "text_hash").join(nodes.distinct(), "node", "left_semi"), "wanted")
+    chosen = shared(documents.sparkSession, Bitmap.of(wanted, "text_hash", 24))
 
     def sets(batches):
-        known, sent = wanted(), set()
+        known, sent = chosen(), set()
         for batch in batches:
+            batch = batch.filter(pa.array(known.holds(batch.column(1).to_numpy().view(np.uint64))))
             nodes, found = [], []
             for _, s in shingle_sets(batch.column(0)):
                 node = node_of(s)
-                if len(s) and node not in sent and known.holds(np.array([node], np.int64).view(np.uint64))[0]:
+                if len(s) and node not in sent:
                     sent.add(node)
                     nodes.append(node)
                     found.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(found, pa.binary())], names=["node", "hashes"])
 
-    found = documents.select(F.col("text").cast("string")).mapInArrow(sets, "node long, hashes binary").dropDuplicates(["node"])
-    return cut_lineage(found.join(nodes.distinct(), "node", "left_semi"), "found")
+    text = F.col("text").cast("string")
+    found = documents.select(text.alias("text"), F.xxhash64(text).alias("h")).mapInArrow(sets, "node long, hashes binary").dropDuplicates(["node"])
+    return cut_lineage(found.join(wanted, "node", "left_semi"), "found")
 
 
-def linked(pairs: DataFrame, documents: DataFrame) -> DataFrame:
+def linked(pairs: DataFrame, documents: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes that link, by exact intersection. Only the sets of classes in a pair move."""
     pairs = cut_lineage(pairs, "pairs")
 
@@ -220,7 +233,8 @@ def linked(pairs: DataFrame, documents: DataFrame) -> DataFrame:
                 keep.append(100 * common >= PERCENT * (len(both) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    found = sets_of(documents, pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    found = sets_of(documents, classes, ends)
     x = found.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
     y = found.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
@@ -273,7 +287,10 @@ def shared_tokens(prefix: DataFrame, bins: int) -> DataFrame:
 
 
 def postings(prefix: DataFrame, bins: int) -> DataFrame:
-    """(node, n, token, band) of every prefix shingle that several classes have; no other can ever bring two together."""
+    """(node, n, token, band, turn) of every prefix shingle that several classes have; no other can ever bring two together.
+
+    ``turn`` is the shingle's place by a hash among those of its class: similar classes share their first ones.
+    """
     # written first: two Arrow functions in one stage would take two workers per core
     tokens = cut_lineage(shared_tokens(prefix, bins), "tokens")
     known = shared(prefix.sparkSession, Bitmap.of(tokens, "token"))
@@ -286,17 +303,20 @@ def postings(prefix: DataFrame, bins: int) -> DataFrame:
             row = np.repeat(np.arange(batch.num_rows), np.diff(offsets) // 8)
             keep = bitmap.holds(token)
             token, row = token[keep], row[keep]
+            order = np.lexsort((hashing.mix(token), row))
+            token, row = token[order], row[order]
+            turn = np.arange(len(row)) - np.searchsorted(row, row, "left")
             band = band_of(batch.column(1).to_numpy())[row]
             other = [batch.column(i).take(pa.array(row)) for i in range(2)]
-            yield pa.RecordBatch.from_arrays([*other, pa.array(token.view(np.int64)), pa.array(band, pa.int32())], names=["node", "n", "token", "band"])
+            yield pa.RecordBatch.from_arrays([*other, pa.array(token.view(np.int64)), pa.array(band, pa.int32()), pa.array(turn, pa.int32())], names=["node", "n", "token", "band", "turn"])
 
-    return prefix.select("node", "n", "tokens").mapInArrow(run, "node long, n long, token long, band int")
+    return prefix.select("node", "n", "tokens").mapInArrow(run, "node long, n long, token long, band int, turn int")
 
 
 def tile_pairs(posted: DataFrame, families: DataFrame, classes: DataFrame, bins: int, best: bool) -> DataFrame:
     """(a, b): classes of different families in one tile whose sizes and bits allow a link.
 
-    With ``best`` only the most promising partner of each class in each bin.
+    With ``best`` only the most promising partner of each class, so never more pairs than classes.
     """
     rows = posted.join(families, "node")
     opened = rows.groupBy("token").agg(F.min("family").alias("f0"), F.max("family").alias("f1")).filter("f0 <> f1").select("token")
@@ -324,11 +344,20 @@ def tile_pairs(posted: DataFrame, families: DataFrame, classes: DataFrame, bins:
         if best:
             either = np.concatenate([pairs[:, 0], pairs[:, 1]])
             order = np.lexsort((np.concatenate([differ, differ]), either))
-            pairs = pairs[order[np.unique(either[order], return_index=True)[1]] % max(1, len(pairs))]
-        pairs = np.unique(pairs, axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
-
-    return rows.groupBy("bin").applyInArrow(meet, "a long, b long").distinct()
+            kept = np.unique(order[np.unique(either[order], return_index=True)[1]] % max(1, len(pairs)))
+        else:
+            kept = np.unique(pairs, axis=0, return_index=True)[1]
+        pairs, differ = pairs[kept], differ[kept]
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64()), "differ": pa.array(differ, pa.float64())})
+
+    found = rows.groupBy("bin").applyInArrow(meet, "a long, b long, differ double")
+    if best:
+        # one row for each class and bin at most; the partner of each class is chosen over all of them
+        found = cut_lineage(found, "met")
+        ends = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "differ"))
+        partner = F.min(F.struct("differ", F.col("b").alias("to")))["to"]
+        found = ends.groupBy("a").agg(partner.alias("to")).select(F.least("a", "to").alias("a"), F.greatest("a", "to").alias("b"))
+    return found.select("a", "b").distinct()
 
 
 def _tile(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -371,7 +400,7 @@ def merged(families: DataFrame, links: DataFrame) -> DataFrame:
     return cut_lineage(families.join(roots, "family", "left").select("node", F.coalesce("root", "family").alias("family")), "families", outlives=True)
 
 
-def inner_links(posted: DataFrame, families: DataFrame, documents: DataFrame, bins: int) -> DataFrame:
+def inner_links(posted: DataFrame, families: DataFrame, classes: DataFrame, documents: DataFrame, bins: int) -> DataFrame:
     """(a, b), a < b: every pair of classes that link, once. The families must be whole components."""
     blocks = families.groupBy("family").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks"), F.count("*").alias("m")).filter("m > 1")
     rows = posted.select("node", "token").join(families, "node").join(blocks.drop("m"), "family")
@@ -384,7 +413,7 @@ def inner_links(posted: DataFrame, families: DataFrame, documents: DataFrame, bi
     rows = rows.select(F.pmod(cell, F.lit(bins)).cast("int").alias("bin"), cell.alias("cell"), side.alias("side"), "token", "node")
     rows = cut_lineage(rows, "cells")
     ends = rows.select(F.col("bin").alias("to"), "node").distinct()
-    sets = sets_of(documents, ends.select("node")).join(ends, "node").select("to", "node", "hashes")
+    sets = sets_of(documents, classes, ends.select("node")).join(ends, "node").select("to", "node", "hashes")
 
     def meet(cells, found):
         known = {k.as_py(): np.frombuffer(v.as_buffer(), np.uint64) for k, v in zip(found["node"], found["hashes"])}
@@ -430,10 +459,28 @@ def _cell(side: np.ndarray, token: np.ndarray, node: np.ndarray, known: dict[int
 def similarity_components(documents: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row; the component is named by its smallest doc_id."""
     with scratch_scope(documents.sparkSession, "jaccard"):
-        rows, _, families = _components(documents)
+        rows, _, _, families = _components(documents)
         return cut_lineage(_named(rows, families).select("doc_id", "n_shingles", "component_id"), "components", outlives=True)
 
 
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """A key of a row's id and text, which rows equal in both share; ids and texts may be null."""
+    own = F.col(doc_id).cast("long").cast("string")
+    return F.concat_ws("-", F.coalesce(own, F.lit("~")), F.hex(F.xxhash64(F.col(text).cast("string"))), F.col(text).isNull().cast("string"))
+
+
+def representatives(documents: DataFrame) -> DataFrame:
+    """(key): of each component the ``row_key`` of one row, the smallest by id (null last) and key; every row without words stands alone."""
+    with scratch_scope(documents.sparkSession, "jaccard"):
+        rows, _, _, families = _components(documents)
+        hashed = F.concat_ws("-", F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.hex("text_hash"), F.col("none").cast("string"))
+        rows = rows.withColumn("key", hashed).join(families, "node", "left")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key"))["key"]
+        heads = rows.filter("family is not null").groupBy("family").agg(first.alias("key")).select("key")
+        alone = rows.filter("family is null").select("key")
+        return cut_lineage(heads.unionByName(alone).distinct(), "heads", outlives=True)
+
+
 def similarity_links(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The whole join: the linked pairs of classes, and each row with its class and number of links.
 
@@ -443,9 +490,9 @@ def similarity_links(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     the other rows that the row links with, those of its own class among them.
     """
     with scratch_scope(documents.sparkSession, "jaccard"):
-        rows, posted, families = _components(documents)
+        rows, described, posted, families = _components(documents)
         with scratch_scope(documents.sparkSession, "cells"):
-            links = cut_lineage(inner_links(posted, families, documents, bins_of(documents.sparkSession)), "links", outlives=True)
+            links = cut_lineage(inner_links(posted, families, described, documents, bins_for(posted, POSTINGS_A_BIN)), "links", outlives=True)
         classes = cut_lineage(rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("m")), "named")
         of = lambda end: classes.select(F.col("node").alias(end), F.col("class_id").alias(f"c{end}"))
         pairs = links.join(of("a"), "a").join(of("b"), "b")
@@ -460,24 +507,25 @@ def similarity_links(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         return cut_lineage(pairs, "class_pairs", outlives=True), cut_lineage(members, "members", outlives=True)
 
 
-def _components(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The rows as described, the postings, and the component of each class as its family."""
+def _components(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The rows as described, the classes, the postings, and the component of each class as its family."""
     spark = documents.sparkSession
     rows, levels = describe(documents)
-    classes = cut_lineage(
-        rows.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("stars").alias("stars"), F.first("bits").alias("bits")), "classes"
-    )
-    bins = bins_of(spark)
+    firsts = [F.first(c).alias(c) for c in ("text_hash", "n", "stars", "bits")]
+    classes = cut_lineage(rows.filter("n > 0").groupBy("node").agg(*firsts), "classes")
     families = classes.select("node", F.col("node").alias("family"))
     # what only one pass reads goes when the families of that pass are written
     with scratch_scope(spark, "stars"):
-        families = merged(families, linked(bounded(star_pairs(classes), classes), documents))
+        families = merged(families, linked(bounded(star_pairs(classes), classes), documents, classes))
     with scratch_scope(spark, "prefixes"):
-        posted = cut_lineage(postings(cut_lineage(prefixes(documents, levels), "prefix"), bins), "postings", outlives=True)
-    for best in (True, True, False):
+        prefix = cut_lineage(prefixes(documents, levels), "prefix")
+        posted = cut_lineage(postings(prefix, bins_for(classes, CLASSES_A_BIN)), "postings", outlives=True)
+    bins = bins_for(posted, POSTINGS_A_BIN)
+    for turns in (*GROWING, None):
         with scratch_scope(spark, "tiles"):
-            families = merged(families, linked(tile_pairs(posted, families, classes, bins, best), documents))
-    return rows, posted, families
+            some = posted.filter(F.col("turn") < turns) if turns else posted
+            families = merged(families, linked(tile_pairs(some, families, classes, bins, turns is not None), documents, classes))
+    return rows, classes, posted, families
 
 
 def _named(rows: DataFrame, families: DataFrame) -> DataFrame:
