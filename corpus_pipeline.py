@@ -4,7 +4,7 @@ Each stage is a function of (spark, docs, sf_dir); its result is written as Parq
 and read again as the next one's ``docs``. All but the last return the columns of
 ``documents``. Null ids, null texts, repeated rows and empty tables pass through the
 operators as their modules define; a stage that joins its decisions back keys rows by
-id and text.
+id and text. Columns that ``documents`` doesn't have are left out.
 """
 
 from __future__ import annotations
@@ -21,18 +21,20 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sets ``lang`` to the predicted language. Texts without a letter have none and go."""
+    """Sets ``lang`` to the predicted language. Texts without a letter have none and go; if no row has a label, the others stay as they are."""
     small_batches(spark)
     model = langid.train(docs)
+    if not model.languages:
+        return docs.filter(langid.has_letter("text")).select(COLUMNS)
     found = langid.identify(docs, model).filter("lang_pred <> 'und'")
     return found.withColumn("lang", F.col("lang_pred")).select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of each group of similar documents, the one that its component is named after."""
-    names = jaccard.similarity_components(docs).filter("doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(names, docs["doc_id"].eqNullSafe(names["doc_id"]), "left_semi")
-    return kept.select(COLUMNS).dropDuplicates(["doc_id", "text"])
+    """Keeps one row of each group of similar documents: the smallest id, and of equal ids or none one of the texts."""
+    rows = docs.select(COLUMNS).withColumn("_key", jaccard.row_key())
+    kept = rows.join(jaccard.representatives(docs).withColumnRenamed("key", "_key"), "_key", "left_semi")
+    return kept.dropDuplicates(["_key"]).select(COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
