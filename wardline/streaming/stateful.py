@@ -22,6 +22,9 @@ from ..operators.prefix import RANGE, Running, in_ranges, running, time_chunk
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 MICROS = 1_000_000
+#: Rows of a key that are stepped through, and handed on, at a time.
+SLICE_ROWS = 10_000
+FRAME_TYPES = {"bigint": "Int64", "long": "Int64", "int": "Int64", "boolean": "boolean"}
 
 # Fixed values.
 LOGIN_LIMIT = 5
@@ -41,6 +44,8 @@ class _Ordered(StatefulProcessor):
 
     state_ddl = ""
     initial: tuple = ()
+    columns: list[str] = []
+    row: type
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", self.state_ddl)
@@ -49,8 +54,8 @@ class _Ordered(StatefulProcessor):
         raise NotImplementedError
 
     @staticmethod
-    def order(row: object) -> tuple:
-        return row.us, row.seq
+    def ordered(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.sort_values(["us", "seq"], kind="stable")
 
     def idle(self, state: tuple, us: int) -> bool:
         """Whether the state says no more than the initial one from this time on."""
@@ -64,14 +69,15 @@ class _Ordered(StatefulProcessor):
         return ()
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["us", "seq"], kind="stable")
+        batch = self.ordered(pd.concat([part[list(self.row._fields)] for part in rows], ignore_index=True))
         state = tuple(self.state.get()) if self.state.exists() else self.initial
-        out = []
-        for row in batch.itertuples(index=False):
-            state, values = self.step(state, row)
-            out.append((key[0], row.us, row.seq, *values))
-        self.state.update(state)
-        yield pd.DataFrame(out, columns=self.columns)
+        for at in range(0, len(batch), SLICE_ROWS):
+            out = []
+            for row in batch.iloc[at : at + SLICE_ROWS].itertuples(index=False):
+                state, values = self.step(state, row)
+                out.append((key[0], row.us, row.seq, *values))
+            self.state.update(state)
+            yield pd.DataFrame(out, columns=self.columns)
 
     def close(self) -> None:
         pass
@@ -91,7 +97,9 @@ class _Timed(StatefulProcessor):
 
     def __init__(self, steps: _Ordered, row_ddl: str, idle_seconds: int | None = None):
         self.steps, self.row_ddl, self.idle_seconds = steps, row_ddl, idle_seconds
-        self.fields = [part.split()[0] for part in row_ddl.split(", ")]
+        kinds = dict(part.split() for part in row_ddl.split(", "))
+        self.fields = list(kinds)
+        self.types = {f: FRAME_TYPES.get(kind, "object") for f, kind in kinds.items()}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -108,24 +116,47 @@ class _Timed(StatefulProcessor):
             self._alarm_at(int(part["us"].min()))
         yield pd.DataFrame(columns=self.steps.columns)
 
+    def _in_order(self) -> pd.DataFrame:
+        """The waiting rows as columns of numbers; only a slice at a time becomes objects."""
+        slices, rows = [], []
+        for row in self.waiting.get() if self.waiting.exists() else ():
+            rows.append(_plain(row))
+            if len(rows) == SLICE_ROWS:
+                slices.append(pd.DataFrame(rows, columns=self.fields).astype(self.types))
+                rows = []
+        slices.append(pd.DataFrame(rows, columns=self.fields).astype(self.types))
+        return self.steps.ordered(pd.concat(slices, ignore_index=True))
+
+    @staticmethod
+    def _slices(rows: pd.DataFrame) -> Iterator[list[tuple]]:
+        for at in range(0, len(rows), SLICE_ROWS):
+            part = rows.iloc[at : at + SLICE_ROWS].astype(object)
+            yield list(part.where(part.notna(), None).itertuples(index=False, name=None))
+
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted((self.steps.row(*_plain(r)) for r in self.waiting.get()), key=self.steps.order) if self.waiting.exists() else []
-        ready = [r for r in rows if r.us <= now]
+        rows = self._in_order()
+        n_ready = int((rows["us"] <= now).sum())
         *state, last = self.state.get() if self.state.exists() else (*self.steps.initial, None)
         state, out = tuple(state), []
-        for row in ready:
-            out += self._alarms(key, state, last, row.us - 1)
-            state, values = self.steps.step(state, row)
-            last = row.us
-            if values is not None:
-                out.append((key[0], row.us, row.seq, *values))
+        for part in self._slices(rows.iloc[:n_ready]):
+            if out:
+                yield pd.DataFrame(out, columns=self.steps.columns)
+            out = []
+            for row in map(self.steps.row._make, part):
+                out += self._alarms(key, state, last, row.us - 1)
+                state, values = self.steps.step(state, row)
+                last = row.us
+                if values is not None:
+                    out.append((key[0], row.us, row.seq, *values))
         out += self._alarms(key, state, last, now)
-        later = rows[len(ready) :]
-        if ready:
-            self.waiting.put([tuple(getattr(r, f) for f in self.fields) for r in later]) if later else self.waiting.clear()
-        if later:
-            self._alarm_at(later[0].us)
+        later = rows.iloc[n_ready:]
+        if n_ready:
+            self.waiting.clear()
+            for part in self._slices(later):
+                self.waiting.appendList(part)
+        if len(later):
+            self._alarm_at(int(later["us"].iloc[0]))
         alarm = self.steps.alarm(state)
         if alarm is not None and alarm > now:
             self._alarm_at(alarm)
@@ -244,8 +275,8 @@ class Revocation(_Ordered):
     row = namedtuple("Use", "us seq until")
 
     @staticmethod
-    def order(row):
-        return row.us, row.until is None, row.seq
+    def ordered(rows):
+        return rows.assign(late=rows["until"].isna()).sort_values(["us", "late", "seq"], kind="stable").drop(columns="late")
 
     def step(self, state, row):
         if row.until is not None:
