@@ -77,3 +77,16 @@ def test_waiting_rows_of_a_hot_key_leave_in_slices():
     assert max(map(len, frames)) <= 10_000
     assert _seen(frames) == _stepped(rows)[:24_000]
     assert sorted(handle.cells["waiting"].kept)[0][0] == 24_001 * 10**6 and len(handle.cells["waiting"].kept) == 1000
+
+
+def test_long_texts_reach_python_in_bounded_batches(spark, tmp_path):
+    spark.createDataFrame([(1, "x = 1")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert catalog.QUERIES["s04_expand_archives"](spark, str(tmp_path)).count() == 2
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    texts = spark.range(0, 64, 1, 1).select(F.expr("repeat('x', 1048576)").alias("text"))
+    assert max(r.n for r in texts.mapInArrow(sizes, "n long").collect()) < 16 << 20

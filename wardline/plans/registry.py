@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import BATCH_BYTES
 from .fixtures import stream_view, view, with_views
 
 
@@ -40,6 +41,7 @@ def query(name: str, sql: str | None = None) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
             spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
             return fn(Tables(spark, sf_dir))
 
         QUERIES[name] = run

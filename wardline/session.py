@@ -12,6 +12,8 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+#: What a Python worker gets at a time, however long the rows are.
+BATCH_BYTES = str(8 << 20)
 #: Folders of the open scratch scopes, the innermost last.
 _SCOPES: ContextVar[tuple[str, ...]] = ContextVar("scratch_scopes", default=())
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -27,6 +29,7 @@ def build_session(app: str = "wardline", cpus: int | str = "*", **conf: str) ->
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
         # a repeated key of an object: the last value counts
         .config("spark.sql.variant.allowDuplicateKeys", "true")
         # workers import this package wherever the driver was started
