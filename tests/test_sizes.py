@@ -90,3 +90,24 @@ def test_long_texts_reach_python_in_bounded_batches(spark, tmp_path):
 
     texts = spark.range(0, 64, 1, 1).select(F.expr("repeat('x', 1048576)").alias("text"))
     assert max(r.n for r in texts.mapInArrow(sizes, "n long").collect()) < 16 << 20
+
+
+def test_responses_of_one_file_use_all_cores(spark, tmp_path):
+    rows = [(k, "T", 3, "B", "n") for k in range(10)]
+    frame = spark.createDataFrame(rows, "p_partkey long, p_type string, p_size int, p_brand string, p_name string")
+    frame.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for name in ("d07_normalize_raw_findings", "d08_parse_fixes", "d08_parse_explanations"):
+        assert catalog.QUERIES[name](spark, str(tmp_path)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_odd_responses_keep_their_outcome(spark):
+    texts = [
+        None, " ", "no json", "[1]", "{}", '{"findings": [], "summary": 5}', '{"findings": null}', '{"type": "X", "score": 0.5}',
+        '{"findings": [{"type": "A", "line": 1.5}, {"type": "B", "line": "7"}]}', '{"findings": [{"vulnerability_type": "C", "severity": 3}]}',
+    ]
+    raw = spark.createDataFrame(list(enumerate(texts)), "id int, response string")
+    got = [(r.id, r.outcome, r.vulnerability_type) for r in repair.normalize_raw_findings(raw).orderBy("id").collect()]
+    assert got == [
+        (0, "rejected", None), (1, "rejected", None), (2, "fallback", "Unknown"), (3, "rejected", None), (4, "direct", None),
+        (5, "rejected", None), (6, "rejected", None), (7, "direct", None), (8, "repaired", "B"), (9, "direct", "C"),
+    ]

@@ -382,7 +382,7 @@ RESPONSES = "with x as (select r.*, p.p_type, p.p_size, p.p_brand from v_respons
 
 @query("d07_normalize_raw_findings", RESPONSES + RAW_SQL)
 def _(t: Tables):
-    return repair.normalize_raw_findings(t.v_responses).select(
+    return repair.normalize_raw_findings(spread(t.v_responses)).select(
         "response_id", "outcome", "vulnerability_type", "severity", "line_number", "explanation", "remediation", "confidence"
     )
 
@@ -396,7 +396,7 @@ def _(t: Tables):
     " case when shape in (3, 4, 6) then null when shape = 8 then 0.5 when shape = 9 then 0.9 else 0.7 end::double as confidence from x",
 )
 def _(t: Tables):
-    return repair.parse_fixes(t.v_responses).select(
+    return repair.parse_fixes(spread(t.v_responses)).select(
         "response_id", "outcome", "code_before", "code_after", "explanation", "confidence"
     )
 
@@ -407,7 +407,7 @@ def _(t: Tables):
     " case when shape in (3, 4, 6, 8) then null when shape = 9 then 'd' else '' end as description, case when shape in (3, 4, 6, 8) then null when shape = 9 then 'r1,r2' else '' end as \"references\" from v_responses",
 )
 def _(t: Tables):
-    return repair.parse_explanations(t.v_responses).select(
+    return repair.parse_explanations(spread(t.v_responses)).select(
         "response_id", "outcome", "title", "description", F.array_join("references", ",").alias("references")
     )
 
