@@ -111,3 +111,10 @@ def test_odd_responses_keep_their_outcome(spark):
         (0, "rejected", None), (1, "rejected", None), (2, "fallback", "Unknown"), (3, "rejected", None), (4, "direct", None),
         (5, "rejected", None), (6, "rejected", None), (7, "direct", None), (8, "repaired", "B"), (9, "direct", "C"),
     ]
+
+
+def test_reports_are_compressed(spark, tmp_path):
+    records = spark.createDataFrame([("a", 0, '{"x": 1}'), ("b", 1, '{"y": "\\u00e9"}')], "analysis_id string, part int, record string")
+    reports.export_reports(records, f"{tmp_path}/out")
+    assert all(p.name.endswith(".json.gz") for p in tmp_path.glob("out/bucket=*/part-*"))
+    assert sorted(r.record for r in reports.read_reports(spark, f"{tmp_path}/out").collect()) == sorted(r.record for r in records.collect())

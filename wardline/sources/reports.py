@@ -42,14 +42,14 @@ def report_records(analyses: DataFrame, findings: DataFrame, fixes: DataFrame) -
 
 
 def export_reports(records: DataFrame, path: str) -> None:
-    """JSON lines by scan bucket, each bucket sorted by scan and part."""
+    """Compressed JSON lines by scan bucket, each bucket sorted by scan and part."""
     (
         records.withColumn("bucket", scan_bucket("analysis_id"))
         .hint("rebalance", "bucket")
         .sortWithinPartitions("bucket", "analysis_id", "part")
         .write.mode("overwrite")
         .partitionBy("bucket")
-        .json(path)
+        .json(path, compression="gzip")
     )
 
 
