@@ -118,3 +118,12 @@ def test_reports_are_compressed(spark, tmp_path):
     reports.export_reports(records, f"{tmp_path}/out")
     assert all(p.name.endswith(".json.gz") for p in tmp_path.glob("out/bucket=*/part-*"))
     assert sorted(r.record for r in reports.read_reports(spark, f"{tmp_path}/out").collect()) == sorted(r.record for r in records.collect())
+
+
+def test_a_flow_record_is_parsed_once(spark):
+    flow = '{"source":{"type":"req.body","line":4},"propagation":[{"variable":"a \\"b\\"","line":4,"operation":"source_access"},{"variable":"c","line":5,"operation":"assignment"}],"sink":{"type":"eval","line":9}}'
+    found = spark.createDataFrame([("f", "c1", flow), ("f", "c2", '{"sink":{"type":"eval"}}')], "file_id string, call_id string, data_flow string")
+    rows = detection._flow_records(found)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1 and "get_json_object" not in plan
+    assert [tuple(r)[1:] for r in rows.orderBy("call_id").collect()] == [("c1", 4, 9, 'a "b"', "c", "source_access"), ("c2", None, None, None, None, None)]

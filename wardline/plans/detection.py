@@ -340,14 +340,18 @@ def _(t: Tables):
     return _flow_records(_findings(t, t.v_accesses))
 
 
+#: What the flow query reads back from a record, in one pass over its text.
+FLOW = "source struct<line:int>, propagation array<struct<variable:string,operation:string>>, sink struct<line:int>"
+
+
 def _flow_records(findings):
-    flow = F.col("data_flow")
-    steps = F.from_json(F.get_json_object(flow, "$.propagation"), "array<struct<variable:string,line:int,operation:string>>")
-    return findings.select(
+    flows = findings.select("file_id", "call_id", F.from_json("data_flow", FLOW).alias("_flow"))
+    steps = F.col("_flow.propagation")
+    return flows.select(
         "file_id",
         "call_id",
-        F.get_json_object(flow, "$.source.line").cast("int").alias("first_line"),
-        F.get_json_object(flow, "$.sink.line").cast("int").alias("sink_line"),
+        F.col("_flow.source.line").alias("first_line"),
+        F.col("_flow.sink.line").alias("sink_line"),
         steps[0]["variable"].alias("first_step"),
         F.element_at(steps, -1)["variable"].alias("last_step"),
         steps[0]["operation"].alias("first_operation"),
