@@ -43,8 +43,8 @@ CAPACITY = 1024
 PART_ROWS = 4096
 #: Characters that are encoded at once, up to the next place where a cut changes nothing.
 STRETCH = 1 << 16
-#: Pre-tokens that a worker remembers, and their characters in all.
-CACHE_ENTRIES, CACHE_CHARS = 1 << 19, 1 << 24
+#: Pre-tokens that a worker remembers, and their characters, in each of two generations.
+CACHE_ENTRIES, CACHE_CHARS = 1 << 18, 1 << 23
 #: Bytes of ids in an Arrow batch.
 BATCH_BYTES = 1 << 20
 
@@ -60,31 +60,38 @@ _built: dict[bytes, PreTokens] = {}
 
 
 class PreTokens:
-    """Ids of pre-tokens as little-endian 32-bit bytes, filled by the tokenizer as texts need them."""
+    """Ids of pre-tokens as little-endian 32-bit bytes, filled by the tokenizer as texts need them.
+
+    When the newer generation is full it becomes the older one, whose pre-tokens come back as texts use them.
+    """
 
     def __init__(self, vocabulary: bytes):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(vocabulary.decode())
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # For pre-tokens on lines of their own: no pattern, and no cache, as each comes once.
+        self.lines = Tokenizer.from_str(vocabulary.decode())
+        self.lines.encode_special_tokens = True
+        self.lines.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.lines.model._resize_cache(0)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.size = 0
 
     def library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, pieces: set[str]) -> None:
-        """Encode pre-tokens in one call: a line feed between two of them is a pre-token of its own."""
+        """Encode pre-tokens in one call: a line feed between two of them is a pre-token of its own, and in no other."""
         visible = [p for p in pieces if not p.isspace()]
-        self.size += sum(map(len, pieces))
         for p in pieces.difference(visible):
             self.known[p] = self.library(p)
         if visible:
-            encoded = self.tokenizer.encode("\n".join(visible), add_special_tokens=False)
-            word = np.array(encoded.word_ids)
-            bounds = np.searchsorted(word, np.arange(0, 2 * len(visible), 2)), np.searchsorted(word, np.arange(1, 2 * len(visible), 2))
-            ids = np.array(encoded.ids, "<u4").tobytes()
-            for p, a, b in zip(visible, *(4 * x for x in bounds)):
+            found = np.array(self.lines.encode("\n".join(visible), add_special_tokens=False).ids, "<u4")
+            feeds = np.flatnonzero(found == self.lines.token_to_id("Ċ"))
+            ids = found.tobytes()
+            for p, a, b in zip(visible, [0, *(4 * feeds + 4).tolist()], [*(4 * feeds).tolist(), len(ids)], strict=True):
                 self.known[p] = ids[a:b]
 
     def encode(self, text: str) -> bytes:
@@ -97,9 +104,12 @@ class PreTokens:
             fresh = set(found).difference(self.known)
             if fresh:
                 if len(self.known) + len(fresh) > CACHE_ENTRIES or self.size > CACHE_CHARS:
-                    self.known.clear()
+                    self.known, self.older = {}, self.known
                     self.size, fresh = 0, set(found)
-                self.learn(fresh)
+                self.size += sum(map(len, fresh))
+                again = fresh.intersection(self.older)
+                self.known.update((p, self.older[p]) for p in again)
+                self.learn(fresh - again)
             out.append(b"".join(map(self.known.__getitem__, found)))
         return b"".join(out)
 
