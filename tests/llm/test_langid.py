@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -65,3 +67,57 @@ def test_scripts_narrow(spark):
     model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     new = spark.createDataFrame([(1, "щука"), (2, "zebra")], "doc_id long, text string")
     assert {r.doc_id: r.lang_pred for r in langid.identify(new, model).collect()} == {1: "ru", 2: "en"}
+
+
+TEXTS = ["Hello hello привет 中文 a☃b × ÷×", "ß", "", "zebra привет 北京 hello Ж1ж 😀 日本語", "ab☃ ÀÉ zebra", "x" * 3000 + " hello"]
+
+
+def slice_of(texts):
+    data = [t.encode() for t in texts]
+    return langid.Slice(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+
+
+def words_of(part):
+    return [part.words.data[a:b].tobytes().decode() for a, b in zip(part.words.starts, part.words.ends)]
+
+
+def test_letters_and_scripts_as_plainly_read():
+    part = slice_of(TEXTS)
+    letters, script = part.words.letters()
+    for word, n, name in zip(words_of(part), letters, script):
+        own = [c for c in word if c.isalpha()]
+        first = ord(own[0]) if own and not any(c.isascii() for c in own) else 0
+        assert n == len(own) and langid.NAMES[name] == [s for a, s in langid.SCRIPTS if a <= first][-1]
+
+
+def test_words_of_many_slices_are_taken_apart_once(monkeypatch):
+    def model_of(waiting):
+        monkeypatch.setattr(langid, "WAITING_WORDS", waiting)
+        counter, apart = langid.Counter(2), []
+        grams = langid.Words.grams
+        monkeypatch.setattr(langid.Words, "grams", lambda words: (apart.append(len(words.starts)), grams(words))[1])
+        for i, text in enumerate(TEXTS * 3):
+            if text:
+                counter.add(slice_of([text]), np.array([i % 2]))
+        counter.count()
+        monkeypatch.setattr(langid.Words, "grams", grams)
+        return counter.total, sum(apart)
+
+    (one, many), (all_, once) = model_of(1), model_of(1 << 19)
+    distinct = len(slice_of(TEXTS).hashes)
+    assert (one == all_).all() and once == distinct < many
+    held = Counter()
+    for i, text in enumerate(TEXTS * 3):
+        if text:
+            part = slice_of([text])
+            held[i % 2] += int(part.words.letters()[0][part.word].sum())
+    assert all_[:, 1 << langid.LOG2_GRAMS :].sum(axis=1).tolist() == [held[0], held[1]]
+
+    model = langid.Model(["a", "b"], all_[:, : 1 << langid.LOG2_GRAMS].T, all_[:, 1 << langid.LOG2_GRAMS :].T)
+    scored, scores = Counter(), model.scores
+    monkeypatch.setattr(model, "scores", lambda words, *of: (scored.update(range(len(words.starts))), scores(words, *of))[1])
+    for text in TEXTS * 2:
+        part = slice_of([text])
+        letters, got = model.lookup(part)
+        assert (got == scores(part.words, *part.words.letters())).all() and (letters == part.words.letters()[0]).all()
+    assert sum(scored.values()) == distinct

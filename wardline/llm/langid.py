@@ -6,8 +6,8 @@ n-grams score them, and a Viterbi pass with a penalty for switching labels the s
 of a text. The label with most letters wins; its share of the letters is the score.
 
 Training counts all labelled rows in Spark; what comes to the driver is the table of
-2**18 counts per language, whatever the corpus. Work runs on Arrow buffers: a
-distinct word of a slice is scored once.
+2**18 counts per language, whatever the corpus. Work runs on Arrow buffers: equal words
+of many slices are taken apart once, in training and in scoring.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; rows
 with a null label are not learned from; with no labelled row everything is ``und``;
@@ -16,7 +16,7 @@ ties go to the language that sorts first; other columns are kept as they are.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,37 +43,53 @@ SCRIPTS = (
     (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"), (0x3100, "other"),
     (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD800, "other"), (0x20000, "han"),
 )
-_FIRST = [a for a, _ in SCRIPTS]
 NAMES = sorted({n for _, n in SCRIPTS})
+_FIRST, _SCRIPT = np.array([a for a, _ in SCRIPTS]), np.array([NAMES.index(n) for _, n in SCRIPTS])
+#: Words, of slices after each other, whose counts wait to be summed by word; distinct words whose scores a worker remembers.
+WAITING_WORDS, KNOWN_WORDS = 1 << 19, 1 << 19
 
 
-class Slice:
-    """Distinct words of some rows: their grams, letters and scripts, and which word stands where."""
+@cache
+def alphabet() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000)
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        starts, ends, self.first = hashing.spans(data, offsets, ~LETTERS)
-        folded = hashing.FOLD[data]
-        hashes = hashing.word_hashes(folded, starts, ends)
-        _, kept, self.word = np.unique(hashes, return_index=True, return_inverse=True)
-        a, b = starts[kept], ends[kept]
-        self.letters, self.script = self._letters(data, a, b)
-        self.starts, self.ends, self.data = a, b, folded
-
-    @staticmethod
-    def _letters(data, a, b) -> tuple[np.ndarray, np.ndarray]:
+
+class Words:
+    """Some words of a buffer, folded: their letters, scripts and grams."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        self.data, self.starts, self.ends = data, starts, ends
+
+    def taken(self, chosen: np.ndarray) -> Words:
+        """The chosen words in a buffer of their own, a space behind each."""
+        starts, sizes = self.starts[chosen], self.ends[chosen] - self.starts[chosen]
+        begin = np.concatenate([[0], np.cumsum(sizes + 1)])
+        data = np.full(int(begin[-1]), 0x20, np.uint8)
+        ends = begin[1:] - 1
+        inner = np.ones(len(data), bool)
+        inner[ends] = False
+        data[inner] = self.data[np.flatnonzero(inner) + np.repeat(starts - begin[:-1], sizes)]
+        return Words(data, begin[:-1], ends)
+
+    def letters(self) -> tuple[np.ndarray, np.ndarray]:
         """Letters and script of each word; runs of bytes above ASCII may hold none."""
-        high = np.concatenate([[0], np.cumsum(data >= 0x80)])
-        plain = (high[b] - high[a]) == 0
-        letters, script = (b - a).astype(np.int64), np.full(len(a), NAMES.index("latin"))
-        for i in np.flatnonzero(~plain):
-            own = [c for c in data[a[i] : b[i]].tobytes().decode("utf-8", "replace") if c.isalpha()]
-            letters[i] = len(own)
-            if own and not any(c.isascii() for c in own):
-                script[i] = NAMES.index(SCRIPTS[bisect_right(_FIRST, ord(own[0])) - 1][1])
+        high = np.concatenate([[0], np.cumsum(self.data >= 0x80)])
+        letters, script = (self.ends - self.starts).astype(np.int64), np.full(len(self.starts), NAMES.index("latin"))
+        odd = np.flatnonzero(high[self.ends] > high[self.starts])
+        if len(odd):
+            text = np.frombuffer(self.taken(odd).data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+            letter = np.flatnonzero(alphabet()[text])
+            word, letter = np.cumsum(text == 0x20)[letter], text[letter]
+            letters[odd] = np.bincount(word, minlength=len(odd))
+            ascii_letters = np.bincount(word[letter < 0x80], minlength=len(odd))
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            first = first[ascii_letters[word[first]] == 0]
+            script[odd[word[first]]] = _SCRIPT[np.searchsorted(_FIRST, letter[first], "right") - 1]
         return letters, script
 
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
-        """Gram slots of all distinct words, one after the other, and where each word's begin.
+        """Gram slots of all words, one after the other, and where each word's begin.
 
         A word is framed by a byte on each side; all n-grams of the orders count.
         """
@@ -96,6 +112,59 @@ class Slice:
         return slots, begin
 
 
+class Slice:
+    """Distinct words of some rows, by hash, and which word stands where."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        starts, ends, self.first = hashing.spans(data, offsets, ~LETTERS)
+        folded = hashing.FOLD[data]
+        self.hashes, kept, self.word = np.unique(hashing.word_hashes(folded, starts, ends), return_index=True, return_inverse=True)
+        self.words = Words(folded, starts[kept], ends[kept])
+
+
+class Counter:
+    """Grams and letters of scripts, by language; what distinct words of many slices hold is counted once."""
+
+    def __init__(self, languages: int):
+        self.total = np.zeros((languages, (1 << LOG2_GRAMS) + len(NAMES)), np.int64)
+        self.waiting: list[tuple[np.ndarray, Words, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, part: Slice, label: np.ndarray) -> None:
+        """Words of a slice whose rows have these labels."""
+        languages, words = len(self.total), len(part.hashes)
+        key = np.repeat(label, np.diff(part.first)) * words + part.word
+        times = np.bincount(key, minlength=languages * words).reshape(languages, words)
+        self.waiting.append((part.hashes, part.words.taken(np.arange(words)), times))
+        self.size += words + len(self.waiting[-1][1].data) // 16
+        if self.size >= WAITING_WORDS:
+            self.count()
+
+    def count(self) -> None:
+        if not self.waiting:
+            return
+        hashes, parts, times = zip(*self.waiting)
+        self.waiting, self.size = [], 0
+        _, kept, word = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+        times = np.stack([np.bincount(word, np.concatenate(t), len(kept)).astype(np.int64) for t in zip(*times)])
+        shift = np.cumsum([0, *(len(p.data) for p in parts)])
+        words = Words(
+            np.concatenate([p.data for p in parts]), np.concatenate([p.starts + n for p, n in zip(parts, shift)])[kept],
+            np.concatenate([p.ends + n for p, n in zip(parts, shift)])[kept],
+        )
+        slots = 1 << LOG2_GRAMS
+        for low, high in slices(np.concatenate([[0], np.cumsum(words.ends - words.starts)])):
+            own, weight = words.taken(np.arange(low, high)), times[:, low:high]
+            letters, script = own.letters()
+            grams, begin = own.grams()
+            of_gram = np.repeat(np.arange(high - low), np.diff(begin) * grams.shape[1])
+            grams = grams.ravel()
+            for i in np.flatnonzero(weight.any(axis=1)):
+                some = np.flatnonzero((weight[i] > 0)[of_gram] & (grams >= 0))
+                self.total[i, :slots] += np.bincount(grams[some], weight[i][of_gram[some]], slots).astype(np.int64)
+                self.total[i, slots:] += np.bincount(script, weight[i] * letters, len(NAMES)).astype(np.int64)
+
+
 class Model:
     def __init__(self, languages: list[str], counts: np.ndarray, scripts: np.ndarray):
         """``counts``: gram slots by language; ``scripts``: letters of each script by language."""
@@ -107,18 +176,37 @@ class Model:
         share = scripts / np.maximum(scripts.sum(axis=0, keepdims=True), 1)
         self.allowed = share >= SCRIPT_SHARE
         self.allowed[~self.allowed.any(axis=1)] = True
+        self.memory = None
+
+    def lookup(self, part: Slice) -> tuple[np.ndarray, np.ndarray]:
+        """Letters and scores of a slice's distinct words; a word is scored once while it is remembered."""
+        if self.memory is None or len(self.memory[0]) > KNOWN_WORDS:
+            self.memory = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, max(1, len(self.languages))), np.float32)
+        hashes, letters, scores = self.memory
+        at = np.searchsorted(hashes, part.hashes)
+        new = np.flatnonzero((at == len(hashes)) | (np.append(hashes, np.uint64(0))[at] != part.hashes))
+        if len(new):
+            own = part.words.taken(new)
+            found = own.letters()
+            hashes, letters = np.insert(hashes, at[new], part.hashes[new]), np.insert(letters, at[new], found[0])
+            scores = np.insert(scores, at[new], self.scores(own, *found), axis=0)
+            self.memory = hashes, letters, scores
+            at = np.searchsorted(hashes, part.hashes)
+        return letters[at], scores[at]
 
-    def scores(self, words: Slice) -> np.ndarray:
+    def scores(self, words: Words, letters: np.ndarray, script: np.ndarray) -> np.ndarray:
         """Mean log-probability over the gram orders, by word and language; zero for words without letters."""
+        if not self.languages:
+            return np.zeros((len(letters), 1), np.float32)
         slots, begin = words.grams()
         out = np.zeros((len(words.starts), len(self.languages)), np.float32)
         if len(out):
             for k in range(slots.shape[1]):
                 out += np.add.reduceat(self.logs[slots[:, k]], begin[:-1], axis=0)
             out /= slots.shape[1]
-            out[~self.allowed[words.script]] -= 4 * SWITCH
+            out[~self.allowed[script]] -= 4 * SWITCH
             out -= out.max(axis=1, keepdims=True)
-            out[words.letters == 0] = 0
+            out[letters == 0] = 0
         return out
 
 
@@ -167,24 +255,16 @@ def train(documents: DataFrame, text: str = "text", lang: str = "lang") -> Model
         return Model([], np.zeros((size - len(NAMES), 0)), np.zeros((len(NAMES), 0)))
 
     def count(batches):
-        total = np.zeros((len(languages), size), np.int64)
+        counter = Counter(len(languages))
         for batch in batches:
             label = np.array([languages.index(x) for x in batch.column(1).to_pylist()], np.int64)
             data, offsets = text_buffer(batch.column(0))
             for a, b in slices(offsets):
                 part = Slice(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                if not len(part.word):
-                    continue
-                of_word = np.repeat(label[a:b], np.diff(part.first))
-                times = np.zeros((len(languages), len(part.starts)), np.int64)
-                np.add.at(times, (of_word, part.word), 1)
-                slots, begin = part.grams()
-                known = slots >= 0
-                of_gram = np.repeat(np.arange(len(part.starts)), np.diff(begin))
-                for i in np.unique(label[a:b]):
-                    weight = np.repeat(times[i][of_gram], slots.shape[1]).reshape(slots.shape)[known]
-                    total[i, : size - len(NAMES)] += np.bincount(slots[known], weight, size - len(NAMES)).astype(np.int64)
-                    total[i, size - len(NAMES) :] += np.bincount(part.script, times[i] * part.letters, len(NAMES)).astype(np.int64)
+                if len(part.word):
+                    counter.add(part, label[a:b])
+        counter.count()
+        total = counter.total
         step = 1 << 14
         for i in range(len(languages)):
             at = [k for k in range(0, size, step) if total[i, k : k + step].any()]
@@ -224,8 +304,9 @@ def identify(documents: DataFrame, model: Model, text: str = "text", penalty: fl
                 for i, j in slices(offsets[a : b + 1]):
                     low = offsets[a + i]
                     part = Slice(data[low : offsets[a + j]], offsets[a + i : a + j + 1] - low)
-                    letters.append(part.letters[part.word])
-                    scores.append(model.scores(part)[part.word] if model.languages else np.zeros((len(part.word), 1), np.float32))
+                    of_word = model.lookup(part)
+                    letters.append(of_word[0][part.word])
+                    scores.append(of_word[1][part.word])
                     first.append(part.first[1:] + at)
                     at += len(part.word)
                 scores, letters, first = np.concatenate(scores), np.concatenate(letters), np.concatenate(first)
