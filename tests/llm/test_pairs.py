@@ -269,3 +269,18 @@ def test_nearest_among_many_copies(spark):
     got = {(q, i) for q, _, i, _ in ann.neighbours(vectors.filter("vec_id % 100 = 0"), vectors, ann.fit(vectors)).collect()}
     want = {(q, i) for q, _, i, _ in brute_nearest(rows, 10)}
     assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
+
+
+def test_a_pair_comes_from_the_first_tile_it_shares():
+    """Three classes in tiles of ten tokens; ``c`` shares only tokens behind its heads with the others."""
+    tokens, rows = np.arange(1, 12), []
+    heads = {1: tokens[:8], 2: tokens[1:9], 3: np.arange(50, 58)}
+    held = {1: tokens, 2: tokens[1:], 3: [*heads[3], 10, 11]}
+    for node, own in held.items():
+        for token in own:
+            rows.append((int(token), 5, 0, node, node, 20, int(token), bytes(8), heads[node].astype(np.int64).tobytes(), 5))
+    names = ["place", "band", "side", "family", "node", "n", "token", "bits", "heads", "tile"]
+    pairs, _ = jaccard._tile(pa.table(dict(zip(names, map(list, zip(*rows))))))
+    pairs = [tuple(p) for p in pairs.tolist()]
+    assert pairs.count((1, 2)) == 1
+    assert set(pairs) == {(1, 2), (1, 3), (2, 3)}

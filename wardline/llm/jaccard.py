@@ -57,6 +57,8 @@ BLOCK = 2048
 CELL = 256
 #: Shingles by which a class looks for its best partner in the passes before the last, which takes all of them.
 GROWING = (6, 12)
+#: First prefix shingles of a class that each of its rows carries, so that a pair is brought by the first tile it shares.
+HEADS = 8
 #: Classes, and postings, whose rows go to one bin on average.
 CLASSES_A_BIN, POSTINGS_A_BIN = 2000, 50000
 #: First size of each band; sizes that can link lie in the same band or in neighbouring ones.
@@ -313,9 +315,36 @@ def postings(prefix: DataFrame, bins: int) -> DataFrame:
     return prefix.select("node", "n", "tokens").mapInArrow(run, "node long, n long, token long, band int, turn int")
 
 
+def marked(posted: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, bits, heads): signature and first prefix shingles of each class that has any, packed in their order by ``turn``."""
+
+    def pack(batches):
+        for batch in batches:
+            heads = [packed(np.int64, np.array([h["token"] for h in found], np.int64)) for found in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(heads, pa.binary())], names=["node", "heads"])
+
+    heads = posted.filter(F.col("turn") < HEADS).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("turn", "token"))).alias("found"))
+    return classes.select("node", "bits").join(heads.mapInArrow(pack, "node long, heads binary"), "node")
+
+
+def first_met(token: np.ndarray, x: np.ndarray, y: np.ndarray, many: int) -> np.ndarray:
+    """Whether ``token`` is the first shingle that two classes share, as far as their heads (packed, by ``many``) tell.
+
+    If the heads share one, all tiles agree on the first of them, which both classes look in; if
+    not, every tile counts as the first.
+    """
+    first, found = token.copy(), np.zeros(len(token), bool)
+    for k in range(many):
+        hit = ((y == x[:, k : k + 1]) & (y != 0)).any(axis=1) & ~found
+        first[hit] = x[hit, k]
+        found |= hit
+    return first == token
+
+
 def tile_pairs(posted: DataFrame, families: DataFrame, classes: DataFrame, bins: int, best: bool) -> DataFrame:
     """(a, b): classes of different families in one tile whose sizes and bits allow a link.
 
+    ``classes`` are ``marked``. A pair comes from one tile, unless it only shares shingles behind its heads.
     With ``best`` only the most promising partner of each class, so never more pairs than classes.
     """
     rows = posted.join(families, "node")
@@ -330,11 +359,11 @@ def tile_pairs(posted: DataFrame, families: DataFrame, classes: DataFrame, bins:
     rows = rows.withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumns({"low": F.least("block", "with"), "high": F.greatest("block", "with")})
     place = F.xxhash64("token", "tile", "low", "high")
-    rows = rows.join(classes.select("node", "bits"), "node")
+    rows = rows.join(classes, "node")
     rows = rows.select(
         F.pmod(place, F.lit(bins)).cast("int").alias("bin"), place.alias("place"), "tile", "band",
         ((F.col("low") != F.col("high")).cast("int") * (1 + (F.col("block") == F.col("high")).cast("int"))).alias("side"),
-        "family", "node", "n", "bits",
+        "family", "node", "n", "token", "bits", "heads",
     )
 
     def meet(table):
@@ -366,9 +395,10 @@ def _tile(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     ``side`` tells the two blocks of a tile apart (0 if there is only one); rows of
     one block meet in a tile of their own. Two rows of the band below meet there.
     """
-    place, band, side, family, node, n = (table[c].to_numpy() for c in ("place", "band", "side", "family", "node", "n"))
+    place, band, side, family, node, n, token = (table[c].to_numpy() for c in ("place", "band", "side", "family", "node", "n", "token"))
     order = np.argsort(place, kind="stable")
-    place, band, side, family, node, n = (x[order] for x in (place, band, side, family, node, n))
+    place, band, side, family, node, n, token = (x[order] for x in (place, band, side, family, node, n, token))
+    heads = np.stack([np.pad(np.frombuffer(h, np.int64), (0, HEADS - len(h) // 8)) for h in table["heads"].to_pylist()])[order]
     guest = band < table["tile"][0].as_py()
     bits = table["bits"].to_pylist()
     width = min(map(len, bits))
@@ -385,7 +415,8 @@ def _tile(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         for at in range(0, len(i), 1 << 16):
             x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
             d = difference(bits[x], bits[y])
-            ok = may_link(d, n[x] + n[y])
+            ok = np.flatnonzero(may_link(d, n[x] + n[y]))
+            ok = ok[first_met(token[x[ok]], heads[x[ok]], heads[y[ok]], HEADS)]
             differ.append(d[ok] / (n[x] + n[y])[ok])
             x, y = node[x[ok]], node[y[ok]]
             out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
@@ -520,11 +551,12 @@ def _components(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame,
     with scratch_scope(spark, "prefixes"):
         prefix = cut_lineage(prefixes(documents, levels), "prefix")
         posted = cut_lineage(postings(prefix, bins_for(classes, CLASSES_A_BIN)), "postings", outlives=True)
+        marks = cut_lineage(marked(posted, classes), "marks", outlives=True)
     bins = bins_for(posted, POSTINGS_A_BIN)
     for turns in (*GROWING, None):
         with scratch_scope(spark, "tiles"):
             some = posted.filter(F.col("turn") < turns) if turns else posted
-            families = merged(families, linked(tile_pairs(some, families, classes, bins, turns is not None), documents, classes))
+            families = merged(families, linked(tile_pairs(some, families, marks, bins, turns is not None), documents, classes))
     return rows, classes, posted, families
 
 
