@@ -173,3 +173,29 @@ def test_a_scan_follows_data(spark):
     (row,) = detect.scan_corpus(files).where("rule = 'flow:db.query'").collect()
     assert (row.line_start, row.title, row.stage) == (3, "SQL Injection via request.query", 1)
     assert row.description and "db.query(name)" in row.code_snippet and json.loads(row.data_flow)["propagation"]
+
+
+def test_small_files_are_searched_without_passes_and_large_ones_agree(spark, monkeypatch):
+    """Files of bounded size take no pass over all files, and both ways give the same labels."""
+    rng = random.Random(7)
+    edges, starts = [], []
+    for f in range(40):
+        names = [f"v{i}" for i in range(rng.choice([4, 9, 25]))]
+        edges += [(f, rng.choice(names), rng.choice(names), rng.choice([None, "mysql.escape", "helper"])) for _ in range(2 * len(names))]
+        starts += [(f, n, rng.choice(["req.body", "req.query"]), rng.choice([1, 2, None]), "http_request", ["req", n], []) for n in rng.sample(names, 2)]
+    edges += [(None, "a", "b", None), (50, "a", None, None)]
+    starts += [(None, "a", "req.body", 1, "http_request", ["req", "a"], []), (50, None, "req.body", 1, "http_request", ["req"], []), (51, "x", "req.body", 1, "c", ["x"], [])]
+    df = spark.createDataFrame(edges, "file_id long, src string, dst string, sanitizer string")
+    labels = spark.createDataFrame(starts, LABELS)
+    passes = []
+    plain = taint._extended
+    monkeypatch.setattr(taint, "_extended", lambda rows: passes.append(1) or plain(rows))
+    for limit, sizes in ((None, (500, 30)), (2, (500, 0))):
+        found = []
+        for size in sizes:
+            monkeypatch.setattr(taint, "SMALL_FILE", size)
+            monkeypatch.setattr(taint, "HELD_STEPS", 10)
+            passes.clear()
+            found.append(sorted(map(str, taint.taint_reach(df.repartition(3), labels, limit).collect())))
+            assert bool(passes) == (size < 500)
+        assert found[0] == found[1]

@@ -11,8 +11,10 @@ Tables, all keyed by ``file_id``:
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +35,6 @@ from .taint_tables import (
     SQL_METHODS,
 )
 
-LABEL = ["source_type", "source_line", "category", "path", "sanitizers"]
-
-
 def match_sources(accesses: DataFrame, aliases: DataFrame) -> DataFrame:
     """Expressions that read untrusted input.
 
@@ -65,31 +64,12 @@ def match_sources(accesses: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def source_labels(matched: DataFrame) -> DataFrame:
-    """First label of every variable that is assigned from a source."""
+    """First label of every variable that is assigned from a source: the first source line, then the smallest path."""
+    path = F.array_distinct(F.array("expr", "node"))
+    order = F.struct(F.col("line").alias("source_line"), F.array_join(path, " ").alias("text"), "source_type", "expr", "category")
+    first = matched.groupBy("file_id", "node").agg(F.min(order).alias("_label")).select("file_id", "node", "_label.*")
     empty = F.array().cast("array<struct<name:string,strength:string>>")
-    return _first_label(
-        matched.select(
-            "file_id",
-            "node",
-            "source_type",
-            F.col("line").alias("source_line"),
-            "category",
-            F.array_distinct(F.array("expr", "node")).alias("path"),
-            empty.alias("sanitizers"),
-        )
-    )
-
-
-def _first_label(labels: DataFrame) -> DataFrame:
-    """One label per variable: the first source line, then the smallest path,
-    then the one with fewer sanitizers."""
-    used = F.array_join(F.transform("sanitizers", lambda s: s["name"]), " ")
-    order = F.struct("source_line", F.array_join("path", " "), "source_type", used)
-    return (
-        labels.groupBy("file_id", "node")
-        .agg(F.min_by(F.struct(*LABEL), order).alias("_label"))
-        .select("file_id", "node", "_label.*")
-    )
+    return first.select("file_id", "node", "source_type", "source_line", "category", path.alias("path"), empty.alias("sanitizers"))
 
 
 @dataclass(frozen=True)
@@ -99,17 +79,23 @@ class Reach:
     ``labels`` has a row for each tainted variable: its source's label and path, and a
     ``trace`` of steps (first, node, sanitizer, inner): from the variable before along an
     unbranched chain that begins with ``first`` over ``inner`` variables to ``node``.
-    ``chains`` has the variables of those chains by ``first`` and ``hops``.
+    ``chains`` has the variables of those chains by ``first`` and ``hops``; it is None when
+    no step of any trace skips variables.
     """
 
     labels: DataFrame
-    chains: DataFrame
+    chains: DataFrame | None
 
 
 STEP = "struct<first:string,node:string,sanitizer:string,inner:int>"
 ROOT = ["source_type", "source_line", "category", "path", "sanitizers"]
 #: What a shortest path's label is chosen by among paths of equal length; ``key`` is the path as text.
 ORDER = ["hops", "source_line", "key", "source_type"]
+#: A file of at most so many labels and edges is searched by one task; larger ones take the passes over all files.
+SMALL_FILE = 500
+#: Steps of a task's result that are held at a time.
+HELD_STEPS = 100_000
+_STEPS = pa.struct([("first", pa.string()), ("node", pa.string()), ("sanitizer", pa.string()), ("inner", pa.int32())])
 
 
 def _live(edges: DataFrame, sources: DataFrame) -> DataFrame:
@@ -173,13 +159,123 @@ def _extended(rows: DataFrame) -> DataFrame:
     )
 
 
+def _best(rows: DataFrame) -> DataFrame:
+    """The best label of each variable."""
+    rest = [c for c in rows.columns if c not in ("file_id", "node")]
+    return rows.groupBy("file_id", "node").agg(F.min_by(F.struct(*rest), F.struct(*ORDER)).alias("_l")).select("file_id", "node", "_l.*")
+
+
+def _file_labels(labels: list[tuple], ahead: dict[str, list[tuple]], max_hops: int | None) -> dict[str | None, tuple]:
+    """Search of one file, one edge further a level: variable -> (order, row of its source's label, steps).
+
+    ``labels`` are (node, source_line, key, source_type, row). Nulls come first in the order.
+    """
+    known: dict[str | None, tuple] = {}
+    found: dict[str | None, tuple] = {}
+    for node, line, key, kind, row in labels:
+        order = ((line is not None, line), (key is not None, key), (kind is not None, kind))
+        if node not in found or order < found[node][0]:
+            found[node] = (order, row, ())
+    hops = 0
+    while found:
+        known |= found
+        if hops == max_hops:
+            break
+        frontier, found, hops = found, {}, hops + 1
+        for node, ((line, (_, key), kind), row, steps) in frontier.items():
+            for dst, sanitizer in ahead.get(node, ()):
+                if dst not in known:
+                    order = (line, (True, dst if key is None else f"{key} {dst}"), kind)
+                    if dst not in found or order < found[dst][0]:
+                        found[dst] = (order, row, (*steps, (dst, sanitizer)))
+    return known
+
+
+def _reached_rows(table: pa.Table, nodes: list, roots: list[int], ways: list[tuple]) -> pa.RecordBatch:
+    """Labels of reached variables: the source's columns of row ``roots`` of the table, and the steps."""
+    root = table.select(["file_id", *ROOT]).take(pa.array(roots, pa.int64()))
+    ends, names, used = [0], [], []
+    for way in ways:
+        for name, sanitizer in way:
+            names.append(name)
+            used.append(sanitizer)
+        ends.append(len(names))
+    name = pa.array(names, pa.string())
+    steps = pa.StructArray.from_arrays([name, name, pa.array(used, pa.string()), pa.array([0] * len(names), pa.int32())], fields=list(_STEPS))
+    columns = {c: root[c].combine_chunks() for c in root.column_names}
+    columns |= {"node": pa.array(nodes, pa.string()), "trace": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), steps)}
+    return pa.RecordBatch.from_pydict({c: columns[c] for c in ("file_id", "node", *ROOT, "trace")})
+
+
+def _search_files(table: pa.Table, max_hops: int | None) -> Iterator[pa.RecordBatch]:
+    """Labels of all variables reached in the whole files of a table that is sorted by file."""
+    columns = [table[c].to_pylist() for c in ("file_id", "node", "dst", "sanitizer", "source_line", "key", "source_type")]
+    files, begin = columns[0], 0
+    nodes: list[str | None] = []
+    roots: list[int] = []
+    ways: list[tuple] = []
+    held = 0
+    while begin < len(files):
+        labels, ahead, end = [], {}, begin
+        while end < len(files) and files[end] == files[begin]:
+            _, node, dst, sanitizer, line, key, kind = (c[end] for c in columns)
+            if dst is None:
+                labels.append((node, line, key, kind, end))
+            else:
+                ahead.setdefault(node, []).append((dst, sanitizer))
+            end += 1
+        begin = end
+        for node, (_, row, steps) in _file_labels(labels, ahead, max_hops).items():
+            nodes.append(node)
+            roots.append(row)
+            ways.append(steps)
+            held += len(steps)
+        if held >= HELD_STEPS:
+            yield _reached_rows(table, nodes, roots, ways)
+            nodes, roots, ways, held = [], [], [], 0
+    if nodes:
+        yield _reached_rows(table, nodes, roots, ways)
+
+
+def _search(max_hops: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches sorted by file to labels; the last file of a batch waits for the next one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
+            files, cut = table["file_id"], table.num_rows
+            if not cut:
+                continue
+            last = files[cut - 1]
+            while cut and files[cut - 1] == last:
+                cut -= 1
+            yield from _search_files(table.slice(0, cut), max_hops)
+            rest = table.slice(cut)
+        if rest is not None:
+            yield from _search_files(rest, max_hops)
+
+    return run
+
+
+def _small_files(live: DataFrame, known: DataFrame, max_hops: int | None) -> DataFrame:
+    """Labels of all variables reached in files of bounded size, each file in one task; labels without a file have no edges."""
+    types = {f.name: f.dataType for f in known.schema}
+    absent = [F.lit(None).cast(types[c]).alias(c) for c in (*ROOT, "key")]
+    ways = live.select("file_id", F.col("src").alias("node"), "dst", "sanitizer", *absent)
+    starts = known.where("file_id is not null").select("file_id", "node", F.lit(None).cast("string").alias("dst"), F.lit(None).cast("string").alias("sanitizer"), *ROOT, "key")
+    columns = ["file_id", "node", *ROOT, "trace"]
+    rows = ways.unionByName(starts).repartition("file_id").sortWithinPartitions("file_id")
+    found = rows.mapInArrow(_search(max_hops), known.select(columns).schema)
+    return found.unionByName(_best(known.where("file_id is null")).select(columns))
+
+
 def reach(edges: DataFrame, labels: DataFrame, max_hops: int | None = None) -> Reach:
     """Every variable that untrusted data reaches, with the label of a shortest path.
 
-    Unbranched chains of assignments are contracted first, so a pass goes from branch to
-    branch. A pass joins only variables whose label got better in the last one, on
-    (file, variable); it ends when none did. Labels carry a step for each branch, not
-    each variable; ``labelled`` rebuilds whole paths for the variables it is asked for.
+    Edges and labels of a file of bounded size meet in one task, which searches it level by
+    level. Files beyond that size go through passes together, see ``_passes``.
     """
     spark = edges.sparkSession
     with scratch_scope(spark, "taint"):
@@ -190,29 +286,42 @@ def reach(edges: DataFrame, labels: DataFrame, max_hops: int | None = None) -> R
             "labels",
         )
         live = cut_lineage(_live(edges, known), "edges")
-        chains, inner = _chains(live, known)
-        chains = cut_lineage(chains, "chains", outlives=True)
-        contracted = cut_lineage(_contracted(live, chains, inner).repartition("file_id", "src"), "contracted")
-        frontier = known
-        order = F.struct(*ORDER)
-        while not frontier.isEmpty():
-            ahead = frontier.withColumnRenamed("node", "src").join(contracted.withColumnRenamed("hops", "more"), ["file_id", "src"])
-            found = _extended(ahead)
-            found = found.where(F.col("hops") <= max_hops) if max_hops is not None else found
-            rest = [c for c in found.columns if c not in ("file_id", "node")]
-            found = found.groupBy("file_id", "node").agg(F.min_by(F.struct(*rest), order).alias("_l")).select("file_id", "node", "_l.*")
-            so_far = known.groupBy("file_id", "node").agg(F.min(order).alias("_best"))
-            better = found.join(so_far, ["file_id", "node"], "left").where(F.col("_best").isNull() | (order < F.col("_best"))).drop("_best")
-            frontier = cut_lineage(better, "frontier")
-            known = known.unionByName(frontier)
-        rest = [c for c in known.columns if c not in ("file_id", "node")]
-        known = known.groupBy("file_id", "node").agg(F.min_by(F.struct(*rest), order).alias("_l")).select("file_id", "node", "_l.*")
-        known = cut_lineage(known, "known")
-        above = known.withColumnRenamed("node", "start").join(chains.withColumnsRenamed({"node": "dst", "hops": "more"}), ["file_id", "start"])
-        step = F.struct("first", F.col("dst").alias("node"), "sanitizer", (F.col("more") - 1).alias("inner"))
-        along = _extended(above.withColumn("step", step))
-        along = along.where(F.col("hops") <= max_hops) if max_hops is not None else along
-        return Reach(cut_lineage(known.unionByName(along).drop("key", "hops"), "reached", outlives=True), chains)
+        sizes = live.select("file_id").unionAll(known.where("file_id is not null").select("file_id")).groupBy("file_id").count()
+        large = cut_lineage(sizes.where(F.col("count") > SMALL_FILE).select("file_id"), "large")
+        if large.isEmpty():
+            return Reach(cut_lineage(_small_files(live, known, max_hops), "reached", outlives=True), None)
+        small = [t.join(large, "file_id", "left_anti") for t in (live, known)]
+        found, chains = _passes(*[t.join(large, "file_id", "left_semi") for t in (live, known)], max_hops)
+        return Reach(cut_lineage(found.unionByName(_small_files(*small, max_hops)), "reached", outlives=True), chains)
+
+
+def _passes(live: DataFrame, known: DataFrame, max_hops: int | None) -> tuple[DataFrame, DataFrame]:
+    """Labels and chains of files of any size.
+
+    Unbranched chains of assignments are contracted first, so a pass goes from branch to
+    branch. A pass joins only variables whose label got better in the last one, on
+    (file, variable); it ends when none did. Labels carry a step for each branch, not
+    each variable; ``labelled`` rebuilds whole paths for the variables it is asked for.
+    """
+    chains, inner = _chains(live, known)
+    chains = cut_lineage(chains, "chains", outlives=True)
+    contracted = cut_lineage(_contracted(live, chains, inner).repartition("file_id", "src"), "contracted")
+    frontier = known = cut_lineage(known, "starts")
+    order = F.struct(*ORDER)
+    while not frontier.isEmpty():
+        ahead = frontier.withColumnRenamed("node", "src").join(contracted.withColumnRenamed("hops", "more"), ["file_id", "src"])
+        found = _extended(ahead)
+        found = _best(found.where(F.col("hops") <= max_hops) if max_hops is not None else found)
+        so_far = known.groupBy("file_id", "node").agg(F.min(order).alias("_best"))
+        better = found.join(so_far, ["file_id", "node"], "left").where(F.col("_best").isNull() | (order < F.col("_best"))).drop("_best")
+        frontier = cut_lineage(better, "frontier")
+        known = known.unionByName(frontier)
+    known = cut_lineage(_best(known), "known")
+    above = known.withColumnRenamed("node", "start").join(chains.withColumnsRenamed({"node": "dst", "hops": "more"}), ["file_id", "start"])
+    step = F.struct("first", F.col("dst").alias("node"), "sanitizer", (F.col("more") - 1).alias("inner"))
+    along = _extended(above.withColumn("step", step))
+    along = along.where(F.col("hops") <= max_hops) if max_hops is not None else along
+    return known.unionByName(along).drop("key", "hops"), chains
 
 
 def labelled(found: Reach, nodes: DataFrame | None = None) -> DataFrame:
@@ -223,6 +332,12 @@ def labelled(found: Reach, nodes: DataFrame | None = None) -> DataFrame:
     named = lambda steps: F.filter(
         F.transform(steps, lambda s: F.struct(s["sanitizer"].alias("name"), lookup(SANITIZERS, s["sanitizer"]).alias("strength"))), lambda s: s["name"] != ""
     )
+    rebuilt = lambda rows, way: rows.select(
+        "file_id", "node", "source_type", "source_line", "category", F.concat("path", F.transform(way, lambda s: s["node"])).alias("path"),
+        F.concat("sanitizers", named(F.col(way) if isinstance(way, str) else way)).alias("sanitizers"),
+    )
+    if found.chains is None:
+        return rebuilt(rows, "trace")
     plain = ~F.exists("trace", lambda s: s["inner"] > 0)
     steps = rows.where(~plain).select("file_id", F.col("node").alias("_target"), F.posexplode("trace").alias("_turn", "_step"))
     steps = steps.select("file_id", "_target", "_turn", "_step.*")
@@ -232,10 +347,6 @@ def labelled(found: Reach, nodes: DataFrame | None = None) -> DataFrame:
     every = inside.select(columns).unionByName(steps.withColumn("hops", F.col("inner") + 1).select(columns))
     way = F.sort_array(F.collect_list(F.struct("_turn", "hops", "node", "sanitizer"))).alias("_way")
     long = rows.where(~plain).join(every.groupBy("file_id", F.col("_target").alias("node")).agg(way), ["file_id", "node"])
-    rebuilt = lambda rows, way: rows.select(
-        "file_id", "node", "source_type", "source_line", "category", F.concat("path", F.transform(way, lambda s: s["node"])).alias("path"),
-        F.concat("sanitizers", named(F.col(way) if isinstance(way, str) else way)).alias("sanitizers"),
-    )
     return rebuilt(rows.where(plain), "trace").unionByName(rebuilt(long, "_way"))
 
 
@@ -309,7 +420,7 @@ def flow_record(content: Column | None = None) -> Column:
 def taint_findings(calls: DataFrame, args: DataFrame, reached: DataFrame | Reach, files: DataFrame | None = None) -> DataFrame:
     """Findings where a tainted variable sits in the dangerous argument of a sink.
 
-    From a ``Reach`` only the paths of variables in such an argument are rebuilt. With
+    From a ``Reach`` with chains only the paths of variables in such an argument are rebuilt. With
     ``files`` (file_id, content) findings have a snippet, and the code of source, steps and
     sink; a file without content gives none.
     """
@@ -319,7 +430,7 @@ def taint_findings(calls: DataFrame, args: DataFrame, reached: DataFrame | Reach
     ).otherwise(F.col("taint_arg"))
     used = sinks.withColumn("arg_index", dangerous).join(args, ["file_id", "call_id", "arg_index"])
     if isinstance(reached, Reach):
-        reached = labelled(reached, used)
+        reached = labelled(reached, None if reached.chains is None else used)
     tainted = used.join(reached, ["file_id", "node"])
     # The first tainted variable of the argument speaks for the call.
     rest = [c for c in tainted.columns if c not in ("file_id", "call_id")]
