@@ -127,3 +127,18 @@ def test_a_flow_record_is_parsed_once(spark):
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") == 1 and "get_json_object" not in plan
     assert [tuple(r)[1:] for r in rows.orderBy("call_id").collect()] == [("c1", 4, 9, 'a "b"', "c", "source_access"), ("c2", None, None, None, None, None)]
+
+
+def test_dedup_moves_only_the_columns_asked_for(spark):
+    """A wide column that nobody asked for is not part of the shuffled rows; winners and data flows stay the same."""
+    from wardline.operators import ranking
+
+    rows = [(1, "f", "CWE-1", 3, 0.5, 2, "flow b", "x"), (1, "f", "CWE-1", 3, 0.9, 3, None, "y"), (1, "f", "CWE-1", 3, 0.9, 4, "flow c", "z"), (2, None, None, None, None, 1, None, "w")]
+    df = spark.createDataFrame(rows, "analysis_id int, file_path string, cwe_id string, line_start int, confidence double, seq int, data_flow string, wide string")
+    whole = ranking.dedup_findings(df, ("analysis_id",))
+    some = ranking.dedup_findings(df, ("analysis_id",), ["seq", "analysis_id", "data_flow"])
+    assert whole.columns == df.columns
+    assert sorted(map(tuple, some.collect())) == sorted((r.seq, r.analysis_id, r.data_flow) for r in whole.collect()) == [(1, 2, None), (3, 1, "flow b")]
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "wide" in plan(whole) and "wide" not in plan(some)
+    assert ranking.dedup_findings(df, ("analysis_id",), ["analysis_id"]).columns == ["analysis_id"]

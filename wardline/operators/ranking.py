@@ -25,12 +25,15 @@ def top_per_group(
     return out if rank else out.drop(name)
 
 
-def dedup_findings(findings: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def dedup_findings(findings: DataFrame, keys: Sequence[str] = (), columns: Sequence[str] | None = None) -> DataFrame:
     """One row per (cwe, file, line): highest confidence, the earliest of ties.
 
     ``seq`` is anything that has an order. The first data flow of the group is kept, also from a row that loses. Both
-    picks are aggregates, so copies of one finding shrink before the shuffle.
+    picks are aggregates, so copies of one finding shrink before the shuffle. ``columns``
+    names what is wanted of a winner, all by default; the others don't move with it.
     """
+    wanted = list(findings.columns if columns is None else columns)
+    moved = [c for c in wanted if c not in keys] or ["cwe_id"]
     group = {
         **{k: F.col(k) for k in keys},
         "_cwe": F.coalesce("cwe_id", F.lit("unknown")),
@@ -42,12 +45,13 @@ def dedup_findings(findings: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     picked = (
         findings.groupBy(*[c.alias(f"_k{i}") for i, c in enumerate(group.values())])
         .agg(
-            F.min_by(F.struct(*findings.columns), ordered).alias("_best"),
+            F.min_by(F.struct(*moved), ordered).alias("_best"),
             F.min_by("data_flow", flow_seq).alias("_flow"),
         )
-        .select("_best.*", "_flow")
+        .select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], "_best.*", "_flow")
     )
-    return picked.withColumn("data_flow", F.coalesce("data_flow", "_flow")).drop("_flow")
+    picked = picked.withColumn("data_flow", F.coalesce("data_flow", "_flow")) if "data_flow" in wanted else picked
+    return picked.select(*wanted)
 
 
 def one_per_line(findings: DataFrame) -> DataFrame:

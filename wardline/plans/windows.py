@@ -37,7 +37,7 @@ def _(t: Tables):
     " select finding_id, analysis_id from g where r = 1",
 )
 def _(t: Tables):
-    return ranking.dedup_findings(_numbered(t), ("analysis_id",)).select("finding_id", "analysis_id")
+    return ranking.dedup_findings(_numbered(t), ("analysis_id",), ["finding_id", "analysis_id"])
 
 
 @query(
