@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import severity as sev
@@ -98,13 +98,18 @@ HELD_STEPS = 100_000
 _STEPS = pa.struct([("first", pa.string()), ("node", pa.string()), ("sanitizer", pa.string()), ("inner", pa.int32())])
 
 
-def _live(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """(file_id, src, dst, sanitizer): one edge a pair, of files with a source; a strong sanitizer removes its edge."""
+def _passing(edges: DataFrame) -> DataFrame:
+    """(file_id, src, dst, sanitizer): a strong sanitizer removes its edge, an unknown one counts as none."""
     strength = lookup(SANITIZERS, F.col("sanitizer"))
     used = F.when(strength.isNotNull(), F.col("sanitizer")).otherwise("")
-    live = edges.where("src <> dst").where((strength != "strong") | strength.isNull())
-    live = live.join(sources.select("file_id").distinct(), "file_id", "left_semi")
-    return live.groupBy("file_id", "src", "dst").agg(F.min(used).alias("sanitizer"))
+    kept = edges.where("src <> dst and file_id is not null").where((strength != "strong") | strength.isNull())
+    return kept.select("file_id", "src", "dst", used.alias("sanitizer"))
+
+
+def _live(passing: DataFrame, sources: DataFrame) -> DataFrame:
+    """One edge a pair, of files with a source."""
+    live = passing.join(sources.select("file_id").distinct(), "file_id", "left_semi")
+    return live.groupBy("file_id", "src", "dst").agg(F.min("sanitizer").alias("sanitizer"))
 
 
 def _chains(live: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -165,14 +170,15 @@ def _best(rows: DataFrame) -> DataFrame:
     return rows.groupBy("file_id", "node").agg(F.min_by(F.struct(*rest), F.struct(*ORDER)).alias("_l")).select("file_id", "node", "_l.*")
 
 
-def _file_labels(labels: list[tuple], ahead: dict[str, list[tuple]], max_hops: int | None) -> dict[str | None, tuple]:
+def _file_labels(labels: list[tuple], ahead: dict[str, dict[str, str]], max_hops: int | None) -> dict[str | None, tuple]:
     """Search of one file, one edge further a level: variable -> (order, row of its source's label, steps).
 
-    ``labels`` are (node, source_line, key, source_type, row). Nulls come first in the order.
+    ``labels`` are (node, source_line, path, source_type, row). Nulls come first in the order.
     """
     known: dict[str | None, tuple] = {}
     found: dict[str | None, tuple] = {}
-    for node, line, key, kind, row in labels:
+    for node, line, path, kind, row in labels:
+        key = None if path is None else " ".join(step for step in path if step is not None)
         order = ((line is not None, line), (key is not None, key), (kind is not None, kind))
         if node not in found or order < found[node][0]:
             found[node] = (order, row, ())
@@ -183,7 +189,7 @@ def _file_labels(labels: list[tuple], ahead: dict[str, list[tuple]], max_hops: i
             break
         frontier, found, hops = found, {}, hops + 1
         for node, ((line, (_, key), kind), row, steps) in frontier.items():
-            for dst, sanitizer in ahead.get(node, ()):
+            for dst, sanitizer in ahead.get(node, {}).items():
                 if dst not in known:
                     order = (line, (True, dst if key is None else f"{key} {dst}"), kind)
                     if dst not in found or order < found[dst][0]:
@@ -209,7 +215,7 @@ def _reached_rows(table: pa.Table, nodes: list, roots: list[int], ways: list[tup
 
 def _search_files(table: pa.Table, max_hops: int | None) -> Iterator[pa.RecordBatch]:
     """Labels of all variables reached in the whole files of a table that is sorted by file."""
-    columns = [table[c].to_pylist() for c in ("file_id", "node", "dst", "sanitizer", "source_line", "key", "source_type")]
+    columns = [table[c].to_pylist() for c in ("file_id", "node", "dst", "sanitizer", "source_line", "path", "source_type")]
     files, begin = columns[0], 0
     nodes: list[str | None] = []
     roots: list[int] = []
@@ -218,14 +224,15 @@ def _search_files(table: pa.Table, max_hops: int | None) -> Iterator[pa.RecordBa
     while begin < len(files):
         labels, ahead, end = [], {}, begin
         while end < len(files) and files[end] == files[begin]:
-            _, node, dst, sanitizer, line, key, kind = (c[end] for c in columns)
+            _, node, dst, sanitizer, line, path, kind = (c[end] for c in columns)
             if dst is None:
-                labels.append((node, line, key, kind, end))
+                labels.append((node, line, path, kind, end))
             else:
-                ahead.setdefault(node, []).append((dst, sanitizer))
+                ways_on = ahead.setdefault(node, {})
+                ways_on[dst] = min(sanitizer, ways_on.get(dst, sanitizer))
             end += 1
         begin = end
-        for node, (_, row, steps) in _file_labels(labels, ahead, max_hops).items():
+        for node, (_, row, steps) in _file_labels(labels, ahead, max_hops).items() if labels else ():
             nodes.append(node)
             roots.append(row)
             ways.append(steps)
@@ -259,12 +266,12 @@ def _search(max_hops: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return run
 
 
-def _small_files(live: DataFrame, known: DataFrame, max_hops: int | None) -> DataFrame:
+def _small_files(passing: DataFrame, known: DataFrame, max_hops: int | None) -> DataFrame:
     """Labels of all variables reached in files of bounded size, each file in one task; labels without a file have no edges."""
     types = {f.name: f.dataType for f in known.schema}
-    absent = [F.lit(None).cast(types[c]).alias(c) for c in (*ROOT, "key")]
-    ways = live.select("file_id", F.col("src").alias("node"), "dst", "sanitizer", *absent)
-    starts = known.where("file_id is not null").select("file_id", "node", F.lit(None).cast("string").alias("dst"), F.lit(None).cast("string").alias("sanitizer"), *ROOT, "key")
+    ways = passing.select("file_id", F.col("src").alias("node"), "dst", "sanitizer", *[F.lit(None).cast(types[c]).alias(c) for c in ROOT])
+    absent = [F.lit(None).cast("string").alias(c) for c in ("dst", "sanitizer")]
+    starts = known.where("file_id is not null").select("file_id", "node", *absent, *ROOT)
     columns = ["file_id", "node", *ROOT, "trace"]
     rows = ways.unionByName(starts).repartition("file_id").sortWithinPartitions("file_id")
     found = rows.mapInArrow(_search(max_hops), known.select(columns).schema)
@@ -275,7 +282,8 @@ def reach(edges: DataFrame, labels: DataFrame, max_hops: int | None = None) -> R
     """Every variable that untrusted data reaches, with the label of a shortest path.
 
     Edges and labels of a file of bounded size meet in one task, which searches it level by
-    level. Files beyond that size go through passes together, see ``_passes``.
+    level. Files beyond that size go through passes together, see ``_passes``. ``edges``
+    should be a table at rest, it is read twice.
     """
     spark = edges.sparkSession
     with scratch_scope(spark, "taint"):
@@ -285,13 +293,14 @@ def reach(edges: DataFrame, labels: DataFrame, max_hops: int | None = None) -> R
             ),
             "labels",
         )
-        live = cut_lineage(_live(edges, known), "edges")
-        sizes = live.select("file_id").unionAll(known.where("file_id is not null").select("file_id")).groupBy("file_id").count()
+        passing = _passing(edges)
+        sizes = passing.select("file_id").unionAll(known.where("file_id is not null").select("file_id")).groupBy("file_id").count()
         large = cut_lineage(sizes.where(F.col("count") > SMALL_FILE).select("file_id"), "large")
         if large.isEmpty():
-            return Reach(cut_lineage(_small_files(live, known, max_hops), "reached", outlives=True), None)
-        small = [t.join(large, "file_id", "left_anti") for t in (live, known)]
-        found, chains = _passes(*[t.join(large, "file_id", "left_semi") for t in (live, known)], max_hops)
+            return Reach(cut_lineage(_small_files(passing, known, max_hops), "reached", outlives=True), None)
+        small = [t.join(large, "file_id", "left_anti") for t in (passing, known)]
+        passing, known = (t.join(large, "file_id", "left_semi") for t in (passing, known))
+        found, chains = _passes(cut_lineage(_live(passing, known), "edges"), known, max_hops)
         return Reach(cut_lineage(found.unionByName(_small_files(*small, max_hops)), "reached", outlives=True), chains)
 
 
@@ -364,15 +373,20 @@ def sink_key(calls_object: Column, method: Column, arg0_kind: Column, arg0_text:
     return F.when(full.isin(names), full).when(sql, F.lit(".query")).when(method.isin(names), method)
 
 
-def match_sinks(calls: DataFrame) -> DataFrame:
-    fields = ["sink", "sink_category", "vulnerability_type", "cwe_id", "severity", "taint_arg"]
-    table = literal_table(
-        calls.sparkSession,
-        [dict(zip(fields, (key, *values))) for key, values in SINKS.items()],
+SINK_FIELDS = ["sink", "sink_category", "vulnerability_type", "cwe_id", "severity", "taint_arg"]
+
+
+def _sink_table(spark: SparkSession) -> DataFrame:
+    return literal_table(
+        spark,
+        [dict(zip(SINK_FIELDS, (key, *values))) for key, values in SINKS.items()],
         "sink string, sink_category string, vulnerability_type string, cwe_id string, severity string, taint_arg int",
     )
+
+
+def match_sinks(calls: DataFrame) -> DataFrame:
     key = sink_key(F.col("object"), F.col("method"), F.col("arg0_kind"), F.col("arg0_text"))
-    return calls.withColumn("sink", key).join(table, "sink")
+    return calls.withColumn("sink", key).join(_sink_table(calls.sparkSession), "sink")
 
 
 def is_parameterized() -> Column:
@@ -428,16 +442,19 @@ def taint_findings(calls: DataFrame, args: DataFrame, reached: DataFrame | Reach
     dangerous = F.when(F.col("taint_arg") == LAST_ARGUMENT, F.col("n_args") - 1).when(
         F.col("taint_arg") == RIGHT_SIDE, F.lit(0)
     ).otherwise(F.col("taint_arg"))
-    used = sinks.withColumn("arg_index", dangerous).join(args, ["file_id", "call_id", "arg_index"])
+    # What a sink's name says is looked up again at the end; only what is told from the call moves.
+    narrow = sinks.select("file_id", "call_id", dangerous.alias("arg_index"), "line", "object", "method", "sink")
+    used = narrow.join(args, ["file_id", "call_id", "arg_index"]).select(*narrow.drop("arg_index").columns, "position", "node")
     if isinstance(reached, Reach):
         reached = labelled(reached, None if reached.chains is None else used)
     tainted = used.join(reached, ["file_id", "node"])
     # The first tainted variable of the argument speaks for the call.
-    rest = [c for c in tainted.columns if c not in ("file_id", "call_id")]
+    rest = ["line", "object", "method", "sink", *ROOT]
     one = (
         tainted.groupBy("file_id", "call_id")
         .agg(F.min_by(F.struct(*rest), F.struct("position", "node")).alias("_row"))
         .select("file_id", "call_id", "_row.*")
+        .join(_sink_table(calls.sparkSession), "sink")
     )
     content = None
     if files is not None:

@@ -89,5 +89,5 @@ def cut_lineage(df: DataFrame, name: str = "cut", outlives: bool = False) -> Dat
     spark = df.sparkSession
     scopes = _SCOPES.get()[:-1] if outlives else _SCOPES.get()
     path = f"{scopes[-1]}/{name}-{uuid.uuid4().hex}" if scopes else scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
