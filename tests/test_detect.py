@@ -143,3 +143,17 @@ def test_corpus_keeps_one_row_per_defect(spark, second):
     df = files(spark, "password = 'abcdefgh'\nname = 'x'")
     rows = detect.scan_corpus(df, second=second).collect()
     assert [(r.cwe_id, r.line_start, r.confidence) for r in rows] == [("CWE-798", 1, 0.85)]
+
+
+def test_facts_come_in_the_order_of_a_whole_walk():
+    import ast
+
+    from wardline.operators import pyfacts
+
+    code = "import os as o\nclass A(B(1)):\n    x: int = f(g(h), *k(), q=m(n))\n    def r(self, a=s()):\n        t = u = [v(w) for w in z() if -w > y(3)]\n"
+    code += "        with p() as q, r():\n            e = lambda b=c(): d(b) or {i(): j()}\n        match f():\n            case C(a=1):\n                l[0] = k(f'{m()}')\n"
+    tree = ast.parse(code)
+    seen = list(pyfacts._inner_nodes(tree))
+    wanted = (ast.Call, ast.Assign)
+    assert [n for n in seen if isinstance(n, wanted)] == [n for n in ast.walk(tree) if isinstance(n, wanted)]
+    assert len(seen) < 0.6 * sum(1 for _ in ast.walk(tree))

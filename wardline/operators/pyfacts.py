@@ -8,6 +8,7 @@ decided by the Spark filters below.
 from __future__ import annotations
 
 import ast
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -181,7 +182,7 @@ def _error_fact(exc: Exception, content: str) -> dict:
 def _writable(value):
     """The value with lone surrogates, which sources may spell but no column can hold, replaced."""
     if isinstance(value, str):
-        return value.encode("utf-8", "replace").decode()
+        return value if value.isascii() else value.encode("utf-8", "replace").decode()
     return [_writable(v) for v in value] if isinstance(value, list) else value
 
 
@@ -194,6 +195,24 @@ def _file_facts(content: str) -> list[dict]:
     return [{k: _writable(v) for k, v in fact.items()} for fact in found]
 
 
+#: Nodes that hold neither calls nor assignments.
+LEAVES = (ast.Constant, ast.Name, ast.expr_context, ast.operator, ast.boolop, ast.unaryop, ast.cmpop, ast.alias)
+
+
+def _inner_nodes(tree: ast.AST) -> Iterator[ast.AST]:
+    """``ast.walk`` without leaves, which are most of a tree; the others come in its order."""
+    waiting = deque([tree])
+    while waiting:
+        node = waiting.popleft()
+        yield node
+        for field in node._fields:
+            value = getattr(node, field, None)
+            if isinstance(value, list):
+                waiting.extend(v for v in value if isinstance(v, ast.AST) and not isinstance(v, LEAVES))
+            elif isinstance(value, ast.AST) and not isinstance(value, LEAVES):
+                waiting.append(value)
+
+
 def _facts(content: str) -> list[dict]:
     try:
         tree = ast.parse(content)
@@ -201,7 +220,7 @@ def _facts(content: str) -> list[dict]:
         return [_error_fact(exc, content)]
     lines = content.split("\n")
     out = [{"kind": "parsed"}]
-    for node in ast.walk(tree):
+    for node in _inner_nodes(tree):
         if isinstance(node, ast.Call):
             fact = _call_fact(node)
         elif isinstance(node, ast.Assign):
