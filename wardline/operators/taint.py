@@ -292,16 +292,17 @@ def reach(edges: DataFrame, labels: DataFrame, max_hops: int | None = None) -> R
                 "file_id", "node", F.lit(0).alias("hops"), F.array_join("path", " ").alias("key"), *ROOT, F.array().cast(f"array<{STEP}>").alias("trace")
             ),
             "labels",
+            codec="zstd",
         )
         passing = _passing(edges)
         sizes = passing.select("file_id").unionAll(known.where("file_id is not null").select("file_id")).groupBy("file_id").count()
         large = cut_lineage(sizes.where(F.col("count") > SMALL_FILE).select("file_id"), "large")
         if large.isEmpty():
-            return Reach(cut_lineage(_small_files(passing, known, max_hops), "reached", outlives=True), None)
+            return Reach(cut_lineage(_small_files(passing, known, max_hops), "reached", outlives=True, codec="zstd"), None)
         small = [t.join(large, "file_id", "left_anti") for t in (passing, known)]
         passing, known = (t.join(large, "file_id", "left_semi") for t in (passing, known))
         found, chains = _passes(cut_lineage(_live(passing, known), "edges"), known, max_hops)
-        return Reach(cut_lineage(found.unionByName(_small_files(*small, max_hops)), "reached", outlives=True), chains)
+        return Reach(cut_lineage(found.unionByName(_small_files(*small, max_hops)), "reached", outlives=True, codec="zstd"), chains)
 
 
 def _passes(live: DataFrame, known: DataFrame, max_hops: int | None) -> tuple[DataFrame, DataFrame]:

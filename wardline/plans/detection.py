@@ -16,7 +16,7 @@ from .scalars import CREDENTIAL, SQL_WORDS, STRICT_WORDS
 
 def _at_rest(view: DataFrame) -> DataFrame:
     """A fact view as the table that an extraction job would have written."""
-    return cut_lineage(spread(view), "facts")
+    return cut_lineage(spread(view), "facts", codec="zstd")
 
 
 def _re2(pattern: str) -> str:

@@ -79,15 +79,16 @@ def scratch_scope(spark: SparkSession, name: str = "scope") -> Iterator[None]:
         remove(spark, folder)
 
 
-def cut_lineage(df: DataFrame, name: str = "cut", outlives: bool = False) -> DataFrame:
+def cut_lineage(df: DataFrame, name: str = "cut", outlives: bool = False, codec: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The rows are computed once, a lost executor costs no recomputation, and the
     optimizer knows the size of what it reads. Inside a scratch scope the table goes
-    with the scope; one that ``outlives`` it belongs to the scope around it.
+    with the scope; one that ``outlives`` it belongs to the scope around it. ``codec``
+    is Spark's setting unless one is named.
     """
     spark = df.sparkSession
     scopes = _SCOPES.get()[:-1] if outlives else _SCOPES.get()
     path = f"{scopes[-1]}/{name}-{uuid.uuid4().hex}" if scopes else scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
