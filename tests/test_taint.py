@@ -3,6 +3,7 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 
 from wardline.operators import detect, pyfacts, pyflows, taint
@@ -199,3 +200,76 @@ def test_small_files_are_searched_without_passes_and_large_ones_agree(spark, mon
             found.append(sorted(map(str, taint.taint_reach(df.repartition(3), labels, limit).collect())))
             assert bool(passes) == (size < 500)
         assert found[0] == found[1]
+
+
+def test_small_files_move_once(spark, monkeypatch):
+    """Edges and labels of small files go through one shuffle and one table, sizes are told in the search."""
+    edges, labels = chain(spark, 5)
+    written = []
+    plain = taint.cut_lineage
+    monkeypatch.setattr(taint, "cut_lineage", lambda df, name="cut", **kw: written.append(name) or plain(df, name, **kw))
+    assert taint.taint_reach(edges, labels).count() == 6
+    assert written == ["reached"]
+
+
+def level_search(labels, edges):
+    """node -> (row of the source's label, steps): shortest, then line, path as text and kind, nulls first."""
+    ahead = {}
+    for src, dst, san in edges:
+        ahead.setdefault(src, {})[dst] = min(san, ahead.get(src, {}).get(dst, san))
+    known, found = {}, {}
+    for row, (node, line, path, kind) in enumerate(labels):
+        key = None if path is None else " ".join(s for s in path if s is not None)
+        order = ((line is not None, line), (key is not None, key), (kind is not None, kind))
+        if node not in found or order < found[node][0]:
+            found[node] = (order, row, ())
+    while found:
+        known |= found
+        frontier, found = found, {}
+        for node, ((line, (_, key), kind), row, steps) in frontier.items():
+            for dst, san in ahead.get(node, {}).items():
+                order = (line, (True, dst if key is None else f"{key} {dst}"), kind)
+                if dst not in known and (dst not in found or order < found[dst][0]):
+                    found[dst] = (order, row, (*steps, (dst, san)))
+    return {node: (row, steps) for node, (_, row, steps) in known.items()}
+
+
+@pytest.mark.parametrize("piece", [1, 7, 40, 10**6])
+def test_pieces_of_files_are_searched_like_each_file_alone(monkeypatch, piece):
+    rng = random.Random(piece)
+    paths, lines, kinds = (["b"], ["a", "x"], ["a", None], [None], [], None), (1, 2, None), ("req.body", "req.query", None)
+    rows, want, large = [], {}, []
+    for f in range(60):
+        names = [f"{i}é" for i in range(rng.choice([2, 5, 12]))]
+        labels = [(rng.choice([*names, None]), rng.choice(lines), rng.choice(paths), rng.choice(kinds)) for _ in range(rng.choice([0, 1, 4]))]
+        edges = [(*rng.sample(names, 2), rng.choice(["", "mysql.escape"])) for _ in range(rng.choice([0, 3, 3 * len(names)]))]
+        told = [str((f, line, None if p is None else " ".join(s for s in p if s), k)) for _, line, p, k in labels]  # equal ones are equally good
+        mixed = [(f, n, None, None, k, line, told[i], p, []) for i, (n, line, p, k) in enumerate(labels)]
+        mixed += [(f, s, d, san, None, None, None, None, None) for s, d, san in edges]
+        rng.shuffle(mixed)
+        rows += mixed
+        if len(mixed) > 25:
+            large.append(f)
+        else:
+            want |= {(f, n): (told[i], steps) for n, (i, steps) in level_search(labels, edges).items()}
+    assert large and want
+    struct = pa.struct([("name", pa.string()), ("strength", pa.string())])
+    fields = [("file_id", pa.int64()), ("node", pa.string()), ("dst", pa.string()), ("sanitizer", pa.string()), ("source_type", pa.string())]
+    fields += [("source_line", pa.int32()), ("category", pa.string()), ("path", pa.list_(pa.string())), ("sanitizers", pa.list_(struct))]
+    table = pa.table([pa.array(c, t) for c, (_, t) in zip(zip(*rows), fields)], names=[n for n, _ in fields])
+    monkeypatch.setattr(taint, "PIECE_ROWS", piece)
+    got = [r for batch in taint._search(None, 25, 9)(iter(table.to_batches(max_chunksize=6))) for r in batch.to_pylist()]
+    assert [r["file_id"] for r in got if r["large"]] == large
+    steps = lambda r: tuple((s["node"], s["sanitizer"]) for s in r["trace"])
+    reached = [((r["file_id"], r["node"]), (r["category"], steps(r))) for r in got if not r["large"]]
+    assert len(reached) == len(want) and dict(reached) == want
+
+
+def test_only_what_may_name_a_source_meets_the_aliases(spark):
+    rows = [(1, "a", "r.body", 1), (1, "a", "r.body", 1), (1, "b", "r.bodyguard", 2), (2, "a", "r.body", 3), (1, "c", "req.body.x", 4), (None, "d", "r.body", 5), (1, "e", None, 6)]
+    accesses = spark.createDataFrame(rows, "file_id long, node string, expr string, line int")
+    aliases = spark.createDataFrame([(1, "r"), (1, "r"), (None, "r"), (2, "q"), (2, None)], "file_id long, alias string")
+    found = taint.match_sources(accesses, aliases)
+    assert sorted((r.file_id, r.node, r.line, r.source_type) for r in found.collect()) == [(1, "a", 1, "req.body"), (1, "a", 1, "req.body"), (1, "c", 4, "req.body")]
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line and "_head" in line]
+    assert joins and all("LeftSemi" in line for line in joins)

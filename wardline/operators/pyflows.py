@@ -69,7 +69,7 @@ def python_flows(facts: DataFrame, aliases: DataFrame | None = None, files: Data
     With ``files`` (file_id, content) findings have their code.
     """
     if aliases is None:
-        aliases = facts.sparkSession.createDataFrame([], "file_id string, alias string")
+        aliases = facts.select("file_id", F.lit("").alias("alias")).limit(0)
     labels = taint.source_labels(taint.match_sources(accesses(facts), aliases))
     found = taint.taint_findings(calls(facts), args(facts), taint.reach(edges(facts), labels), files)
     paths = facts.where("kind = 'parsed'").select("file_id", "file_path")

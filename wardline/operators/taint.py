@@ -14,9 +14,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import severity as sev
 from ..functions import text
@@ -49,18 +52,16 @@ def match_sources(accesses: DataFrame, aliases: DataFrame) -> DataFrame:
         "source_type string, category string, severity_base string",
     )
     two_parts = F.substring_index("expr", ".", 2)
+    head = F.substring_index("expr", ".", 1)
     renamed = F.concat(F.lit("req."), F.expr("substring(expr, length(_head) + 2)"))
-    key = F.when(two_parts.isin(list(base)), two_parts).when(
-        F.col("_aliased") & renamed.isin([k for k in SOURCES if k.startswith("req.")]), renamed
-    )
-    marks = aliases.select("file_id", F.col("alias").alias("_head")).distinct().withColumn("_aliased", F.lit(True))
-    return (
-        accesses.withColumn("_head", F.substring_index("expr", ".", 1))
-        .join(marks, ["file_id", "_head"], "left")
-        .withColumn("source_type", key)
-        .join(table, "source_type")
-        .drop("_head", "_aliased")
-    )
+    rows = accesses.select("file_id", *[c for c in accesses.columns if c != "file_id"])
+    plain = rows.where(two_parts.isin(list(base))).withColumn("source_type", two_parts)
+    # only what would name a source behind an alias needs to know the file's aliases
+    other = rows.where(~two_parts.isin(list(base))).withColumn("_head", head).withColumn("source_type", renamed)
+    other = other.where(F.col("source_type").isin([k for k in SOURCES if k.startswith("req.")]))
+    marks = aliases.select("file_id", F.col("alias").alias("_head"))
+    through = other.join(marks, ["file_id", "_head"], "left_semi").select(plain.columns)
+    return plain.unionByName(through).join(table, "source_type")
 
 
 def source_labels(matched: DataFrame) -> DataFrame:
@@ -95,6 +96,9 @@ ORDER = ["hops", "source_line", "key", "source_type"]
 SMALL_FILE = 500
 #: Steps of a task's result that are held at a time.
 HELD_STEPS = 100_000
+#: Files are searched together in pieces of so many rows or bytes.
+PIECE_ROWS = 100_000
+PIECE_BYTES = 16 << 20
 _STEPS = pa.struct([("first", pa.string()), ("node", pa.string()), ("sanitizer", pa.string()), ("inner", pa.int32())])
 
 
@@ -170,139 +174,211 @@ def _best(rows: DataFrame) -> DataFrame:
     return rows.groupBy("file_id", "node").agg(F.min_by(F.struct(*rest), F.struct(*ORDER)).alias("_l")).select("file_id", "node", "_l.*")
 
 
-def _file_labels(labels: list[tuple], ahead: dict[str, dict[str, str]], max_hops: int | None) -> dict[str | None, tuple]:
-    """Search of one file, one edge further a level: variable -> (order, row of its source's label, steps).
+def _ranks(values: pa.Array) -> np.ndarray:
+    """The place of each value in the order of all; equal values share one, null comes first."""
+    coded = values.dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    codes = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False)
+    return np.where(codes < 0, -1, rank[codes]) if len(order) else np.full(len(codes), -1)
+
+
+def _firsts(groups: np.ndarray) -> np.ndarray:
+    """Where a new group begins, in groups that lie together."""
+    return np.concatenate([[True], groups[1:] != groups[:-1]]) if len(groups) else np.zeros(0, bool)
+
+
+def _smallest(groups: np.ndarray, lines: np.ndarray, kinds: np.ndarray, keys: Callable[[np.ndarray], pa.Array]) -> np.ndarray:
+    """Index of the best row of each group by line, key and kind; texts are made and compared only where the line is shared."""
+    order = np.lexsort((lines, groups))
+    begins = _firsts(groups[order])
+    least = lines[order][begins][np.cumsum(begins) - 1]
+    order = order[lines[order] == least]
+    begins = _firsts(groups[order])
+    alone = begins & np.concatenate([begins[1:], [True]])
+    ties = order[~alone]
+    if not len(ties):
+        return order
+    ties = ties[np.lexsort((kinds[ties], _ranks(keys(ties)), groups[ties]))]
+    return np.concatenate([order[alone], ties[_firsts(groups[ties])]])
 
-    ``labels`` are (node, source_line, path, source_type, row). Nulls come first in the order.
+
+def _paths(paths: pa.ListArray) -> pa.Array:
+    """The steps of each path as text, without nulls."""
+    if paths.flatten().null_count:
+        return pa.array([None if p is None else " ".join(s for s in p if s is not None) for p in paths.to_pylist()], pa.string())
+    return pc.binary_join(paths, " ")
+
+
+def _search_files(table: pa.Table, max_hops: int | None, held: int) -> Iterator[pa.RecordBatch]:
+    """Labels of all variables reached in whole files, all files one edge further a level.
+
+    A row with ``dst`` is an edge, one without is a label. At each level a new variable
+    takes the best of the labels that reach it, as ``ORDER`` says. What is found is held
+    as a pointer to the label before; paths of at most ``held`` steps are built at a time.
     """
-    known: dict[str | None, tuple] = {}
-    found: dict[str | None, tuple] = {}
-    for node, line, path, kind, row in labels:
-        key = None if path is None else " ".join(step for step in path if step is not None)
-        order = ((line is not None, line), (key is not None, key), (kind is not None, kind))
-        if node not in found or order < found[node][0]:
-            found[node] = (order, row, ())
-    hops = 0
-    while found:
-        known |= found
-        if hops == max_hops:
-            break
-        frontier, found, hops = found, {}, hops + 1
-        for node, ((line, (_, key), kind), row, steps) in frontier.items():
-            for dst, sanitizer in ahead.get(node, {}).items():
-                if dst not in known:
-                    order = (line, (True, dst if key is None else f"{key} {dst}"), kind)
-                    if dst not in found or order < found[dst][0]:
-                        found[dst] = (order, row, (*steps, (dst, sanitizer)))
-    return known
-
-
-def _reached_rows(table: pa.Table, nodes: list, roots: list[int], ways: list[tuple]) -> pa.RecordBatch:
-    """Labels of reached variables: the source's columns of row ``roots`` of the table, and the steps."""
-    root = table.select(["file_id", *ROOT]).take(pa.array(roots, pa.int64()))
-    ends, names, used = [0], [], []
-    for way in ways:
-        for name, sanitizer in way:
-            names.append(name)
-            used.append(sanitizer)
-        ends.append(len(names))
-    name = pa.array(names, pa.string())
-    steps = pa.StructArray.from_arrays([name, name, pa.array(used, pa.string()), pa.array([0] * len(names), pa.int32())], fields=list(_STEPS))
-    columns = {c: root[c].combine_chunks() for c in root.column_names}
-    columns |= {"node": pa.array(nodes, pa.string()), "trace": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), steps)}
-    return pa.RecordBatch.from_pydict({c: columns[c] for c in ("file_id", "node", *ROOT, "trace")})
-
-
-def _search_files(table: pa.Table, max_hops: int | None) -> Iterator[pa.RecordBatch]:
-    """Labels of all variables reached in the whole files of a table that is sorted by file."""
-    columns = [table[c].to_pylist() for c in ("file_id", "node", "dst", "sanitizer", "source_line", "path", "source_type")]
-    files, begin = columns[0], 0
-    nodes: list[str | None] = []
-    roots: list[int] = []
-    ways: list[tuple] = []
-    held = 0
-    while begin < len(files):
-        labels, ahead, end = [], {}, begin
-        while end < len(files) and files[end] == files[begin]:
-            _, node, dst, sanitizer, line, path, kind = (c[end] for c in columns)
-            if dst is None:
-                labels.append((node, line, path, kind, end))
-            else:
-                ways_on = ahead.setdefault(node, {})
-                ways_on[dst] = min(sanitizer, ways_on.get(dst, sanitizer))
-            end += 1
+    table = table.combine_chunks()
+    column = {c: table[c].combine_chunks() for c in table.column_names}
+    files = column["file_id"].dictionary_encode().indices.to_numpy()
+    is_edge = column["dst"].is_valid().to_numpy(zero_copy_only=False)
+    edges, starts = np.flatnonzero(is_edge), np.flatnonzero(~is_edge)
+    if not len(starts):
+        return
+    # Variables are numbered through all files; null is a name of its own that no edge has.
+    ends = pa.concat_arrays([column["node"], column["dst"].take(pa.array(edges))]).dictionary_encode()
+    names = pa.concat_arrays([ends.dictionary, pa.nulls(1, pa.string())])
+    codes = pc.fill_null(ends.indices, len(names) - 1).to_numpy(zero_copy_only=False).astype(np.int64)
+    pairs, variable = np.unique(np.concatenate([files, files[edges]]) * np.int64(len(names)) + codes, return_inverse=True)
+    name_of = pairs % len(names)
+    # One edge a pair, by the variable that it leaves.
+    used = column["sanitizer"].take(pa.array(edges))
+    src, dst, rank = variable[edges], variable[len(files) :], _ranks(used)
+    order = np.lexsort((rank, dst, src))
+    order = order[_firsts(src[order] * np.int64(len(pairs)) + dst[order])]
+    src, dst, used = src[order], dst[order], used.take(pa.array(order))
+    ahead = np.searchsorted(src, np.arange(len(pairs) + 1))
+    # The sources' own labels.
+    own = {c: column[c].take(pa.array(starts)) for c in ("source_line", "path", "source_type")}
+    lines, kinds, keys = _ranks(own["source_line"]), _ranks(own["source_type"]), _paths(own["path"])
+    best = _smallest(variable[starts], lines, kinds, lambda rows: keys.take(pa.array(rows)))
+    node, root, lines, kinds, keys = variable[starts][best], starts[best], lines[best], kinds[best], keys.take(pa.array(best))
+    known = np.zeros(len(pairs), bool)
+    known[node] = True
+    # Levels of (variable, row of the source's label, label before, edge).
+    none = np.full(len(node), -1)
+    levels, total, place, hops = [(node, root, none, none)], len(node), np.arange(len(node)), 0
+    while len(node) and hops != max_hops:
+        ways = ahead[node + 1] - ahead[node]
+        by = np.repeat(np.arange(len(node)), ways)
+        edge = np.arange(len(by)) + np.repeat(ahead[node] - (np.cumsum(ways) - ways), ways)
+        new = ~known[dst[edge]]
+        by, edge = by[new], edge[new]
+        extended = lambda rows: pc.binary_join_element_wise(
+            keys.take(pa.array(by[rows])), names.take(pa.array(name_of[dst[edge[rows]]])), " ", null_handling="skip"
+        )
+        best = _smallest(dst[edge], lines[by], kinds[by], extended)
+        keys, by, edge, hops = extended(best), by[best], edge[best], hops + 1
+        node, root, lines, kinds = dst[edge], root[by], lines[by], kinds[by]
+        known[node] = True
+        levels.append((node, root, place[by], edge))
+        total, place = total + len(node), np.arange(total, total + len(node))
+    node, root, before, edge = (np.concatenate([level[i] for level in levels]) for i in range(4))
+    depth = np.repeat(np.arange(len(levels)), [len(level[0]) for level in levels])
+    reached = np.cumsum(depth)
+    begin = 0
+    while begin < len(node):
+        end = max(begin + 1, int(np.searchsorted(reached, (reached[begin - 1] if begin else 0) + held, "right")))
+        size = depth[begin:end]
+        stops = np.cumsum(size)
+        step = np.empty(stops[-1], np.int64)
+        at, to = np.arange(begin, end)[size > 0], stops[size > 0] - 1
+        while len(at):
+            step[to] = edge[at]
+            at, to = before[at], to - 1
+            on = edge[at] >= 0
+            at, to = at[on], to[on]
+        yield _reached_rows(
+            table.select(["file_id", *ROOT]).take(pa.array(root[begin:end])), names.take(pa.array(name_of[node[begin:end]])),
+            np.concatenate([[0], stops]), names.take(pa.array(name_of[dst[step]])), used.take(pa.array(step)),
+        )
         begin = end
-        for node, (_, row, steps) in _file_labels(labels, ahead, max_hops).items() if labels else ():
-            nodes.append(node)
-            roots.append(row)
-            ways.append(steps)
-            held += len(steps)
-        if held >= HELD_STEPS:
-            yield _reached_rows(table, nodes, roots, ways)
-            nodes, roots, ways, held = [], [], [], 0
-    if nodes:
-        yield _reached_rows(table, nodes, roots, ways)
 
 
-def _search(max_hops: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Batches sorted by file to labels; the last file of a batch waits for the next one."""
+def _reached_rows(root: pa.Table, nodes: pa.Array, ends: np.ndarray, names: pa.Array, used: pa.Array) -> pa.RecordBatch:
+    """Labels of reached variables: the columns of their source's label, and the steps to each."""
+    steps = pa.StructArray.from_arrays([names, names, used, pa.array(np.zeros(len(names), np.int32))], fields=list(_STEPS))
+    columns = {c: root[c].combine_chunks() for c in root.column_names}
+    columns |= {"node": nodes, "trace": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), steps), "large": pa.array(np.zeros(len(nodes), bool))}
+    return pa.RecordBatch.from_pydict({c: columns[c] for c in ("file_id", "node", *ROOT, "trace", "large")})
+
+
+def _large_rows(like: pa.Table, files: pa.Array) -> pa.RecordBatch:
+    """A row for each file that is too large to be searched here."""
+    columns = {c: pa.nulls(len(files), like.schema.field(c).type) for c in ("node", *ROOT)}
+    columns |= {"trace": pa.nulls(len(files), pa.list_(_STEPS)), "large": pa.array(np.ones(len(files), bool))}
+    return pa.RecordBatch.from_pydict({"file_id": files, **columns})
+
+
+def _search(max_hops: int | None, most: int, held: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches sorted by file to labels, in pieces of several batches; the last file of a piece waits for the next one.
+
+    Of a file with more than ``most`` rows only its ``file_id`` is returned, and no more than a piece of it is held.
+    """
+
+    def searched(table: pa.Table, ended: bool) -> Iterator[pa.RecordBatch | pa.Table]:
+        """The results of a piece, then what waits."""
+        files = table["file_id"].combine_chunks()
+        code = files.dictionary_encode().indices.to_numpy()
+        count = np.bincount(code)
+        small, waits = count <= most, np.zeros(len(count), bool)
+        waits[code[-1]] = not ended
+        # a large file that waits is told by a few of its rows
+        begins = np.flatnonzero(_firsts(code))
+        large = begins[(~small & ~waits)[code[begins]]]
+        if len(large):
+            yield _large_rows(table, files.take(pa.array(large)))
+        if (small & ~waits).any():
+            yield from _search_files(table.filter(pa.array((small & ~waits)[code])), max_hops, held)
+        yield table.slice(begins[-1], min(int(count[code[-1]]), most + 1)) if not ended else table.slice(0, 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        parts: list[pa.Table] = []
+        rows = size = 0
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
-            files, cut = table["file_id"], table.num_rows
-            if not cut:
+            if not batch.num_rows:
                 continue
-            last = files[cut - 1]
-            while cut and files[cut - 1] == last:
-                cut -= 1
-            yield from _search_files(table.slice(0, cut), max_hops)
-            rest = table.slice(cut)
-        if rest is not None:
-            yield from _search_files(rest, max_hops)
+            parts.append(pa.Table.from_batches([batch]))
+            rows, size = rows + batch.num_rows, size + batch.nbytes
+            if rows >= PIECE_ROWS or size >= PIECE_BYTES:
+                *found, rest = searched(pa.concat_tables(parts).combine_chunks(), False)
+                yield from found
+                parts, rows, size = [rest.combine_chunks()], 0, 0
+        if parts:
+            *found, _ = searched(pa.concat_tables(parts).combine_chunks(), True)
+            yield from found
 
     return run
 
 
 def _small_files(passing: DataFrame, known: DataFrame, max_hops: int | None) -> DataFrame:
-    """Labels of all variables reached in files of bounded size, each file in one task; labels without a file have no edges."""
+    """Labels of all variables reached in files of bounded size, each file in one task; larger files are named as ``large``.
+
+    Labels without a file have no edges.
+    """
     types = {f.name: f.dataType for f in known.schema}
     ways = passing.select("file_id", F.col("src").alias("node"), "dst", "sanitizer", *[F.lit(None).cast(types[c]).alias(c) for c in ROOT])
     absent = [F.lit(None).cast("string").alias(c) for c in ("dst", "sanitizer")]
     starts = known.where("file_id is not null").select("file_id", "node", *absent, *ROOT)
     columns = ["file_id", "node", *ROOT, "trace"]
     rows = ways.unionByName(starts).repartition("file_id").sortWithinPartitions("file_id")
-    found = rows.mapInArrow(_search(max_hops), known.select(columns).schema)
-    return found.unionByName(_best(known.where("file_id is null")).select(columns))
+    schema = known.select(*columns, F.lit(False).alias("large")).schema
+    found = rows.mapInArrow(_search(max_hops, SMALL_FILE, HELD_STEPS), T.StructType([T.StructField(f.name, f.dataType) for f in schema]))
+    return found.unionByName(_best(known.where("file_id is null")).select(*columns, F.lit(False).alias("large")))
 
 
 def reach(edges: DataFrame, labels: DataFrame, max_hops: int | None = None) -> Reach:
     """Every variable that untrusted data reaches, with the label of a shortest path.
 
     Edges and labels of a file of bounded size meet in one task, which searches it level by
-    level. Files beyond that size go through passes together, see ``_passes``. ``edges``
-    should be a table at rest, it is read twice.
+    level. Files beyond that size go through passes together, see ``_passes``; only then are
+    ``edges`` and ``labels`` read again, so ``edges`` should be a table at rest.
     """
     spark = edges.sparkSession
     with scratch_scope(spark, "taint"):
-        known = cut_lineage(
-            labels.select(
-                "file_id", "node", F.lit(0).alias("hops"), F.array_join("path", " ").alias("key"), *ROOT, F.array().cast(f"array<{STEP}>").alias("trace")
-            ),
-            "labels",
-            codec="zstd",
+        known = labels.select(
+            "file_id", "node", F.lit(0).alias("hops"), F.array_join("path", " ").alias("key"), *ROOT, F.array().cast(f"array<{STEP}>").alias("trace")
         )
         passing = _passing(edges)
-        sizes = passing.select("file_id").unionAll(known.where("file_id is not null").select("file_id")).groupBy("file_id").count()
-        large = cut_lineage(sizes.where(F.col("count") > SMALL_FILE).select("file_id"), "large")
+        searched = cut_lineage(_small_files(passing, known, max_hops), "reached", outlives=True, codec="zstd")
+        found = searched.where("not large").drop("large")
+        large = searched.where("large").select("file_id")
         if large.isEmpty():
-            return Reach(cut_lineage(_small_files(passing, known, max_hops), "reached", outlives=True, codec="zstd"), None)
-        small = [t.join(large, "file_id", "left_anti") for t in (passing, known)]
+            return Reach(found, None)
         passing, known = (t.join(large, "file_id", "left_semi") for t in (passing, known))
-        found, chains = _passes(cut_lineage(_live(passing, known), "edges"), known, max_hops)
-        return Reach(cut_lineage(found.unionByName(_small_files(*small, max_hops)), "reached", outlives=True, codec="zstd"), chains)
+        known = cut_lineage(known, "labels", codec="zstd")
+        more, chains = _passes(cut_lineage(_live(passing, known), "edges"), known, max_hops)
+        return Reach(found.unionByName(cut_lineage(more, "reached", outlives=True, codec="zstd")), chains)
 
 
 def _passes(live: DataFrame, known: DataFrame, max_hops: int | None) -> tuple[DataFrame, DataFrame]:
@@ -339,8 +415,8 @@ def labelled(found: Reach, nodes: DataFrame | None = None) -> DataFrame:
     rows = found.labels
     if nodes is not None:
         rows = rows.join(nodes.select("file_id", "node").distinct(), ["file_id", "node"], "left_semi")
-    named = lambda steps: F.filter(
-        F.transform(steps, lambda s: F.struct(s["sanitizer"].alias("name"), lookup(SANITIZERS, s["sanitizer"]).alias("strength"))), lambda s: s["name"] != ""
+    named = lambda steps: F.transform(
+        F.filter(steps, lambda s: s["sanitizer"] != ""), lambda s: F.struct(s["sanitizer"].alias("name"), lookup(SANITIZERS, s["sanitizer"]).alias("strength"))
     )
     rebuilt = lambda rows, way: rows.select(
         "file_id", "node", "source_type", "source_line", "category", F.concat("path", F.transform(way, lambda s: s["node"])).alias("path"),
