@@ -273,3 +273,78 @@ def test_only_what_may_name_a_source_meets_the_aliases(spark):
     assert sorted((r.file_id, r.node, r.line, r.source_type) for r in found.collect()) == [(1, "a", 1, "req.body"), (1, "a", 1, "req.body"), (1, "c", 4, "req.body")]
     joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line and "_head" in line]
     assert joins and all("LeftSemi" in line for line in joins)
+
+
+CALLS = "file_id long, call_id string, line int, object string, method string, n_args int, arg0_kind string, arg0_text string, arg1_kind string"
+ARGS = "file_id long, call_id string, arg_index int, position int, node string"
+
+
+def flow_tables(spark, seed):
+    """Edges, labels, calls and arguments of files of many sizes, with rows that come twice and nulls."""
+    rng = random.Random(seed)
+    edges, starts, calls, args = [], [], [], []
+    for f in [*range(100), None]:
+        names = [f"v{i}é" for i in range(rng.choice([3, 8, 20]))]
+        edges += [(f, rng.choice(names), rng.choice([*names, None]), rng.choice([None, "mysql.escape", "escapeHtml", "helper"])) for _ in range(2 * len(names))]
+        for n in rng.sample([*names, None], rng.choice([0, 2, 3])):
+            done = rng.choice([[], [("mysql.escape", "weak")], None])
+            starts.append((f, n, rng.choice(["req.body", "req.query"]), rng.choice([1, 2, None]), rng.choice(["http_request", None]), ["req", n], done))
+        for c in range(rng.choice([0, 2, 12])):
+            method = rng.choice(["eval", "eval", "execFile", "Function", "print"])
+            call = (f, rng.choice([*[f"c{c}"] * 5, None]), rng.choice([c, None]), rng.choice(["box", None]), method, rng.randint(1, 3), "identifier", "x", None)
+            calls += [call] * rng.choice([1, 1, 2])
+            args += [(f, call[1], rng.choice([0, 0, 1, 2, None]), rng.choice([0, 1, None]), rng.choice([*names, None])) for _ in range(rng.choice([2, 4, 6]))]
+    args += args[::4]
+    rows = ((edges, "file_id long, src string, dst string, sanitizer string"), (starts, LABELS), (calls, CALLS), (args, ARGS))
+    return [spark.createDataFrame(r, ddl).repartition(3) for r, ddl in rows]
+
+
+@pytest.mark.parametrize("limit, most", [(None, 2000), (None, 40), (1, 2000), (None, 0)])
+def test_findings_of_the_search_equal_those_of_joins(spark, monkeypatch, limit, most):
+    """One search for flows finds what labels, calls and arguments joined find, and so do files too large for it."""
+    monkeypatch.setattr(taint, "SMALL_FLOWS", most)
+    monkeypatch.setattr(taint, "HELD_STEPS", 10)
+    edges, labels, calls, args = flow_tables(spark, 11)
+    joined = taint.taint_findings(calls, args, taint.taint_reach(edges, labels, limit))
+    searched = taint.taint_findings(calls, args, taint.reach(edges, labels, limit))
+    assert searched.schema.simpleString() == joined.schema.simpleString()
+    want = sorted(map(str, joined.collect()))
+    assert len(want) > 20 and sorted(map(str, searched.collect())) == want
+
+
+@pytest.mark.parametrize("piece", [1, 9, 60])
+def test_flows_do_not_depend_on_pieces(spark, monkeypatch, piece):
+    edges, labels, calls, args = flow_tables(spark, 12)
+    narrow = taint.match_sinks(calls).selectExpr("file_id", "greatest(taint_arg, 0) as arg_index", *taint.CALL)
+    table = taint._flow_rows(taint._passing(edges), taint._known(labels), narrow, args).sort("file_id").toArrow()
+    found = lambda size: [r for b in taint._search(None, 60, 9, True)(iter(table.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+    whole = found(10**6)
+    monkeypatch.setattr(taint, "PIECE_ROWS", piece)
+    assert sum(r["large"] for r in whole) and sum(not r["large"] for r in whole) > 20
+    assert sorted(map(str, found(5))) == sorted(map(str, whole))
+
+
+def test_calls_and_arguments_move_once(spark, monkeypatch):
+    """Findings of small files take one shuffle by file and one table; nothing is shuffled for them afterwards."""
+    edges, labels = chain(spark, 3)
+    calls = spark.createDataFrame([(1, c, 9, "db", "query", 1, "identifier", "x", None) for c in "cd"], CALLS)
+    args = spark.createDataFrame([(1, c, 0, p, n) for c in "cd" for p, n in ((0, "q"), (1, "a3"), (2, "a1"), (1, "a3"))], ARGS)
+    written = []
+    plain = taint.cut_lineage
+    monkeypatch.setattr(taint, "cut_lineage", lambda df, name="cut", **kw: written.append((name, df)) or plain(df, name, **kw))
+    findings = taint.taint_findings(calls, args, taint.reach(edges, labels))
+    assert [r.path[-1] for r in findings.collect()] == ["a3", "a3"]
+    ((name, flows),) = written
+    assert name == "flows" and flows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(") == 1
+    assert "Exchange hashpartitioning(" not in findings._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_chain_is_searched_in_few_passes_when_it_is_read(spark, monkeypatch):
+    passes = []
+    plain = taint._extended
+    monkeypatch.setattr(taint, "_extended", lambda rows: passes.append(1) or plain(rows))
+    edges, labels = chain(spark, 3000)
+    found = taint.reach(edges, labels)
+    assert found.labels.count() == 3001 and 0 < len(passes) < 20
+    done = len(passes)
+    assert found.chains is not None and found.labels.count() == 3001 and len(passes) == done

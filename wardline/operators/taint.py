@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -75,17 +76,31 @@ def source_labels(matched: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Reach:
-    """What untrusted data reaches, without the paths.
+    """What untrusted data reaches, without the paths; searched when it is first read.
 
     ``labels`` has a row for each tainted variable: its source's label and path, and a
     ``trace`` of steps (first, node, sanitizer, inner): from the variable before along an
     unbranched chain that begins with ``first`` over ``inner`` variables to ``node``.
     ``chains`` has the variables of those chains by ``first`` and ``hops``; it is None when
-    no step of any trace skips variables.
+    no step of any trace skips variables. ``taint_findings`` searches on its own, together
+    with the calls, so what it doesn't need of the labels is never moved.
     """
 
-    labels: DataFrame
-    chains: DataFrame | None
+    edges: DataFrame
+    starts: DataFrame
+    max_hops: int | None = None
+
+    @cached_property
+    def _found(self) -> tuple[DataFrame, DataFrame | None]:
+        return _searched(self.edges, self.starts, self.max_hops)
+
+    @property
+    def labels(self) -> DataFrame:
+        return self._found[0]
+
+    @property
+    def chains(self) -> DataFrame | None:
+        return self._found[1]
 
 
 STEP = "struct<first:string,node:string,sanitizer:string,inner:int>"
@@ -94,11 +109,22 @@ ROOT = ["source_type", "source_line", "category", "path", "sanitizers"]
 ORDER = ["hops", "source_line", "key", "source_type"]
 #: A file of at most so many labels and edges is searched by one task; larger ones take the passes over all files.
 SMALL_FILE = 500
+#: The same with the calls of sinks and the arguments of calls, when findings are searched for.
+SMALL_FLOWS = 2000
 #: Steps of a task's result that are held at a time.
 HELD_STEPS = 100_000
 #: Files are searched together in pieces of so many rows or bytes.
 PIECE_ROWS = 100_000
 PIECE_BYTES = 16 << 20
+#: Columns of a task's result: labels, or the first tainted variable of a call.
+REACHED = ["file_id", "node", *ROOT, "trace", "large"]
+CALL = ["call_id", "line", "object", "method", "sink"]
+FLOWS = ["file_id", *CALL, *ROOT, "trace", "large"]
+#: Columns of the rows of that search, which are of several kinds, by what they are in each kind's own table.
+SHARED = {
+    "src": "node", "dst": "other", "sanitizer": "name", "source_type": "other", "source_line": "place", "category": "name",
+    "object": "node", "method": "other", "sink": "name", "line": "place", "position": "place",
+}
 _STEPS = pa.struct([("first", pa.string()), ("node", pa.string()), ("sanitizer", pa.string()), ("inner", pa.int32())])
 
 
@@ -195,12 +221,20 @@ def _smallest(groups: np.ndarray, lines: np.ndarray, kinds: np.ndarray, keys: Ca
     begins = _firsts(groups[order])
     least = lines[order][begins][np.cumsum(begins) - 1]
     order = order[lines[order] == least]
+    return _least(groups, order, lambda rows: (kinds[rows], _ranks(keys(rows))))
+
+
+def _least(groups: np.ndarray, order: np.ndarray, ranks: Callable[[np.ndarray], tuple[np.ndarray, ...]]) -> np.ndarray:
+    """Of the rows in ``order``, which has groups together, the least of each group; the last of ``ranks`` counts first.
+
+    Only rows that share a group are ranked.
+    """
     begins = _firsts(groups[order])
     alone = begins & np.concatenate([begins[1:], [True]])
     ties = order[~alone]
     if not len(ties):
         return order
-    ties = ties[np.lexsort((kinds[ties], _ranks(keys(ties)), groups[ties]))]
+    ties = ties[np.lexsort((*ranks(ties), groups[ties]))]
     return np.concatenate([order[alone], ties[_firsts(groups[ties])]])
 
 
@@ -211,20 +245,55 @@ def _paths(paths: pa.ListArray) -> pa.Array:
     return pc.binary_join(paths, " ")
 
 
-def _search_files(table: pa.Table, max_hops: int | None, held: int) -> Iterator[pa.RecordBatch]:
-    """Labels of all variables reached in whole files, all files one edge further a level.
+@dataclass(frozen=True)
+class _Levels:
+    """Variables reached in whole files; each is a pointer to the one before it.
 
-    A row with ``dst`` is an edge, one without is a label. At each level a new variable
-    takes the best of the labels that reach it, as ``ORDER`` says. What is found is held
-    as a pointer to the label before; paths of at most ``held`` steps are built at a time.
+    ``node``, ``root`` (row of the source's label), ``before``, ``edge`` and ``depth`` are by
+    variable reached, the rest by row or edge. ``variable`` numbers the node of every row.
+    """
+
+    node: np.ndarray
+    root: np.ndarray
+    before: np.ndarray
+    edge: np.ndarray
+    depth: np.ndarray
+    files: np.ndarray
+    variable: np.ndarray
+    names: pa.Array
+    dst: np.ndarray
+    used: pa.Array
+
+    def traces(self, at: np.ndarray, held: int) -> Iterator[tuple[slice, pa.Array, pa.Array]]:
+        """Rows of the labels of the variables ``at`` and the steps to them, in slices of at most ``held`` steps."""
+        depth = self.depth[at]
+        reached = np.cumsum(depth)
+        begin = 0
+        while begin < len(at):
+            end = max(begin + 1, int(np.searchsorted(reached, (reached[begin - 1] if begin else 0) + held, "right")))
+            size = depth[begin:end]
+            stops = np.cumsum(size)
+            step = np.empty(stops[-1], np.int64)
+            now, to = at[begin:end][size > 0], stops[size > 0] - 1
+            while len(now):
+                step[to] = self.edge[now]
+                now, to = self.before[now], to - 1
+                on = self.edge[now] >= 0
+                now, to = now[on], to[on]
+            names, used = self.names.take(pa.array(self.dst[step])), self.used.take(pa.array(step))
+            steps = pa.StructArray.from_arrays([names, names, used, pa.array(np.zeros(len(step), np.int32))], fields=list(_STEPS))
+            trace = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops]), pa.int32()), steps)
+            yield slice(begin, end), pa.array(self.root[at[begin:end]]), trace
+            begin = end
+
+
+def _levels(column: dict[str, pa.Array], edges: np.ndarray, starts: np.ndarray, max_hops: int | None) -> _Levels:
+    """All variables reached in whole files, all files one edge further a level.
+
+    At each level a new variable takes the best of the labels that reach it, as ``ORDER``
+    says. Rows that are neither ``edges`` nor ``starts`` only have their node numbered.
     """
-    table = table.combine_chunks()
-    column = {c: table[c].combine_chunks() for c in table.column_names}
     files = column["file_id"].dictionary_encode().indices.to_numpy()
-    is_edge = column["dst"].is_valid().to_numpy(zero_copy_only=False)
-    edges, starts = np.flatnonzero(is_edge), np.flatnonzero(~is_edge)
-    if not len(starts):
-        return
     # Variables are numbered through all files; null is a name of its own that no edge has.
     ends = pa.concat_arrays([column["node"], column["dst"].take(pa.array(edges))]).dictionary_encode()
     names = pa.concat_arrays([ends.dictionary, pa.nulls(1, pa.string())])
@@ -265,46 +334,88 @@ def _search_files(table: pa.Table, max_hops: int | None, held: int) -> Iterator[
         total, place = total + len(node), np.arange(total, total + len(node))
     node, root, before, edge = (np.concatenate([level[i] for level in levels]) for i in range(4))
     depth = np.repeat(np.arange(len(levels)), [len(level[0]) for level in levels])
-    reached = np.cumsum(depth)
-    begin = 0
-    while begin < len(node):
-        end = max(begin + 1, int(np.searchsorted(reached, (reached[begin - 1] if begin else 0) + held, "right")))
-        size = depth[begin:end]
-        stops = np.cumsum(size)
-        step = np.empty(stops[-1], np.int64)
-        at, to = np.arange(begin, end)[size > 0], stops[size > 0] - 1
-        while len(at):
-            step[to] = edge[at]
-            at, to = before[at], to - 1
-            on = edge[at] >= 0
-            at, to = at[on], to[on]
-        yield _reached_rows(
-            table.select(["file_id", *ROOT]).take(pa.array(root[begin:end])), names.take(pa.array(name_of[node[begin:end]])),
-            np.concatenate([[0], stops]), names.take(pa.array(name_of[dst[step]])), used.take(pa.array(step)),
-        )
-        begin = end
+    return _Levels(node, root, before, edge, depth, files, variable, names.take(pa.array(name_of)), dst, used)
 
 
-def _reached_rows(root: pa.Table, nodes: pa.Array, ends: np.ndarray, names: pa.Array, used: pa.Array) -> pa.RecordBatch:
-    """Labels of reached variables: the columns of their source's label, and the steps to each."""
-    steps = pa.StructArray.from_arrays([names, names, used, pa.array(np.zeros(len(names), np.int32))], fields=list(_STEPS))
-    columns = {c: root[c].combine_chunks() for c in root.column_names}
-    columns |= {"node": nodes, "trace": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), steps), "large": pa.array(np.zeros(len(nodes), bool))}
-    return pa.RecordBatch.from_pydict({c: columns[c] for c in ("file_id", "node", *ROOT, "trace", "large")})
+def _search_files(table: pa.Table, max_hops: int | None, held: int) -> Iterator[pa.RecordBatch]:
+    """Labels of all variables reached in whole files; a row with ``dst`` is an edge, one without is a label.
+
+    Paths of at most ``held`` steps are built at a time.
+    """
+    column = _columns(table)
+    is_edge = _has(column["dst"])
+    if is_edge.all():
+        return
+    found = _levels(column, np.flatnonzero(is_edge), np.flatnonzero(~is_edge), max_hops)
+    for part, root, trace in found.traces(np.arange(len(found.node)), held):
+        columns = {c: column[c].take(root) for c in ("file_id", *ROOT)}
+        yield _result_rows(columns | {"node": found.names.take(pa.array(found.node[part])), "trace": trace}, REACHED)
+
+
+def _search_flows(table: pa.Table, max_hops: int | None, held: int) -> Iterator[pa.RecordBatch]:
+    """The first tainted variable of the dangerous argument of each call of a sink, in whole files, see ``_small_flows``.
+
+    Variables are ordered by position and name; equal arguments count once, and of
+    equally good calls of one id the least one.
+    """
+    column = _columns(table)
+    of_call, is_label, named = (_has(column[c]) for c in ("call_id", "sanitizers", "name"))
+    edges, labels, sinks, arguments = (np.flatnonzero(x) for x in (~of_call & ~is_label, is_label, of_call & named, of_call & ~named))
+    if not (len(labels) and len(sinks) and len(arguments)):
+        return
+    column |= {c: column[shared] for c, shared in SHARED.items()}
+    found = _levels(column, edges, labels, max_hops)
+    place = np.full(len(found.names), -1)
+    place[found.node] = np.arange(len(found.node))
+    arguments = arguments[place[found.variable[arguments]] >= 0]
+    # Calls are numbered through all files, and so are their arguments.
+    rows = np.concatenate([arguments, sinks])
+    code = column["call_id"].take(pa.array(rows)).dictionary_encode().indices.to_numpy()
+    _, call = np.unique(found.files[rows] * np.int64(len(rows)) + code, return_inverse=True)
+    _, argument = np.unique(call * np.int64(len(rows)) + _ranks(column["arg_index"].take(pa.array(rows))), return_inverse=True)
+    ranked = lambda at, *names: tuple(_ranks(column[c].take(pa.array(rows[at]))) for c in names)
+    together = lambda at: at[np.argsort(argument[at], kind="stable")]
+    used = _least(argument, together(np.arange(len(arguments))), lambda at: ranked(at, "node", "position"))
+    called = _least(argument, together(np.arange(len(arguments), len(rows))), lambda at: ranked(at, "sink", "method", "object", "line"))
+    _, a, b = np.intersect1d(argument[used], argument[called], assume_unique=True, return_indices=True)
+    used, called = used[a], called[b]
+    best = _least(call[used], np.argsort(call[used], kind="stable"), lambda at: (argument[used[at]], *ranked(used[at], "node", "position")))
+    at, called = place[found.variable[rows[used[best]]]], rows[called[best]]
+    for part, root, trace in found.traces(at, held):
+        columns = {c: column[c].take(pa.array(called[part])) for c in ("file_id", *CALL)}
+        columns |= {c: column[c].take(root) for c in ROOT}
+        yield _result_rows(columns | {"trace": trace}, FLOWS)
+
+
+def _columns(table: pa.Table) -> dict[str, pa.Array]:
+    table = table.combine_chunks()
+    return {c: table[c].combine_chunks() for c in table.column_names}
+
+
+def _has(values: pa.Array) -> np.ndarray:
+    return values.is_valid().to_numpy(zero_copy_only=False)
 
 
-def _large_rows(like: pa.Table, files: pa.Array) -> pa.RecordBatch:
+def _result_rows(columns: dict[str, pa.Array], names: list[str]) -> pa.RecordBatch:
+    """What was found, beside the files that are named as ``large``."""
+    columns["large"] = pa.array(np.zeros(len(columns["file_id"]), bool))
+    return pa.RecordBatch.from_pydict({c: columns[c] for c in names})
+
+
+def _large_rows(like: pa.Table, files: pa.Array, names: list[str]) -> pa.RecordBatch:
     """A row for each file that is too large to be searched here."""
-    columns = {c: pa.nulls(len(files), like.schema.field(c).type) for c in ("node", *ROOT)}
-    columns |= {"trace": pa.nulls(len(files), pa.list_(_STEPS)), "large": pa.array(np.ones(len(files), bool))}
-    return pa.RecordBatch.from_pydict({"file_id": files, **columns})
+    kinds = {f.name: f.type for f in like.schema}
+    columns = {c: pa.nulls(len(files), kinds.get(c) or kinds[SHARED[c]]) for c in names if c not in ("trace", "large")}
+    columns |= {"file_id": files, "trace": pa.nulls(len(files), pa.list_(_STEPS)), "large": pa.array(np.ones(len(files), bool))}
+    return pa.RecordBatch.from_pydict({c: columns[c] for c in names})
 
 
-def _search(max_hops: int | None, most: int, held: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Batches sorted by file to labels, in pieces of several batches; the last file of a piece waits for the next one.
+def _search(max_hops: int | None, most: int, held: int, flows: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches sorted by file to labels or ``flows``, in pieces of several batches; the last file of a piece waits for the next one.
 
     Of a file with more than ``most`` rows only its ``file_id`` is returned, and no more than a piece of it is held.
     """
+    search, names = (_search_flows, FLOWS) if flows else (_search_files, REACHED)
 
     def searched(table: pa.Table, ended: bool) -> Iterator[pa.RecordBatch | pa.Table]:
         """The results of a piece, then what waits."""
@@ -317,9 +428,9 @@ def _search(max_hops: int | None, most: int, held: int) -> Callable[[Iterator[pa
         begins = np.flatnonzero(_firsts(code))
         large = begins[(~small & ~waits)[code[begins]]]
         if len(large):
-            yield _large_rows(table, files.take(pa.array(large)))
+            yield _large_rows(table, files.take(pa.array(large)), names)
         if (small & ~waits).any():
-            yield from _search_files(table.filter(pa.array((small & ~waits)[code])), max_hops, held)
+            yield from search(table.filter(pa.array((small & ~waits)[code])), max_hops, held)
         yield table.slice(begins[-1], min(int(count[code[-1]]), most + 1)) if not ended else table.slice(0, 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,11 +461,43 @@ def _small_files(passing: DataFrame, known: DataFrame, max_hops: int | None) ->
     ways = passing.select("file_id", F.col("src").alias("node"), "dst", "sanitizer", *[F.lit(None).cast(types[c]).alias(c) for c in ROOT])
     absent = [F.lit(None).cast("string").alias(c) for c in ("dst", "sanitizer")]
     starts = known.where("file_id is not null").select("file_id", "node", *absent, *ROOT)
-    columns = ["file_id", "node", *ROOT, "trace"]
     rows = ways.unionByName(starts).repartition("file_id").sortWithinPartitions("file_id")
-    schema = known.select(*columns, F.lit(False).alias("large")).schema
+    schema = known.withColumn("large", F.lit(False)).select(*REACHED).schema
     found = rows.mapInArrow(_search(max_hops, SMALL_FILE, HELD_STEPS), T.StructType([T.StructField(f.name, f.dataType) for f in schema]))
-    return found.unionByName(_best(known.where("file_id is null")).select(*columns, F.lit(False).alias("large")))
+    return found.unionByName(_best(known.where("file_id is null")).withColumn("large", F.lit(False)).select(*REACHED))
+
+
+def _flow_rows(passing: DataFrame, known: DataFrame, calls: DataFrame, args: DataFrame) -> DataFrame:
+    """Edges, labels, calls of sinks and arguments as rows of one table, for ``_search_flows``.
+
+    They share columns, since a batch's size is told after each row, in all columns: a label
+    has ``sanitizers``, as text that nobody reads on the way, a call has ``call_id`` and a
+    ``name``, which is its sink, and an argument has ``call_id`` alone.
+    """
+    shared = lambda *names: [F.col(c).alias(SHARED.get(c, c)) for c in names]
+    ways = passing.select(*shared("file_id", "src", "dst", "sanitizer"))
+    kept = F.coalesce(F.to_json("sanitizers"), F.lit("null"))
+    starts = known.where("file_id is not null").withColumn("sanitizers", kept).select(*shared("file_id", "node", *ROOT))
+    places = ["file_id", "call_id", "arg_index"]
+    sinks = calls.dropna(subset=places).select(*shared("file_id", "arg_index", *CALL))
+    used = args.dropna(subset=[*places, "node"]).select(*shared(*places, "position", "node"))
+    rows = ways
+    for more in (starts, sinks, used):
+        rows = rows.unionByName(more, allowMissingColumns=True)
+    return rows
+
+
+def _small_flows(rows: DataFrame, like: dict[str, T.DataType], max_hops: int | None) -> DataFrame:
+    """``_first_tainted`` of files of bounded size, by one shuffle of narrow rows; larger files are named as ``large``.
+
+    Columns that were shared get their types back from ``like``.
+    """
+    types = {f.name: f.dataType for f in rows.schema}
+    types |= {c: types[kept] for c, kept in SHARED.items()} | {"trace": like["trace"], "large": T.BooleanType()}
+    rows = rows.repartition("file_id").sortWithinPartitions("file_id")
+    found = rows.mapInArrow(_search(max_hops, SMALL_FLOWS, HELD_STEPS, True), T.StructType([T.StructField(c, types[c]) for c in FLOWS]))
+    sanitizers = F.when(F.col("sanitizers") == "[]", F.array()).otherwise(F.from_json("sanitizers", like["sanitizers"]))
+    return found.withColumns({"line": F.col("line").cast(like["line"]), "source_line": F.col("source_line").cast(like["source_line"]), "sanitizers": sanitizers})
 
 
 def reach(edges: DataFrame, labels: DataFrame, max_hops: int | None = None) -> Reach:
@@ -364,21 +507,28 @@ def reach(edges: DataFrame, labels: DataFrame, max_hops: int | None = None) -> R
     level. Files beyond that size go through passes together, see ``_passes``; only then are
     ``edges`` and ``labels`` read again, so ``edges`` should be a table at rest.
     """
-    spark = edges.sparkSession
-    with scratch_scope(spark, "taint"):
-        known = labels.select(
-            "file_id", "node", F.lit(0).alias("hops"), F.array_join("path", " ").alias("key"), *ROOT, F.array().cast(f"array<{STEP}>").alias("trace")
-        )
-        passing = _passing(edges)
+    return Reach(edges, labels, max_hops)
+
+
+def _known(labels: DataFrame) -> DataFrame:
+    """Labels of the sources, as a search begins with them."""
+    empty = F.array().cast(f"array<{STEP}>")
+    return labels.select("file_id", "node", F.lit(0).alias("hops"), F.array_join("path", " ").alias("key"), *ROOT, empty.alias("trace"))
+
+
+def _searched(edges: DataFrame, labels: DataFrame, max_hops: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """Labels and chains of a ``Reach``."""
+    with scratch_scope(edges.sparkSession, "taint"):
+        passing, known = _passing(edges), _known(labels)
         searched = cut_lineage(_small_files(passing, known, max_hops), "reached", outlives=True, codec="zstd")
         found = searched.where("not large").drop("large")
         large = searched.where("large").select("file_id")
         if large.isEmpty():
-            return Reach(found, None)
+            return found, None
         passing, known = (t.join(large, "file_id", "left_semi") for t in (passing, known))
         known = cut_lineage(known, "labels", codec="zstd")
         more, chains = _passes(cut_lineage(_live(passing, known), "edges"), known, max_hops)
-        return Reach(found.unionByName(cut_lineage(more, "reached", outlives=True, codec="zstd")), chains)
+        return found.unionByName(cut_lineage(more, "reached", outlives=True, codec="zstd")), chains
 
 
 def _passes(live: DataFrame, known: DataFrame, max_hops: int | None) -> tuple[DataFrame, DataFrame]:
@@ -410,18 +560,21 @@ def _passes(live: DataFrame, known: DataFrame, max_hops: int | None) -> tuple[Da
     return known.unionByName(along).drop("key", "hops"), chains
 
 
+def _whole(way: str) -> list[Column | str]:
+    """A label's columns with whole path and sanitizers, from the steps in the column ``way``."""
+    named = F.transform(
+        F.filter(way, lambda s: s["sanitizer"] != ""), lambda s: F.struct(s["sanitizer"].alias("name"), lookup(SANITIZERS, s["sanitizer"]).alias("strength"))
+    )
+    path = F.concat("path", F.transform(way, lambda s: s["node"]))
+    return ["source_type", "source_line", "category", path.alias("path"), F.concat("sanitizers", named).alias("sanitizers")]
+
+
 def labelled(found: Reach, nodes: DataFrame | None = None) -> DataFrame:
     """Labels with whole paths and sanitizers of all variables reached, or of those in ``nodes`` (file_id, node)."""
     rows = found.labels
     if nodes is not None:
         rows = rows.join(nodes.select("file_id", "node").distinct(), ["file_id", "node"], "left_semi")
-    named = lambda steps: F.transform(
-        F.filter(steps, lambda s: s["sanitizer"] != ""), lambda s: F.struct(s["sanitizer"].alias("name"), lookup(SANITIZERS, s["sanitizer"]).alias("strength"))
-    )
-    rebuilt = lambda rows, way: rows.select(
-        "file_id", "node", "source_type", "source_line", "category", F.concat("path", F.transform(way, lambda s: s["node"])).alias("path"),
-        F.concat("sanitizers", named(F.col(way) if isinstance(way, str) else way)).alias("sanitizers"),
-    )
+    rebuilt = lambda rows, way: rows.select("file_id", "node", *_whole(way))
     if found.chains is None:
         return rebuilt(rows, "trace")
     plain = ~F.exists("trace", lambda s: s["inner"] > 0)
@@ -508,10 +661,40 @@ def flow_record(content: Column | None = None) -> Column:
     return F.to_json(F.struct(source.alias("source"), steps.alias("propagation"), sink.alias("sink")))
 
 
+def _first_tainted(calls: DataFrame, args: DataFrame, reached: DataFrame | Reach) -> DataFrame:
+    """The first tainted variable of the dangerous argument, which speaks for the call."""
+    used = calls.join(args, ["file_id", "call_id", "arg_index"]).select("file_id", *CALL, "position", "node")
+    if isinstance(reached, Reach):
+        reached = labelled(reached, None if reached.chains is None else used)
+    tainted = used.join(reached, ["file_id", "node"])
+    rest = [c for c in (*CALL, *ROOT) if c != "call_id"]
+    first = F.min_by(F.struct(*rest), F.struct("position", "node")).alias("_row")
+    return tainted.groupBy("file_id", "call_id").agg(first).select("file_id", "call_id", "_row.*")
+
+
+def _first_flows(calls: DataFrame, args: DataFrame, reached: Reach) -> DataFrame:
+    """``_first_tainted`` with the search in it: a file of bounded size is searched together with its calls.
+
+    Edges, labels, calls and arguments of larger files are read again.
+    """
+    edges, labels = reached.edges, reached.starts
+    with scratch_scope(edges.sparkSession, "flows"):
+        known = _known(labels)
+        like = {f.name: f.dataType for table in (known, calls) for f in table.schema}
+        flows = _small_flows(_flow_rows(_passing(edges), known, calls, args), like, reached.max_hops)
+        searched = cut_lineage(flows, "flows", outlives=True, codec="zstd")
+        found = searched.where("not large").select("file_id", *CALL, *_whole("trace"))
+        large = searched.where("large").select("file_id")
+        if large.isEmpty():
+            return found
+    edges, labels, calls, args = (t.join(large, "file_id", "left_semi") for t in (edges, labels, calls, args))
+    return found.unionByName(_first_tainted(calls, args, reach(edges, labels, reached.max_hops)))
+
+
 def taint_findings(calls: DataFrame, args: DataFrame, reached: DataFrame | Reach, files: DataFrame | None = None) -> DataFrame:
     """Findings where a tainted variable sits in the dangerous argument of a sink.
 
-    From a ``Reach`` with chains only the paths of variables in such an argument are rebuilt. With
+    From a ``Reach`` only the paths of variables in such an argument are built. With
     ``files`` (file_id, content) findings have a snippet, and the code of source, steps and
     sink; a file without content gives none.
     """
@@ -520,19 +703,9 @@ def taint_findings(calls: DataFrame, args: DataFrame, reached: DataFrame | Reach
         F.col("taint_arg") == RIGHT_SIDE, F.lit(0)
     ).otherwise(F.col("taint_arg"))
     # What a sink's name says is looked up again at the end; only what is told from the call moves.
-    narrow = sinks.select("file_id", "call_id", dangerous.alias("arg_index"), "line", "object", "method", "sink")
-    used = narrow.join(args, ["file_id", "call_id", "arg_index"]).select(*narrow.drop("arg_index").columns, "position", "node")
-    if isinstance(reached, Reach):
-        reached = labelled(reached, None if reached.chains is None else used)
-    tainted = used.join(reached, ["file_id", "node"])
-    # The first tainted variable of the argument speaks for the call.
-    rest = ["line", "object", "method", "sink", *ROOT]
-    one = (
-        tainted.groupBy("file_id", "call_id")
-        .agg(F.min_by(F.struct(*rest), F.struct("position", "node")).alias("_row"))
-        .select("file_id", "call_id", "_row.*")
-        .join(_sink_table(calls.sparkSession), "sink")
-    )
+    narrow = sinks.select("file_id", dangerous.alias("arg_index"), *CALL)
+    one = _first_flows(narrow, args, reached) if isinstance(reached, Reach) else _first_tainted(narrow, args, reached)
+    one = one.join(_sink_table(calls.sparkSession), "sink")
     content = None
     if files is not None:
         one = one.join(files.select("file_id", F.col("content").alias("_content")), "file_id", "left")
