@@ -8,6 +8,7 @@ import pytest
 
 from wardline.operators import detect, pyfacts, pyflows, taint
 from wardline.operators.taint_tables import SANITIZERS
+from wardline.plans import catalog, detection
 
 LABELS = (
     "file_id long, node string, source_type string, source_line int, category string, path array<string>, "
@@ -348,3 +349,24 @@ def test_a_chain_is_searched_in_few_passes_when_it_is_read(spark, monkeypatch):
     assert found.labels.count() == 3001 and 0 < len(passes) < 20
     done = len(passes)
     assert found.chains is not None and found.labels.count() == 3001 and len(passes) == done
+
+
+@pytest.mark.parametrize("name", ["d06d_flow_records", "d06_taint_findings"])
+def test_flow_queries_write_calls_and_flows_only(spark, tmp_path, monkeypatch, name):
+    """Of the facts only calls are stored before the one search, whose result is not shuffled again."""
+    line = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double"
+    # n6 is read from req.query; eval of n0 behind it, eval of n5 out of reach, and a row that comes twice
+    rows = [(1, 6, 0, 1, 5.0, 1.25), (1, 6, 0, 1, 5.0, 1.25), (1, 15, 13, 2, 9.0, 2.5), (3, 24, 5, 1, 7.0, 3.0), (None, 6, 0, 1, 5.0, 4.0)]
+    spark.createDataFrame(rows, line).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1,), (3,)], "o_orderkey long").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    written = []
+    for module in (taint, detection):
+        plain = module.cut_lineage
+        monkeypatch.setattr(module, "cut_lineage", lambda df, name="cut", plain=plain, **kw: written.append(name) or plain(df, name, **kw))
+    found = catalog.QUERIES[name](spark, str(tmp_path))
+    (row,) = found.collect()
+    assert written == ["facts", "flows"] and "Exchange hashpartitioning(" not in found._jdf.queryExecution().executedPlan().toString()
+    if name == "d06d_flow_records":
+        assert row[:] == (1, "6-0-1-125", 5, 15, "req.query.id", "n0", "source_access")
+    else:
+        assert row[:] == (1, "6-0-1-125", "Code Injection via req.query", "critical", 15, 0.9, "req.query.id n6 n0")
